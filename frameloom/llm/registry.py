@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, tokens, toxicity
+from . import exact_dedup, langid, mixing, pii, tokens, toxicity
 from .common import table
 
 #: The vocabulary file whose tokens op8 counts and op3 produces.
@@ -21,6 +21,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -49,6 +53,7 @@ FROM n JOIN k ON n.t = k.t
 
 def queries() -> dict:
     return {
+        "op2_pii": op2_pii,
         "op4_language_id": op4_language_id,
         "op6_mix_sources": op6_mix_sources,
         "op7_toxicity": op7_toxicity,
