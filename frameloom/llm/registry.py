@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, pii, tokens, toxicity
+from . import exact_dedup, langid, mixing, near_join, piece_trie, pii, tokens, toxicity
 from .common import table
 
 #: The vocabulary file whose tokens op8 counts and op3 produces.
@@ -25,6 +25,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_trie.encoded(table(spark, sf_dir, "documents"), piece_trie.vocabulary(tokenizer_bytes()))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -39,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -54,10 +62,12 @@ FROM n JOIN k ON n.t = k.t
 def queries() -> dict:
     return {
         "op2_pii": op2_pii,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
         "op6_mix_sources": op6_mix_sources,
         "op7_toxicity": op7_toxicity,
         "op8_token_counts": op8_token_counts,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
