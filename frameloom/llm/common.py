@@ -41,6 +41,14 @@ def held_out(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(True))
 
 
+def at_most_per_label(rows: DataFrame, most: int, id_col: str = "id", label_col: str = "label") -> DataFrame:
+    """About `most` rows of each label, drawn by hash of the id; all of a label that has no more."""
+    counts = rows.groupBy(F.col(label_col).alias("__label")).agg(F.count("*").alias("__n"))
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    joined = rows.join(F.broadcast(counts), rows[label_col] == counts["__label"])
+    return joined.where(draw * F.col("__n") < most).select(rows.columns)
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
     """Cut a batch into row ranges of about most_bytes of text each; a longer text gets a range of its own."""
     column = batch.column(text)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct_words, held_out, slices, stored
+from .common import at_most_per_label, distinct_words, held_out, slices, stored
 from .shingles import minima, shingle_hashes, word_hashes
 
 #: Trimmed from both ends of a word before it is looked up.
@@ -91,17 +91,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_rows_per_label: int = 10_000, max_tokens: int = 20_000, least_docs: int = 3, least_z: float = 3.5, prior: float = 50.0) -> Model:
     """Learn token log-odds with an informative Dirichlet prior, and the calibration, outside the held-out rows.
 
-    Of each label the max_rows_per_label first rows by hash of the id are used, whole texts; that bounds the fit. A
+    Of each label about max_rows_per_label rows are used, drawn by hash of the id, whole texts; that bounds the fit. A
     token counts once a text. The prior is the tokens' own rate over both labels. A token's weight is its log-odds less one
     standard error; the model keeps at most max_tokens tokens, those with the highest z scores above least_z and above what chance gives the number of tokens tested. Null labels and texts teach nothing; without rows of
     both labels nothing is learnt and every text scores low. A document with two labels teaches both.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & ~held_out("id"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    marked = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max_rows_per_label).drop("rank")
+    marked = at_most_per_label(marked, max_rows_per_label)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    sample = _without_near_copies(rows.join(marked, "id").select("id", "text", "label"))
+    # at most about 2 * max_rows_per_label ids, so they go to the texts
+    sample = _without_near_copies(rows.join(F.broadcast(marked), "id").select("id", "text", "label"))
 
     def count(batches):
         for batch in batches:
