@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, near_join, piece_trie, pii, tokens, toxicity
+from . import exact_dedup, langid, mixing, near_join, neighbours, piece_trie, pii, tokens, toxicity
 from .common import table
 
 #: The vocabulary file whose tokens op8 counts and op3 produces.
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_mix_sources": op6_mix_sources,
         "op7_toxicity": op7_toxicity,
         "op8_token_counts": op8_token_counts,
