@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_words, held_out, slices, sums
+from .common import at_most_per_label, distinct_words, held_out, slices, sums
 
 UNDETERMINED = "und"
 
@@ -40,14 +40,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         n_buckets: int = 1 << 16, max_rows_per_label: int = 2000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Labels in order and the matrix (n_buckets, labels) of log-probabilities.
 
-    Learns from whole texts with a label outside the held-out rows: of each label the max_rows_per_label first by hash of
+    Learns from whole texts with a label outside the held-out rows: about max_rows_per_label of each label, drawn by hash of
     the id, which bounds the fit at any size of the table. Counts are summed by Spark; the driver gets one number for
     each bucket and label. No labelled row: no labels.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max_rows_per_label)
+    sample = at_most_per_label(known, max_rows_per_label)
 
     def count(batches):
         for batch in batches:
