@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import slices
 
@@ -206,7 +207,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_col:
     if ids_col in docs.columns:
         raise ValueError(f"{ids_col} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    column = docs.columns.index(text_col)
+    names = [*docs.columns, ids_col]
+    column = names.index(text_col)
 
     def run(batches):
         encoder = _encoder(shared.value)
@@ -223,9 +225,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_col:
                 first = (np.cumsum(sizes) - sizes)[index]
                 values = flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
                 ids = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*docs.columns, ids_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
 
-    schema = docs.select(docs.columns).schema.add(ids_col, "array<int>")
+    schema = docs.select(docs.columns).schema.add(ids_col, ArrayType(IntegerType()))
     return docs.mapInArrow(run, schema)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, near_join, neighbours, piece_trie, pii, tokens, toxicity
+from . import block_labeller, exact_dedup, langid, mixing, near_join, neighbours, piece_trie, pii, tokens, toxicity
 from .common import table
 
 #: The vocabulary file whose tokens op8 counts and op3 produces.
@@ -21,6 +21,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP10_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS t FROM documents),
 k AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -65,6 +75,7 @@ FROM n JOIN k ON n.t = k.t
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_pii": op2_pii,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
@@ -74,6 +85,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": pipeline,
     }
 
 

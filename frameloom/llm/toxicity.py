@@ -219,6 +219,29 @@ def _excesses(texts: pa.Array, model: Model) -> list[tuple[float, int]]:
     return out
 
 
+def _chances(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[int]]:
+    """Score and number of significant passages of each text: the Gumbel distribution function at its excess."""
+    found = _excesses(texts, model)
+    x = np.array([f[0] for f in found])
+    return np.exp(-np.exp(np.clip(-(x - model.location) / model.scale, -700, 700))), [f[1] for f in found]
+
+
+def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with the columns of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    column = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.append_column("__text", batch.column(column))
+            for part in slices(batch, "__text"):
+                value, _ = _chances(part.column("__text"), shared.value)
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], names).filter(pa.array(value < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Toxicity of every whole text: id, held_out, score in 0 to 1, predicted (1 if score >= 0.5), n_passages.
 
@@ -228,13 +251,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                found = _excesses(part.column(1), model)
-                x = np.array([f[0] for f in found])
-                value = np.exp(-np.exp(np.clip(-(x - model.location) / model.scale, -700, 700)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array([f[1] for f in found], pa.int32())], ["id", "score", "n_passages"])
+                value, passages = _chances(part.column(1), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(passages, pa.int32())], ["id", "score", "n_passages"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, "id long, score double, n_passages int")
