@@ -48,10 +48,9 @@ class Plan:
 
 
 def _signatures(plan: Plan):
-    """Per text: a digest of its words, its MinHash values as bytes, its band keys. Texts without words get nulls."""
+    """Per text: a digest of its words and the lower 16 bits of its MinHash values, as bytes. Texts without words get nulls."""
     rng = np.random.default_rng(20240229)
     factors = [(int(m) | 1, int(c)) for m, c in rng.integers(0, 1 << 63, size=(plan.n_hashes, 2))]
-    salts = rng.integers(1, 1 << 63, size=plan.rows).astype(np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -62,12 +61,27 @@ def _signatures(plan: Plan):
                 raw = hashes.tobytes()
                 keys = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else None for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 shingles, of = shingle_hashes(hashes, bounds, plan.size)
-                values = np.stack([minima(shingles, of, m, c) for m, c in factors], axis=1)
-                wide = values.astype(np.uint64).reshape(len(part), plan.bands, plan.rows)
-                bands = mixed((wide * salts).sum(axis=2, dtype=np.uint64) + np.arange(plan.bands, dtype=np.uint64)).astype(np.int64)
+                values = np.stack([minima(shingles, of, m, c) for m, c in factors], axis=1).astype(np.uint16)
                 signature = pa.array([v.tobytes() if f else None for v, f in zip(values, filled)], pa.binary())
-                lists = pa.array([b if f else None for b, f in zip(bands, filled)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), signature, lists], ["id", "key", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), signature], ["id", "key", "signature"])
+
+    return run
+
+
+def _matrix(signatures: pa.Array | pa.ChunkedArray, plan: Plan) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), dtype=np.uint16).reshape(len(signatures), plan.n_hashes)
+
+
+def _bands(plan: Plan):
+    """A row per node and band: key, band, bucket (a hash of the band's values)."""
+    salts = np.random.default_rng(20240301).integers(1, 1 << 63, size=plan.rows).astype(np.uint64) | np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            wide = _matrix(batch.column("signature"), plan).astype(np.uint64).reshape(len(batch), plan.bands, plan.rows)
+            buckets = mixed(mixed((wide + np.uint64(1)) * salts).sum(axis=2, dtype=np.uint64) + np.arange(plan.bands, dtype=np.uint64)).astype(np.int64)
+            keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(batch)), plan.bands)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(plan.bands, dtype=np.int32), len(batch))), pa.array(buckets.ravel())], ["key", "band", "bucket"])
 
     return run
 
@@ -84,11 +98,13 @@ def _shingle_sets(size: int):
     return run
 
 
-def linked_pairs(signatures: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, band: np.ndarray, plan: Plan) -> np.ndarray:
+def linked_pairs(signatures: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, band: np.ndarray, plan: Plan) -> np.ndarray:
     """Of the pairs (first, second) of rows that meet in `band`, which are similar; each pair counts in its first band only."""
     kept = np.arange(len(first))
-    if len(kept):
-        kept = kept[(bands[first] == bands[second]).argmax(axis=1) == band[kept]]
+    for before in range(int(band.max()) if len(band) else 0):
+        columns = slice(before * plan.rows, (before + 1) * plan.rows)
+        earlier = (band[kept] > before) & (signatures[first[kept], columns] == signatures[second[kept], columns]).all(axis=1)
+        kept = kept[~earlier]
     matches = np.zeros(len(kept), dtype=np.int32)
     for n, least in plan.least_matches():
         if not len(kept):
@@ -139,15 +155,14 @@ def _compare(plan: Plan):
         for rows, starts in groups(batches):
             keys = rows.column("key").to_pylist()
             n_rows = rows.column("n").to_numpy()
-            signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(len(rows), plan.n_hashes)
-            bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(rows), plan.bands)
+            signatures = _matrix(rows.column("signature"), plan)
             sets = [np.frombuffer(s, dtype=np.uint64) for s in rows.column("shingles").to_pylist()]
             band, block, low, high = (rows.column(c).to_numpy() for c in ("band", "block", "low", "high"))
             node_a, node_b, counted = [], [], {}
             small_a, small_b = [], []
 
             def settle(first, second):
-                linked = linked_pairs(signatures, bands, sets, first, second, band[first], plan)
+                linked = linked_pairs(signatures, sets, first, second, band[first], plan)
                 root = {}
 
                 def find(x):
@@ -204,18 +219,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     hand on at most a link per row for the components, and a count per row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(plan), "id long, key binary, signature binary, bands array<long>"), "signatures")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    signed = stored(rows.mapInArrow(_signatures(plan), "id long, key binary, signature binary"), "signatures")
+    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "nodes")
-    banded = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    banded = nodes.select("key", "signature").mapInArrow(_bands(plan), "key binary, band int, bucket long")
+    crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("crowd"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2")).where("crowd > 1")
+    # of buckets with the same nodes, the one of the first band: it is the first in which any two of them meet
+    crowded = crowded.groupBy("crowd", "h1", "h2").agg(F.min(F.struct("band", "bucket")).alias("at")).select("crowd", "at.band", "at.bucket")
     members = stored(banded.join(crowded, ["band", "bucket"]), "members")
 
     # shingle sets of the nodes that meet another: one text of each, found by id and checked by its words' digest
     candidates = members.select("key").distinct()
     wanted = signed.where("key is not null").join(candidates, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     texts = _one_text_each(rows, wanted, plan)
-    full = candidates.join(nodes.select("key", "n", "signature", "bands"), "key").join(texts, "key")
+    full = candidates.join(nodes.select("key", "n", "signature"), "key").join(texts, "key")
 
     blocks = F.ceil(F.col("crowd") / plan.block).cast("int")
     own = F.when(blocks > 1, F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int")).otherwise(0)
@@ -223,7 +240,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     paired = paired.select("key", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     group = ["band", "bucket", "low", "high"]
     compared = paired.join(full, "key").repartition(*group).sortWithinPartitions(*group)
-    found = stored(compared.select(*group, "block", "key", "n", "signature", "bands", "shingles").mapInArrow(_compare(plan), "a binary, b binary, n_links long"), "found")
+    found = stored(compared.select(*group, "block", "key", "n", "signature", "shingles").mapInArrow(_compare(plan), "a binary, b binary, n_links long"), "found")
 
     counts = found.where("n_links > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("links"))
     roots = components(found.where("n_links = 0").select("a", "b")).withColumnRenamed("node", "key")
