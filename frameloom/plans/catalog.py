@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "events_by_type"
+from . import basic, sequence  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "session_summary"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
