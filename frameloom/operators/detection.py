@@ -39,6 +39,7 @@ RULES = (
 )
 #: Buttons match whole words only, but in compat mode.
 BUTTONS = r"(yes|no|ok|cancel|continue|abort)"
+WHOLE = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
 SEVERITY = {"system_error": "critical", "network_error": "high", "auth_error": "high", "system_alert": "high", "application_error": "medium", "validation_error": "medium", "warning": "medium", "app_alert": "medium"}
 ERRORS = ("system_error", "network_error", "auth_error", "validation_error", "application_error", "warning")
 #: Keyword groups in order, the first that a text holds decides.
@@ -66,7 +67,7 @@ def rule_matches(value: Column, compat: bool = False) -> Column:
     low = F.lower(value)
     tests = []
     for k, (pattern, kind, weight) in enumerate(RULES):
-        p = rf"\b{pattern}\b" if pattern == BUTTONS and not compat else pattern
+        p = WHOLE % pattern if pattern == BUTTONS and not compat else pattern
         tests.append(F.when(low.rlike(p), F.struct(F.lit(k).alias("order"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
     return F.filter(F.array(*tests), lambda r: r.isNotNull())
 

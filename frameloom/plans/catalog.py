@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic, sequence  # noqa: F401
+from . import basic, detect, sequence, tell  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "session_summary"
