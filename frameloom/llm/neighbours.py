@@ -126,7 +126,7 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           sample_rows: int = 8192, part_rows: int = 4096, most_parts: int = 256) -> DataFrame:
+           sample_rows: int = 8192, part_rows: int = 16_384, most_parts: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector whose id `every` divides, the k others found with the largest inner
     product, all others if there are fewer; equal scores by smaller id.
 
