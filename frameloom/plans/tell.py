@@ -150,9 +150,10 @@ def e39(spark, d):
     return operations.violations(A.table(spark, d, "customer"), "c_custkey", rules)
 
 
-@query("a26_rolling", f"WITH {EV} SELECT event_id, round(avg(confidence) OVER (PARTITION BY stream ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 3) AS rolling FROM ev")
+@query("a26_rolling", f"WITH {EV} SELECT event_id, round(avg(round(confidence * 100)) OVER (PARTITION BY stream ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS rolling FROM ev")
 def a26(spark, d):
-    return operations.rolling(A.events(spark, d), "confidence").select("event_id", F.round("rolling", 3).alias("rolling"))
+    whole = A.events(spark, d).withColumn("percent", F.round(F.col("confidence") * 100))
+    return operations.rolling(whole, "percent").select("event_id", F.round("rolling", 9).alias("rolling"))
 
 
 @query("m19_segments", f"WITH {EV} SELECT stream, epoch_us(time_bucket(INTERVAL '120 seconds', ts)) AS start, count(*) AS n, 'segments/' || strftime(time_bucket(INTERVAL '120 seconds', ts), '%Y-%m-%d/%H-%M-%S') || '.mp4' AS path FROM ev GROUP BY ALL")
