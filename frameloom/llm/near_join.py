@@ -54,7 +54,7 @@ def _signatures(plan: Plan):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 words, index, bounds = distinct_words(part.column(1))
                 hashes = word_hashes(words)[index]
                 filled = np.diff(bounds) > 0
@@ -87,13 +87,19 @@ def _bands(plan: Plan):
 
 
 def _shingle_sets(size: int):
+    """The shingle set of each text whose words have the key; a repeated or null id brings other texts too."""
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                words, index, bounds = distinct_words(part.column(1))
-                shingles, of = shingle_hashes(word_hashes(words)[index], bounds, size)
-                sets = pa.array([np.unique(shingles[s:e]).tobytes() for s, e in zip(of[:-1], of[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["key", "shingles"])
+            for part in slices(batch, "text", 1 << 20):
+                words, index, bounds = distinct_words(part.column("text"))
+                hashes = word_hashes(words)[index]
+                raw = hashes.tobytes()
+                at = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                right = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) == k for (s, e), k in zip(at, part.column("key").to_pylist())]
+                shingles, of = shingle_hashes(hashes, bounds, size)
+                sets = [np.unique(shingles[s:e]).tobytes() for s, e, ok in zip(of[:-1].tolist(), of[1:].tolist(), right) if ok]
+                yield pa.RecordBatch.from_arrays([part.column("key").filter(pa.array(right)), pa.array(sets, pa.binary())], ["key", "shingles"])
 
     return run
 
@@ -263,15 +269,7 @@ def _one_text_each(rows: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     named = wanted.select("key", F.col("id").alias("of"))
     texts = rows.join(named, rows["id"].eqNullSafe(named["of"])).select("key", "text")
 
-    def check(batches):
-        # a repeated or null id brings several texts: the one with the key's words is meant
-        for batch in batches:
-            words, index, bounds = distinct_words(batch.column(1))
-            raw = word_hashes(words)[index].tobytes()
-            right = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) == k for s, e, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(right))
-
-    sets = texts.mapInArrow(check, "key binary, text string").mapInArrow(_shingle_sets(plan.size), "key binary, shingles binary")
+    sets = texts.mapInArrow(_shingle_sets(plan.size), "key binary, shingles binary")
     return stored(sets.dropDuplicates(["key"]), "shingles")
 
 
