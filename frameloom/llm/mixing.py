@@ -12,6 +12,9 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Rows that one fold of the rounding goes over, about.
 BLOCK = 128
+#: Units over this share of their source's target are rounded before the others.
+LARGE = 0.005
+COLUMNS = ["id", "source", "size", "m", "source_size", "target", "whole", "p", "w", "n_units"]
 
 
 def words(text: Column) -> Column:
@@ -88,7 +91,8 @@ def mix_units(units: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGH
 
     A unit's rows expect target / source_size copies each. The whole part is certain; the fractional part is rounded
     within its source, so that the words taken stay what they were expected to be, but for one last unit a source. Units
-    of like size meet, large ones first, so that the last one is small. Blocks of about BLOCK units are folded, their left-overs form blocks of the next level, and
+    over LARGE of the target go first, and the others' parts then move together by what those took more or less than
+    expected; so the last unit is a small one. Units of like size meet. Blocks of about BLOCK units are folded, their left-overs form blocks of the next level, and
     so on: a reduction tree whose nodes are all small, however large a source is.
     """
     per_source = targets(units, weights, most)
@@ -101,31 +105,45 @@ def mix_units(units: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGH
     unit = unit.withColumn("copies", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(copies))
     unit = unit.withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
     unit = unit.withColumn("w", F.col("size").cast("double")).drop("copies")
-    columns = ["id", "source", "size", "m", "source_size", "target", "whole", "p", "w", "n_units"]
-    unit = stored(unit.select(columns), "mix-units")
-    decided = [unit.where("p = 0")]
-    left, level = unit.where("p > 0"), 0
+    unit = stored(unit.select(COLUMNS), "mix-units")
+    fractional, large = unit.where("p > 0"), F.col("w") * F.col("m") > F.col("target") * LARGE
+    first = _settled(fractional.where(large), seed)
+    rest = fractional.where(~large)
+    if not first.isEmpty():
+        # what the large units took more or less than expected, the others take less or more
+        owed = first.join(fractional.select("id", "size", F.col("source").alias("of"), F.col("p").alias("was")), ["id", "size"])
+        owed = owed.where(F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum((F.col("was") - F.col("p")) * F.col("w")).alias("owed"))
+        room = rest.groupBy(F.col("source").alias("in")).agg(F.sum((1 - F.col("p")) * F.col("w")).alias("up"), F.sum(F.col("p") * F.col("w")).alias("down"))
+        shift = owed.join(room, F.col("of").eqNullSafe(F.col("in"))).select("of", F.least(F.lit(1.0), F.when(F.col("owed") > 0, F.col("owed") / F.col("up")).otherwise(-F.col("owed") / F.col("down"))).alias("t"), "owed")
+        joined = rest.join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
+        moved = F.when(F.col("owed") > 0, F.col("p") + (1 - F.col("p")) * F.col("t")).otherwise(F.col("p") * (1 - F.col("t")))
+        rest = stored(joined.withColumn("p", _clean(F.coalesce(moved, F.col("p")))).select(COLUMNS), "mix-rest")
+    last = _settled(rest.where("p > 0 and p < 1"), seed + 1000)
+    out = unit.where("p = 0").unionByName(first).unionByName(rest.where("p = 0 or p = 1")).unionByName(last)
+    return out.select("id", "source", "size", "m", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("n"))
+
+
+def _settled(left: DataFrame, seed: int) -> DataFrame:
+    """left with each p 0 or 1: levels of blocks are folded until a source has one unit open, which its own draw settles."""
+    decided, level = [], 0
     largest = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while largest > 1:
-        draw = F.xxhash64("id", "size", F.lit(seed + level))
-        # like sizes share a block: the size's octave, then an even split of the source's units
+        # like sizes share a block: the size's half octave, then an even split of the source's units
         wide = F.greatest(F.ceil(F.col("n_units") / F.lit(float(BLOCK) ** (level + 1))), F.lit(1))
         key = [F.when(wide > 8, F.floor(F.log2("size") * 2)).otherwise(F.lit(0)).alias("octave"), F.pmod(F.xxhash64("id", "size", F.lit(seed)), wide.cast("long")).alias("block")]
-        u = F.pmod(draw, F.lit(1 << 53)) / F.lit(float(1 << 53))
-        item = F.struct("w", "id", "p", u.alias("u"), *[c for c in columns if c not in ("w", "id", "p", "source")])
+        u = F.pmod(F.xxhash64("id", "size", F.lit(seed + level)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        item = F.struct("w", "id", "p", u.alias("u"), *[c for c in COLUMNS if c not in ("w", "id", "p", "source")])
         blocks = left.select("source", *key, item.alias("item")).groupBy("source", "octave", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
-        folded = blocks.select("source", F.explode(_fold(F.col("items"))).alias("x")).select("source", "x.*").select(columns)
+        folded = blocks.select("source", F.explode(_fold(F.col("items"))).alias("x")).select("source", "x.*").select(COLUMNS)
         folded = stored(folded, "mix-level")
         decided.append(folded.where("p = 0 or p = 1"))
         left, level = folded.where("p > 0 and p < 1"), level + 1
         largest = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    # what is left of a source is one unit: its own draw decides
     u = F.pmod(F.xxhash64("id", "size", F.lit(seed - 1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    decided.append(left.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0)))
-    out = decided[0]
-    for more in decided[1:]:
+    out = left.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0)).select(COLUMNS)
+    for more in decided:
         out = out.unionByName(more)
-    return out.select("id", "source", "size", "m", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("n"))
+    return out
 
 
 def _clean_copies(x: Column) -> Column:
