@@ -111,9 +111,9 @@ def e9(spark, d):
     return o.select("o_orderkey", T.monitor(segment).alias("monitor"), F.substring_index(size, " ", -1).alias("unit"))
 
 
-@query("e28_keywords", f"WITH {SP} SELECT span_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]'), lambda w: length(w) > 2)) AS words FROM sp")
+@query("e28_keywords", f"WITH {SP} SELECT span_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]'), lambda w: length(w) > 2))) AS words FROM sp")
 def e28(spark, d):
-    return A.spans(spark, d).select("span_id", F.sort_array(T.keywords(F.col("title"))).alias("words")).withColumn("words", F.reverse("words"))
+    return A.spans(spark, d).select("span_id", F.sort_array(T.keywords(F.col("title"))).alias("words"))
 
 
 @query("p6_detected_events", f"WITH {EV}, {RG} SELECT type, count(*) AS n FROM (SELECT type FROM ev UNION ALL SELECT 'form_submission' FROM rg WHERE regexp_matches(lower(text), 'submit|save|send|login|sign in|register|continue|next|apply|confirm')) GROUP BY 1")
@@ -152,8 +152,8 @@ def r13(spark, d):
     return reports.render(t)
 
 
-@query("a28_playbook_rollup", f"""WITH {ISLANDS}, l AS (SELECT *, CASE WHEN type IN ('data_entry', 'field_change') AND type = lag(type) OVER w AND target = lag(target) OVER w THEN 0 ELSE 1 END AS fresh FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
-p AS (SELECT stream, island, least(50, sum(fresh)) AS n_steps FROM l GROUP BY 1, 2) SELECT n_steps::BIGINT AS n_steps, count(*) AS playbooks FROM p GROUP BY 1""")
+@query("a28_playbook_rollup", f"""WITH {ISLANDS}, l AS (SELECT *, CASE WHEN type IN ('data_entry', 'field_change') AND type = lag(type) OVER w AND target = lag(target) OVER w THEN 0 ELSE 1 END AS new_step FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
+p AS (SELECT stream, island, least(50, sum(new_step)) AS n_steps FROM l GROUP BY 1, 2) SELECT n_steps::BIGINT AS n_steps, count(*) AS playbooks FROM p GROUP BY 1""")
 def a28(spark, d):
     return summaries.playbooks(summaries.playbook_steps(grouped(spark, d), KEYS), KEYS).groupBy("n_steps").agg(F.count("*").alias("playbooks"))
 
