@@ -126,13 +126,18 @@ def _verified(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, thr
     """Whether the Jaccard similarity of each pair of sorted sets is at least the threshold, exactly."""
     sizes = np.array([len(s) for s in sets])
     rows = np.unique(np.concatenate([first, second]))
-    if len(first) > 2 * len(rows) and int(sizes[rows].sum()) * len(rows) < 40_000_000:
-        # many pairs of few sets: all intersections are a product of membership matrices
+    vocabulary = np.unique(np.concatenate([sets[r] for r in rows])) if 2 * len(rows) < len(first) else np.empty(0, np.uint64)
+    if len(rows) <= 2048 and 0 < len(rows) ** 2 * len(vocabulary) < 200_000 * len(first):
+        # many pairs of few sets: all intersections are a product of membership matrices, a range of the shingles at a time
         at = np.searchsorted(rows, np.arange(len(sets)))
-        vocabulary, column = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
-        member = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
-        member[np.repeat(np.arange(len(rows)), sizes[rows]), column] = 1
-        common = (member @ member.T)[at[first], at[second]].astype(np.int64)
+        row, column = np.repeat(np.arange(len(rows)), sizes[rows]), np.searchsorted(vocabulary, np.concatenate([sets[r] for r in rows]))
+        shared, wide = np.zeros((len(rows), len(rows)), dtype=np.float32), max(1, 1_000_000 // len(rows))
+        for start in range(0, len(vocabulary), wide):
+            inside = (column >= start) & (column < start + wide)
+            member = np.zeros((len(rows), min(wide, len(vocabulary) - start)), dtype=np.float32)
+            member[row[inside], column[inside] - start] = 1
+            shared += member @ member.T
+        common = shared[at[first], at[second]].astype(np.int64)
     else:
         common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(first.tolist(), second.tolist())], dtype=np.int64)
     union = sizes[first] + sizes[second] - common
@@ -145,7 +150,7 @@ def _compare(plan: Plan):
 
     def groups(batches):
         held = None
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "shingles", 2 << 20)):
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             ids = np.stack([held.column(c).to_numpy() for c in ("band", "bucket", "low", "high")])
             starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)]))
