@@ -93,7 +93,7 @@ def _unload(tries: dict, down_to: int):
         yield _batch(found, _PARTS)
 
 
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_bytes: int = 64 << 20) -> DataFrame:
+def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_bytes: int = 16 << 20) -> DataFrame:
     """One row per distinct normalised text: text_sha256, keep_id, n_keep (rows with that id), group_size.
 
     Each input partition inserts its strings into tries of its own, one for each length and content hash, and hands on
