@@ -8,16 +8,24 @@ from frameloom.llm import exact_dedup, mixing, near_join, piece_trie, registry,
 from frameloom.llm.common import stored, table
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most 4 MB; a task holds several at once, and texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model, learnt from those of docs with labels, doesn't reject."""
+    _small_batches(spark)
     return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return exact_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return near_join.one_of_each(docs)
 
 
@@ -28,6 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256, round_trip of each document."""
+    _small_batches(spark)
     return piece_trie.encoded(docs, piece_trie.vocabulary(registry.tokenizer_bytes()))
 
 
