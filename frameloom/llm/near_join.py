@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import distinct_words, slices, stored
@@ -48,14 +48,15 @@ class Plan:
 
 
 def _signatures(plan: Plan):
-    """Per text: a digest of its words and the lower 16 bits of its MinHash values, as bytes. Texts without words get nulls."""
+    """Per row of id, h1, h2, text: a digest of the words and the lower 16 bits of the MinHash values, as bytes. Texts without
+    words get nulls."""
     rng = np.random.default_rng(20240229)
     factors = [(int(m) | 1, int(c)) for m, c in rng.integers(0, 1 << 63, size=(plan.n_hashes, 2))]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                words, index, bounds = distinct_words(part.column(1))
+                words, index, bounds = distinct_words(part.column("text"))
                 hashes = word_hashes(words)[index]
                 filled = np.diff(bounds) > 0
                 raw = hashes.tobytes()
@@ -63,7 +64,7 @@ def _signatures(plan: Plan):
                 shingles, of = shingle_hashes(hashes, bounds, plan.size)
                 values = np.stack([minima(shingles, of, m, c) for m, c in factors], axis=1).astype(np.uint16)
                 signature = pa.array([v.tobytes() if f else None for v, f in zip(values, filled)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), signature], ["id", "key", "signature"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.binary()), signature], ["id", "h1", "h2", "key", "signature"])
 
     return run
 
@@ -229,9 +230,28 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     tasks, and a pair that meets in several bands counts in the first. Pairs never leave the tasks that compare them: these
     hand on at most a link per row for the components, and a count per row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(plan), "id long, key binary, signature binary"), "signatures")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("signature").alias("signature"))
+    out = _decided(docs, id_col, text_col, plan)
+    alone = F.col("key").isNull()
+    return out.select(
+        F.col("id").alias(id_col),
+        F.when(alone, F.col("id")).otherwise(F.col("keep.id")).alias("class_id"),
+        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    )
+
+
+def _text_hashes(text: Column) -> list[Column]:
+    """h1, h2: 128 bits that tell one text from another."""
+    return [F.xxhash64(F.lit(k), text).alias(f"h{k}") for k in (1, 2)]
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
+    """A row per document: id, h1, h2, key, and if it has words keep (no_id, id, h1, h2 of the document of its class with the
+    least id, nulls last, then the least hashes), class_size, n_links."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_text_hashes(F.col(text_col)), F.col(text_col).alias("text"))
+    signed = stored(rows.mapInArrow(_signatures(plan), "id long, h1 long, h2 long, key binary, signature binary"), "signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2"))
+    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), least.alias("least"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "nodes")
     banded = nodes.select("key", "signature").mapInArrow(_bands(plan), "key binary, band int, bucket long")
     crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("crowd"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2")).where("crowd > 1")
@@ -242,7 +262,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     # shingle sets of the nodes that meet another: one text of each, found by id and checked by its words' digest
     candidates = members.select("key").distinct()
     wanted = signed.where("key is not null").join(candidates, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    texts = _one_text_each(rows, wanted, plan)
+    texts = _one_text_each(rows.select("id", "text"), wanted, plan)
     full = candidates.join(nodes.select("key", "n", "signature"), "key").join(texts, "key")
 
     blocks = F.ceil(F.col("crowd") / plan.block).cast("int")
@@ -257,16 +277,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     roots = components(found.where("n_links = 0").select("a", "b")).withColumnRenamed("node", "key")
     known = nodes.select("key", "n", "least").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = stored(known, "known")
-    classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    known = known.join(classes, "root").select("key", "class_id", "class_size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("id", "key").join(known, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-    )
+    classes = known.groupBy("root").agg(F.min("least").alias("keep"), F.sum("n").alias("class_size"))
+    known = known.join(classes, "root").select("key", "keep", "class_size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("id", "h1", "h2", "key").join(known, "key", "left")
 
 
 def _one_text_each(rows: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
@@ -279,7 +292,20 @@ def _one_text_each(rows: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
-    """The rows of docs that are alone or have the least id of their class, with the columns of docs."""
-    found = similar(docs, id_col, text_col, plan)
-    gone = stored(found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")), "near-copies")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs that are alone, and one row of each class, with the columns of docs.
+
+    That row has the least id of its class. Rows are told apart by id and text, so a null or repeated id decides for no
+    other text; of rows with equal ids, or all without one, the text with the least hash stays, and of repeated rows one.
+    """
+    names = ["id", "h1", "h2"]
+    found = _decided(docs, id_col, text_col, plan).where("key is not null")
+    kept = F.struct("id", "h1", "h2").eqNullSafe(F.struct("keep.id", "keep.h1", "keep.h2"))
+    found = found.select(*names, kept.alias("kept")).groupBy(*names, "kept").agg(F.count("*").alias("n"))
+    found = stored(found.where("not kept or n > 1"), "near-copies")
+    at = docs.withColumns({"__id": F.col(id_col).cast("long"), **{f"__h{k + 1}": h for k, h in enumerate(_text_hashes(F.col(text_col)))}})
+    same = lambda other: [at[f"__{c}"].eqNullSafe(other[c]) for c in names]
+    repeated = found.where("kept")
+    if repeated.isEmpty():
+        return at.join(found, same(found), "left_anti").select(docs.columns)
+    once = at.join(repeated, same(repeated), "left_semi").groupBy("__id", "__h1", "__h2").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return at.join(found, same(found), "left_anti").select(docs.columns).unionByName(once.select("row.*"))

@@ -203,6 +203,21 @@ def test_near_join_against_all_pairs(spark, odd, none):
     assert near_join.one_of_each(odd).columns == odd.columns
 
 
+def test_one_of_each_decides_by_text(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = lambda n, *at: " ".join(f"x{n}" if k in at else w for k, w in enumerate(base))
+    other = lambda n: " ".join(f"{n}v{k}" for k in range(30))
+    rows = [(3, near(0)), (None, near(1, 0)), (None, other("a")), (None, other("b")), (7, near(2, 59)), (7, other("c"))]
+    rows += [(8, other("d") + " x"), (8, other("d") + " y"), (None, other("e") + " x"), (None, other("e") + " y"), (9, other("f")), (9, other("f")), (9, " " + other("f")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in near_join.one_of_each(docs).collect()]
+    alone = [(3, near(0)), (None, other("a")), (None, other("b")), (7, other("c")), (None, None), (None, "")]
+    assert len(got) == len(alone) + 3 and all(got.count(r) == 1 for r in alone)
+    for n, i in (("d", 8), ("e", None), ("f", 9)):
+        assert [r[0] for r in got if r[1] and other(n) in r[1]] == [i]
+    assert len(near_join.one_of_each(docs.where("doc_id = 8 or doc_id = 3")).collect()) == 2
+
+
 def test_pruning_keeps_what_it_should():
     plan = near_join.Plan()
     for n, least in plan.least_matches():
