@@ -201,15 +201,6 @@ def _excesses(texts: pa.Array, model: Model) -> list[tuple[float, int]]:
     words, index, bounds = distinct_words(texts)
     of_word = weigh(words, model)
     weights = of_word[index]
-    # as in the fit, a token counts once a text: its repeats weigh nothing
-    hit = np.flatnonzero(weights > 0)
-    text = np.searchsorted(bounds, hit, side="right") - 1
-    tokens = pc.utf8_trim(pc.utf8_lower(words), EDGES).dictionary_encode()
-    code = np.asarray(tokens.indices, dtype=np.int64)[index[hit]] if len(hit) else hit
-    _, once = np.unique(text * max(len(tokens.dictionary), 1) + code, return_index=True)
-    again = np.ones(len(hit), dtype=bool)
-    again[once] = False
-    weights[hit[again]] = 0.0
     hits = np.concatenate([[0], np.cumsum(weights > 0)])
     some = hits[bounds[1:]] > hits[bounds[:-1]]
     out = []
@@ -245,6 +236,7 @@ def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Toxicity of every whole text: id, held_out, score in 0 to 1, predicted (1 if score >= 0.5), n_passages.
 
+    The scan runs over the log-odds of every occurrence of a token, though in the fit a token counts once a text.
     Empty and null texts have no passage and score as a clean text of one word does. Repeated rows and null ids give a row
     each; other columns are ignored. The model's size is bounded by fit()'s max_tokens, so it goes out with the code.
     """

@@ -304,6 +304,18 @@ def test_toxicity(spark, odd, none, labels):
     assert toxicity.clean_documents(odd, model).columns == odd.columns and toxicity.score(none, model).count() == 0
 
 
+def test_passages_after_the_first_occurrences():
+    bad = ["vilest", "nasty", "foul", "rotten", "hateful"]
+    model = toxicity.Model({w: 4.0 for w in bad}, -0.05, math.log(0.05), 3.0, 1.0)
+    gap = ["plain"] * 400
+    scattered = [x for w in bad for x in (w, *gap)]
+    texts = [scattered, scattered + bad, bad + gap + bad + gap + bad, bad[:1] * 5, bad[:1]]
+    found = toxicity._excesses(pa.array([" ".join(t) for t in texts]), model)
+    assert [n for _, n in found] == [0, 1, 3, 1, 1] and found[3][0] > found[4][0] + 10
+    value, _ = toxicity._chances(pa.array([" ".join(t) for t in texts]), model)
+    assert list(value >= 0.5) == [False, True, True, True, True]
+
+
 def test_segments_are_the_maximal_ones():
     import numpy as np
 
