@@ -13,6 +13,7 @@ import numpy as np
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+", re.I)
+DIGIT = re.compile(r"\d")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements by what they do to text. Anything not named here is a block.
@@ -31,7 +32,7 @@ WIDTH = PATH_BUCKETS + WORD_BUCKETS + SHAPES
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: np.ndarray
     text: str
     linked: int
 
@@ -49,11 +50,61 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Open:
+    """The open elements, at any depth: where each tag is among them, and their tokens' path vector, kept as they come and go.
+
+    Finding an element and reading the vector take no walk over the stack, so deeply nested pages take linear time.
+    """
+
+    def __init__(self):
+        self.tags: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.times: dict[str, int] = {}
+        self.counts = np.zeros(PATH_BUCKETS, dtype=np.float32)
+        self.path: np.ndarray | None = None
+
+    def push(self, tag: str, tokens: tuple[str, ...]) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append((tag, tokens))
+        for t in tokens:
+            self.times[t] = self.times.get(t, 0) + 1
+            if self.times[t] == 1:
+                self.counts[_bucket(t, PATH_BUCKETS)] += 1
+        self.path = None
+
+    def cut(self, depth: int) -> None:
+        """Close all but the outermost `depth` elements."""
+        while len(self.tags) > depth:
+            tag, tokens = self.tags.pop()
+            self.at[tag].pop()
+            for t in tokens:
+                self.times[t] -= 1
+                if not self.times[t]:
+                    del self.times[t]
+                    self.counts[_bucket(t, PATH_BUCKETS)] -= 1
+            self.path = None
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, -1 without any."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def path_vector(self) -> np.ndarray:
+        """Hashed tokens of the open elements: each once as such, and the innermost three once more."""
+        if self.path is None:
+            self.path = self.counts.copy()
+            inner: tuple[str, ...] = ()
+            for _, tokens in reversed(self.tags[-3:]):
+                inner = tokens + inner
+            for t in inner[-3:]:
+                self.path[_bucket("<" + t, PATH_BUCKETS)] += 0.5
+        return self.path
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order: runs of text without a block element's edge inside, character references decoded,
     white space as one space. Text of RAW elements and comments is no text; a line break is white space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     pieces: list[str] = []
     linked, links, at = 0, 0, 0
     page = page or ""
@@ -63,7 +114,7 @@ def blocks(page: str | None) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(tuple(t for _, tokens in stack for t in tokens), text, min(linked, len(text))))
+                out.append(Block(stack.path_vector(), text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
@@ -105,26 +156,21 @@ def blocks(page: str | None) -> list[Block]:
         elif closing:
             flush()
             links = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            k = stack.last((tag,))
+            if k >= 0:
+                stack.cut(k)
         else:
             flush()
             links = 0
             ends, within = ENDS.get(tag, ("", ()))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in ends.split():
-                    del stack[k:]
-                    break
-            if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (stack[-1][0] == "p" or tag[0] == "h"):
-                stack.pop()
+            k = stack.last(ends.split())
+            if k > stack.last(within):
+                stack.cut(k)
+            top = stack.tags[-1][0] if stack.tags else ""
+            if top in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (top == "p" or tag[0] == "h"):
+                stack.cut(len(stack.tags) - 1)
             if not attributes.endswith("/") or tag == "p":
-                stack.append((tag, _tokens(tag, attributes)))
-            if len(stack) > 60:
-                del stack[0]
+                stack.push(tag, _tokens(tag, attributes))
     flush()
     return out
 
@@ -133,37 +179,30 @@ def _bucket(token: str, n: int) -> int:
     return zlib.crc32(token.encode()) % n
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_words: dict[str, int] = {}
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tokens of a tag path: each once as such, and those of the two innermost elements once more."""
-    v = _paths.get(path)
-    if v is None:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        v = np.zeros(PATH_BUCKETS, dtype=np.float32)
-        for t in set(path):
-            v[_bucket(t, PATH_BUCKETS)] += 1
-        for t in path[-3:]:
-            v[_bucket("<" + t, PATH_BUCKETS)] += 0.5
-        _paths[path] = v
-    return v
+def _word_bucket(word: str) -> int:
+    n = _words.get(word)
+    if n is None:
+        if len(_words) > 100_000:
+            _words.clear()
+        n = _words[word] = _bucket(word.strip(".,:;!?()"), WORD_BUCKETS)
+    return n
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row per block: path, hashed words (their share), and shape: length, words, links, marks, digits, place."""
+    """A row per block: path, all words hashed (counts, to length 2), and shape: length, words, links, marks, digits, place."""
     out = np.zeros((len(found), WIDTH), dtype=np.float32)
     for k, b in enumerate(found):
         row = out[k]
-        row[:PATH_BUCKETS] = path_vector(b.path)
-        words = b.text.lower().split(None, 40)[:40]  # the place of a block shows in its first words
-        for w in words:
-            row[PATH_BUCKETS + _bucket(w.strip(".,:;!?()"), WORD_BUCKETS)] += 1
-        row[PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] *= 2 / math.sqrt(len(words))
+        row[:PATH_BUCKETS] = b.path
+        words = b.text.lower().split()
+        counts = np.bincount([_word_bucket(w) for w in words], minlength=WORD_BUCKETS)
+        row[PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = counts * (2 / math.sqrt(float(counts @ counts)))
         n = len(b.text)
         row[-SHAPES:] = (
-            math.log1p(n) / 5, min(n, 400) / 400, b.linked / n, b.text.count(".") / (1 + len(words)), sum(map(str.isdigit, b.text[:200])) / min(n, 200),
+            math.log1p(n) / 5, min(n, 400) / 400, b.linked / n, b.text.count(".") / (1 + len(words)), (n - len(DIGIT.sub("", b.text))) / n,
             min(k, 8) / 8, float(b.text[-1] in ".!?…"), float("©" in b.text),
         )
     return out

@@ -29,6 +29,17 @@ def test_main_text(spark):
     assert extra.columns == ["page_id", "path", "html", "text", "n_chars", "n_blocks"]
 
 
+def test_features_read_whole_blocks_and_paths():
+    start = "home news sport " * 20
+    a, b = (html_blocks.features(html_blocks.blocks(f"<div>{start}{end}</div>"))[0] for end in ("rain fell over the hills " * 40, "call 555 1234 now. " * 40))
+    words = slice(html_blocks.PATH_BUCKETS, html_blocks.PATH_BUCKETS + html_blocks.WORD_BUCKETS)
+    assert np.abs(a[words] - b[words]).max() > 0.1 and b[-4] > a[-4] == 0
+    plain, footer = (html_blocks.blocks(f"<{tag}>" + "<div>" * 100 + "text" + "</div>" * 100 + f"after</{tag}>end") for tag in ("section", "footer"))
+    assert [(x.path != y.path).any() for x, y in zip(plain, footer)] == [True, True, False]
+    # linear in the depth: unclosed elements, each with text, and closing tags that close nothing
+    assert len(html_blocks.blocks("".join(f'<div class="c{chr(97 + k % 26)}x">t' for k in range(20_000)) + "</p>" * 20_000)) == 20_000
+
+
 def test_labeller_on_pages_it_has_not_seen():
     rng = random.Random(4242)
     pages = [p for p in (made_up_pages.labelled_page(rng) for _ in range(200)) if p]
