@@ -121,7 +121,7 @@ def label_values(regions: DataFrame, is_label: Column, radius: float = 200.0) ->
     """Each label of a frame with the nearest other text to its right or below within the radius, the first of equals."""
     points = regions.withColumn("px", F.col("x")).withColumn("py", F.col("y"))
     labels, values = points.where(is_label), points.where(~is_label)
-    a = _renamed(labels, "a_").withColumn("cx", F.explode(F.expr(f"sequence(floor(a_x / {radius}) - 1, floor(a_x / {radius}) + 1)"))).withColumn("cy", F.explode(F.expr(f"sequence(floor(a_y / {radius}), floor(a_y / {radius}) + 1)")))
+    a = _renamed(labels, "a_").withColumn("cx", F.explode(F.expr(f"sequence(floor(a_x / {radius}) - 1, floor(a_x / {radius}) + 1)"))).withColumn("cy", F.explode(F.expr(f"sequence(floor(a_y / {radius}) - 1, floor(a_y / {radius}) + 1)")))
     b = _renamed(values, "b_").withColumn("bx", F.floor(F.col("b_x") / radius)).withColumn("by", F.floor(F.col("b_y") / radius))
     j = a.join(b, (a["a_stream"] == b["b_stream"]) & (a["a_frame"] == b["b_frame"]) & (a["cx"] == b["bx"]) & (a["cy"] == b["by"]))
     far = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))

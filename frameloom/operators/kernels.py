@@ -7,7 +7,7 @@ streaming jobs share the loops.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def cluster_rows(p: pd.DataFrame, reach: float) -> pd.DataFrame:
@@ -74,6 +74,28 @@ def tables(regions: DataFrame, reach: float = 10.0) -> DataFrame:
     return regions.groupBy("stream", "frame").applyInPandas(lambda p: table_cells(p, reach), "stream string, frame long, row int, column int, header string, text string")
 
 
+def nearest_later_rows(p: pd.DataFrame) -> pd.DataFrame:
+    """Each label and, of the values of a higher idx whose centre is right of or below its own, the nearest, the first of equals."""
+    p = p.sort_values("idx", kind="stable")
+    v = p[~p["label"]]
+    at, cx, cy = v["idx"].to_numpy(), (v["x"] + v["w"] / 2).to_numpy(), (v["y"] + v["h"] / 2).to_numpy()
+    out = []
+    for r in p[p["label"]].itertuples(index=False):
+        start = at.searchsorted(r.idx, side="right")
+        dx, dy = cx[start:] - (r.x + r.w / 2), cy[start:] - (r.y + r.h / 2)
+        far = (dx**2 + dy**2) ** 0.5
+        far[~((dx > 0) | (dy > 0))] = float("inf")
+        if len(far) and far.min() < float("inf"):
+            out.append((r.stream, r.frame, r.idx, at[start + far.argmin()]))
+    return pd.DataFrame(out, columns=["stream", "frame", "idx", "b_idx"])
+
+
+def nearest_later(regions: DataFrame, is_label: Column) -> DataFrame:
+    """stream, frame, idx, b_idx: nearest_later_rows per frame, at any distance."""
+    r = regions.select("stream", "frame", "idx", "x", "y", "w", "h", is_label.alias("label")).where("label is not null")
+    return r.groupBy("stream", "frame").applyInPandas(nearest_later_rows, "stream string, frame long, idx long, b_idx long")
+
+
 def focus_rows(p: pd.DataFrame, least_us: int) -> pd.DataFrame:
     """Changes of focus against the focus last recorded: one that comes too soon isn't recorded and changes nothing."""
     p = p.sort_values(["us", "event_id"], kind="stable")

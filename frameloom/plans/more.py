@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detection, evidence, joins, parsers, privacy, reports, summaries
+from ..operators import detection, evidence, joins, kernels, parsers, privacy, reports, summaries
 from ..sources import adapters as A
 from .registry import query
 from .sequence import GAP, HOUR, ISLANDS, SESSIONS, grouped
@@ -61,7 +61,7 @@ def j14(spark, d):
 @query("j15_strict_label_values")
 def j15(spark, d):
     r = A.regions(spark, d)
-    return joins.label_values(r, F.col("text").endswith(":") | (F.length("text") < 12), 400.0).select(F.col("a_frame").alias("frame"), F.col("a_idx").alias("idx"), "b_idx")
+    return kernels.nearest_later(r, F.col("text").endswith(":") | (F.length("text") < 12)).select("frame", "idx", "b_idx")
 
 
 @query("j17_first_meeting_region", f"WITH {RG} SELECT a.frame, a.idx, min(b.idx) AS first FROM rg a JOIN rg b ON a.stream = b.stream AND a.frame = b.frame AND a.idx < b.idx AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY 1, 2")

@@ -134,3 +134,27 @@ def test_append_and_notes(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
     spark.createDataFrame([("a", 0.0, 1.0, "/x", ["1"], 200_000), ("b", 0.0, 1.0, "/y", ["1"], 10)], stores.SEGMENT_NOTES).write.json(f"{tmp_path}/notes")
     assert [r["id"] for r in drained(jobs.segment_notes(spark, f"{tmp_path}/notes", stores.SEGMENT_NOTES)).collect()] == ["a"]
+
+
+REGION = "stream string, frame long, idx long, text string, x double, y double, w double, h double"
+
+
+def test_nearest_later_values_at_any_distance(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [("s", f, i, r.choice(["a:", "value"]), float(r.randrange(3000)), float(r.randrange(3000)), float(r.randrange(200)), 20.0) for f in range(5) for i in range(40)]
+    rows += [("s", 9, 0, "a:", 0.0, 0.0, 10.0, 10.0), ("s", 9, 1, "value", 5000.0, 900.0, 10.0, 10.0), ("s", 10, 0, "value", 50.0, 0.0, 9.0, 9.0), ("s", 10, 1, "a:", 0.0, 0.0, 9.0, 9.0)]
+    want = set()
+    for s, f, i, t, x, y, w, h in rows:
+        near = [(((X + W / 2 - x - w / 2) ** 2 + (Y + H / 2 - y - h / 2) ** 2) ** 0.5, I) for _, F_, I, T, X, Y, W, H in rows if t == "a:" and (F_, T) == (f, "value") and I > i and (X + W / 2 > x + w / 2 or Y + H / 2 > y + h / 2)]
+        want |= {(f, i, min(near)[1])} if near else set()
+    got = kernels.nearest_later(spark.createDataFrame(rows, REGION), F.col("text") == "a:").collect()
+    assert sorted((g["frame"], g["idx"], g["b_idx"]) for g in got) == sorted(want) and (9, 0, 1) in want
+
+
+def test_label_values_across_a_cell_above(spark):
+    from frameloom.operators import joins
+
+    rows = [("s", 0, 0, "a:", 10.0, 205.0, 30.0, 20.0), ("s", 0, 1, "value", 60.0, 195.0, 30.0, 20.0)]
+    assert [(g["a_idx"], g["b_idx"]) for g in joins.label_values(spark.createDataFrame(rows, REGION), F.col("text") == "a:").collect()] == [(0, 1)]
