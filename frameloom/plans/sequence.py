@@ -188,8 +188,8 @@ def j16(spark, d):
 @query("j18_merged_regions")
 def j18(spark, d):
     r = A.regions(spark, d)
-    shifted = r.where("idx % 3 = 0").withColumn("x", F.col("x") + 40.0)
-    return joins.merged_regions(r.where("idx % 2 = 0"), shifted).select("stream", "frame", "idx", "x")
+    # the other side sees every region moved by twice its height: wide ones still meet their own, others may not
+    return joins.merged_regions(r, r.withColumn("x", F.col("x") + 2 * F.col("h"))).select("stream", "frame", "idx", "x")
 
 
 @query("j19_delta", f"""WITH {NUMBERED}, ls AS (SELECT stream, max(seq) AS last FROM nb GROUP BY 1)

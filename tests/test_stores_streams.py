@@ -158,3 +158,20 @@ def test_label_values_across_a_cell_above(spark):
 
     rows = [("s", 0, 0, "a:", 10.0, 205.0, 30.0, 20.0), ("s", 0, 1, "value", 60.0, 195.0, 30.0, 20.0)]
     assert [(g["a_idx"], g["b_idx"]) for g in joins.label_values(spark.createDataFrame(rows, REGION), F.col("text") == "a:").collect()] == [(0, 1)]
+
+
+def test_merged_regions_take_all_regions(spark, tmp_path):
+    from frameloom.plans import catalog
+    from frameloom.sources import adapters
+
+    spark.createDataFrame([(1, "en", "s", "\n".join(f"line {k}" for k in range(160)))], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    a = [tuple(r) for r in adapters.regions(spark, str(tmp_path)).select("idx", "x", "y", "w", "h").collect()]
+
+    def iou(p, q):
+        common = max(0, min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1])) * max(0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]))
+        return common / (p[3] * p[4] + q[3] * q[4] - common)
+
+    b = [(i, x + 2 * h, y, w, h) for i, x, y, w, h in a]
+    b = [q for q in b if all(iou(p, q) <= 0.5 for p in a)]
+    got = [(r["idx"], r["x"]) for r in catalog.queries()["j18_merged_regions"](spark, str(tmp_path)).collect()]
+    assert 0 < len(b) < len(a) and sorted(got) == sorted([p[:2] for p in a] + [q[:2] for q in b])
