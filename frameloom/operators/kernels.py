@@ -7,7 +7,9 @@ streaming jobs share the loops.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cluster_rows(p: pd.DataFrame, reach: float) -> pd.DataFrame:
@@ -113,22 +115,39 @@ def focus_changes(samples: DataFrame, least_us: int = 100_000) -> DataFrame:
     return samples.groupBy("stream").applyInPandas(lambda p: focus_rows(p, least_us), "stream long, event_id long, us long, from_app string, to_app string")
 
 
-def pattern_rows(p: pd.DataFrame, history: int, least: float) -> pd.DataFrame:
-    """Confidence by what the last frames held: frames kept so far, after the threshold, decide over the next."""
-    out, past = [], []
-    for frame, rows in p.sort_values(["frame", "idx"], kind="stable").groupby("frame", sort=True):
-        kept = []
-        for r in rows.itertuples(index=False):
-            share = sum((r.type, r.target) in f for f in past) / len(past) if past else None
-            sure = r.confidence + (0 if share is None else 0.1 if share > 0.7 else 0.05 if share > 0.3 else -0.05)
-            sure = min(1.0, max(0.0, sure))
-            if sure >= least:
-                kept.append((r.type, r.target))
-                out.append((r.stream, frame, r.idx, r.type, r.target, round(sure, 6), share))
-        past = [*past, set(kept)][-history:]
-    return pd.DataFrame(out, columns=["stream", "frame", "idx", "type", "target", "confidence", "share"])
+def pattern_batches(history: int, least: float):
+    """Confidence by what the last frames held: frames kept so far, after the threshold, decide over the next.
+
+    Over rows sorted by (stream, frame, idx); only the last frames' kept pairs are held, however long a stream is.
+    """
+
+    def run(batches):
+        at, past, kept = None, [], set()
+        for batch in batches:
+            out = []
+            for stream, frame, idx, kind, target, confidence in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is None or at[0] != stream:
+                    past, kept = [], set()
+                elif at[1] != frame:
+                    past, kept = [*past, kept][-history:], set()
+                at = (stream, frame)
+                share = sum((kind, target) in f for f in past) / len(past) if past else None
+                sure = confidence + (0 if share is None else 0.1 if share > 0.7 else 0.05 if share > 0.3 else -0.05)
+                sure = min(1.0, max(0.0, sure))
+                if sure >= least:
+                    kept.add((kind, target))
+                    out.append((stream, frame, idx, kind, target, round(sure, 6), share))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PATTERN_TYPES)], PATTERN_NAMES)
+
+    return run
+
+
+PATTERN_NAMES = ["stream", "frame", "idx", "type", "target", "confidence", "share"]
+PATTERN_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 def temporal_patterns(events: DataFrame, history: int = 5, least: float = 0.6) -> DataFrame:
     schema = "stream string, frame long, idx long, type string, target string, confidence double, share double"
-    return events.groupBy("stream").applyInPandas(lambda p: pattern_rows(p, history, least), schema)
+    e = events.select(F.col("stream").cast("string").alias("stream"), *[F.col(c).cast("long").alias(c) for c in ("frame", "idx")], "type", "target", F.col("confidence").cast("double").alias("confidence"))
+    return e.repartition("stream").sortWithinPartitions("stream", "frame", "idx").mapInArrow(pattern_batches(history, least), schema)

@@ -175,3 +175,22 @@ def test_merged_regions_take_all_regions(spark, tmp_path):
     b = [q for q in b if all(iou(p, q) <= 0.5 for p in a)]
     got = [(r["idx"], r["x"]) for r in catalog.queries()["j18_merged_regions"](spark, str(tmp_path)).collect()]
     assert 0 < len(b) < len(a) and sorted(got) == sorted([p[:2] for p in a] + [q[:2] for q in b])
+
+
+def test_temporal_patterns_hold_only_the_last_frames():
+    import pyarrow as pa
+
+    read, names = [0], ["stream", "frame", "idx", "type", "target", "confidence"]
+
+    def batches():
+        for k in range(50):
+            read[0] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (["s"] * 2, [k // 2] * 2, [2 * k, 2 * k + 1], ["a"] * 2, ["a"] * 2, [0.62] * 2)], names)
+
+    out = kernels.pattern_batches(5, 0.6)(batches())
+    first = next(out)
+    assert read[0] == 1 and first.num_rows == 2  # nothing waits for the stream's end
+    rest = list(out)
+    # a frame that goes on in the next batch doesn't count as past of itself
+    assert rest[0].column("share").to_pylist() == [None, None] and rest[1].column("share").to_pylist() == [1.0, 1.0]
+    assert sum(b.num_rows for b in rest) == 98
