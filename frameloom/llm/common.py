@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in spark.checkpoint.dir, else one of our own."""
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir. Where that isn't set, a folder in the
+    session's warehouse, or a temporary one if driver and executors are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="frameloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+        return _own_dir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/frameloom-steps"
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="frameloom-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +57,11 @@ def at_most_per_label(rows: DataFrame, most: int, id_col: str = "id", label_col:
     return joined.where(draw * F.col("__n") < most).select(rows.columns)
 
 
+def freed() -> None:
+    """Give memory that Arrow holds for later back, so that a worker between batches is no larger than what it keeps."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
     """Cut a batch into row ranges of about most_bytes of text each; a longer text gets a range of its own."""
     column = batch.column(text)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import slices
+from .common import freed, slices
 
 MARK = "▁"
 #: A unit: marks and what follows up to the next mark. No piece has a mark after another character, so none reaches over.
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Texts that need UNIT: the others can be split at spaces, and before line ends.
 ODD = f"^ | $|  | \n|{MARK}"
-#: Words whose pieces a Python worker keeps, and piece pairs it has judged.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
+#: What a Python worker keeps from batch to batch: pairs of pieces that it has judged, and repeated words with their ids;
+#: words of more characters than LONG are never kept. Some 20 MB each at most.
+KEPT_PAIRS, KEPT_WORDS, LONG = 250_000, 100_000, 32
 
 
 @dataclass(frozen=True)
@@ -74,15 +77,24 @@ class Encoder:
         self.vocab = vocab
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if vocab.usable[i]}
         self.bytes = {b: i for i, b in enumerate(vocab.byte_of) if b >= 0}
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}  # of pieces that end so, longest first
+        self.tails = self._tails()
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.least = min(vocab.scores[i] for i in self.ids.values()) - 10 if self.ids else 0.0
 
+    def _tails(self) -> dict[str, tuple[tuple[int, int], ...]]:
+        """(length, id) of the pieces of two characters or more that may end where a string ends, longest first, by its last
+        four characters; by its last three or two if no piece has those four. Above four the id is -1: to be looked up."""
+        longer: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                longer.setdefault(p[-4:], set()).add(len(p))
+        out = {}
+        for tail, lengths in longer.items():
+            known = [(n, self.ids[tail[-n:]]) for n in range(len(tail), 1, -1) if tail[-n:] in self.ids]
+            out[tail] = (*((n, -1) for n in sorted(lengths, reverse=True) if n > 4), *known)
+        return out
+
     def merged(self, text: str) -> list[int]:
         """The pieces of a short string by merging: the pair of the highest score first, the leftmost of equals."""
         parts, ids, scores = list(text), self.ids, self.vocab.scores
@@ -99,37 +111,51 @@ class Encoder:
 
     def may_follow(self, before: int, piece: int) -> bool:
         """Whether merging leaves `piece` whole after `before` (-1: the start, or a character that no piece has)."""
-        key = before * 0x1000000 + piece
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            pieces = self.vocab.pieces
-            known = self.merged(pieces[piece]) == [piece] if before < 0 else self.merged(pieces[before] + pieces[piece]) == [before, piece]
-            self.pairs[key] = known
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        pieces = self.vocab.pieces
+        known = self.merged(pieces[piece]) == [piece] if before < 0 else self.merged(pieces[before] + pieces[piece]) == [before, piece]
+        self.pairs[before * 0x1000000 + piece] = known
         return known
 
-    def _merge_cell(self, word: str, end: int, starts: list[int], last: list[int]) -> None:
-        for n in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-            if n <= end:
-                piece = self.ids.get(word[end - n : end])
-                if piece is not None and self.may_follow(last[end - n], piece):
+    def candidates(self, word: str, end: int) -> tuple[tuple[int, int], ...]:
+        tails = self.tails
+        if end > 3:
+            return tails.get(word[end - 4 : end]) or tails.get(word[end - 3 : end]) or tails.get(word[end - 2 : end]) or ()
+        return tails.get(word[:end]) or (tails.get(word[1:3]) if end == 3 else None) or ()
+
+    def _merge_cells(self, word: str, first: int, starts: list[int], last: list[int]) -> None:
+        ids, pairs, tails = self.ids, self.pairs, self.tails
+        for end in range(first, len(word) + 1):
+            found = tails.get(word[end - 4 : end]) or tails.get(word[end - 3 : end]) or tails.get(word[end - 2 : end]) or () if end > 3 else self.candidates(word, end)
+            for n, piece in found:
+                if piece < 0:
+                    if n > end or (piece := ids.get(word[end - n : end], -1)) < 0:
+                        continue
+                before = last[end - n]
+                allowed = pairs.get(before * 0x1000000 + piece)
+                if allowed is None:
+                    allowed = self.may_follow(before, piece)
+                if allowed:
                     starts.append(end - n)
                     last.append(piece)
-                    return
-        # a single character is never merged away unless a longer piece took it
-        starts.append(end - 1)
-        last.append(self.ids.get(word[end - 1], -1))
-
-    def _sum_cell(self, word: str, end: int, starts: list[int], last: list[int], best: list[float]) -> None:
-        start, piece, score = end - 1, -1, best[end - 1] + self.least
-        for n in (*(self.lengths.get(word[end - 2 : end], ()) if end > 1 else ()), 1):
-            i = self.ids.get(word[end - n : end]) if n <= end else None
-            if i is not None and best[end - n] + self.vocab.scores[i] > score:
-                start, piece, score = end - n, i, best[end - n] + self.vocab.scores[i]
-        starts.append(start)
-        last.append(piece)
-        best.append(score)
+                    break
+            else:
+                # a single character is never merged away unless a longer piece took it
+                starts.append(end - 1)
+                last.append(ids.get(word[end - 1], -1))
+
+    def _sum_cells(self, word: str, first: int, starts: list[int], last: list[int], best: list[float]) -> None:
+        for end in range(first, len(word) + 1):
+            start, piece, score = end - 1, -1, best[end - 1] + self.least
+            for n, i in (*self.candidates(word, end), (1, -1)):
+                if i < 0 and n <= end:
+                    i = self.ids.get(word[end - n : end], -1)
+                if i >= 0 and n <= end and best[end - n] + self.vocab.scores[i] > score:
+                    start, piece, score = end - n, i, best[end - n] + self.vocab.scores[i]
+            starts.append(start)
+            last.append(piece)
+            best.append(score)
 
     def _spelt(self, c: str) -> list[int]:
         """A character that no piece has: its bytes, or the unknown piece."""
@@ -137,34 +163,62 @@ class Encoder:
             return [self.vocab.unknown]
         return [self.bytes[b] for b in c.encode("utf-8")]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def encode_words(self, words: list[str], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words on end, and where each word's begin and end: bounds (len(words), 2). Words must be distinct;
+        times: how often each occurs. Those that occur more than once are kept for later calls."""
         known = self.words
-        before, starts, last, best = "", [0], [-1], [0.0]
-        for word in sorted({w for w in words if w not in known}):
-            shared = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
-                shared += 1
+        order = sorted((k for k, w in enumerate(words) if w not in known), key=words.__getitem__)
+        starts, last, best = [0], [-1], [0.0]
+        out: list[int] = []
+        fresh: dict[str, tuple[int, ...]] = {}
+        again = (times > 1).tolist() if times is not None else [False] * len(words)
+        bounds, bpe = np.zeros((len(words), 2), dtype=np.int64), self.vocab.bpe
+        ends = []
+        for at, shared in zip(order, shared_prefixes(words, order)):
+            word = words[at]
             del starts[shared + 1 :], last[shared + 1 :], best[shared + 1 :]
-            if self.vocab.bpe:
-                for end in range(shared + 1, len(word) + 1):
-                    self._merge_cell(word, end, starts, last)
+            if bpe:
+                self._merge_cells(word, shared + 1, starts, last)
             else:
-                for end in range(shared + 1, len(word) + 1):
-                    self._sum_cell(word, end, starts, last, best)
-            before, out, end = word, [], len(word)
+                self._sum_cells(word, shared + 1, starts, last, best)
+            end, path = len(word), []
             while end:
-                if last[end] < 0:
-                    out.extend(reversed(self._spelt(word[starts[end] : end])))
+                piece, start = last[end], starts[end]
+                if piece < 0:
+                    path.extend(reversed(self._spelt(word[start:end])))
                 else:
-                    out.append(last[end])
-                end = starts[end]
-            known[word] = tuple(reversed(out))
-        got = [known[w] for w in words]
-        if len(known) > KEPT_WORDS:
+                    path.append(piece)
+                end = start
+            path.reverse()
+            out += path
+            ends.append(len(out))
+            if again[at] and len(word) <= LONG:
+                fresh[word] = tuple(path)
+        bounds[order, 0], bounds[order, 1] = [0, *ends][: len(order)], ends
+        if len(order) < len(words):
+            rest = [k for k, w in enumerate(words) if w in known]
+            at = len(out)
+            sizes = [len(known[words[k]]) for k in rest]
+            out.extend(chain.from_iterable(known[words[k]] for k in rest))
+            bounds[rest, 1] = at + np.cumsum(sizes)
+            bounds[rest, 0] = bounds[rest, 1] - sizes
+        if len(known) + len(fresh) > KEPT_WORDS:
             known.clear()
-        return got
+        known.update(islice(fresh.items(), KEPT_WORDS))
+        return np.array(out, dtype=np.int32), bounds
+
+
+def shared_prefixes(words: list[str], order: list[int], block: int = 4096, most: int = 48):
+    """For each word in order, how many characters it shares with the one before it, `most` at most; 0 for the first."""
+    before = ""
+    for s in range(0, len(order), block):
+        part = [before[:most], *(words[k][:most] for k in order[s : s + block])]
+        before = part[-1]
+        wide = max(1, max(map(len, part)))
+        points = np.array(part, dtype=f"<U{wide}").view(np.uint32).reshape(len(part), wide)
+        differ = np.concatenate([points[1:] != points[:-1], np.ones((len(part) - 1, 1), dtype=bool)], axis=1).argmax(axis=1)
+        sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+        yield from np.minimum(differ, np.minimum(sizes[1:], sizes[:-1])).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -198,66 +252,107 @@ def _units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, index, np.concatenate([[0], np.cumsum(counts)])
 
 
+def _ids(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    """The ids of each text, none of which is null."""
+    words, index, bounds = _units(texts)
+    flat, of = encoder.encode_words(words, np.bincount(index, minlength=len(words)))
+    n = (of[:, 1] - of[:, 0])[index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    values = flat[np.repeat(of[index, 0] - ends[:-1], n) + np.arange(ends[-1])]
+    return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(values))
+
+
+class Decoder:
+    """Texts of ids. The first piece of a text loses the space that its mark stands for."""
+
+    def __init__(self, vocab: Vocabulary):
+        control = {i for i, ok in enumerate(vocab.usable) if not ok and vocab.byte_of[i] < 0}
+        table = [b"" if i in control else bytes([b]) if b >= 0 else p.replace(MARK, " ").encode() for i, (p, b) in enumerate(zip(vocab.pieces, vocab.byte_of))]
+        table[vocab.unknown] = " ⁇ ".encode()
+        self.n, self.empty = len(table), np.array([not t for t in table])
+        self.table = pa.array([*table, *(t[1:] if t[:1] == b" " else t for t in table)], pa.binary())
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """Null for null ids. Bytes that are no UTF-8 become U+FFFD."""
+        there = pc.is_valid(ids)
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0), dtype=np.int64))])
+        flat = np.asarray(ids.flatten(), dtype=np.int64)
+        # of each text, the first piece that says anything
+        says = np.concatenate([np.flatnonzero(~self.empty[flat]), [len(flat)]])
+        first = says[np.searchsorted(says, bounds[:-1])]
+        flat = flat.copy()
+        flat[first[first < bounds[1:]]] += self.n
+        found = self.table.take(pa.array(flat))
+        offsets = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1]
+        data = found.buffers()[2] or pa.py_buffer(b"")
+        whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets[bounds])), data])
+        try:
+            texts = whole.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string())
+        return pc.if_else(there, texts, pa.scalar(None, pa.string()))
+
+
+@lru_cache(maxsize=2)
+def _decoder(vocab: Vocabulary) -> Decoder:
+    return Decoder(vocab)
+
+
 def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of the ids of every whole text, as the library gives them without begin or end ids.
 
-    A null text counts as empty and has no ids. Other columns stay as they are; ids_col must not be among them. Words go
-    through the trie once a batch, and a worker keeps a bounded number of them for later batches.
+    A null text counts as empty and has no ids. Other columns stay as they are; a column named ids_col is replaced. Words
+    go through the trie once a slice of a few MB, and a worker keeps a bounded number of repeated ones for later slices.
     """
-    if ids_col in docs.columns:
-        raise ValueError(f"{ids_col} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    names = [*docs.columns, ids_col]
-    column = names.index(text_col)
+    others = [c for c in docs.columns if c != ids_col]
+    rows = docs.select(*others, F.col(text_col).alias("__text"))
 
     def run(batches):
         encoder = _encoder(shared.value)
         for batch in batches:
-            texts = pc.fill_null(batch.column(column), "")
-            batch = batch.append_column("__text", texts)
             for part in slices(batch, "__text"):
-                words, index, bounds = _units(part.column("__text"))
-                coded = encoder.encode_words(words)
-                sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-                flat = np.fromiter((i for w in coded for i in w), dtype=np.int32, count=int(sizes.sum()))
-                n = sizes[index]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                first = (np.cumsum(sizes) - sizes)[index]
-                values = flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-                ids = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _ids(encoder, pc.fill_null(part.column("__text"), ""))], [*others, ids_col])
 
-    schema = docs.select(docs.columns).schema.add(ids_col, ArrayType(IntegerType()))
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.select(others).schema.add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with a column of the text of every row's ids; null ids give null. Bytes that are no UTF-8 become U+FFFD."""
-    if text_col in df.columns:
-        raise ValueError(f"{text_col} is a column already")
-    control = {i for i, ok in enumerate(vocab.usable) if not ok and vocab.byte_of[i] < 0}
-    table = [b"" if i in control else bytes([b]) if b >= 0 else p.replace(MARK, " ").encode() for i, (p, b) in enumerate(zip(vocab.pieces, vocab.byte_of))]
-    table[vocab.unknown] = " ⁇ ".encode()
-    shared = df.sparkSession.sparkContext.broadcast(table)
-    column = df.columns.index(ids_col)
+    """df with a column of the text of every row's ids; null ids give null, no ids the empty text. Bytes that are no UTF-8
+    become U+FFFD. Other columns stay as they are; a column named text_col is replaced."""
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+    others = [c for c in df.columns if c != text_col]
+    rows = df.select(*others, F.col(ids_col).alias("__ids"))
 
     def run(batches):
-        table = shared.value.__getitem__
+        decoder = _decoder(shared.value)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, len(batch), 500)):
-                lists = part.column(column)
-                flat, bounds = lists.flatten().to_pylist(), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))]).tolist()
-                texts = []
-                for k, there in enumerate(pc.is_valid(lists).to_pylist()):
-                    raw = b"".join(map(table, flat[bounds[k] : bounds[k + 1]]))
-                    texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace") if there else None)
-                yield part.append_column(text_col, pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], decoder.texts(part.column("__ids"))], [*others, text_col])
 
-    return df.mapInArrow(run, df.select(df.columns).schema.add(text_col, "string"))
+    return rows.mapInArrow(run, df.select(others).schema.add(text_col, "string"))
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids, n_tokens, decoded_sha256 and round_trip (decoding gives the text again) of every whole text."""
+    """id, ids, n_tokens, decoded_sha256 and round_trip (decoding gives the text again) of every whole text.
+
+    A null text counts as empty: no ids, a round trip. Repeated rows and null ids give a row each, an empty table none;
+    other columns are ignored. Encoding, decoding and the digest are one step, so texts go to Python once and don't come
+    back, and a task holds one Python worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode(encode(rows, vocab, "text", "ids"), vocab, "ids", "decoded")
-    return both.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+    def run(batches):
+        encoder, decoder = _encoder(shared.value), _decoder(shared.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = _ids(encoder, part.column("text"))
+                texts = decoder.texts(ids)
+                digests = pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
+                n = pc.list_value_length(ids).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), ids, n, digests, pc.equal(texts, part.column("text"))], ["id", "ids", "n_tokens", "decoded_sha256", "round_trip"])
+            freed()
+
+    coded = rows.mapInArrow(run, "id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
+    return coded.withColumnRenamed("id", id_col)

@@ -79,8 +79,10 @@ def test_sentencepiece(spark, odd, none):
         assert list(r["ids"]) == sp.encode(texts[r["doc_id"]])
         # a mark in a text is a space to the library, and comes back as one
         assert r["round_trip"] or "▁" in texts[r["doc_id"]]
-    with pytest.raises(ValueError):
-        piece_trie.encode(odd.withColumn("ids", odd["source"]), vocab)
+    clash = piece_trie.decode(piece_trie.encode(odd.withColumn("ids", odd["source"]).withColumn("decoded", odd["source"]), vocab), vocab)
+    assert len(clash.columns) == len(odd.columns) + 2
+    for r in clash.collect():
+        assert list(r["ids"]) == sp.encode(r["text"] or "") and r["decoded"] == sp.decode(list(r["ids"]))
 
 
 def test_encoder_is_the_library_s():
@@ -91,10 +93,21 @@ def test_encoder_is_the_library_s():
     encoder = piece_trie.Encoder(piece_trie.vocabulary(registry.tokenizer_bytes()))
     r = random.Random(3)
     texts = ["".join(r.choice([*"abcdethersion  \n▁éñ世𝒳.,", "the", "ing", "   ", "<0x0A>", "<s>", "tion", "\t"]) for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    words, index, bounds = piece_trie._units(pa.array(texts))
-    coded = encoder.encode_words(words)
-    for k, ids in enumerate(sp.encode(texts)):
-        assert [i for u in index[bounds[k] : bounds[k + 1]] for i in coded[u]] == ids
+    want = sp.encode(texts)
+    for k in range(0, len(texts), 700):  # later parts find words that earlier ones left in the cache
+        assert piece_trie._ids(encoder, pa.array(texts[k : k + 700])).to_pylist() == want[k : k + 700]
+    assert encoder.words
+    back = piece_trie.Decoder(encoder.vocab).texts(pa.array([*want, None, [], [1, 2], [3 + 0xFF, 3 + 0x41]], pa.list_(pa.int32()))).to_pylist()
+    assert back[: len(want)] == [sp.decode(ids) for ids in want] and back[len(want) :] == [None, "", "", "\ufffdA"]
+
+
+def test_shared_prefixes():
+    r = random.Random(12)
+    words = sorted({"".join(r.choice("ab\x00𝒳") for _ in range(r.randint(0, 9))) for _ in range(500)} | {"a" * 60, "a" * 61})
+    got = list(piece_trie.shared_prefixes(words, list(range(len(words))), block=7))
+    assert got[0] == 0
+    for a, b, n in zip(words, words[1:], got[1:]):
+        assert n == min(48, next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))))
 
 
 def test_unigram_paths_have_the_best_sum():
@@ -109,7 +122,10 @@ def test_unigram_paths_have_the_best_sum():
 
     r = random.Random(2)
     words = ["▁" + "".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(60)]
-    for word, ids in zip(words, piece_trie.Encoder(vocab).encode_words(words)):
+    words = sorted(set(words), key=words.index)
+    flat, bounds = piece_trie.Encoder(vocab).encode_words(words)
+    for word, (s, e) in zip(words, bounds.tolist()):
+        ids = flat[s:e].tolist()
         assert "".join(pieces[i] for i in ids) == word
         assert sum(vocab.scores[i] for i in ids) == pytest.approx(best(word))
 
