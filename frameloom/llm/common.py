@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -36,11 +37,24 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="frameloom-")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20):
+    """While it lasts, rows go to Python in batches of at most so many bytes: a task holds several at once, and texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that what follows doesn't depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,16 +67,21 @@ def at_most_per_label(rows: DataFrame, most: int, id_col: str = "id", label_col:
     """About `most` rows of each label, drawn by hash of the id; all of a label that has no more."""
     counts = rows.groupBy(F.col(label_col).alias("__label")).agg(F.count("*").alias("__n"))
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    joined = rows.join(F.broadcast(counts), rows[label_col] == counts["__label"])
+    joined = rows.join(counts, rows[label_col] == counts["__label"])
     return joined.where(draw * F.col("__n") < most).select(rows.columns)
 
 
+def packed(df: DataFrame, column: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """row: df's columns, but those of `without`, as one struct, so that no name clashes with another; value: one of them."""
+    return df.select(F.struct(*[df[c] for c in df.columns if c not in without]).alias("row"), df[column].alias("value"))
+
+
 def freed() -> None:
     """Give memory that Arrow holds for later back, so that a worker between batches is no larger than what it keeps."""
     pa.default_memory_pool().release_unused()
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str | int, most_bytes: int = 4 << 20):
     """Cut a batch into row ranges of about most_bytes of text each; a longer text gets a range of its own."""
     column = batch.column(text)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if pa.types.is_large_string(column.type) else np.int32)

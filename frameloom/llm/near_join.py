@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_words, slices, stored
+from .common import distinct_words, freed, slices, stored
 from .components import components
 from .shingles import minima, mixed, shingle_hashes, word_hashes
 
@@ -22,7 +22,8 @@ class Plan:
 
     A pair is compared if one of `bands` bands of `rows` MinHash values agrees: at the threshold that fails with a chance of
     (1 - threshold ** rows) ** bands, 0.0004. After each `step` values a pair whose similarity reaches the threshold with a
-    posterior probability under `tolerance` (uniform prior) is dropped. block: texts on a side of one comparison.
+    posterior probability under `tolerance` (uniform prior) is dropped. block, block_bytes: texts on a side of one
+    comparison at most, about, and bytes of their shingles.
     """
 
     size: int = 5
@@ -31,7 +32,8 @@ class Plan:
     rows: int = 5
     step: int = 10
     tolerance: float = 1e-6
-    block: int = 256
+    block: int = 2048
+    block_bytes: int = 8 << 20
 
     @property
     def n_hashes(self) -> int:
@@ -48,8 +50,8 @@ class Plan:
 
 
 def _signatures(plan: Plan):
-    """Per row of id, h1, h2, text: a digest of the words and the lower 16 bits of the MinHash values, as bytes. Texts without
-    words get nulls."""
+    """Per row of id, h1, h2, text: a digest of the words, the number of shingles, and the lower 16 bits of the MinHash
+    values, as bytes. Texts without words get nulls."""
     rng = np.random.default_rng(20240229)
     factors = [(int(m) | 1, int(c)) for m, c in rng.integers(0, 1 << 63, size=(plan.n_hashes, 2))]
 
@@ -64,43 +66,49 @@ def _signatures(plan: Plan):
                 shingles, of = shingle_hashes(hashes, bounds, plan.size)
                 values = np.stack([minima(shingles, of, m, c) for m, c in factors], axis=1).astype(np.uint16)
                 signature = pa.array([v.tobytes() if f else None for v, f in zip(values, filled)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.binary()), signature], ["id", "h1", "h2", "key", "signature"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.binary()), pa.array(np.diff(of), pa.int32()), signature], ["id", "h1", "h2", "key", "size", "signature"])
+            freed()
 
     return run
 
 
-def _matrix(signatures: pa.Array | pa.ChunkedArray, plan: Plan) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures.to_pylist()), dtype=np.uint16).reshape(len(signatures), plan.n_hashes)
+def _matrix(signatures: pa.Array, plan: Plan) -> np.ndarray:
+    return _flat(signatures, np.uint16)[0].reshape(len(signatures), plan.n_hashes)
+
+
+def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column on end, without a copy, and each row's bounds among them."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(dtype), (offsets - offsets[0]).astype(np.int64) // np.dtype(dtype).itemsize
 
 
 def _bands(plan: Plan):
-    """A row per node and band: key, band, bucket (a hash of the band's values)."""
+    """A row per node and band: key, size, band, bucket (a hash of the band's values)."""
     salts = np.random.default_rng(20240301).integers(1, 1 << 63, size=plan.rows).astype(np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
             wide = _matrix(batch.column("signature"), plan).astype(np.uint64).reshape(len(batch), plan.bands, plan.rows)
             buckets = mixed(mixed((wide + np.uint64(1)) * salts).sum(axis=2, dtype=np.uint64) + np.arange(plan.bands, dtype=np.uint64)).astype(np.int64)
-            keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(batch)), plan.bands)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(plan.bands, dtype=np.int32), len(batch))), pa.array(buckets.ravel())], ["key", "band", "bucket"])
+            rows = pa.array(np.repeat(np.arange(len(batch)), plan.bands))
+            bands = pa.array(np.tile(np.arange(plan.bands, dtype=np.int32), len(batch)))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("size").take(rows), bands, pa.array(buckets.ravel())], ["key", "size", "band", "bucket"])
 
     return run
 
 
 def _shingle_sets(size: int):
-    """The shingle set of each text whose words have the key; a repeated or null id brings other texts too."""
+    """The shingle set of each text, sorted, as bytes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words, index, bounds = distinct_words(part.column("text"))
-                hashes = word_hashes(words)[index]
-                raw = hashes.tobytes()
-                at = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-                right = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) == k for (s, e), k in zip(at, part.column("key").to_pylist())]
-                shingles, of = shingle_hashes(hashes, bounds, size)
-                sets = [np.unique(shingles[s:e]).tobytes() for s, e, ok in zip(of[:-1].tolist(), of[1:].tolist(), right) if ok]
-                yield pa.RecordBatch.from_arrays([part.column("key").filter(pa.array(right)), pa.array(sets, pa.binary())], ["key", "shingles"])
+                shingles, of = shingle_hashes(word_hashes(words)[index], bounds, size)
+                sets = [np.unique(shingles[s:e]).tobytes() for s, e in zip(of[:-1].tolist(), of[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.binary())], ["key", "shingles"])
+            freed()
 
     return run
 
@@ -145,74 +153,96 @@ def _verified(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, thr
     return common >= threshold * union - 1e-9
 
 
+def _whole_groups(batches, columns: list[str], most_bytes: int = 2 << 20):
+    """Rows sorted by the columns, cut into runs that hold whole groups only, about most_bytes of shingles or one group each;
+    with each run's group bounds."""
+
+    def starts_of(rows):
+        ids = [np.asarray(rows.column(c)) for c in columns]
+        return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([i[1:] != i[:-1] for i in ids])]))
+
+    def of(batch, k):
+        return [batch.column(c)[k] for c in columns]
+
+    held: list[pa.RecordBatch] = []
+    for part in (part for batch in batches for part in slices(batch, "shingles", most_bytes)):
+        cut = int(starts_of(part)[-1])
+        if held and (cut or of(held[-1], len(held[-1]) - 1) != of(part, 0)):
+            rows = pa.Table.from_batches([*held, part.slice(0, cut)]).combine_chunks()
+            yield rows, np.append(starts_of(rows), len(rows))
+            held = []
+        elif cut:
+            rows = pa.Table.from_batches([part.slice(0, cut)]).combine_chunks()
+            yield rows, np.append(starts_of(rows), len(rows))
+        held.append(part.slice(cut))
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, np.append(starts_of(rows), len(rows))
+
+
+def unite(root: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """root, the least row that each row is linked with so far, after the links of first to second."""
+    while True:
+        a, b = root[first], root[second]
+        apart = a != b
+        if not apart.any():
+            return root
+        first, second, a, b = first[apart], second[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = root[root]
+            if (above == root).all():
+                break
+            root = above
+
+
+def _pairs(low: np.ndarray, high: np.ndarray | None, wide: int = 256):
+    """All pairs of rows of low and high, or of low alone, some wide * wide at a time."""
+    for i in range(0, len(low), wide):
+        a = low[i : i + wide]
+        if high is None:
+            x, y = np.triu_indices(len(a), 1)
+            yield a[x], a[y]
+        for j in range(0 if high is not None else i + wide, len(low if high is None else high), wide):
+            b = (low if high is None else high)[j : j + wide]
+            yield np.repeat(a, len(b)), np.tile(b, len(a))
+
+
 def _compare(plan: Plan):
-    """Over rows sorted by (band, bucket, pair of blocks): per group, links from each text to its group's least linked
-    text, and how many rows each text is linked with."""
-
-    def groups(batches):
-        held = None
-        for batch in (part for batch in batches for part in slices(batch, "shingles", 2 << 20)):
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            ids = np.stack([held.column(c).to_numpy() for c in ("band", "bucket", "low", "high")])
-            starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)]))
-            if len(starts) > 1:  # the last group may go on in the next batch
-                yield held.slice(0, starts[-1]), starts
-                held = held.slice(starts[-1]).combine_chunks()
-        if held is not None and len(held):
-            ids = np.stack([held.column(c).to_numpy() for c in ("band", "bucket", "low", "high")])
-            starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)]))
-            yield held, np.concatenate([starts, [len(held)]])
+    """Over rows sorted by (band, bucket, pair of blocks): per group, a link from each text to the least one it is linked
+    with, over any number of links of the group, and how many rows each text is linked with."""
 
     def run(batches):
-        for rows, starts in groups(batches):
-            keys = rows.column("key").to_pylist()
-            n_rows = rows.column("n").to_numpy()
-            signatures = _matrix(rows.column("signature"), plan)
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in rows.column("shingles").to_pylist()]
-            band, block, low, high = (rows.column(c).to_numpy() for c in ("band", "block", "low", "high"))
-            node_a, node_b, counted = [], [], {}
-            small_a, small_b = [], []
-
-            def settle(first, second):
-                linked = linked_pairs(signatures, sets, first, second, band[first], plan)
-                root = {}
-
-                def find(x):
-                    while root.get(x, x) != x:
-                        root[x] = root.get(root[x], root[x])
-                        x = root[x]
-                    return x
-
-                for a, b in zip(first[linked].tolist(), second[linked].tolist()):
-                    counted[keys[a]] = counted.get(keys[a], 0) + int(n_rows[b])
-                    counted[keys[b]] = counted.get(keys[b], 0) + int(n_rows[a])
-                    x, y = find(keys[a]), find(keys[b])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        node_a.append(x)
-                        node_b.append(y)
-
+        for rows, starts in _whole_groups(batches, ["band", "bucket", "low", "high"]):
+            column = lambda c: rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0)
+            signatures, n_rows = _matrix(column("signature"), plan), column("n").to_numpy()
+            shingles, at = _flat(column("shingles"), np.uint64)
+            sets = [shingles[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            band, block, low, high = (column(c).to_numpy() for c in ("band", "block", "low", "high"))
+            root, links = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64)
+
+            def settle(root, first, second):
+                kept = linked_pairs(signatures, sets, first, second, band[first], plan)
+                first, second = first[kept], second[kept]
+                np.add.at(links, first, n_rows[second])
+                np.add.at(links, second, n_rows[first])
+                return unite(root, first, second)
+
+            small = []
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                n = end - start
-                if low[start] == high[start]:
-                    a, b = np.triu_indices(n, 1)
-                else:
-                    is_low = np.flatnonzero(block[start:end] == low[start])
-                    is_high = np.flatnonzero(block[start:end] == high[start])
-                    a, b = np.repeat(is_low, len(is_high)), np.tile(is_high, len(is_low))
-                if n > 32:
-                    settle(a + start, b + start)
-                else:
-                    small_a.append(a + start)
-                    small_b.append(b + start)
-            if small_a:
-                settle(np.concatenate(small_a), np.concatenate(small_b))
-            if counted:
-                n_links = pa.array(list(counted.values()), pa.int64())
-                nodes = pa.array(list(counted), pa.binary())
-                yield pa.RecordBatch.from_arrays([nodes, nodes, n_links], ["a", "b", "n_links"])
-            if node_a:
-                yield pa.RecordBatch.from_arrays([pa.array(node_a, pa.binary()), pa.array(node_b, pa.binary()), pa.array([0] * len(node_a), pa.int64())], ["a", "b", "n_links"])
+                own = np.arange(start, end)
+                one, other = (own, None) if low[start] == high[start] else (own[block[own] == low[start]], own[block[own] == high[start]])
+                if end - start <= 32:
+                    small.extend(_pairs(one, other))
+                    continue
+                for first, second in _pairs(one, other):
+                    root = settle(root, first, second)
+            if small:
+                root = settle(root, *(np.concatenate(side) for side in zip(*small)))
+            linked = np.flatnonzero(links)
+            keys = column("key")
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(linked)), keys.take(pa.array(root[linked])), pa.array(links[linked])], ["a", "b", "n_links"])
+            freed()
 
     return run
 
@@ -227,8 +257,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     empty table gives no rows; other columns are ignored.
 
     Nodes that share a band key are compared in blocks, so a bucket that holds a third of all nodes is dealt over many
-    tasks, and a pair that meets in several bands counts in the first. Pairs never leave the tasks that compare them: these
-    hand on at most a link per row for the components, and a count per row.
+    tasks, and a pair that meets in several bands counts in the first. A bucket of n nodes sends each to n / plan.block
+    tasks, and takes n squared comparisons, as counting all its links does. Pairs never leave the tasks that compare them:
+    these hand on a link and a count per row.
     """
     out = _decided(docs, id_col, text_col, plan)
     alone = F.col("key").isNull()
@@ -249,23 +280,21 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFra
     """A row per document: id, h1, h2, key, and if it has words keep (no_id, id, h1, h2 of the document of its class with the
     least id, nulls last, then the least hashes), class_size, n_links."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *_text_hashes(F.col(text_col)), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(plan), "id long, h1 long, h2 long, key binary, signature binary"), "signatures")
+    signed = stored(rows.mapInArrow(_signatures(plan), "id long, h1 long, h2 long, key binary, size int, signature binary"), "signatures")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2"))
-    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), least.alias("least"), F.first("signature").alias("signature"))
+    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), least.alias("least"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "nodes")
-    banded = nodes.select("key", "signature").mapInArrow(_bands(plan), "key binary, band int, bucket long")
-    crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("crowd"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2")).where("crowd > 1")
+    banded = nodes.select("key", "size", "signature").mapInArrow(_bands(plan), "key binary, size int, band int, bucket long")
+    crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("crowd"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2")).where("crowd > 1")
     # of buckets with the same nodes, the one of the first band: it is the first in which any two of them meet
-    crowded = crowded.groupBy("crowd", "h1", "h2").agg(F.min(F.struct("band", "bucket")).alias("at")).select("crowd", "at.band", "at.bucket")
-    members = stored(banded.join(crowded, ["band", "bucket"]), "members")
+    crowded = crowded.groupBy("crowd", "h1", "h2").agg(F.min(F.struct("band", "bucket", "shingles")).alias("at")).select("crowd", "at.*")
+    members = stored(banded.drop("size").join(crowded, ["band", "bucket"]), "members")
 
-    # shingle sets of the nodes that meet another: one text of each, found by id and checked by its words' digest
-    candidates = members.select("key").distinct()
-    wanted = signed.where("key is not null").join(candidates, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    texts = _one_text_each(rows.select("id", "text"), wanted, plan)
-    full = candidates.join(nodes.select("key", "n", "signature"), "key").join(texts, "key")
+    # shingle sets of the nodes that meet another, from the text of the node's least row
+    candidates = members.select("key").distinct().join(nodes.select("key", "n", "least", "signature"), "key")
+    full = candidates.drop("least").join(_one_text_each(rows, candidates.select("key", "least.*"), plan), "key")
 
-    blocks = F.ceil(F.col("crowd") / plan.block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("crowd") / plan.block, F.col("shingles") * 8 / plan.block_bytes)).cast("int")
     own = F.when(blocks > 1, F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int")).otherwise(0)
     paired = members.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("key", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -273,8 +302,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFra
     compared = paired.join(full, "key").repartition(*group).sortWithinPartitions(*group)
     found = stored(compared.select(*group, "block", "key", "n", "signature", "shingles").mapInArrow(_compare(plan), "a binary, b binary, n_links long"), "found")
 
-    counts = found.where("n_links > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("links"))
-    roots = components(found.where("n_links = 0").select("a", "b")).withColumnRenamed("node", "key")
+    counts = found.groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("links"))
+    roots = components(found.select("a", "b")).withColumnRenamed("node", "key")
     known = nodes.select("key", "n", "least").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = stored(known, "known")
     classes = known.groupBy("root").agg(F.min("least").alias("keep"), F.sum("n").alias("class_size"))
@@ -283,11 +312,13 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFra
 
 
 def _one_text_each(rows: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """key, shingles: the shingle set of one text of each wanted key."""
-    named = wanted.select("key", F.col("id").alias("of"))
-    texts = rows.join(named, rows["id"].eqNullSafe(named["of"])).select("key", "text")
+    """key, shingles: the shingle set of one text of each wanted key, given its row's id (or null) and text hashes.
 
-    sets = texts.mapInArrow(_shingle_sets(plan.size), "key binary, shingles binary")
+    The hashes are part of the join's key: rows without an id, or with the same one, meet only their own text.
+    """
+    named = wanted.select("key", *[F.col(c).alias(f"of_{c}") for c in ("id", "h1", "h2")])
+    same = [rows["h1"] == named["of_h1"], rows["h2"] == named["of_h2"], rows["id"].eqNullSafe(named["of_id"])]
+    sets = rows.join(named, same).select("key", "text").mapInArrow(_shingle_sets(plan.size), "key binary, shingles binary")
     return stored(sets.dropDuplicates(["key"]), "shingles")
 
 
@@ -302,10 +333,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.struct("id", "h1", "h2").eqNullSafe(F.struct("keep.id", "keep.h1", "keep.h2"))
     found = found.select(*names, kept.alias("kept")).groupBy(*names, "kept").agg(F.count("*").alias("n"))
     found = stored(found.where("not kept or n > 1"), "near-copies")
-    at = docs.withColumns({"__id": F.col(id_col).cast("long"), **{f"__h{k + 1}": h for k, h in enumerate(_text_hashes(F.col(text_col)))}})
-    same = lambda other: [at[f"__{c}"].eqNullSafe(other[c]) for c in names]
+    row = F.struct(*[docs[c] for c in docs.columns])  # in one column, so that no name of docs clashes with another
+    at = docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"), *_text_hashes(docs[text_col]))
+    same = lambda other: [at[c].eqNullSafe(other[c]) for c in names]
     repeated = found.where("kept")
+    alone = at.join(found, same(found), "left_anti").select("row.*")
     if repeated.isEmpty():
-        return at.join(found, same(found), "left_anti").select(docs.columns)
-    once = at.join(repeated, same(repeated), "left_semi").groupBy("__id", "__h1", "__h2").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return at.join(found, same(found), "left_anti").select(docs.columns).unionByName(once.select("row.*"))
+        return alone
+    once = at.join(repeated, same(repeated), "left_semi").groupBy("id", "h1", "h2").agg(F.first("row").alias("row"))
+    return alone.unionByName(once.select("row.*"))

@@ -8,6 +8,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from frameloom.llm import exact_dedup, langid, mixing, near_join, pii, piece_trie, registry, tokens, toxicity
@@ -23,7 +24,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ODD, DOCS)
-    for name in ("id", "label", "key", "n", "size", "score", "kept", "ids2", "target", "word"):
+    for name in ("id", "label", "key", "n", "size", "score", "kept", "target", "word", "row", "h1", "part", "__text", "__words", "__id", "__text_sha256", "__keep_id", "decoded", "n_copies", "text_sha256"):
         df = df.withColumn(name, df["source"])
     return df
 
@@ -80,7 +81,7 @@ def test_sentencepiece(spark, odd, none):
         # a mark in a text is a space to the library, and comes back as one
         assert r["round_trip"] or "▁" in texts[r["doc_id"]]
     clash = piece_trie.decode(piece_trie.encode(odd.withColumn("ids", odd["source"]).withColumn("decoded", odd["source"]), vocab), vocab)
-    assert len(clash.columns) == len(odd.columns) + 2
+    assert sorted(clash.columns) == sorted({*odd.columns, "ids", "decoded"})
     for r in clash.collect():
         assert list(r["ids"]) == sp.encode(r["text"] or "") and r["decoded"] == sp.decode(list(r["ids"]))
 
@@ -154,9 +155,15 @@ def test_trie_against_a_dictionary():
     for k in range(2000):
         t = "".join(r.choice("ab") for _ in range(r.randint(0, 7))).encode()
         i = None if r.random() < 0.1 else r.randint(0, 50)
-        trie.insert(t, i, 1, 1, "")
+        trie.insert(t, i, 1, 1, 0, "")
         seen.setdefault(t, []).append(i)
-    found = {t: (least, n_least, n) for t, least, n_least, n, _ in trie.terminals()}
+    assert exact_dedup._bytes(trie.root) - exact_dedup.NODE_BYTES == trie.size
+    inner = [child for child in trie.root[1].values() if child[1]]
+    assert inner and all(len(child[1]) > 1 or child[2] for child in inner)  # strings share their beginnings
+    whole, before = list(trie.terminals()), trie.size
+    cut = list(trie.spill(trie.size * 2 // 3))
+    assert 0 < len(cut) < len(whole) and trie.size < before and sorted(map(str, [*cut, *trie.terminals()])) == sorted(map(str, whole))
+    found = {t: (least, n_least, n) for t, least, n_least, n, *_ in whole}
     for t, ids in seen.items():
         least = min((i for i in ids if i is not None), default=None)
         assert found.pop(t) == (least, ids.count(least), len(ids))
@@ -165,7 +172,9 @@ def test_trie_against_a_dictionary():
 
 def test_owners_that_unload_early(spark, odd):
     rows = lambda df: sorted(map(str, df.collect()))
-    assert rows(exact_dedup.owners(odd, held_bytes=10)) == rows(exact_dedup.owners(odd))
+    more = odd.unionByName(odd.withColumn("text", F.concat(F.lit("one two three "), "text")))
+    for held in (10, 2000, 20_000):
+        assert rows(exact_dedup.owners(more, held_bytes=held)) == rows(exact_dedup.owners(more))
 
 
 def jaccard(a, b, size=5):
@@ -216,7 +225,9 @@ def test_near_join_against_all_pairs(spark, odd, none):
                 r = by_id[rows[x][0]]
                 assert (r["class_id"], r["class_size"], r["n_links"]) == (least, len(group), len(links[x])), rows[x][0]
     assert near_join.similar(none).count() == 0
-    assert near_join.one_of_each(odd).columns == odd.columns
+    kept = near_join.one_of_each(odd)
+    assert kept.columns == odd.columns and sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(
+        str(x) for x in [(1, ODD[0][1]), (3, None), (4, ""), (5, " \n "), (None, ODD[6][1]), (7, "twice"), *[(i, t) for i, t, *_ in ODD[9:]]])
 
 
 def test_one_of_each_decides_by_text(spark):
@@ -388,6 +399,33 @@ def test_mixing(spark, odd, none):
     odd_rows = mixing.mix(odd).collect()
     assert len(odd_rows) == len(ODD) and all(x["taken"] <= 3 * x["size"] for x in odd_rows)
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
+    copies, taken = collections.Counter(), collections.Counter()
+    for x in odd_rows:
+        taken[x["doc_id"], x["source"], x["size"]] += x["copies"] if x["size"] else 0
+    for x in mixing.mixed_documents(odd).select("doc_id", "source", "text").collect():
+        copies[x["doc_id"], x["source"], len(re.findall(r"[^\x20\x09-\x0D]+", x["text"]))] += 1
+    assert copies == +taken
+    repeated = spark.createDataFrame([(1, f"w{k % 3} x y", "en", "s", 0) for k in range(50)] + [(2, "a b", "en", "t", 0)], DOCS).repartition(4)
+    assert mixing.mixed_documents(repeated).where("doc_id = 1").count() == sum(x["copies"] for x in mixing.mix(repeated).collect() if x["doc_id"] == 1)
+
+
+def test_documents_are_taken_as_often_as_expected(spark):
+    """Over many seeds, each document's mean copies are target / source_size, large documents and small ones alike."""
+    sizes = [400, 90, 60, *[5] * 250, *[2] * 200]
+    units = spark.createDataFrame([(k, s, n, 1) for s in ("a", "b") for k, n in enumerate(sizes)], "id long, source string, size long, m long")
+    seeds, seen = 16, collections.Counter()
+    for seed in range(seeds):
+        rows = mixing.mix_units(units, seed * 7919).collect()
+        for x in rows:
+            seen[x["source"], x["size"]] += x["n"]
+        for s in ("a", "b"):
+            mine = [x for x in rows if x["source"] == s]
+            assert abs(sum(x["n"] * x["size"] for x in mine) - mine[0]["target"]) <= 5  # the last unit is a small one
+    for (s, size), n in seen.items():
+        rate = next(x["target"] / x["source_size"] for x in rows if x["source"] == s)
+        k = sizes.count(size) * seeds
+        p = rate % 1
+        assert abs(n / k - rate) <= 4 * math.sqrt(p * (1 - p) / k), (s, size, n / k, rate)
 
 
 def test_whole_parts_and_copies_of_repeated_rows(spark):
