@@ -12,7 +12,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Rows that one fold of the rounding goes over, about.
 BLOCK = 128
-#: Units over this share of their source's target are rounded before the others.
+#: Units over this share of their source's target meet each other first, and then the others together.
 LARGE = 0.005
 COLUMNS = ["id", "source", "size", "m", "source_size", "target", "whole", "p", "w", "n_units"]
 
@@ -30,9 +30,9 @@ def targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     step. There are at most as many steps as sources, and seldom more than a handful.
     """
     sized = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    of_rank = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    sized = stored(sized.withColumn("weight", of_rank), "mix-sources")
+    sized = _ranked(sized)
+    of_rank = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    sized = sized.withColumn("weight", of_rank)
     full = most * F.col("source_size") <= F.lit(-1.0)
     level, total = -1.0, None
     while True:
@@ -53,6 +53,18 @@ def targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return sized.select("source", "source_size", target.alias("target"))
 
 
+def _ranked(sized: DataFrame) -> DataFrame:
+    """sized with rank, from 0, of its rows in order of source, nulls last: sorted by ranges, each with the rows before it.
+    The driver sees a count a range."""
+    ordered = sized.orderBy(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ordered = ordered.withColumn("rank", F.monotonically_increasing_id() - F.shiftleft(F.col("range").cast("long"), 33))
+    ordered, before, total = stored(ordered, "mix-sources"), [], 0
+    for row in ordered.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+        before += [F.lit(row["range"]), F.lit(total)]
+        total += row["n"]
+    return ordered.withColumn("rank", F.col("rank") + F.element_at(F.create_map(*before), F.col("range"))).drop("range") if before else ordered.drop("range")
+
+
 def _fold(block: Column) -> Column:
     """Pivotal rounding of the units of a block: pair after pair, mass goes from one to the other at random, in a way that
     keeps both expectations and the sum of words, until one of the two is integral; the other meets the next unit.
@@ -89,11 +101,14 @@ def _clean(p: Column) -> Column:
 def mix_units(units: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """For units (id, source, size, m equal rows): source_size, target and n, the copies that its m rows get in all.
 
-    A unit's rows expect target / source_size copies each. The whole part is certain; the fractional part is rounded
-    within its source, so that the words taken stay what they were expected to be, but for one last unit a source. Units
-    over LARGE of the target go first, and the others' parts then move together by what those took more or less than
-    expected; so the last unit is a small one. Units of like size meet. Blocks of about BLOCK units are folded, their left-overs form blocks of the next level, and
-    so on: a reduction tree whose nodes are all small, however large a source is.
+    A unit's rows expect target / source_size copies each, and get them on average. The whole part is certain; the
+    fractional part is rounded within its source, so that the words taken stay what they were expected to be, but for one
+    last unit a source. Units of like size meet: blocks of about BLOCK units are folded, their left-overs form blocks of
+    the next level, and so on: a reduction tree whose nodes are all small, however large a source is.
+
+    Units over LARGE of the target go first. The last of them is settled against all the smaller ones at once: these give
+    or take the words that it got more or less than expected, each in proportion to its room both up and down. That is
+    linear in those words, so it changes nobody's expectation; and the last unit of all is a small one.
     """
     per_source = targets(units, weights, most)
     n_units = units.groupBy("source").agg(F.count("*").alias("n_units"))
@@ -113,11 +128,15 @@ def mix_units(units: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGH
         # what the large units took more or less than expected, the others take less or more
         owed = first.join(fractional.select("id", "size", F.col("source").alias("of"), F.col("p").alias("was")), ["id", "size"])
         owed = owed.where(F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum((F.col("was") - F.col("p")) * F.col("w")).alias("owed"))
-        room = rest.groupBy(F.col("source").alias("in")).agg(F.sum((1 - F.col("p")) * F.col("w")).alias("up"), F.sum(F.col("p") * F.col("w")).alias("down"))
-        shift = owed.join(room, F.col("of").eqNullSafe(F.col("in"))).select("of", F.least(F.lit(1.0), F.when(F.col("owed") > 0, F.col("owed") / F.col("up")).otherwise(-F.col("owed") / F.col("down"))).alias("t"), "owed")
+        spare = F.least(F.col("p"), 1 - F.col("p"))
+        room = rest.groupBy(F.col("source").alias("in")).agg(F.sum(spare * F.col("w")).alias("room"))
+        # at most one large unit a source is settled by its own draw, so no more is owed than the largest has words
+        most = first.groupBy(F.col("source").alias("big")).agg(F.max("w").alias("most"))
+        shift = owed.join(room, F.col("of").eqNullSafe(F.col("in"))).join(most, F.col("of").eqNullSafe(F.col("big")))
+        shift = shift.select("of", (F.col("owed") / F.greatest("room", "most")).alias("t"))
         joined = rest.join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
-        moved = F.when(F.col("owed") > 0, F.col("p") + (1 - F.col("p")) * F.col("t")).otherwise(F.col("p") * (1 - F.col("t")))
-        rest = stored(joined.withColumn("p", _clean(F.coalesce(moved, F.col("p")))).select(COLUMNS), "mix-rest")
+        moved = F.col("p") + spare * F.coalesce("t", F.lit(0.0))
+        rest = stored(joined.withColumn("p", _clean(moved)).select(COLUMNS), "mix-rest")
     last = _settled(rest.where("p > 0 and p < 1"), seed + 1000)
     out = unit.where("p = 0").unionByName(first).unionByName(rest.where("p = 0 or p = 1")).unionByName(last)
     return out.select("id", "source", "size", "m", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("n"))
@@ -133,7 +152,10 @@ def _settled(left: DataFrame, seed: int) -> DataFrame:
         key = [F.when(wide > 8, F.floor(F.log2("size") * 2)).otherwise(F.lit(0)).alias("octave"), F.pmod(F.xxhash64("id", "size", F.lit(seed)), wide.cast("long")).alias("block")]
         u = F.pmod(F.xxhash64("id", "size", F.lit(seed + level)), F.lit(1 << 53)) / F.lit(float(1 << 53))
         item = F.struct("w", "id", "p", u.alias("u"), *[c for c in COLUMNS if c not in ("w", "id", "p", "source")])
-        blocks = left.select("source", *key, item.alias("item")).groupBy("source", "octave", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+        items = left.select("source", *key, item.alias("item"))
+        if largest > BLOCK * BLOCK:  # few bytes, much work: more tasks than their size asks for
+            items = items.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "octave", "block")
+        blocks = items.groupBy("source", "octave", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         folded = blocks.select("source", F.explode(_fold(F.col("items"))).alias("x")).select("source", "x.*").select(COLUMNS)
         folded = stored(folded, "mix-level")
         decided.append(folded.where("p = 0 or p = 1"))
@@ -174,17 +196,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """docs with each row as often as the mix takes it, with the columns of docs. Documents without words stay out."""
+    """docs with each row as often as the mix takes it, with the columns of docs. Documents without words stay out.
+
+    Null ids and sources count as such, and rows that repeat an id, source and size share what they get together, as in
+    mix(). An empty table gives no rows.
+    """
     mixed = mix_units(_units(docs, id_col, source_col, text_col), seed).where("n > 0")
-    mixed = mixed.select(F.col("id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__size"), F.col("m").alias("__m"), F.col("n").alias("__n"))
-    rows = docs.withColumn("__words", words(F.col(text_col)))
-    same = rows[id_col].cast("long").eqNullSafe(mixed["__id"]) & rows[source_col].eqNullSafe(mixed["__of"]) & (rows["__words"] == mixed["__size"])
-    joined = rows.join(mixed, same)
-    again = lambda df, n: df.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(docs.columns)
-    single = again(joined.where("__m = 1"), F.col("__n"))
-    if mixed.where("__m > 1").isEmpty():
+    mixed = mixed.select(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "m", "n")
+    # a row in one column, so that no name of docs clashes with another
+    at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"))
+    joined = at.join(mixed, at["id"].eqNullSafe(mixed["of_id"]) & at["source"].eqNullSafe(mixed["of_source"]) & (at["size"] == mixed["of_size"]))
+    again = lambda df: df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
+    single = again(joined.where("m = 1"))
+    if mixed.where("m > 1").isEmpty():
         return single
-    # rows that repeat an id, source and size: number them, and give the first ones the odd copies
-    numbered = joined.where("__m > 1").withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__of", "__size").orderBy("__id")) - 1)
-    n = F.floor(F.col("__n") / F.col("__m")) + (F.col("__row") < F.col("__n") % F.col("__m")).cast("long")
-    return single.unionByName(again(numbered.withColumn("__n", n).where("__n > 0"), F.col("__n")))
+    # rows that repeat an id, source and size: number them, and give the first ones the odd copies. They are numbered by
+    # partition, and the partitions' counts summed, so that no task has all rows of one
+    key = ["id", "source", "size"]
+    tied = stored(joined.where("m > 1").select("row", *key, "m", "n", F.spark_partition_id().alias("part")), "mix-repeated")
+    counts = tied.groupBy(*key, "part").agg(F.count("*").alias("here"))
+    before = F.sum("here").over(Window.partitionBy(*key).orderBy("part")) - F.col("here")
+    counts = counts.select(*[F.col(c).alias(f"of_{c}") for c in (*key, "part")], before.alias("before"))
+    within = tied.withColumn("number", F.row_number().over(Window.partitionBy(*key, "part").orderBy("m")) - 1)
+    same = [within[c].eqNullSafe(counts[f"of_{c}"]) for c in (*key, "part")]
+    numbered = within.join(counts, same).withColumn("number", F.col("number") + F.col("before"))
+    n = F.floor(F.col("n") / F.col("m")) + (F.col("number") < F.col("n") % F.col("m")).cast("long")
+    return single.unionByName(again(numbered.withColumn("n", n).where("n > 0")))
