@@ -79,11 +79,9 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, n_parts: int, rounds: int =
     return part
 
 
-def fit_router(x: np.ndarray, n_parts: int, k: int = 20, hidden: int = 128, epochs: int = 40, recall: float = 0.97, seed: int = 5) -> Router:
-    """Partition the sample's neighbour graph and learn, for each vector, where its neighbours and itself are.
-
-    The number of probes is the least that finds `recall` of the k nearest of up to 512 sample vectors within the sample.
-    """
+def fit_router(x: np.ndarray, n_parts: int, hidden: int = 128, epochs: int = 40, seed: int = 5) -> Router:
+    """Partition the sample's neighbour graph and learn, for each vector, where its neighbours and itself are. A query visits
+    all partitions until set_probes() has seen the index."""
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     if n_parts < 2:
@@ -111,14 +109,35 @@ def fit_router(x: np.ndarray, n_parts: int, k: int = 20, hidden: int = 128, epoc
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] -= 2e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    router = Router(p[0] * scale, *p[1:], probes=n_parts)
-    at = router.logits(x).argmax(axis=1)
-    tested = rng.permutation(len(x))[:512]
-    true = at[nearest(x, x[tested], min(k, len(x) - 1), tested)]
-    rank = np.argsort(np.argsort(-router.logits(x[tested]), axis=1, kind="stable"), axis=1, kind="stable")
-    needed = np.take_along_axis(rank, true, axis=1)
-    router.probes = next((n for n in range(1, n_parts + 1) if (needed < n).mean() >= recall), n_parts)
-    return router
+    return Router(p[0] * scale, *p[1:], probes=n_parts)
+
+
+def set_probes(router: Router, index: DataFrame, x: np.ndarray, k: int, recall: float) -> float:
+    """Set the number of probes to the least that finds `recall` of the k nearest of the vectors x in the whole index, where
+    columns x and part are; return the recall it has. A Spark job scores x, a bounded set, against every entry."""
+    shared = index.sparkSession.sparkContext.broadcast(x)
+
+    def best(batches):
+        q, scores, parts = shared.value, np.empty((len(shared.value), 0)), np.empty((len(shared.value), 0), dtype=np.int32)
+        for batch in batches:
+            for part in (batch.slice(s, 4096) for s in range(0, len(batch), 4096)):
+                here = np.tile(np.asarray(part.column("part")), (len(q), 1))
+                scores = np.concatenate([scores, q @ _matrix(part.column("x")).T], axis=1)
+                parts = np.concatenate([parts, here], axis=1)
+                if scores.shape[1] > k + 1:  # one more, for the vector itself
+                    top = np.argpartition(-scores, k, axis=1)[:, : k + 1]
+                    scores, parts = np.take_along_axis(scores, top, axis=1), np.take_along_axis(parts, top, axis=1)
+        n = scores.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), n)), pa.array(scores.ravel()), pa.array(parts.ravel())], ["q", "score", "part"])
+
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "part"))
+    top = index.select("x", "part").mapInArrow(best, "q int, score double, part int").withColumn("n", order).where(F.col("n").between(2, k + 1))
+    found = top.select("q", "part").toPandas()
+    rank = np.argsort(np.argsort(-router.logits(x), axis=1, kind="stable"), axis=1, kind="stable")
+    needed = rank[found["q"].to_numpy(), found["part"].to_numpy()]
+    n_parts = rank.shape[1]
+    router.probes = next((n for n in range(1, n_parts + 1) if len(needed) and (needed < n).mean() >= recall), n_parts)
+    return float((needed < router.probes).mean()) if len(needed) else 1.0
 
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -126,39 +145,43 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           sample_rows: int = 8192, part_rows: int = 16_384, most_parts: int = 256) -> DataFrame:
+           sample_rows: int = 8192, part_rows: int = 16_384, least_parts: int = 8, recall: float = 0.97, tested: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector whose id `every` divides, the k others found with the largest inner
     product, all others if there are fewer; equal scores by smaller id.
 
-    Null vectors, zero ones and ones with null or non-finite components take no part, nor do null ids and vectors of
-    another length than most. A repeated id counts once, with its least vector. An empty table gives no rows; other
-    columns are ignored.
+    Null vectors, zero ones and ones with null or non-finite components take no part, nor do null ids. A vector shorter
+    than others counts as if zeros followed. Rows that repeat an id are rows of their own: each is a candidate, and each a
+    query if the id says so, leaving out only itself. An empty table gives no rows; other columns are ignored.
 
     Equal vectors are one entry of the index with their k + 1 least ids: more can't be among anyone's k. The router is fit
-    on sample_rows entries drawn by hash, a bounded sample; every entry is indexed. A partition is dealt out in chunks of
-    about part_rows entries, and a query visits all chunks of its partitions, which score whole original vectors in double
-    precision. Up to part_rows entries there is one partition, and the search is exact.
+    on sample_rows entries drawn by hash, a bounded sample; every entry is indexed. There are least_parts partitions, or as
+    many as give each about part_rows entries, up to a 32nd of sample_rows; a partition is dealt out in chunks of about
+    part_rows entries, and a query visits all chunks of its partitions, which score whole original vectors in double
+    precision. The number of partitions to visit is the least that finds `recall` of the true neighbours, in the whole
+    index, of `tested` entries outside the sample (inside it, if there are no others).
     """
     x = F.col("x")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.where(F.col("id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0))
-    rows = rows.groupBy("id").agg(F.min("x").alias("x"))
-    length = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    d = length["d"] if length else 1
-    rows = stored(rows.where(F.size("x") == d), "vectors")
+    rows = stored(rows, "vectors")
+    lengths = rows.agg(F.max(F.size("x")).alias("most"), F.min(F.size("x")).alias("least")).first()
+    d = lengths["most"] or 1
+    if lengths["least"] != lengths["most"]:
+        rows = stored(rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("x")))), "vectors")
 
     first = F.row_number().over(Window.partitionBy("x").orderBy("id"))
     entries = rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = stored(entries.withColumn("entry", F.col("ids")[0]), "entries")
+    entries = stored(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
     n_entries = entries.count()
-    n_parts = int(min(most_parts, -(-n_entries // part_rows))) or 1
-    sample = entries.select("x").orderBy(F.xxhash64("entry"), "entry").limit(sample_rows).toArrow() if n_parts > 1 else None
-    router = fit_router(_matrix(sample.column("x").combine_chunks()), n_parts, k) if n_parts > 1 else fit_router(np.zeros((1, d)), 1)
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
+    n_parts = max(1, min(sample_rows // 32, n_entries // 32, max(least_parts, -(-n_entries // part_rows))))
+    drawn = entries.select("x").orderBy(F.xxhash64("x"), "x").limit(sample_rows + tested).toArrow()
+    drawn = _matrix(drawn.column("x").combine_chunks()) if n_entries else np.zeros((0, d))
+    router = fit_router(drawn[:sample_rows] if n_entries else np.zeros((1, d)), n_parts)
+    routing = vectors.sparkSession.sparkContext.broadcast(router)
 
     def place(batches):
         for batch in batches:
-            logits = shared.value.logits(_matrix(batch.column("x")))
+            logits = routing.value.logits(_matrix(batch.column("x")))
             yield batch.append_column("part", pa.array(logits.argmax(axis=1).astype(np.int32)))
 
     def route(batches):
@@ -169,6 +192,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             yield batch.append_column("parts", parts)
 
     index = stored(entries.mapInArrow(place, "x array<double>, ids array<long>, entry long, part int"), "index")
+    if n_parts > 1:
+        set_probes(router, index, drawn[sample_rows:] if n_entries > sample_rows else drawn[:tested], k, recall)
+    shared = vectors.sparkSession.sparkContext.broadcast(router)
     chunks = {r["part"]: -(-r["n"] // part_rows) for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
     n_chunks = F.element_at(F.create_map(*[F.lit(v) for item in (chunks or {0: 1}).items() for v in item]), F.col("part"))
     index = index.select("part", F.pmod(F.xxhash64("entry"), n_chunks).alias("chunk"), F.lit(0).alias("kind"), "entry", "x", "ids")
@@ -182,19 +208,22 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     visits = visits.select("part", F.col("chunk"), F.lit(1).alias("kind"), "entry", "x", F.array().cast("array<long>").alias("ids"))
 
     met = index.unionByName(visits).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "kind")
-    hits = met.mapInArrow(_score(k), "entry long, vec_id long, score double")
+    hits = met.mapInArrow(_score(k), "entry long, vec_id long, score double, of long")
     best = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "vec_id"))
     found = hits.withColumn("n", best).where(F.col("n") <= k + 1)
-    found = found.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
-    others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k)
+    found = found.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "of"))).alias("found"))
+    # the query's own row goes, once: another row may have its id, or its vector
+    own = F.array_position(F.transform("found", lambda f: (f["vec_id"] == F.col("query_id")) & (f["of"] == F.col("entry"))), True)
+    others = F.slice(F.filter("found", lambda f, i: i != own - 1), 1, k)
     out = named.select("query_id", "entry").join(found, "entry").select("query_id", F.posexplode(others).alias("at", "f"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")
 
 
 def _score(k: int):
-    """Over rows sorted by (part, chunk, kind): the k + 1 best ids of the chunk for each query that visits it."""
+    """Over rows sorted by (part, chunk, kind): the k + 1 best ids of the chunk for each query that visits it,
+    with the entry each is of."""
 
-    def best(x: np.ndarray, ids: list[list[int]], entries: list[int], q: np.ndarray):
+    def best(x: np.ndarray, ids: list[list[int]], of: list[int], entries: list[int], q: np.ndarray):
         scores = q @ x.T
         n = min(k + 1, len(x))
         # a few more than asked for: equal scores and the last bits of the product are settled below
@@ -206,29 +235,30 @@ def _score(k: int):
             tied = np.flatnonzero(scores[r] >= least[r] - 1e-12 * max(1.0, abs(least[r])))
             rows = tied if len(tied) > len(rows) else rows
             exact = (x[rows] * q[r]).sum(axis=1)
-            pairs = sorted((-s, i) for s, row in zip(exact.tolist(), rows.tolist()) for i in ids[row])[: k + 1]
-            yield from ((entry, i, -s) for s, i in pairs)
+            pairs = sorted((-s, i, of[row]) for s, row in zip(exact.tolist(), rows.tolist()) for i in ids[row])[: k + 1]
+            yield from ((entry, i, -s, e) for s, i, e in pairs)
 
     def run(batches):
-        key, xs, ids, x = None, [], [], None
+        key, xs, ids, of, x = None, [], [], [], None
         for batch in batches:
             parts, chunks, kinds = (np.asarray(batch.column(c)) for c in ("part", "chunk", "kind"))
             cuts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1]), [True]]))
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 piece = batch.slice(s, e - s)
                 if (parts[s], chunks[s]) != key:
-                    key, xs, ids, x = (parts[s], chunks[s]), [], [], None
+                    key, xs, ids, of, x = (parts[s], chunks[s]), [], [], [], None
                 if kinds[s] == 0:
                     xs.append(_matrix(piece.column("x")))
                     ids.extend(piece.column("ids").to_pylist())
+                    of.extend(piece.column("entry").to_pylist())
                     continue
                 if not xs:
                     continue
                 x = np.concatenate(xs) if x is None else x
                 entries, q = piece.column("entry").to_pylist(), _matrix(piece.column("x"))
                 for b in range(0, len(q), 256):
-                    found = list(best(x, ids, entries[b : b + 256], q[b : b + 256]))
+                    found = list(best(x, ids, of, entries[b : b + 256], q[b : b + 256]))
                     if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["entry", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["entry", "vec_id", "score", "of"])
 
     return run
