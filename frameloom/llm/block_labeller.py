@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import html_blocks
+from .common import packed
 
 WEIGHTS = Path(__file__).with_name("block_labeller.npz")
 HIDDEN = 24
@@ -151,12 +152,12 @@ def extract(pages: DataFrame, html_col: str = "html", threshold: float = 0.5, ba
     """pages with columns text, n_chars, n_blocks: the main text's blocks in page order, two line feeds between them.
 
     The whole html is parsed, and every block is labelled in the context of the whole page. A null or empty html, and one
-    without main text, gives the empty text. Other columns stay as they are; text, n_chars and n_blocks must not be among
-    them.
+    without main text, gives the empty text. Other columns stay as they are; columns named text, n_chars or n_blocks are
+    replaced.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights())
-    names = [*pages.columns, "text", "n_chars", "n_blocks"]
-    column = names.index(html_col)
+    rows = packed(pages, html_col, without=("text", "n_chars", "n_blocks"))
+    column = 1
 
     def run(batches):
         p = shared.value
@@ -174,10 +175,10 @@ def extract(pages: DataFrame, html_col: str = "html", threshold: float = 0.5, ba
                 kept = [[b.text for b, y in zip(bs, ys) if y >= threshold] for bs, ys in zip(found, labels)]
                 texts = ["\n\n".join(k) for k in kept]
                 new = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, kept), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *new], ["row", "text", "n_chars", "n_blocks"])
 
-    schema = pages.select(pages.columns).schema.add("text", "string").add("n_chars", "long").add("n_blocks", "integer")
-    return pages.mapInArrow(run, schema)
+    schema = rows.select("row").schema.add("text", "string").add("n_chars", "long").add("n_blocks", "integer")
+    return rows.mapInArrow(run, schema).select("row.*", "text", "n_chars", "n_blocks")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

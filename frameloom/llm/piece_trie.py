@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import freed, slices
+from .common import freed, packed, slices
 
 MARK = "▁"
 #: A unit: marks and what follows up to the next mark. No piece has a mark after another character, so none reaches over.
@@ -305,32 +305,31 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_col:
     go through the trie once a slice of a few MB, and a worker keeps a bounded number of repeated ones for later slices.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    others = [c for c in docs.columns if c != ids_col]
-    rows = docs.select(*others, F.col(text_col).alias("__text"))
+    rows = packed(docs, text_col, without=(ids_col,))
 
     def run(batches):
         encoder = _encoder(shared.value)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _ids(encoder, pc.fill_null(part.column("__text"), ""))], [*others, ids_col])
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), _ids(encoder, pc.fill_null(part.column(1), ""))], ["row", "ids"])
 
-    return rows.mapInArrow(run, docs.select(others).schema.add(ids_col, ArrayType(IntegerType())))
+    out = rows.mapInArrow(run, rows.select("row").schema.add("ids", ArrayType(IntegerType())))
+    return out.select("row.*", F.col("ids").alias(ids_col))
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with a column of the text of every row's ids; null ids give null, no ids the empty text. Bytes that are no UTF-8
     become U+FFFD. Other columns stay as they are; a column named text_col is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(vocab)
-    others = [c for c in df.columns if c != text_col]
-    rows = df.select(*others, F.col(ids_col).alias("__ids"))
+    rows = packed(df, ids_col, without=(text_col,))
 
     def run(batches):
         decoder = _decoder(shared.value)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, len(batch), 500)):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], decoder.texts(part.column("__ids"))], [*others, text_col])
+                yield pa.RecordBatch.from_arrays([part.column(0), decoder.texts(part.column(1))], ["row", "text"])
 
-    return rows.mapInArrow(run, df.select(others).schema.add(text_col, "string"))
+    return rows.mapInArrow(run, rows.select("row").schema.add("text", "string")).select("row.*", F.col("text").alias(text_col))
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_most_per_label, distinct_words, held_out, slices, stored
+from .common import at_most_per_label, distinct_words, freed, held_out, slices, stored
 from .shingles import minima, shingle_hashes, word_hashes
 
 #: Trimmed from both ends of a word before it is looked up.
@@ -88,12 +88,13 @@ def excess(weights: np.ndarray, log_k: float) -> tuple[float, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows_per_label: int = 10_000, max_tokens: int = 20_000, least_docs: int = 3, least_z: float = 3.5, prior: float = 50.0) -> Model:
+        max_rows_per_label: int = 10_000, least_docs: int = 3, least_z: float = 3.5, prior: float = 50.0) -> Model:
     """Learn token log-odds with an informative Dirichlet prior, and the calibration, outside the held-out rows.
 
     Of each label about max_rows_per_label rows are used, drawn by hash of the id, whole texts; that bounds the fit. A
     token counts once a text. The prior is the tokens' own rate over both labels. A token's weight is its log-odds less one
-    standard error; the model keeps at most max_tokens tokens, those with the highest z scores above least_z and above what chance gives the number of tokens tested. Null labels and texts teach nothing; without rows of
+    standard error; the model keeps the tokens with z scores above least_z and above what chance gives the number of
+    tokens tested, of which the sample bounds the number. Null labels and texts teach nothing; without rows of
     both labels nothing is learnt and every text scores low. A document with two labels teaches both.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tested = counts.where(F.col("toxic") >= least_docs).select("token", (delta - error).alias("weight"), z.alias("z"))
     # of so many tokens without effect, the highest z score is about sqrt(2 ln n)
     bar = max(least_z, math.sqrt(2 * math.log(max(tested.count(), 1))))
-    kept = tested.where((F.col("z") >= bar) & (F.col("weight") >= 1)).orderBy(F.desc("z"), "token").limit(max_tokens).collect()
+    kept = tested.where((F.col("z") >= bar) & (F.col("weight") >= 1)).collect()
     weights = {r["token"]: float(r["weight"]) for r in kept}
     return _calibrated(sample, weights, n_toxic, n_clean)
 
@@ -218,17 +219,18 @@ def _chances(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[int]]:
 
 
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with the columns of docs."""
+    """The rows of docs that aren't predicted toxic, with the columns of docs. Null and empty texts stay, as repeated rows
+    and null ids do."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     column = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            batch = batch.append_column("__text", batch.column(column))
-            for part in slices(batch, "__text"):
-                value, _ = _chances(part.column("__text"), shared.value)
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], names).filter(pa.array(value < 0.5))
+            for part in slices(batch, column):
+                value, _ = _chances(part.column(column), shared.value)
+                yield part.filter(pa.array(value < 0.5))
+            freed()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -238,7 +240,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     The scan runs over the log-odds of every occurrence of a token, though in the fit a token counts once a text.
     Empty and null texts have no passage and score as a clean text of one word does. Repeated rows and null ids give a row
-    each; other columns are ignored. The model's size is bounded by fit()'s max_tokens, so it goes out with the code.
+    each; other columns are ignored. The model's size is bounded by the sample of fit(), so it goes out with the code.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -247,6 +249,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, "text"):
                 value, passages = _chances(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(passages, pa.int32())], ["id", "score", "n_passages"])
+            freed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, "id long, score double, n_passages int")
