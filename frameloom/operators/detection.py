@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 
-#: Pattern (any case), type, weight.
+#: What a text holds (any case, any of the alternatives), type, weight.
 RULES = (
-    (r"(fatal|critical|crash|panic|abort)", "system_error", 0.9),
-    (r"(segmentation fault|access violation|null pointer)", "system_error", 0.95),
-    (r"(connection (failed|refused|timeout)|network (error|unavailable))", "network_error", 0.8),
-    (r"(dns (error|failed)|host not found|server not responding)", "network_error", 0.85),
-    (r"(access denied|unauthorized|authentication (failed|required))", "auth_error", 0.8),
-    (r"(login (failed|invalid)|incorrect (password|credentials))", "auth_error", 0.85),
-    (r"(permission denied|insufficient privileges)", "auth_error", 0.8),
-    (r"(invalid (input|format|value)|validation (failed|error))", "validation_error", 0.7),
-    (r"(required field|missing (value|input)|field cannot be empty)", "validation_error", 0.75),
-    (r"(error|failed|exception|problem)", "application_error", 0.6),
-    (r"(cannot|unable to|failed to)", "application_error", 0.5),
-    (r"(warning|caution|notice)", "warning", 0.7),
-    (r"(confirm|are you sure|do you want to)", "confirmation_dialog", 0.8),
-    (r"(yes|no|ok|cancel|continue|abort)", "confirmation_dialog", 0.6),
-    (r"(open|save|choose|select) (file|folder|directory)", "file_dialog", 0.85),
-    (r"(browse|upload|download)", "file_dialog", 0.7),
-    (r"(settings|preferences|options|configuration)", "settings_dialog", 0.8),
-    (r"(apply|reset|default)", "settings_dialog", 0.6),
-    (r"(progress|loading|please wait|processing)", "progress_dialog", 0.8),
-    (r"(\d+%|completed|remaining)", "progress_dialog", 0.7),
-    (r"(information|about|help)", "info_dialog", 0.7),
-    (r"(close|dismiss)", "info_dialog", 0.5),
-    (r"(system alert|system notification)", "system_alert", 0.9),
-    (r"(would like to access|permission required)", "system_alert", 0.85),
-    (r"(security warning|security alert)", "system_alert", 0.9),
-    (r"(application (error|warning)|app (crashed|stopped))", "app_alert", 0.8),
-    (r"(update available|new version)", "app_alert", 0.7),
+    ("fatal|critical|crash|panic|abort", "system_error", 0.9),
+    ("segmentation fault|access violation|null pointer", "system_error", 0.95),
+    ("connection failed|connection refused|connection timeout|network error|network unavailable", "network_error", 0.8),
+    ("dns error|dns failed|host not found|server not responding", "network_error", 0.85),
+    ("access denied|unauthorized|authentication failed|authentication required", "auth_error", 0.8),
+    ("login failed|login invalid|incorrect password|incorrect credentials", "auth_error", 0.85),
+    ("permission denied|insufficient privileges", "auth_error", 0.8),
+    ("invalid input|invalid format|invalid value|validation failed|validation error", "validation_error", 0.7),
+    ("required field|missing value|missing input|field cannot be empty", "validation_error", 0.75),
+    ("error|failed|exception|problem", "application_error", 0.6),
+    ("cannot|unable to|failed to", "application_error", 0.5),
+    ("warning|caution|notice", "warning", 0.7),
+    ("confirm|are you sure|do you want to", "confirmation_dialog", 0.8),
+    ("yes|no|ok|cancel|continue|abort", "confirmation_dialog", 0.6),
+    ("open file|open folder|open directory|save file|save folder|save directory|choose file|choose folder|choose directory|select file|select folder|select directory", "file_dialog", 0.85),
+    ("browse|upload|download", "file_dialog", 0.7),
+    ("settings|preferences|options|configuration", "settings_dialog", 0.8),
+    ("apply|reset|default", "settings_dialog", 0.6),
+    ("progress|loading|please wait|processing", "progress_dialog", 0.8),
+    ("[0-9]%|completed|remaining", "progress_dialog", 0.7),
+    ("information|about|help", "info_dialog", 0.7),
+    ("close|dismiss", "info_dialog", 0.5),
+    ("system alert|system notification", "system_alert", 0.9),
+    ("would like to access|permission required", "system_alert", 0.85),
+    ("security warning|security alert", "system_alert", 0.9),
+    ("application error|application warning|app crashed|app stopped", "app_alert", 0.8),
+    ("update available|new version", "app_alert", 0.7),
 )
 #: Buttons match whole words only, but in compat mode.
-BUTTONS = r"(yes|no|ok|cancel|continue|abort)"
-WHOLE = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
+BUTTONS = "yes|no|ok|cancel|continue|abort"
+WHOLE = r"(^|[^\p{L}\p{N}_])(%s)($|[^\p{L}\p{N}_])"
 SEVERITY = {"system_error": "critical", "network_error": "high", "auth_error": "high", "system_alert": "high", "application_error": "medium", "validation_error": "medium", "warning": "medium", "app_alert": "medium"}
 ERRORS = ("system_error", "network_error", "auth_error", "validation_error", "application_error", "warning")
 #: Keyword groups in order, the first that a text holds decides.
@@ -62,14 +65,21 @@ def severity(value: Column) -> Column:
     return first_of(value, LEVELS, "info")
 
 
-def rule_matches(value: Column, compat: bool = False) -> Column:
-    """The rules that a text meets, as an array of (order, type, weight)."""
-    low = F.lower(value)
+def _holds(low: Column, words: str) -> Column:
+    """Whether a lower-case text holds one of the words: plain searches, but for a pattern in brackets, tried behind one."""
+    tests = [F.contains(low, F.lit(w.rpartition("]")[2])) & low.rlike(w) if "[" in w else F.contains(low, F.lit(w)) for w in words.split("|")]
+    return reduce(or_, tests)
+
+
+def rule_matches(low: Column, compat: bool = False) -> Column:
+    """The rules that a text, in lower case, meets, as an array of (order, type, weight)."""
     tests = []
-    for k, (pattern, kind, weight) in enumerate(RULES):
-        p = WHOLE % pattern if pattern == BUTTONS and not compat else pattern
-        tests.append(F.when(low.rlike(p), F.struct(F.lit(k).alias("order"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
-    return F.filter(F.array(*tests), lambda r: r.isNotNull())
+    for k, (words, kind, weight) in enumerate(RULES):
+        met = _holds(low, words)
+        if words == BUTTONS and not compat:
+            met = met & low.rlike(WHOLE % words)
+        tests.append(F.when(met, F.struct(F.lit(k).alias("order"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
+    return F.array_compact(F.array(*tests))
 
 
 def error_modal_events(regions: DataFrame, compat: bool = False, least: float = 0.6) -> DataFrame:
@@ -77,7 +87,8 @@ def error_modal_events(regions: DataFrame, compat: bool = False, least: float =
 
     The rule of the highest weight decides, the later of equals; in compat mode the last one that matches.
     """
-    r = regions.withColumn("rules", rule_matches(F.col("text"), compat)).where(F.size("rules") > 0)
+    r = regions.withColumn("low", F.lower("text"))
+    r = r.withColumn("rules", rule_matches(F.col("low"), compat)).where(F.size("rules") > 0)
     best = F.element_at("rules", -1) if compat else F.array_max(F.transform("rules", lambda x: F.struct(x["weight"].alias("weight"), x["order"].alias("order"), x["type"].alias("type"))))
     mean = F.aggregate("rules", F.lit(0.0), lambda a, x: a + x["weight"]) / F.size("rules")
     r = r.withColumn("best", best).withColumn("score", F.least(F.lit(1.0), 0.7 * mean + 0.3 * F.col("confidence"))).where(F.col("score") >= least)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +15,14 @@ PATTERNS = {
     "ssn": r"\b(?!000|666|9\d{2})\d{3}[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b",
     "phone": r"\b(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})\b",
     "ip_address": r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
-    "mac_address": r"(?i)\b(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}\b",
+    "mac_address": r"(?i)\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b",
     "url": r"(?i)\bhttps?://(?:[-\w.])+(?:[:\d]+)?(?:/(?:[\w/_.])*(?:\?(?:[\w&=%.])*)?(?:#(?:[\w.])*)?)?/?",
     "date_of_birth": r"\b(?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12][0-9]|3[01])[-/](?:19|20)\d{2}\b",
     "passport": r"(?i)\b[A-Z]{1,2}[0-9]{6,9}\b",
     "drivers_license": r"(?i)\b[A-Z]{1,2}[0-9]{6,8}\b",
 }
+#: What a text holds if it holds a match at all; without any of these a pattern isn't tried. The others need a digit.
+HINTS = {"email": ("@",), "url": ("://",), "mac_address": (":", "-")}
 CONTEXT = "personal|private|confidential|password|ssn|social security"
 CRITICAL, HIGH = ("ssn", "credit_card"), ("passport", "drivers_license", "date_of_birth")
 LEVELS = ("low", "medium", "high", "critical")
@@ -46,9 +51,11 @@ def matches(rows: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tu
     Offsets count code points. What stands between the matches, by split(), gives them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = rows.withColumn("__text", text)
+    df = rows.withColumn("__text", text).withColumn("__digit", F.col("__text").rlike("[0-9]"))
+    nothing = F.array().cast("array<string>")
     for k in kinds:
-        df = df.withColumn(f"__m_{k}", F.regexp_extract_all("__text", F.lit(PATTERNS[k]), F.lit(0)))
+        hint = reduce(or_, [F.contains("__text", F.lit(h)) for h in HINTS[k]]) if k in HINTS else F.col("__digit")
+        df = df.withColumn(f"__m_{k}", F.when(hint, F.regexp_extract_all("__text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(nothing))
     for k in kinds:
         df = df.withColumn(f"__g_{k}", F.when(F.size(f"__m_{k}") > 0, F.transform(F.split("__text", PATTERNS[k], -1), F.length)))
 
@@ -64,7 +71,7 @@ def matches(rows: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tu
         return F.filter(F.coalesce(found, none), lambda s: s["confidence"] >= least)
 
     df = df.withColumn("matches", F.array_sort(F.concat(*[spans(i, k) for i, k in enumerate(kinds)])))
-    return df.drop("__text", *[f"__{p}_{k}" for k in kinds for p in "mg"])
+    return df.drop("__text", "__digit", *[f"__{p}_{k}" for k in kinds for p in "mg"])
 
 
 def without_overlaps(spans: Column) -> Column:

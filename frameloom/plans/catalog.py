@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic, detect, more, sequence, tell  # noqa: F401
+from . import basic, detect, more, parse, sequence, tell  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "session_summary"

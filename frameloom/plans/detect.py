@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detection, kernels, parsers, privacy
+from ..operators import detection, kernels, privacy
 from ..sources import adapters as A
 from .registry import query
 
-EV, RG, VS = A.EVENTS_SQL, A.REGIONS_SQL, A.VISITS_SQL
+RG = A.REGIONS_SQL
 
 
 def _rules_sql() -> str:
     """The rule table as SQL values; the buttons' words are matched whole."""
     rows = []
     for k, (pattern, kind, weight) in enumerate(detection.RULES):
-        p = detection.WHOLE % pattern if pattern == detection.BUTTONS else pattern
+        p = detection.WHOLE % pattern if pattern == detection.BUTTONS else f"({pattern})"
         rows.append(f"({k}, '{p}', '{kind}', {weight}::DOUBLE)")
     return f"ru(ord, pat, kind, weight) AS (VALUES {', '.join(rows)})"
 
@@ -70,7 +70,7 @@ def pi1(spark, d):
     return m.select("stream", "frame", "idx", "m.start", "m.end", "m.kind", "m.match", "m.confidence")
 
 
-IPS = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
+IPS = privacy.PATTERNS["ip_address"]
 
 
 @query("pi1_addresses", f"WITH {RG} SELECT frame, idx, unnest(regexp_extract_all(text, '{IPS}')) AS ip FROM rg")
@@ -95,45 +95,3 @@ def pi4(spark, d):
 def a17(spark, d):
     m = privacy.decide(privacy.mask_text(matched(spark, d)))
     return privacy.audit_statistics(privacy.admitted(privacy.audit_rows(m), ("pii_detected",), "medium"))
-
-
-@query("x_elements")
-def x_all(spark, d):
-    return parsers.elements(A.regions(spark, d)).drop("text")
-
-
-@query("x_element_counts", f"""WITH {RG}, t AS (SELECT trim(text) AS t FROM rg WHERE trim(text) <> '') SELECT * FROM (SELECT 'required_field' AS semantic_type, count(*) AS n FROM t WHERE regexp_matches(t, '\\S\\s*\\*\\s*$') UNION ALL SELECT 'pagination', count(*) FROM t WHERE regexp_matches(t, '[0-9]')
- UNION ALL SELECT 'link', count(*) FROM t WHERE regexp_matches(t, '(?i)https?://|www\\.') UNION ALL SELECT 'progress_percentage', count(*) FROM t WHERE regexp_matches(t, '[0-9]+\\s*%|[0-9]+\\s*/\\s*[0-9]+')) WHERE n > 0""")
-def x_counts(spark, d):
-    e = parsers.elements(A.regions(spark, d), ("web", "common"))
-    return e.where(F.col("semantic_type").isin("required_field", "pagination", "link", "progress_percentage")).groupBy("semantic_type").agg(F.count("*").alias("n"))
-
-
-@query("x3_commands")
-def x3(spark, d):
-    return parsers.commands(A.regions(spark, d)).select("stream", "frame", "idx", "command", "kind", "sudo", "arguments")
-
-
-@query("x9_workflow_patterns")
-def x9(spark, d):
-    return parsers.workflow_patterns(parsers.commands(A.regions(spark, d)))
-
-
-@query("a24_terminal_metrics")
-def a24(spark, d):
-    return parsers.terminal_metrics(parsers.commands(A.regions(spark, d)))
-
-
-@query("x13_pages", f"""WITH {VS}, l AS (SELECT *, lower(url) AS u, lower(title) AS t FROM vs) SELECT page_id, CASE WHEN regexp_matches(u, '/login|/signin') THEN 'login' WHEN regexp_matches(u, '/search|\\?q=') THEN 'search_results' WHEN regexp_matches(u, '/profile|/account') THEN 'user_profile' WHEN regexp_matches(u, '/dashboard') THEN 'dashboard' WHEN regexp_matches(u, '/checkout|/cart') THEN 'checkout' WHEN regexp_matches(u, '/product/|/item/') THEN 'product_page' WHEN regexp_matches(u, '/error|/404') THEN 'error' WHEN regexp_matches(u, '#!?/') THEN 'spa' WHEN regexp_matches(t, 'article|blog') THEN 'article' WHEN regexp_matches(t, 'list|catalog') THEN 'listing' ELSE 'homepage' END AS page_type FROM l""")
-def x13(spark, d):
-    return parsers.pages(A.visits(spark, d)).select("page_id", "page_type")
-
-
-@query("a25_page_structure", "SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6][\\s>]')) AS headings, len(regexp_extract_all(html, '(?i)<a[\\s>]')) AS links, len(regexp_extract_all(html, '(?i)<form[\\s>]')) AS forms, len(regexp_extract_all(html, '(?i)<button[\\s>]')) AS buttons, len(regexp_extract_all(html, '(?i)<li[\\s>]')) AS items, len(regexp_extract_all(html, '(?i)<p[\\s>]')) AS paragraphs FROM pages")
-def a25(spark, d):
-    return parsers.page_structure(A.table(spark, d, "pages"))
-
-
-@query("x22_amounts")
-def x22(spark, d):
-    return parsers.amounts(A.regions(spark, d)).select("stream", "frame", "idx", "money", "percent", "minutes")

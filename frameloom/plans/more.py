@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detection, evidence, joins, kernels, parsers, privacy, reports, summaries
+from ..operators import detection, evidence, joins, kernels, privacy, reports, summaries
 from ..sources import adapters as A
 from .registry import query
 from .sequence import GAP, HOUR, ISLANDS, SESSIONS, grouped
@@ -58,10 +58,12 @@ def j14(spark, d):
     return evidence.traces(told(spark, d), grouped(spark, d), linked(spark, d), KEYS)
 
 
-@query("j15_strict_label_values")
+SHORT = "(right(text, 1) = ':' OR length(text) < 12)"
+
+
+@query("j15_strict_label_values", f"WITH {RG} SELECT a.frame, a.idx, b.idx AS b_idx FROM rg a JOIN rg b ON a.stream = b.stream AND a.frame = b.frame AND b.idx > a.idx WHERE (right(a.text, 1) = ':' OR length(a.text) < 12) AND NOT (right(b.text, 1) = ':' OR length(b.text) < 12) AND (b.x + b.w / 2 > a.x + a.w / 2 OR b.y + b.h / 2 > a.y + a.h / 2) QUALIFY row_number() OVER (PARTITION BY a.stream, a.frame, a.idx ORDER BY pow(b.x + b.w / 2 - a.x - a.w / 2, 2) + pow(b.y + b.h / 2 - a.y - a.h / 2, 2), b.idx) = 1")
 def j15(spark, d):
-    r = A.regions(spark, d)
-    return kernels.nearest_later(r, F.col("text").endswith(":") | (F.length("text") < 12)).select("frame", "idx", "b_idx")
+    return kernels.nearest_later(A.regions(spark, d), F.expr(SHORT)).select("frame", "idx", "b_idx")
 
 
 @query("j17_first_meeting_region", f"WITH {RG} SELECT a.frame, a.idx, min(b.idx) AS first FROM rg a JOIN rg b ON a.stream = b.stream AND a.frame = b.frame AND a.idx < b.idx AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY 1, 2")
@@ -167,14 +169,3 @@ def m1(spark, d):
 @query("m13_all_templates", f"WITH {SESSIONS} SELECT stream, island::BIGINT AS island, unnest(['narrative', 'structured', 'playbook', 'timeline', 'executive']) AS template FROM se")
 def m13(spark, d):
     return told(spark, d).select(*KEYS, F.explode(F.array(*map(F.lit, ("narrative", "structured", "playbook", "timeline", "executive")))).alias("template"))
-
-
-@query("m16_terminal_sessions")
-def m16(spark, d):
-    e = parsers.elements(A.regions(spark, d), ("terminal",))
-    return e.groupBy("stream", "semantic_type").agg(F.count("*").alias("n"))
-
-
-@query("x23_application_family", f"WITH {EV} SELECT event_id, CASE WHEN app_name = 'Slack' THEN 'slack' WHEN app_name = 'Safari' THEN 'web' ELSE 'base' END AS family FROM ev")
-def x23(spark, d):
-    return A.events(spark, d).select("event_id", parsers.family(F.col("app_name")).alias("family"))

@@ -179,13 +179,15 @@ def j12(spark, d):
     return neighbours_within(A.events(spark, d), HOUR).select("event_id", "neighbours")
 
 
-@query("j16_label_values")
+@query("j16_label_values", f"""WITH {RG} SELECT a.frame, a.idx, b.idx AS b_idx, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM rg a JOIN rg b ON a.stream = b.stream AND a.frame = b.frame WHERE length(a.text) < 50 AND length(b.text) >= 50 AND ((b.x > a.x AND abs(b.y - a.y) <= a.h) OR (b.y > a.y AND abs(b.x - a.x) <= a.w))
+ AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 200 QUALIFY row_number() OVER (PARTITION BY a.stream, a.frame, a.idx ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.idx) = 1""")
 def j16(spark, d):
     r = A.regions(spark, d)
     return joins.label_values(r, F.length("text") < 50).select(F.col("a_frame").alias("frame"), F.col("a_idx").alias("idx"), "b_idx", F.round("distance", 6).alias("distance"))
 
 
-@query("j18_merged_regions")
+@query("j18_merged_regions", f"""WITH {RG}, mv AS (SELECT * REPLACE (x + 2 * h AS x) FROM rg), ov AS (SELECT DISTINCT b.stream, b.frame, b.idx FROM mv b JOIN rg a ON a.stream = b.stream AND a.frame = b.frame AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) * 3 > a.w * a.h + b.w * b.h)
+ SELECT stream, frame, idx, x FROM rg UNION ALL SELECT stream, frame, idx, x FROM mv WHERE (stream, frame, idx) NOT IN (SELECT stream, frame, idx FROM ov)""")
 def j18(spark, d):
     r = A.regions(spark, d)
     # the other side sees every region moved by twice its height: wide ones still meet their own, others may not

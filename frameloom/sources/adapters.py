@@ -90,3 +90,41 @@ def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CURSOR_SQL = """cu AS (SELECT l_suppkey AS stream, epoch(l_shipdate)::BIGINT * 1000 AS ms, l_orderkey * 10 + l_linenumber AS seq, l_quantity * 20 AS x, l_discount * 1000 AS y FROM lineitem)"""
+
+
+SCREEN_APPS = ("Terminal", "Safari", "Jira", "Salesforce", "Word", "Slack", "Notion", "Asana", "Finder")
+
+
+def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """regions with app, the application that each frame shows."""
+    return regions(spark, sf_dir).withColumn("app", F.element_at(F.array(*map(F.lit, SCREEN_APPS)), (F.col("frame") % len(SCREEN_APPS) + 1).cast("int")))
+
+
+SCREENS_SQL = f"""{REGIONS_SQL}, sc AS (SELECT *, ['terminal', 'web', 'jira', 'salesforce', 'office', 'slack', 'notion', 'asana', 'base'][(frame % {len(SCREEN_APPS)} + 1)::INT] AS family FROM rg)"""
+
+#: Lines of a terminal, dealt to orders by their keys.
+LINES = (
+    "$ git status", "$ git commit -m fix", "ls -la /srv/data", "drwxr-xr-x 2 root root 4096 Jan 5 10:00 logs", "$ sudo npm install --save left-pad", "cd ../build", "$ make all", "error: command not found", "warning: this option is deprecated",
+    "user@host:~/src $", "cp a.txt b.txt", "mv b.txt /tmp/c.txt", "mkdir -p out/one", "docker ps -a", "ssh deploy@web1", "Last login: Mon Jan 5", "CPU: 12.5% used", "Memory: 512 MB", "grep -r todo .", "find . -name x.py", "logout", "12 root 0.0 %CPU init",
+)
+
+
+def terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of terminals: stream (the customer), frame (epoch seconds of the order), idx (its key), text, confidence, box."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    line = F.element_at(F.array(*map(F.lit, LINES)), ((F.floor(k / 3) + F.col("o_custkey")) % len(LINES) + 1).cast("int"))
+    return o.select(
+        F.col("o_custkey").alias("stream"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("frame"), k.alias("idx"), line.alias("text"), (0.5 + (k % 50) / 100.0).alias("confidence"),
+        F.lit(0.0).alias("x"), (k % 40 * 20).cast("double").alias("y"), F.lit(400.0).alias("w"), F.lit(18.0).alias("h"),
+    )
+
+
+TERMINAL_SQL = f"""tm AS (SELECT o_custkey AS stream, epoch(o_orderdate)::BIGINT AS frame, o_orderkey AS idx, [{', '.join(f"'{x}'" for x in LINES)}][((o_orderkey // 3 + o_custkey) % {len(LINES)} + 1)::INT] AS text, 0.5 + (o_orderkey % 50)::DOUBLE / 100 AS confidence,
+ 0::DOUBLE AS x, (o_orderkey % 40 * 20)::DOUBLE AS y, 400::DOUBLE AS w, 18::DOUBLE AS h FROM orders)"""
+
+
+def read_sql(relation: str, family: str = "'base'") -> str:
+    """What parser rules read of a relation, as SQL: t, low, cmd, family."""
+    return f"""re AS (SELECT *, CASE WHEN said[1] = 'sudo' THEN coalesce(said[2], '') ELSE coalesce(said[1], '') END AS cmd FROM
+ (SELECT *, lower(t) AS low, list_filter(string_split(regexp_replace(t, '^[$%#] ', ''), ' '), lambda w: w <> '') AS said FROM (SELECT * EXCLUDE (text{", family" if family != "'base'" else ""}), trim(text) AS t, {family} AS family FROM {relation}) WHERE t <> ''))"""

@@ -99,18 +99,30 @@ def test_decisions(spark):
     assert privacy.decide(df, allowed=("email",), prevent=True).where("stored").count() == 2
 
 
-@pytest.mark.parametrize("text, family, kind, value", [
-    ("$ sudo git push origin main", "terminal", "command_line", None), ("drwxr-xr-x 5 u g 160 Jan 1 10:00 src", "terminal", "file_listing", "directory"), ("foo: command not found", "terminal", "error_message", "command_not_found"), ("PROJ-123", "jira", "issue_key", None),
-    ("Sprint 4 (active)", "jira", "sprint", "active"), ("001A0000012abcdEFG", "salesforce", "record_id", "account"), ("$1,250.50", "salesforce", "currency", None), ("#general", "slack", "channel", "general"), ("@here", "slack", "mention", "broadcast"),
-    ("3 replies", "slack", "thread", None), ("Home > Shop > Cart", "web", "breadcrumb", None), ("Unqualified", "salesforce", "lead_status", "unqualified"), ("Overdue by 3 days", "common", "deadline", "overdue"), ("- [ ] buy milk", "notion", "block", "todo"),
+@pytest.mark.parametrize("text, family, kind, attributes", [
+    ("$ sudo git push origin main", "terminal", "command_line", ["command=git", "command_type=version_control", "is_sudo=true"]), ("drwxr-xr-x 5 u g 160 Jan 1 10:00 src", "terminal", "file_listing", ["permissions=drwxr-xr-x", "is_directory=true"]),
+    ("permission denied: error", "terminal", "error_message", ["error_type=permission_error", "severity=error"]), ("user@host:~/src $", "terminal", "shell_prompt", ["username=user", "hostname=host", "current_directory=~/src", "shell_type=bash", "is_root=false"]),
+    ("/srv/data/a.csv", "terminal", "file_path", ["path_type=absolute", "is_absolute=true", "file_extension=csv", "directory_depth=3"]), ("PROJ-123", "jira", "issue_key", ["project=PROJ", "issue_number=123"]),
+    ("Sprint 4 (active)", "jira", "sprint", ["sprint_state=active"]), ("001A0000012abcdEFG", "salesforce", "record_id", ["object_type=Account"]), ("$1,250.50", "salesforce", "currency", ["amount=1250.50", "currency=USD"]), ("Negotiation", "salesforce", "pipeline_stage", ["stage_probability=90", "stage_category=late_stage"]),
+    ("Unqualified", "salesforce", "lead_status", ["status_category=qualified"]), ("#general", "slack", "channel", ["channel_type=general", "is_private=false"]), ("@here", "slack", "mention", ["mention_type=channel_mention", "username=here"]), ("3 replies", "slack", "thread", ["thread_count=3"]),
+    ("Home > Shop > Cart", "web", "breadcrumb", ["level=3"]), ("Password *", "web", "form_field", ["field_type=password", "required=true"]), ("Select a dropdown", "web", "interactive_element", ["element_type=dropdown", "element_state="]),
+    ("Overdue by 3 days", "common", "deadline", ["deadline_urgency=overdue", "is_overdue=true"]), ("- [ ] buy milk", "notion", "block", ["block_type=bulleted_list"]), ("Fix the login bug", "common", "task", ["task_type=bug"]),
 ])
-def test_parsers(spark, text, family, kind, value):
-    r = spark.createDataFrame([("s", 1, 0, text, 0.9)], "stream string, frame long, idx long, text string, confidence double")
-    assert (kind, value) in {(e["semantic_type"], e["value"]) for e in parsers.elements(r, (family,)).collect()}
+def test_parsers(spark, text, family, kind, attributes):
+    r = spark.createDataFrame([("s", 1, 0, text, 0.9, 250.0)], "stream string, frame long, idx long, text string, confidence double, y double")
+    found = {e["semantic_type"]: list(e["attributes"]) for e in parsers.elements(r, families=(family,)).collect()}
+    assert found[kind] == attributes
+
+
+def test_rules_follow_the_application(spark):
+    rows = [("s", 1, k, "Overdue: PROJ-1 is done", 0.9, 0.0, app) for k, app in enumerate(("Jira", "Slack", "Safari", "iTerm", "Finder"))]
+    r = spark.createDataFrame(rows, "stream string, frame long, idx long, text string, confidence double, y double, app string")
+    got = {(e["idx"], e["family"]) for e in parsers.elements(r, "app").collect()}
+    assert got >= {(0, "jira"), (0, "common"), (1, "common"), (3, "terminal")} and not got & {(1, "jira"), (2, "common"), (2, "jira"), (4, "common")}
 
 
 def test_commands(spark):
-    r = spark.createDataFrame([("s", 1, k, t, 0.9) for k, t in enumerate(["$ sudo git push origin main", "git pull", "ls -la"])], "stream string, frame long, idx long, text string, confidence double")
+    r = spark.createDataFrame([("s", 1, k, t, 0.9) for k, t in enumerate(["$ sudo git push origin main", "git pull", "ls -la"])], "stream string, frame long, idx long, text string, confidence double").withColumn("y", F.lit(0.0))
     c = parsers.commands(r)
     assert [tuple(x) for x in c.orderBy("idx").select("command", "kind", "sudo", "arguments").collect()] == [("git", "version_control", True, ["push", "origin", "main"]), ("git", "version_control", False, ["pull"]), ("ls", "file_listing", False, ["-la"])]
     assert {(p["pattern"], p["idx"]) for p in parsers.workflow_patterns(c).collect()} == {("git_workflow", 1)}
