@@ -71,15 +71,15 @@ def _holds(low: Column, words: str) -> Column:
     return reduce(or_, tests)
 
 
+def _tests(low: Column, compat: bool) -> list[Column]:
+    whole = lambda words: low.rlike(WHOLE % words) if words == BUTTONS and not compat else F.lit(True)
+    return [_holds(low, words) & whole(words) for words, _, _ in RULES]
+
+
 def rule_matches(low: Column, compat: bool = False) -> Column:
     """The rules that a text, in lower case, meets, as an array of (order, type, weight)."""
-    tests = []
-    for k, (words, kind, weight) in enumerate(RULES):
-        met = _holds(low, words)
-        if words == BUTTONS and not compat:
-            met = met & low.rlike(WHOLE % words)
-        tests.append(F.when(met, F.struct(F.lit(k).alias("order"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))))
-    return F.array_compact(F.array(*tests))
+    of = [F.struct(F.lit(k).alias("order"), F.lit(kind).alias("type"), F.lit(weight).alias("weight")) for k, (_, kind, weight) in enumerate(RULES)]
+    return F.array_compact(F.array(*[F.when(met, rule) for met, rule in zip(_tests(low, compat), of)]))
 
 
 def error_modal_events(regions: DataFrame, compat: bool = False, least: float = 0.6) -> DataFrame:
@@ -88,7 +88,7 @@ def error_modal_events(regions: DataFrame, compat: bool = False, least: float =
     The rule of the highest weight decides, the later of equals; in compat mode the last one that matches.
     """
     r = regions.withColumn("low", F.lower("text"))
-    r = r.withColumn("rules", rule_matches(F.col("low"), compat)).where(F.size("rules") > 0)
+    r = r.where(reduce(or_, _tests(F.col("low"), compat))).withColumn("rules", rule_matches(F.col("low"), compat))
     best = F.element_at("rules", -1) if compat else F.array_max(F.transform("rules", lambda x: F.struct(x["weight"].alias("weight"), x["order"].alias("order"), x["type"].alias("type"))))
     mean = F.aggregate("rules", F.lit(0.0), lambda a, x: a + x["weight"]) / F.size("rules")
     r = r.withColumn("best", best).withColumn("score", F.least(F.lit(1.0), 0.7 * mean + 0.3 * F.col("confidence"))).where(F.col("score") >= least)

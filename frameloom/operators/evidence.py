@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_sessions(sessions: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """rows (stream, us, ...) within the closed time of a session of their stream, with the session's columns. Sessions of a
+    stream don't overlap, so a row's session is the last one that began before it: one window, no join by range."""
+    named = [c for c in sessions.columns if c != "stream"]
+    both = rows.select("stream", F.col("us").alias("at"), F.lit(1).alias("kind"), F.struct(*rows.columns).alias("row"), F.lit(None).cast(sessions.select(F.struct(*named).alias("s")).schema["s"].dataType).alias("session"))
+    starts = sessions.select("stream", F.col("start_us").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.struct(*named).alias("session"))
+    w = Window.partitionBy("stream").orderBy("at", "kind")
+    met = both.unionByName(starts).withColumn("in", F.last("session", ignorenulls=True).over(w)).where("kind = 1 AND at <= in.end_us")
+    return met.select("in.*", "row.*")
+
+
 def frames_inside(sessions: DataFrame, frames: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Frames (frame_id, stream, us) within each session's closed time, joined by stream."""
-    s = sessions.select(*keys, "start_us", "end_us")
-    return s.join(frames, "stream").where(F.col("us").between(F.col("start_us"), F.col("end_us"))).select(*keys, "frame_id", "us")
+    """Frames (frame_id, stream, us) within each session's closed time."""
+    return in_sessions(sessions.select(*keys, "start_us", "end_us"), frames.select("stream", "frame_id", "us"), keys).select(*keys, "frame_id", "us")
 
 
 def nearest(rows: DataFrame, others: DataFrame, within_us: int) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import geometry, text
 
 #: Directed pairs of types that correlate in time, and in place.
 TEMPORAL = (("click", "navigation"), ("navigation", "form_submission"), ("form_submission", "error_display"), ("data_entry", "form_submission"), ("click", "error_display"))
-SPATIAL = (("click", "form_submission"), ("click", "data_entry"))
+SPATIAL = (("click", "field_change"), ("cursor_movement", "field_change"))
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
@@ -54,6 +54,18 @@ def spatial_links(points: DataFrame, radius: float = 50.0, keys: tuple[str, ...]
     return j.where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.col("distance") <= radius)).drop("dx", "dy", "cx", "cy", "bx", "by")
 
 
+def typed_spatial_links(events: DataFrame, radius: float = 50.0, least: float = 0.6) -> DataFrame:
+    """Directed pairs of types that correlate in place, at most radius apart, with confidence: 0.7 of nearness, 0.3 of the
+    events' own; in order of time."""
+    j = spatial_links(events, radius, key="event_id")
+    late = (F.col("a_us") > F.col("b_us")) | ((F.col("a_us") == F.col("b_us")) & (F.col("a_event_id") > F.col("b_event_id")))
+    first, second = F.when(late, F.col("b_type")).otherwise(F.col("a_type")), F.when(late, F.col("a_type")).otherwise(F.col("b_type"))
+    pair = F.concat(first, F.lit(">"), second).isin([f"{a}>{b}" for a, b in SPATIAL])
+    sure = 0.7 * (1 - F.col("distance") / radius) + 0.3 * (F.col("a_confidence") + F.col("b_confidence")) / 2
+    ids = [F.when(late, F.col(f"{x}_event_id")).otherwise(F.col(f"{y}_event_id")) for x, y in ("ba", "ab")]
+    return j.where(pair).select(F.col("a_stream").alias("stream"), ids[0].alias("a_id"), ids[1].alias("b_id"), "distance", sure.alias("confidence")).where(F.col("confidence") >= least)
+
+
 def asof_nearest(rows: DataFrame, others: DataFrame, within: int, most: int, forward: bool, keys: tuple[str, ...] = ("stream",)) -> DataFrame:
     """For each span the `most` spans that end in the time `within` before its start, latest end first; or that start in
     the time after its end, earliest first."""
@@ -106,15 +118,21 @@ def new_regions(numbered: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def delta(numbered: DataFrame) -> DataFrame:
-    """What changed from frame to frame: modified regions, added ones, and removed ones (in the frame that lacks them)."""
-    m = region_matches(numbered)
-    key = ["stream", "seq", "idx"]
+    """What changed from frame to frame: modified regions, added ones, and removed ones (in the frame that lacks them).
+
+    Each region stands once as one of its own frame and once as one before the next; a match marks one of each. So regions
+    are matched once, and a grouping by region tells the rest.
+    """
+    key = ["stream", "seq", "idx", "now"]
+    as_either = lambda now, seq, idx, met, changed: F.struct(seq.alias("seq"), idx.alias("idx"), F.lit(now).alias("now"), F.lit(met).alias("met"), changed.alias("changed"))
+    no = F.lit(False)
+    own = numbered.select("stream", F.explode(F.array(as_either(True, F.col("seq"), F.col("idx"), False, no), as_either(False, F.col("seq") + 1, F.col("idx"), False, no))).alias("r"))
+    m, differs = region_matches(numbered), F.col("a_text") != F.col("b_text")
+    met = m.select(F.col("a_stream").alias("stream"), F.explode(F.array(as_either(True, F.col("a_seq"), F.col("a_idx"), True, differs), as_either(False, F.col("a_seq"), F.col("b_idx"), True, no))).alias("r"))
+    g = own.unionByName(met).select("stream", "r.*").groupBy(*key).agg(F.max("met").alias("met"), F.max("changed").alias("changed"))
     last = numbered.groupBy("stream").agg(F.max("seq").alias("last"))
-    modified = m.where("a_text != b_text").select(F.col("a_stream").alias("stream"), F.col("a_seq").alias("seq"), F.col("a_idx").alias("idx"), F.lit("modified").alias("change"))
-    added = numbered.where("seq > 1").join(m.select(F.col("a_stream").alias("stream"), F.col("a_seq").alias("seq"), F.col("a_idx").alias("idx")), key, "left_anti").select(*key, F.lit("added").alias("change"))
-    gone = numbered.join(last, "stream").where("seq < last").withColumn("seq", F.col("seq") + 1)
-    removed = gone.join(m.select(F.col("b_stream").alias("stream"), F.col("b_seq").alias("seq"), F.col("b_idx").alias("idx")), key, "left_anti").select(*key, F.lit("removed").alias("change"))
-    return modified.unionByName(added).unionByName(removed)
+    change = F.when(F.col("now") & F.col("changed"), "modified").when(F.col("now") & ~F.col("met") & (F.col("seq") > 1), "added").when(~F.col("now") & ~F.col("met") & (F.col("seq") <= F.col("last")), "removed")
+    return g.join(last, "stream").withColumn("change", change).where("change is not null").select("stream", "seq", "idx", "change")
 
 
 def label_values(regions: DataFrame, is_label: Column, radius: float = 200.0) -> DataFrame:

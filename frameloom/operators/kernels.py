@@ -55,14 +55,13 @@ def non_maximum(regions: DataFrame, most: float = 0.5) -> DataFrame:
 
 
 def table_cells(p: pd.DataFrame, reach: float) -> pd.DataFrame:
-    """Rows of a table: a region joins the first row whose first cell is within reach in y; cells by x, headers from row 0."""
+    """Rows of a table: a region joins the row whose first cell is within reach in y; cells by x, headers from row 0. Regions
+    come by height, so that row can only be the last one."""
     rows: list[list] = []
     p = p.sort_values(["y", "x", "idx"], kind="stable")
     for r in p.itertuples(index=False):
-        for row in rows:
-            if abs(row[0].y - r.y) <= reach:
-                row.append(r)
-                break
+        if rows and abs(rows[-1][0].y - r.y) <= reach:
+            rows[-1].append(r)
         else:
             rows.append([r])
     out, header = [], sorted(rows[0], key=lambda r: r.x) if rows else []
@@ -98,21 +97,37 @@ def nearest_later(regions: DataFrame, is_label: Column) -> DataFrame:
     return r.groupBy("stream", "frame").applyInPandas(nearest_later_rows, "stream string, frame long, idx long, b_idx long")
 
 
-def focus_rows(p: pd.DataFrame, least_us: int) -> pd.DataFrame:
-    """Changes of focus against the focus last recorded: one that comes too soon isn't recorded and changes nothing."""
-    p = p.sort_values(["us", "event_id"], kind="stable")
-    out, app, at = [], None, None
-    for r in p.itertuples(index=False):
-        if app is None:
-            app, at = r.app_name, r.us
-        elif r.app_name != app and r.us - at >= least_us:
-            out.append((r.stream, r.event_id, r.us, app, r.app_name))
-            app, at = r.app_name, r.us
-    return pd.DataFrame(out, columns=["stream", "event_id", "us", "from_app", "to_app"])
+def focus_batches(least_us: int):
+    """Changes of focus against the focus last recorded: one that comes too soon isn't recorded and changes nothing.
+
+    Over rows sorted by (stream, us, event_id); only the focus last recorded is held, however long a stream is.
+    """
+
+    def run(batches):
+        of, app, at = None, None, None
+        for batch in batches:
+            out = []
+            for stream, event, us, name in zip(*(c.to_pylist() for c in batch.columns)):
+                if of is None or stream != of:
+                    of, app, at = stream, name, us
+                elif app is None:
+                    app, at = name, us
+                elif name != app and us - at >= least_us:
+                    out.append((stream, event, us, app, name))
+                    app, at = name, us
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), FOCUS_TYPES)], FOCUS_NAMES)
+
+    return run
+
+
+FOCUS_NAMES = ["stream", "event_id", "us", "from_app", "to_app"]
+FOCUS_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
 def focus_changes(samples: DataFrame, least_us: int = 100_000) -> DataFrame:
-    return samples.groupBy("stream").applyInPandas(lambda p: focus_rows(p, least_us), "stream long, event_id long, us long, from_app string, to_app string")
+    s = samples.select(*[F.col(c).cast("long").alias(c) for c in ("stream", "event_id", "us")], "app_name")
+    return s.repartition("stream").sortWithinPartitions("stream", "us", "event_id").mapInArrow(focus_batches(least_us), "stream long, event_id long, us long, from_app string, to_app string")
 
 
 def pattern_batches(history: int, least: float):

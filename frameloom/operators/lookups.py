@@ -115,12 +115,20 @@ def help_where(items: DataFrame, text: str) -> DataFrame:
 
 def allowed_apps(samples: DataFrame, blocked: DataFrame, allowed: DataFrame, app: str = "app_name") -> DataFrame:
     """Samples of apps that aren't blocked and, if any app is allowed by name, are among the allowed ones."""
-    out = samples.join(F.broadcast(blocked.select(app).distinct()), app, "left_anti")
-    return out if allowed.isEmpty() else out.join(F.broadcast(allowed.select(app).distinct()), app, "left_semi")
+    out = samples.join(blocked.select(app).distinct(), app, "left_anti")
+    return out if allowed.isEmpty() else out.join(allowed.select(app).distinct(), app, "left_semi")
 
 
 def plugin_routes(samples: DataFrame, plugins: DataFrame) -> DataFrame:
     """Samples with each plugin whose pattern is their bundle, or its start if the pattern ends in a star."""
     pattern = F.col("pattern")
-    star = pattern.endswith("*") & F.col("bundle").startswith(F.expr("left(pattern, length(pattern) - 1)"))
-    return samples.join(F.broadcast(plugins), (F.col("bundle") == pattern) | star)
+    own = plugins.columns
+    exact = samples.join(plugins.where(~pattern.endswith("*")), F.col("bundle") == pattern)
+    # starts meet by their length: a bundle is cut to each length that a pattern has
+    starts = plugins.where(pattern.endswith("*")).withColumn("__start", F.expr("left(pattern, length(pattern) - 1)"))
+    lengths = [r["n"] for r in starts.select(F.length("__start").alias("n")).distinct().collect()]  # a few numbers, however many plugins
+    cut = samples.withColumn("__cut", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.left("bundle", F.lit(n)).alias("start")) for n in lengths]))) if lengths else None
+    if cut is None:
+        return exact
+    starred = cut.join(starts, (F.col("__cut.start") == F.col("__start")) & (F.col("__cut.n") == F.length("__start")))
+    return exact.unionByName(starred.select(*samples.columns, *own))

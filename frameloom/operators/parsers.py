@@ -2,8 +2,8 @@
 
 A rule is a family, a semantic type, a test and named attributes, all SQL expressions over a region: t (its trimmed text), low
 (t in lower case), cmd (its first word, a prompt sign and sudo left out), y. A region is tested by the rules of its own
-application's family only, and those for all; what it meets becomes an array, exploded, so a pass over the regions needs no
-shuffle. Most tests are plain searches for words, which are far cheaper than patterns. Adding a row to RULES adds an element.
+application's family only, and those for all; the numbers of the rules it meets become an array, exploded, so a pass over the
+regions needs no shuffle. Most tests are plain searches for words, which are far cheaper than patterns. Adding a row to RULES adds an element.
 """
 
 from __future__ import annotations
@@ -220,24 +220,26 @@ def elements(regions: DataFrame, app: str | None = None, families: tuple[str, ..
     """A row for every rule that a region meets: stream, frame, idx, family, semantic_type, attributes (name=value in the
     rule's order), text, confidence. app: the column with the region's application; or the families to apply to all."""
 
-    def met(rule: Rule) -> Column:
-        attributes = F.array(*[F.concat(F.lit(f"{n}="), F.expr(value)) for n, value in rule.attributes.items()]) if rule.attributes else F.array().cast("array<string>")
-        return F.when(F.expr(rule.test), F.struct(F.lit(rule.family).alias("family"), F.lit(rule.kind).alias("semantic_type"), attributes.alias("attributes")))
+    # first which rules are met, by number, then the attributes of those only: the expressions of all at once would be more
+    # code than the JVM compiles
+    def met(fam: str) -> Column:
+        return F.array(*[F.when(F.expr(r.test), F.lit(k)) for k, r in enumerate(RULES) if r.family == fam])
 
-    def of(fam: str) -> Column:
-        return F.array(*[met(r) for r in RULES if r.family == fam])
-
-    none = F.array().cast("array<struct<family:string,semantic_type:string,attributes:array<string>>>")
     r = _read(regions, app)
     if families is not None:
-        tried = [of(f) for f in families]
+        tried = [met(f) for f in families]
     else:
-        own = none
+        none = own = F.array().cast("array<int>")
         for fam in ("terminal", "web", *PRODUCTIVITY):
-            own = F.when(F.col("family") == fam, of(fam)).otherwise(own)
-        tried = [of("base"), own, F.when(F.col("family").isin(*PRODUCTIVITY), of("common")).otherwise(none)]
-    r = r.select("stream", "frame", "idx", F.col("t").alias("text"), "confidence", F.array_compact(F.concat(*tried)).alias("found")).where(F.size("found") > 0)
-    return r.select("stream", "frame", "idx", F.explode("found").alias("e"), "text", "confidence").select("stream", "frame", "idx", "e.*", "text", "confidence")
+            own = F.when(F.col("family") == fam, met(fam)).otherwise(own)
+        tried = [met("base"), own, F.when(F.col("family").isin(*PRODUCTIVITY), met("common")).otherwise(none)]
+    e = r.select("stream", "frame", "idx", "t", "low", "cmd", "y", "confidence", F.explode(F.concat(*tried)).alias("rule")).where("rule is not null")
+    attributes = F.array().cast("array<string>")
+    for k, r in enumerate(RULES):
+        if r.attributes:
+            attributes = F.when(F.col("rule") == k, F.array(*[F.concat(F.lit(f"{n}="), F.expr(value)) for n, value in r.attributes.items()])).otherwise(attributes)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
+    return e.select("stream", "frame", "idx", of([r.family for r in RULES]).alias("family"), of([r.kind for r in RULES]).alias("semantic_type"), attributes.alias("attributes"), F.col("t").alias("text"), "confidence")
 
 
 def elements_sql(regions: str, families: tuple[str, ...] | None = None) -> str:

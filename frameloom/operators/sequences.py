@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import images, text
 
 
+def _compared(batches):
+    """Over frames sorted by (stream, frame): each compared with the one before it in its stream. One image is held."""
+    held = None
+    for batch in batches:
+        for part in (batch.slice(k, 1024) for k in range(0, len(batch), 1024)):
+            part = part.filter(pc.is_valid(part.column("pixels")))
+            sizes = np.asarray(pc.list_value_length(part.column("pixels")))
+            cuts = np.flatnonzero(np.diff(sizes)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(part)]):
+                rows = part.slice(s, e - s)
+                if not len(rows):
+                    continue
+                x = np.asarray(pc.fill_null(rows.column("pixels").flatten(), 0), dtype=np.float64).reshape(len(rows), -1)
+                streams = rows.column("stream").to_pylist()
+                same = np.array([a == b for a, b in zip([held[0] if held else None, *streams], streams)])
+                before = np.concatenate([held[1][None] if held and held[1].shape == x[0].shape else np.zeros_like(x[:1]), x[:-1]])
+                same[0] &= held is not None and held[1].shape == x[0].shape
+                held = (streams[-1], x[-1].copy())
+                if not same.any() or not x.shape[1]:
+                    continue
+                here, was = x[same], before[same]
+                apart = [bin(int(v)).count("1") for v in images.stacked_hash(here) ^ images.stacked_hash(was)]
+                turn = np.abs(images.stacked_entropy(here) - images.stacked_entropy(was))
+                keys = [rows.column(c).filter(pa.array(same)) for c in ("stream", "frame")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(images.stacked_ssim(was, here)), pa.array(apart, pa.int32()), pa.array(turn)], ["stream", "frame", "ssim", "distance", "entropy_delta"])
+
+
 def scene_changes(frames: DataFrame) -> DataFrame:
-    """Consecutive frames of a stream that differ: stream, frame, ssim, distance, entropy_delta, change_type, confidence."""
-    w = Window.partitionBy("stream").orderBy("frame")
-    m = frames.select("stream", "frame", "pixels", images.average_hash(F.col("pixels")).alias("hash"), images.entropy(F.col("pixels")).alias("entropy"))
-    before = lambda c: F.lag(c).over(w)
-    m = m.select("stream", "frame", "pixels", "hash", "entropy", before("pixels").alias("p"), before("hash").alias("h"), before("entropy").alias("e")).where("p is not null")
-    m = m.select("stream", "frame", images.ssim(F.col("p"), F.col("pixels")).alias("ssim"), images.hamming(F.col("h"), F.col("hash")).alias("distance"), F.abs(F.col("entropy") - F.col("e")).alias("entropy_delta"))
+    """Consecutive frames of a stream that differ: stream, frame, ssim, distance, entropy_delta, change_type, confidence.
+
+    Frames are dealt out by stream and compared in order, whole batches in numpy; no window carries pixels. Frames without
+    pixels are left out, and one of another size than the one before it isn't compared.
+    """
+    f = frames.select("stream", F.col("frame").cast("long").alias("frame"), F.col("pixels").cast("array<int>").alias("pixels"))
+    schema = f.select("stream", "frame").schema.add("ssim", "double").add("distance", "integer").add("entropy_delta", "double")
+    m = f.repartition("stream").sortWithinPartitions("stream", "frame").mapInArrow(_compared, schema)
     low, far = F.col("ssim") < 0.8, F.col("distance")
     kind = F.when(low & (far > 20), "cut").when(low & (F.col("entropy_delta") > 0.2), "content_change").when(low, "fade").when(far > 10, "motion").when(F.col("entropy_delta") > 0.1, "content_change")
     sure = F.least(F.lit(1.0), 0.5 * (1 - F.col("ssim")) + 0.3 * F.least(F.lit(1.0), far / 64) + 0.2 * F.least(F.lit(1.0), F.col("entropy_delta") / 8))
@@ -85,18 +119,50 @@ def inferred_clicks(samples: DataFrame) -> DataFrame:
     return s.where(rest & (F.hypot(F.col("__x") - F.col("x"), F.col("__y") - F.col("y")) > 10)).drop("__last", "__x", "__y")
 
 
-def trails(samples: DataFrame, window_ms: int = 86_400_000 * 30) -> DataFrame:
-    """Over the samples of the last window_ms: points, path length, speed per second, linearity, turns of over 30 degrees."""
-    w = Window.partitionBy("stream").orderBy("ms", "seq")
+def trails(samples: DataFrame, window_ms: int = 1000, history: int = 5, least: float = 0.64) -> DataFrame:
+    """The movement over the last window_ms at each sample: points, path length, speed per second, turns of over 30 degrees
+    between steps of over 1 px, linearity, kind and confidence. Emitted for three points or more over some time, once the
+    stream has `history` samples, if the confidence is `least` or more. Thresholds are fixed values.
+
+    The window is a second of samples, so what a row collects is bounded by the rate of sampling.
+    """
     last = Window.partitionBy("stream").orderBy("ms").rangeBetween(-window_ms, 0)
-    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    s = samples.withColumn("step", F.coalesce(F.hypot(dx, dy), F.lit(0.0))).withColumn("angle", F.when(F.col("step") > 1, F.degrees(F.atan2(dy, dx))))
-    earlier = F.last("angle", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    turn = F.abs(F.col("angle") - earlier)
-    s = s.withColumn("turns", F.when(F.least(turn, 360 - turn) > 30, 1).otherwise(0))
-    s = s.select("stream", "ms", "seq", F.count("*").over(last).alias("points"), F.sum("step").over(last).alias("path"), F.sum("turns").over(last).alias("turns"), (F.col("ms") - F.min("ms").over(last)).alias("ms_span"),
-                 F.hypot(F.col("x") - F.first("x").over(last), F.col("y") - F.first("y").over(last)).alias("direct"))
-    return s.where("points >= 3 and ms_span > 0").withColumn("speed", F.col("path") / (F.col("ms_span") / 1000)).withColumn("linearity", F.when(F.col("path") > 0, F.col("direct") / F.col("path")).otherwise(0.0))
+    number = F.row_number().over(Window.partitionBy("stream").orderBy("ms", "seq"))
+    point = F.struct("ms", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    s = samples.select("stream", "ms", "seq", number.alias("number"), F.array_sort(F.collect_list(point).over(last)).alias("at"))
+    s = s.withColumn("points", F.size("at")).withColumn("ms_span", F.col("ms") - F.col("at")[0]["ms"])
+    s = s.where((F.col("points") >= 3) & (F.col("ms_span") > 0) & (F.col("number") >= history))
+
+    def step(state: Column, p: Column) -> Column:
+        dx, dy = p["x"] - state["p"]["x"], p["y"] - state["p"]["y"]
+        moved, angle = (F.abs(dx) > 1) | (F.abs(dy) > 1), F.atan2(dy, dx)
+        apart = F.abs(angle - state["angle"])
+        turned = moved & state["angle"].isNotNull() & (F.least(apart, 2 * math.pi - apart) > math.pi / 6)
+        return F.struct(
+            p.alias("p"), F.when(moved, angle).otherwise(state["angle"]).alias("angle"), (state["turns"] + F.when(turned, 1).otherwise(0)).alias("turns"),
+            (state["path"] + F.hypot(dx, dy)).alias("path"), (state["gaps"] + F.when(p["ms"] - state["p"]["ms"] > 500, 1).otherwise(0)).alias("gaps"))
+
+    start = F.struct(F.col("at")[0].alias("p"), F.lit(None).cast("double").alias("angle"), F.lit(0).alias("turns"), F.lit(0.0).alias("path"), F.lit(0).alias("gaps"))
+    s = s.withColumn("way", F.aggregate(F.slice("at", 2, F.size("at") - 1), start, step)).select("*", "way.turns", "way.path", "way.gaps")
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.col("points")
+    s = s.withColumn("cx", mean(F.transform("at", lambda p: p["x"]))).withColumn("cy", mean(F.transform("at", lambda p: p["y"])))
+    s = s.withColumn("radii", F.transform("at", lambda p: F.hypot(p["x"] - F.col("cx"), p["y"] - F.col("cy")))).withColumn("radius", mean(F.col("radii")))
+    s = s.withColumn("spread", mean(F.transform("radii", lambda r: (r - F.col("radius")) * (r - F.col("radius")))))
+    direct = F.hypot(F.col("way.p.x") - F.col("at")[0]["x"], F.col("way.p.y") - F.col("at")[0]["y"])
+    s = s.withColumn("speed", F.col("path") * 1000 / F.col("ms_span")).withColumn("linearity", F.when(F.col("path") > 0, direct / F.col("path")).otherwise(0.0))
+    ratio = F.col("turns") / F.col("points")
+    circular = (F.col("points") >= 8) & (F.col("radius") > 20) & (F.col("spread") < F.pow(0.3 * F.col("radius"), F.lit(2)))
+    kind = F.when(F.col("path") < 10, "stationary").when((F.col("linearity") > 0.9) & (ratio < 0.1), "linear").when(ratio > 0.5, "erratic").when(circular, "circular").otherwise("curved")
+    less = lambda test, by: F.when(test, by).otherwise(1.0)
+    sure = less(F.col("points") < 5, 0.7) * less(F.col("path") < 20, 0.8) * less(F.col("ms_span") < 100, 0.6) * F.pow(F.lit(0.9), F.col("gaps"))
+    s = s.withColumn("kind", kind).withColumn("confidence", sure).where(F.col("confidence") >= least)
+    return s.select("stream", "ms", "seq", "points", "ms_span", "path", "turns", "speed", "linearity", "kind", "confidence")
+
+
+def tab_changes(samples: DataFrame, least_us: int = 100_000, confidence: float = 0.8) -> DataFrame:
+    """Changes of application or tab (columns app_name, tab), at least so long after the sample before, a tenth less sure
+    than other changes."""
+    return changes(samples, ("app_name", "tab"), least_us).withColumn("confidence", F.lit(confidence * 0.9))
 
 
 def changes(samples: DataFrame, columns: tuple[str, ...], least_us: int = 100_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .evidence import in_sessions
 from .sequences import transition_scores
 
 #: Importance of an event's type, and seconds a playbook step of it takes.
@@ -59,11 +60,14 @@ def outcomes(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("outcomes", found)
 
 
-def continuity(spans: DataFrame, preceding: DataFrame, following: DataFrame) -> DataFrame:
-    """Per span the mean of what is known of: nearness of the span before (1 h) and after (30 min), likeness of their tags."""
-    near = lambda df, within, name: df.groupBy(F.col("a_span_id").alias("span_id")).agg(F.max(1 - F.col("gap") / within).alias(name), F.avg(F.size(F.array_intersect("a_tags", "b_tags")) / F.size(F.array_union("a_tags", "b_tags"))).alias(f"{name}_tags"))
-    j = spans.join(near(preceding, 3600.0 * 24, "before"), "span_id", "left").join(near(following, 1800.0 * 48, "after"), "span_id", "left")
-    parts = F.filter(F.array("before", "after", "before_tags", "after_tags"), lambda p: p.isNotNull())
+def continuity(spans: DataFrame, preceding: DataFrame, following: DataFrame, before_s: float = 3600.0, after_s: float = 1800.0) -> DataFrame:
+    """Per span the mean of what is known of: nearness of the span before (an hour) and after (half an hour), and likeness of
+    their titles' keywords; 0 if nothing is."""
+    x, y = text.keywords(F.col("a_title")), text.keywords(F.col("b_title"))
+    like = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    near = lambda df, within, name: df.groupBy(F.col("a_span_id").alias("span_id")).agg(F.greatest(F.lit(0.0), F.max(1 - F.col("gap") / within)).alias(name), F.avg(like).alias(f"{name}_words"))
+    j = spans.join(near(preceding, before_s, "before"), "span_id", "left").join(near(following, after_s, "after"), "span_id", "left")
+    parts = F.array_compact(F.array("before", "after", "before_words", "after_words"))
     return j.withColumn("continuity", F.when(F.size(parts) > 0, F.round(F.aggregate(parts, F.lit(0.0), lambda a, p: a + p) / F.size(parts), 6)).otherwise(0.0))
 
 
@@ -82,11 +86,15 @@ def workflow_phase(session_type: Column, before: Column, after: Column) -> Colum
 
 def correlated_frames(grouped: DataFrame, sessions: DataFrame, keys: tuple[str, ...], frames: DataFrame, within_us: int = 300_000_000, most: int = 10) -> DataFrame:
     """Frames inside a session scored by the nearest event (0.4), the app (0.3), the transition (0.2), sorted; top 10."""
-    f = transition_scores(frames).select(F.col("event_id").alias("frame_id"), "stream", F.col("us").alias("frame_us"), F.col("app_name").alias("frame_app"), "transition")
-    s = sessions.select(*keys, "start_us", "end_us", "primary_app")
-    inside = s.join(f, "stream").where(F.col("frame_us").between(F.col("start_us"), F.col("end_us")))
-    e = grouped.select(*keys, F.col("us").alias("event_us"))
-    near = inside.join(e, list(keys)).groupBy(*keys, "frame_id", "frame_us", "frame_app", "transition", "primary_app").agg(F.min(F.abs(F.col("frame_us") - F.col("event_us"))).alias("apart"))
+    f = transition_scores(frames).select("stream", "us", F.col("event_id").alias("frame_id"), F.col("app_name").alias("frame_app"), "transition")
+    inside = in_sessions(sessions.select(*keys, "start_us", "end_us", "primary_app"), f, keys)
+    # the nearest event is the last before or the first after: a window of each session, not a product of its rows
+    e = grouped.select(*keys, "us", F.col("us").alias("event_us"))
+    w = Window.partitionBy(*keys).orderBy("us")
+    before = F.last("event_us", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("event_us", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    both = inside.unionByName(e, allowMissingColumns=True).withColumn("apart", F.least(F.col("us") - before, after - F.col("us")))
+    near = both.where("frame_id is not null and apart is not null").select(*keys, "frame_id", "frame_app", "transition", "primary_app", "apart")
     score = 0.4 * F.greatest(F.lit(0.0), 1 - F.col("apart") / within_us) + F.when(F.col("frame_app") == F.col("primary_app"), 0.3).otherwise(0.0) + 0.2 * F.col("transition")
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "frame_id")
     out = near.withColumn("score", F.round(score, 6)).where("score >= 0.5").withColumn("rank", F.row_number().over(w))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import joins, kernels, sequences
 from ..sources import adapters as A
 from .registry import query
@@ -25,7 +26,15 @@ def grouped(spark, d):
     return sequences.islands(A.events(spark, d), GAP)
 
 
-@query("w1_scene_changes")
+PIXELS = """l AS (SELECT stream, frame, pixels AS q, lag(pixels) OVER (PARTITION BY stream ORDER BY frame) AS p FROM fr), k AS (SELECT *, list_avg(p) AS mp, list_avg(q) AS mq FROM l WHERE p IS NOT NULL),
+v AS (SELECT *, list_sum(list_transform(p, lambda x: (x - mp) * (x - mp))) / 63 AS vp, list_sum(list_transform(q, lambda x: (x - mq) * (x - mq))) / 63 AS vq, list_sum(list_transform(range(1, 65), lambda i: (p[i] - mp) * (q[i] - mq))) / 63 AS cov,
+ list_sum(list_transform(range(1, 65), lambda i: ((p[i] > floor(mp)) <> (q[i] > floor(mq)))::INT))::INT AS distance, list_sum(list_transform(list_distinct(p), lambda x: -(len(list_filter(p, lambda y: y = x)) / 64) * log2(len(list_filter(p, lambda y: y = x)) / 64))) AS ep,
+ list_sum(list_transform(list_distinct(q), lambda x: -(len(list_filter(q, lambda y: y = x)) / 64) * log2(len(list_filter(q, lambda y: y = x)) / 64))) AS eq FROM k),
+m AS (SELECT stream, frame, (2 * mp * mq + 6.5025) * (2 * cov + 58.5225) / ((mp * mp + mq * mq + 6.5025) * (vp + vq + 58.5225)) AS ssim, distance, abs(eq - ep) AS delta FROM v),
+c AS (SELECT *, CASE WHEN ssim < 0.8 AND distance > 20 THEN 'cut' WHEN ssim < 0.8 AND delta > 0.2 THEN 'content_change' WHEN ssim < 0.8 THEN 'fade' WHEN distance > 10 THEN 'motion' WHEN delta > 0.1 THEN 'content_change' END AS change_type FROM m)"""
+
+
+@query("w1_scene_changes", f"WITH {FR}, {PIXELS} SELECT stream, frame, round(ssim, 6) AS ssim, distance, round(delta, 6) AS entropy_delta, change_type, round(least(1, 0.5 * (1 - ssim) + 0.3 * least(1, distance / 64) + 0.2 * least(1, delta / 8)), 6) AS confidence FROM c WHERE change_type IS NOT NULL")
 def w1(spark, d):
     return sequences.scene_changes(A.frames(spark, d)).select("stream", "frame", F.round("ssim", 6).alias("ssim"), "distance", F.round("entropy_delta", 6).alias("entropy_delta"), "change_type", F.round("confidence", 6).alias("confidence"))
 
@@ -35,7 +44,12 @@ def w2(spark, d):
     return sequences.islands(A.events(spark, d), GAP, most=5).select("event_id", "stream", "island", "chunk")
 
 
-@query("w3_context_split")
+RELATED = " ".join(f"WHEN (type = '{a}' AND was = '{b}') OR (type = '{b}' AND was = '{a}') THEN 0.7" for a, b in text.RELATED_TYPES)
+
+
+@query("w3_context_split", f"""WITH {ISLANDS}, l AS (SELECT *, lag(type) OVER w AS was, lag(us) OVER w AS was_us FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
+s AS (SELECT *, CASE WHEN was IS NOT NULL THEN (CASE WHEN type = was THEN 1 {RELATED} ELSE 0 END + 1 + greatest(0, 1 - (us - was_us) / {GAP}) + 1) / 4 END AS similarity FROM l)
+SELECT event_id, stream, island::BIGINT AS island, round(similarity, 6) AS similarity, sum(CASE WHEN similarity >= 0.7 THEN 0 ELSE 1 END) OVER (PARTITION BY stream, island ORDER BY us, event_id)::BIGINT AS context FROM s""")
 def w3(spark, d):
     return sequences.context_split(A.events(spark, d), GAP).select("event_id", "stream", "island", F.round("similarity", 6).alias("similarity"), "context")
 
@@ -50,23 +64,44 @@ def w5(spark, d):
     return sequences.movements(A.cursor(spark, d)).select("stream", "seq", F.round("distance", 4).alias("distance"))
 
 
-@query("w6_trails")
+TRAILS = f"""{CU}, nu AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms, seq) AS number FROM cu), wi AS (SELECT a.stream, a.ms AS now, a.seq AS own, a.number, b.ms, b.seq, b.x::DOUBLE AS x, b.y::DOUBLE AS y FROM nu a JOIN nu b ON a.stream = b.stream AND b.ms BETWEEN a.ms - 1000 AND a.ms),
+st AS (SELECT *, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy, ms - lag(ms) OVER o AS gap, avg(x) OVER (PARTITION BY stream, now, own) AS cx, avg(y) OVER (PARTITION BY stream, now, own) AS cy FROM wi WINDOW o AS (PARTITION BY stream, now, own ORDER BY ms, seq)),
+an AS (SELECT *, CASE WHEN abs(dx) > 1 OR abs(dy) > 1 THEN atan2(dy, dx) END AS angle, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS radius FROM st),
+wa AS (SELECT *, abs(angle - last_value(angle IGNORE NULLS) OVER (PARTITION BY stream, now, own ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS apart FROM an),
+tr AS (SELECT stream, now AS ms, own AS seq, max(number) AS number, count(*) AS points, max(ms) - min(ms) AS ms_span, sum(sqrt(dx * dx + dy * dy)) AS path, count(*) FILTER (least(apart, 2 * pi() - apart) > pi() / 6) AS turns, count(*) FILTER (gap > 500) AS gaps,
+ sqrt((arg_max(x, (ms, seq)) - arg_min(x, (ms, seq))) ** 2 + (arg_max(y, (ms, seq)) - arg_min(y, (ms, seq))) ** 2) AS direct, avg(radius) AS r, var_pop(radius) AS spread FROM wa GROUP BY 1, 2, 3),
+li AS (SELECT *, CASE WHEN path > 0 THEN direct / path ELSE 0 END AS linearity, (CASE WHEN points < 5 THEN 0.7 ELSE 1 END * CASE WHEN path < 20 THEN 0.8 ELSE 1 END * CASE WHEN ms_span < 100 THEN 0.6 ELSE 1 END)::DOUBLE * pow(0.9, gaps) AS confidence FROM tr WHERE points >= 3 AND ms_span > 0 AND number >= 5)"""
+
+
+@query("w6_trails", f"""WITH {TRAILS} SELECT stream, seq, points::INT AS points, round(path, 4) AS path, turns::INT AS turns, round(path * 1000 / ms_span, 4) AS speed, round(linearity, 6) AS linearity,
+ CASE WHEN path < 10 THEN 'stationary' WHEN linearity > 0.9 AND turns / points < 0.1 THEN 'linear' WHEN turns / points > 0.5 THEN 'erratic' WHEN points >= 8 AND r > 20 AND spread < pow(0.3 * r, 2) THEN 'circular' ELSE 'curved' END AS kind, round(confidence, 6) AS confidence FROM li WHERE confidence >= 0.64""")
 def w6(spark, d):
-    return sequences.trails(A.cursor(spark, d)).select("stream", "seq", "points", F.round("path", 4).alias("path"), "turns", F.round("speed", 6).alias("speed"), F.round("linearity", 6).alias("linearity"))
+    t = sequences.trails(A.cursor(spark, d))
+    return t.select("stream", "seq", "points", F.round("path", 4).alias("path"), "turns", F.round("speed", 4).alias("speed"), F.round("linearity", 6).alias("linearity"), "kind", F.round("confidence", 6).alias("confidence"))
 
 
-@query("w7_inferred_clicks")
+@query("w7_inferred_clicks", f"""WITH {CU}, sl AS (SELECT * REPLACE (floor(x / 500) * 500 AS x, floor(y / 60) * 60 AS y) FROM cu), la AS (SELECT *, list(struct_pack(x := x, y := y)) OVER (PARTITION BY stream ORDER BY ms, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS near, lag(x, 6) OVER w AS x6, lag(y, 6) OVER w AS y6 FROM sl WINDOW w AS (PARTITION BY stream ORDER BY ms, seq))
+SELECT stream, seq, x::DOUBLE AS x, y::DOUBLE AS y FROM la WHERE len(near) = 5 AND len(list_filter(near, lambda p: sqrt((p.x - la.x) ** 2 + (p.y - la.y) ** 2) > 5)) = 0 AND sqrt((x6 - x) ** 2 + (y6 - y) ** 2) > 10""")
 def w7(spark, d):
-    slow = A.cursor(spark, d).withColumn("x", F.floor(F.col("x") / 500) * 500).withColumn("y", F.floor(F.col("y") / 60) * 60)
+    # cursors at hand never rest: their places are taken by cells of 500 by 60
+    slow = A.cursor(spark, d).withColumn("x", (F.floor(F.col("x") / 500) * 500).cast("double")).withColumn("y", (F.floor(F.col("y") / 60) * 60).cast("double"))
     return sequences.inferred_clicks(slow).select("stream", "seq", "x", "y")
 
 
+@query("w9_tab_changes", f"WITH {EV}, l AS (SELECT event_id, app_name || ' ' || type AS tab, lag(app_name || ' ' || type) OVER w AS was_tab, us - lag(us) OVER w AS after_us FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)) SELECT event_id, was_tab, tab, 0.72::DOUBLE AS confidence FROM l WHERE tab IS DISTINCT FROM was_tab AND after_us >= 100000")
+def w9(spark, d):
+    e = A.events(spark, d).withColumn("tab", F.concat_ws(" ", "app_name", "type"))
+    return sequences.tab_changes(e).select("event_id", "was_tab", "tab", F.round("confidence", 6).alias("confidence"))
+
+
 @query("w8_window_changes", f"WITH {EV}, l AS (SELECT *, lag(type) OVER w AS was_type, us - lag(us) OVER w AS after_us FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)) SELECT event_id, stream, was_type, type, after_us FROM l WHERE type IS DISTINCT FROM was_type AND after_us >= 100000")
 def w8(spark, d):
     return sequences.changes(A.events(spark, d), ("type",)).select("event_id", "stream", "was_type", "type", "after_us")
 
 
-@query("w10_focus_changes")
+@query("w10_focus_changes", f"""WITH RECURSIVE {EV}, n AS (SELECT stream, event_id, us, type, row_number() OVER (PARTITION BY stream ORDER BY us, event_id) AS k FROM ev),
+r AS (SELECT stream, k, event_id, us, type AS app, us AS at, NULL::VARCHAR AS from_app FROM n WHERE k = 1 UNION ALL SELECT n.stream, n.k, n.event_id, n.us, CASE WHEN n.type <> r.app AND n.us - r.at >= {HOUR} THEN n.type ELSE r.app END, CASE WHEN n.type <> r.app AND n.us - r.at >= {HOUR} THEN n.us ELSE r.at END,
+ CASE WHEN n.type <> r.app AND n.us - r.at >= {HOUR} THEN r.app END FROM r JOIN n ON n.stream = r.stream AND n.k = r.k + 1) SELECT stream, event_id, us, from_app, app AS to_app FROM r WHERE from_app IS NOT NULL""")
 def w10(spark, d):
     e = A.events(spark, d).withColumn("app_name", F.col("type"))
     return kernels.focus_changes(e.select("stream", "event_id", "us", "app_name"), HOUR)
@@ -102,7 +137,9 @@ def w22(spark, d):
     return kernels.clusters(A.regions(spark, d)).select("stream", "frame", "idx", "cluster")
 
 
-@query("w23_tables")
+@query("w23_tables", f"""WITH RECURSIVE {RG}, n AS (SELECT stream, frame, idx, x, y, text, row_number() OVER (PARTITION BY stream, frame ORDER BY y, x, idx) AS k FROM rg),
+r AS (SELECT stream, frame, k, y AS top, 0 AS line FROM n WHERE k = 1 UNION ALL SELECT n.stream, n.frame, n.k, CASE WHEN abs(n.y - r.top) <= 10 THEN r.top ELSE n.y END, CASE WHEN abs(n.y - r.top) <= 10 THEN r.line ELSE r.line + 1 END FROM r JOIN n ON n.stream = r.stream AND n.frame = r.frame AND n.k = r.k + 1),
+c AS (SELECT n.stream, n.frame, line, text, row_number() OVER (PARTITION BY n.stream, n.frame, line ORDER BY x, n.k) - 1 AS col FROM r JOIN n USING (stream, frame, k)) SELECT c.stream, c.frame, c.line AS "row", c.col::INT AS "column", coalesce(h.text, 'Column ' || (c.col + 1)) AS header, c.text FROM c LEFT JOIN c h ON h.stream = c.stream AND h.frame = c.frame AND h.line = 0 AND h.col = c.col""")
 def w23(spark, d):
     return kernels.tables(A.regions(spark, d))
 
@@ -151,6 +188,21 @@ def j4(spark, d):
     return joins.spatial_links(A.cursor(spark, d), 15.0).select("a_seq", "b_seq", F.round("distance", 4).alias("distance"))
 
 
+#: Places on a screen for events, by their ids; data entered changes a field.
+PLACED = f"{EV}, pl AS (SELECT * REPLACE (CASE type WHEN 'data_entry' THEN 'field_change' ELSE type END AS type), (event_id * 37 % 120)::DOUBLE AS x, (event_id * 53 % 90)::DOUBLE AS y FROM ev)"
+
+
+def placed(spark, d):
+    e = A.events(spark, d).withColumn("type", F.when(F.col("type") == "data_entry", "field_change").otherwise(F.col("type")))
+    return e.withColumn("x", (F.col("event_id") * 37 % 120).cast("double")).withColumn("y", (F.col("event_id") * 53 % 90).cast("double"))
+
+
+@query("j4_typed_spatial_links", f"""WITH {PLACED}, p AS (SELECT a.stream, a.event_id AS a_id, b.event_id AS b_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, (a.confidence + b.confidence) / 2 AS c FROM pl a JOIN pl b ON a.stream = b.stream AND (a.us < b.us OR (a.us = b.us AND a.event_id < b.event_id)) WHERE a.type IN ('click', 'cursor_movement') AND b.type = 'field_change')
+SELECT stream, a_id, b_id, round(0.7 * (1 - distance / 50) + 0.3 * c, 6) AS confidence FROM p WHERE distance <= 50 AND 0.7 * (1 - distance / 50) + 0.3 * c >= 0.6""")
+def j4_typed(spark, d):
+    return joins.typed_spatial_links(placed(spark, d)).select("stream", "a_id", "b_id", F.round("confidence", 6).alias("confidence"))
+
+
 @query("j5_causal_links", f"""WITH {EV}, n AS (SELECT *, lead(event_id) OVER w AS next_id, lead(type) OVER w AS nt, lead(us) OVER w AS nu, lead(confidence) OVER w AS nc FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)),
  c AS (SELECT event_id, next_id, 0.5 * CASE WHEN type || '>' || nt IN ('click>navigation','navigation>form_submission','form_submission>error_display','data_entry>form_submission','click>error_display') THEN 0.9 ELSE 0.5 END + 0.3 * greatest(0, 1 - (nu - us) / {4 * HOUR}) + 0.2 * (confidence + nc) / 2 AS causal FROM n WHERE next_id IS NOT NULL) SELECT event_id, next_id, round(causal, 6) AS causal FROM c WHERE causal >= 0.6""")
 def j5(spark, d):
@@ -218,6 +270,6 @@ def p1(spark, d):
     return e.select("stream", "frame", "idx", "target", F.round("confidence", 6).alias("confidence"))
 
 
-@query("p2_data_entry_events")
+@query("p2_data_entry_events", f"WITH {NUMBERED} SELECT stream, frame, idx, round(confidence * 0.8, 6) AS confidence FROM nb WHERE seq > 1 AND NOT EXISTS (SELECT 1 FROM io WHERE io.stream = nb.stream AND io.seq = nb.seq AND io.idx = nb.idx AND iou >= 0.3) AND (regexp_matches(lower(text), 'enter|input|select|choose|@') OR right(text, 1) = ':' OR regexp_matches(text, '^[0-9]*$')) AND confidence * 0.8 >= 0.6")
 def p2(spark, d):
     return joins.data_entry_events(numbered(spark, d)).select("stream", "frame", "idx", F.round("confidence", 6).alias("confidence"))

@@ -58,11 +58,19 @@ def a13(spark, d):
     return summaries.evidence(told(spark, d), grouped(spark, d), KEYS)
 
 
-@query("a12_continuity")
+DAY = 86_400
+CONTINUITY = f"""{SP}, kw AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]'), lambda w: length(w) > 2)) AS words FROM sp),
+pr AS (SELECT a.span_id, a.t_start - b.t_end AS gap, len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) AS alike FROM kw a JOIN kw b ON a.stream = b.stream AND b.t_end BETWEEN a.t_start - {4 * WEEK} AND a.t_start AND a.span_id <> b.span_id QUALIFY row_number() OVER (PARTITION BY a.span_id ORDER BY a.t_start - b.t_end, b.span_id) <= 5),
+fo AS (SELECT a.span_id, b.t_start - a.t_end AS gap, len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) AS alike FROM kw a JOIN kw b ON a.stream = b.stream AND b.t_start BETWEEN a.t_end AND a.t_end + {2 * WEEK} AND a.span_id <> b.span_id QUALIFY row_number() OVER (PARTITION BY a.span_id ORDER BY b.t_start - a.t_end, b.span_id) <= 5),
+g AS (SELECT span_id, greatest(0, max(1 - gap / {DAY})) AS near, avg(alike) AS alike FROM pr GROUP BY 1), h AS (SELECT span_id, greatest(0, max(1 - gap / {DAY})) AS near, avg(alike) AS alike FROM fo GROUP BY 1)"""
+
+
+@query("a12_continuity", f"WITH {CONTINUITY} SELECT span_id, round(coalesce(list_avg(list_filter([g.near, h.near, g.alike, h.alike], lambda x: x IS NOT NULL)), 0), 6) AS continuity FROM sp LEFT JOIN g USING (span_id) LEFT JOIN h USING (span_id)")
 def a12(spark, d):
+    # spans at hand are days long and days apart: a day stands for the hour and the half hour
     s = A.spans(spark, d)
     before, after = joins.asof_nearest(s, s, 4 * WEEK, 5, forward=False), joins.asof_nearest(s, s, 2 * WEEK, 5, forward=True)
-    return summaries.continuity(s, before, after).select("span_id", "continuity")
+    return summaries.continuity(s, before, after, DAY, DAY).select("span_id", "continuity")
 
 
 @query("r3_workflow_phases", f"WITH {SESSIONS} SELECT stream, island::BIGINT AS island, CASE session_type WHEN 'data_entry' THEN 'data_entry' WHEN 'form_filling' THEN 'form_initiation' WHEN 'navigation' THEN 'navigation' WHEN 'research' THEN 'information_gathering' WHEN 'communication' THEN 'communication' WHEN 'development' THEN 'development' ELSE 'mixed_activity' END AS phase FROM se")
@@ -71,17 +79,27 @@ def r3(spark, d):
     return told(spark, d).select(*KEYS, summaries.workflow_phase(F.col("session_type"), none, none).alias("phase"))
 
 
-@query("w16_correlated_frames")
+@query("w16_correlated_frames", f"""WITH {SESSIONS}, ts AS (SELECT event_id, stream, us, app_name, CASE WHEN a <> app_name THEN 0.5 WHEN a = app_name AND t <> target THEN 0.3 ELSE 0 END + CASE WHEN us - u > 5000000 THEN 0.2 ELSE 0 END AS transition FROM (SELECT *, lag(app_name) OVER w AS a, lag(target) OVER w AS t, lag(us) OVER w AS u FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id))),
+n AS (SELECT se.stream, se.island, ts.event_id AS frame_id, any_value(transition) AS transition, any_value(ts.app_name) AS app, any_value(primary_app) AS own, min(abs(ts.us - isl.us)) AS apart FROM se JOIN ts ON ts.stream = se.stream AND ts.us BETWEEN start_us AND end_us JOIN isl ON isl.stream = se.stream AND isl.island = se.island GROUP BY 1, 2, 3),
+sc AS (SELECT *, (0.4 * greatest(0, 1 - apart / 300000000) + CASE WHEN app = own THEN 0.3 ELSE 0 END + 0.2 * transition)::DOUBLE AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY stream, island ORDER BY round(score, 6) DESC, frame_id) AS rank FROM sc WHERE round(score, 6) >= 0.5)
+SELECT stream, island::BIGINT AS island, frame_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def w16(spark, d):
     return summaries.correlated_frames(grouped(spark, d), told(spark, d), KEYS, A.events(spark, d))
 
 
-@query("w20_playbook_steps")
+SAID = " ".join(f"WHEN '{k}' THEN '{v.removesuffix('%s')}'" + (" || target" if v.endswith("%s") else "") for k, v in summaries.SENTENCES.items())
+TAKES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in summaries.STEP_SECONDS.items())
+STEPS = f"""{ISLANDS}, l AS (SELECT *, CASE WHEN type IN ('data_entry', 'field_change') AND type = lag(type) OVER w AND target = lag(target) OVER w THEN 0 ELSE 1 END AS new_step FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
+nu AS (SELECT *, sum(new_step) OVER (PARTITION BY stream, island ORDER BY us, event_id) AS step FROM l), sp AS (SELECT stream, island::BIGINT AS island, step::BIGINT AS step, any_value(type) AS type, any_value(target) AS target, count(*) AS n FROM nu GROUP BY 1, 2, 3 HAVING step <= 50),
+ps AS (SELECT *, (n * CASE type {TAKES} ELSE 3.0 END)::DOUBLE AS seconds, CASE type {SAID} ELSE 'Acted' END AS instruction FROM sp)"""
+
+
+@query("w20_playbook_steps", f"WITH {STEPS} SELECT stream, island, step, type, n, seconds, instruction FROM ps")
 def w20(spark, d):
     return summaries.playbook_steps(grouped(spark, d), KEYS).select(*KEYS, "step", "type", "n", "seconds", "instruction")
 
 
-@query("r15_playbooks")
+@query("r15_playbooks", f"""WITH {STEPS} SELECT stream, island, count(*) AS n_steps, sum(seconds) AS seconds, CASE WHEN count(*) < 10 AND sum(seconds) < 300 THEN 'easy' WHEN count(*) < 25 THEN 'medium' ELSE 'hard' END AS difficulty, string_agg(step || '. ' || instruction, chr(10) ORDER BY step) AS markdown FROM ps GROUP BY 1, 2""")
 def r15(spark, d):
     return summaries.playbooks(summaries.playbook_steps(grouped(spark, d), KEYS), KEYS).select(*KEYS, "n_steps", "seconds", "difficulty", "markdown")
 

@@ -84,12 +84,12 @@ VISITS_SQL = """vs AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?
 
 
 def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cursor samples: stream (the supplier), ms, seq, x, y, from line items in shipping order."""
+    """Cursor samples: stream (the supplier), ms, seq, x, y, from line items in shipping order, a day being 20 ms."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select(F.col("l_suppkey").alias("stream"), (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ms"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_quantity") * 20).alias("x"), (F.col("l_discount") * 1000).alias("y"))
+    return l.select(F.col("l_suppkey").alias("stream"), F.expr("unix_seconds(CAST(l_shipdate AS TIMESTAMP)) div 86400 * 20").alias("ms"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_quantity") * 20).alias("x"), (F.col("l_discount") * 1000).alias("y"))
 
 
-CURSOR_SQL = """cu AS (SELECT l_suppkey AS stream, epoch(l_shipdate)::BIGINT * 1000 AS ms, l_orderkey * 10 + l_linenumber AS seq, l_quantity * 20 AS x, l_discount * 1000 AS y FROM lineitem)"""
+CURSOR_SQL = """cu AS (SELECT l_suppkey AS stream, epoch(l_shipdate)::BIGINT // 86400 * 20 AS ms, l_orderkey * 10 + l_linenumber AS seq, l_quantity * 20 AS x, l_discount * 1000 AS y FROM lineitem)"""
 
 
 SCREEN_APPS = ("Terminal", "Safari", "Jira", "Salesforce", "Word", "Slack", "Notion", "Asana", "Finder")
