@@ -150,3 +150,20 @@ def audit_statistics(audit: DataFrame) -> DataFrame:
         F.struct(F.lit("type").alias("by"), F.col("event_type").alias("value")), F.struct(F.lit("severity").alias("by"), F.col("severity").alias("value")), F.struct(F.lit("source").alias("by"), F.col("source_component").alias("value")))
     kinds = F.transform("pii_types", lambda k: F.struct(F.lit("pii").alias("by"), k.alias("value")))
     return audit.select(F.explode(F.concat(parts, kinds)).alias("p")).groupBy("p.by", "p.value").agg(F.count("*").alias("n"))
+
+
+def retained(audit: DataFrame, as_of_us: int, days: int = 90) -> DataFrame:
+    """Audit rows of the last days; older ones are to go."""
+    return audit.where(F.col("us") >= as_of_us - days * 86_400_000_000)
+
+
+def preview(rows: DataFrame, strategy: str = "partial") -> DataFrame:
+    """rows of matches() as one row a match, with what would stand in its place."""
+    m = rows.select("*", F.explode(without_overlaps(F.col("matches"))).alias("__m"))
+    return m.select(*[c for c in rows.columns if c != "matches"], F.col("__m.kind").alias("kind"), F.col("__m.match").alias("match"), masked(F.col("__m.match"), F.col("__m.kind"), strategy).alias("masked"))
+
+
+def holds_any(rows: DataFrame, kinds: tuple[str, ...] | None = None) -> Column:
+    """Whether a row of matches() has a match (of the kinds): contains, needs masking."""
+    found = F.transform("matches", lambda m: m["kind"])
+    return F.size(found) > 0 if kinds is None else F.arrays_overlap(found, F.array(*map(F.lit, kinds)))
