@@ -75,7 +75,7 @@ def script_language(text: Column) -> Column:
 def minutes(text: Column) -> Column:
     """Minutes of '2h 30m', '2.5h', '30m' or '2:30'."""
     part = lambda p: F.regexp_extract(text, p, 1)
-    number = lambda p: F.coalesce(F.expr("try_cast(NULL AS double)"), F.when(part(p) != "", part(p).cast("double")))
+    number = lambda p: F.when(part(p) != "", part(p).cast("double"))
     hours, mins = number(r"(\d+(?:\.\d+)?)\s*h"), number(r"(\d+)\s*m")
     clock = F.when(text.rlike(r"^\s*\d+:\d{2}\s*$"), number(r"^\s*(\d+):") * 60 + number(r":(\d{2})"))
     return F.coalesce(clock, F.when(hours.isNotNull() | mins.isNotNull(), F.coalesce(hours * 60, F.lit(0.0)) + F.coalesce(mins, F.lit(0.0))))

@@ -178,7 +178,8 @@ def e20(spark, d):
     return A.regions(spark, d).select("frame", "idx", F.round(G.layout_score(G.box()), 6).alias("score"))
 
 
-@query("e21_script_language")
+@query("e21_script_language", f"""WITH {RG} SELECT frame, idx, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh-Hans' WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja-JP' WHEN regexp_matches(text, '[가-힣]') THEN 'ko-KR' WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de-DE' WHEN regexp_matches(text, '[àâçéèêëîïôûùÀÂÇÉÈÊËÎÏÔÛÙ]') THEN 'fr-FR' WHEN regexp_matches(text, '[ñáíóúÑÁÍÓÚ¿¡]') THEN 'es-ES' WHEN regexp_matches(text, '[ìò]') THEN 'it-IT' ELSE 'en-US' END AS script,
+ round(least(greatest(0.5 + CASE WHEN length(text) > 10 THEN 0.1 ELSE 0 END + CASE WHEN length(text) > 50 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)[aeiou]') AND regexp_matches(text, '(?i)[bcdfghjklmnpqrstvwxyz]') THEN 0.2 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / greatest(length(text), 1) > 0.3 THEN 0.2 ELSE 0 END, 0), 1)::DOUBLE, 6) AS quality FROM rg""")
 def e21(spark, d):
     return A.regions(spark, d).select("frame", "idx", T.script_language(F.col("text")).alias("script"), F.round(T.quality(F.col("text")), 6).alias("quality"))
 

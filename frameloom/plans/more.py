@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import detection, evidence, joins, kernels, privacy, reports, summaries
 from ..sources import adapters as A
+from .detect import MATCHES
 from .registry import query
 from .sequence import GAP, HOUR, ISLANDS, SESSIONS, grouped
-from .tell import KEYS, told
+from .tell import IMPORTANT, KEYS, told
 
 EV, RG, SP, VS, CU = A.EVENTS_SQL, A.REGIONS_SQL, A.SPANS_SQL, A.VISITS_SQL, A.CURSOR_SQL
 
@@ -99,7 +100,7 @@ def a22(spark, d):
     return A.regions(spark, d).groupBy("processor").agg(F.count("*").alias("n"), F.round(F.avg((F.col("confidence") >= 0.7).cast("double")), 6).alias("success_rate"), F.round(F.avg((F.col("text") == "").cast("double")), 6).alias("empty_rate"))
 
 
-@query("a18_privacy_report")
+@query("a18_privacy_report", f"WITH {MATCHES} SELECT stream, kind, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS sure, round(avg(confidence), 6) AS avg_confidence FROM ma GROUP BY 1, 2")
 def a18(spark, d):
     m = privacy.matches(A.regions(spark, d)).select("stream", F.explode("matches").alias("m"))
     return m.groupBy("stream", "m.kind").agg(F.count("*").alias("n"), F.count_if(F.col("m.confidence") >= 0.8).alias("sure"), F.round(F.avg("m.confidence"), 6).alias("avg_confidence"))
@@ -142,13 +143,24 @@ def w13(spark, d):
     return e.join(e.groupBy("stream").agg(F.max("us").alias("last")), "stream").where(F.col("us") >= F.col("last") - GAP).select("event_id")
 
 
-@query("r12_report_rows")
+NARRATED = f"""{SESSIONS}, k AS (SELECT * FROM isl QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY {IMPORTANT} DESC, confidence DESC, event_id) <= 5),
+t AS (SELECT stream, island, string_agg(CASE type WHEN 'form_submission' THEN 'Submitted form' WHEN 'error_display' THEN 'Encountered error: ' || target WHEN 'navigation' THEN 'Navigated to ' || target WHEN 'data_entry' THEN 'Entered data in ' || target WHEN 'click' THEN 'Clicked on ' || target END, '. ' ORDER BY us, event_id) AS said FROM k GROUP BY 1, 2),
+rr AS (SELECT stream || '-' || island::BIGINT AS session, session_type, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%SZ') AS start, CASE WHEN seconds >= 3600 THEN floor(seconds / 3600)::BIGINT || 'h ' || floor(seconds % 3600 / 60)::BIGINT || 'm ' || floor(seconds % 60)::BIGINT || 's' WHEN seconds >= 60 THEN floor(seconds / 60)::BIGINT || 'm ' || floor(seconds % 60)::BIGINT || 's' ELSE floor(seconds)::BIGINT || 's' END AS duration, n_events, avg_confidence,
+ 'A ' || session_type || ' session of ' || CASE WHEN seconds < 60 THEN 'less than a minute' WHEN seconds < 120 THEN '1 minute' ELSE floor(seconds / 60)::BIGINT || ' minutes' END || ' with ' || n_events || ' events in ' || primary_app || '. ' || said || '.' AS narrative FROM se JOIN t USING (stream, island))"""
+
+
+@query("r12_report_rows", f"WITH {NARRATED} SELECT session, session_type, start, duration, n_events, avg_confidence, narrative FROM rr")
 def r12(spark, d):
     t = told(spark, d).join(summaries.narratives(grouped(spark, d), told(spark, d), KEYS), list(KEYS))
     return reports.rows(t)
 
 
-@query("r13_report_pieces")
+ESCAPED = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+NL = "' || chr(10) || '"
+
+
+@query("r13_report_pieces", f"""WITH {NARRATED}, f AS (SELECT session, unnest([struct_pack(form := 'markdown', text := '## ' || session || ' (' || session_type || '){NL}{NL}* start: ' || start || '{NL}* duration: ' || duration || '{NL}* events: ' || n_events || '{NL}{NL}' || narrative || chr(10)), struct_pack(form := 'html', text := '<section><h2>' || {ESCAPED('session')} || '</h2><p>' || {ESCAPED('duration')} || '</p><p>' || {ESCAPED('narrative')} || '</p></section>'),
+ struct_pack(form := 'csv', text := concat_ws(',', session, session_type, start, duration, n_events, avg_confidence, narrative)), struct_pack(form := 'json', text := '{{"avg_confidence":' || avg_confidence || ',"duration":"' || duration || '","n_events":' || n_events || ',"narrative":"' || narrative || '","session":"' || session || '","session_type":"' || session_type || '","start":"' || start || '"}}')]) AS p FROM rr) SELECT session, p.form AS form, p.text AS text FROM f""")
 def r13(spark, d):
     t = told(spark, d).join(summaries.narratives(grouped(spark, d), told(spark, d), KEYS), list(KEYS))
     return reports.render(t)

@@ -105,9 +105,11 @@ def a25(spark, d):
     return parsers.page_structure(A.table(spark, d, "pages"))
 
 
-@query("x22_amounts")
+@query("x22_amounts", f"""WITH {RG}, f AS (SELECT stream, frame, idx, text, regexp_extract(text, '([$€£¥]\\s*[0-9][0-9,]*(?:\\.[0-9]+)?)', 1) AS sum, regexp_extract(text, '(\\d+)\\s*%', 1) AS p, regexp_extract(text, '(\\d+)\\s*/\\s*(\\d+)', 1) AS a, regexp_extract(text, '(\\d+)\\s*/\\s*(\\d+)', 2) AS b, regexp_extract(text, '(\\d+(?:\\.\\d+)?)\\s*h', 1) AS h, regexp_extract(text, '(\\d+)\\s*m', 1) AS m FROM rg),
+v AS (SELECT stream, frame, idx, try_cast(nullif(regexp_replace(sum, '[^0-9.]', '', 'g'), '') AS DOUBLE) AS value, CASE left(sum, 1) WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN '¥' THEN 'JPY' END AS code, CASE WHEN p <> '' THEN try_cast(p AS INT) WHEN a <> '' AND try_cast(b AS INT) > 0 THEN floor(a::DOUBLE * 100 / b::DOUBLE)::INT END AS percent,
+ CASE WHEN regexp_matches(text, '^\\s*\\d+:\\d{{2}}\\s*$') THEN regexp_extract(text, '^\\s*(\\d+):', 1)::DOUBLE * 60 + regexp_extract(text, ':(\\d{{2}})', 1)::DOUBLE WHEN h <> '' OR m <> '' THEN coalesce(nullif(h, '')::DOUBLE * 60, 0) + coalesce(nullif(m, '')::DOUBLE, 0) END AS minutes FROM f) SELECT stream, frame, idx, value, code, percent, minutes FROM v WHERE code IS NOT NULL OR percent IS NOT NULL OR minutes IS NOT NULL""")
 def x22(spark, d):
-    return parsers.amounts(A.regions(spark, d)).select("stream", "frame", "idx", "money", "percent", "minutes")
+    return parsers.amounts(A.regions(spark, d)).select("stream", "frame", "idx", "money.value", "money.code", "percent", "minutes")
 
 
 FORMS = f"""{PLAIN}, g AS (SELECT *, coalesce((y - lag(y + h) OVER w >= 50)::INT, 0) AS fresh FROM re WINDOW w AS (PARTITION BY stream, frame ORDER BY y, idx)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY stream, frame ORDER BY y, idx) AS form FROM g)"""
