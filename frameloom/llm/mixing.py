@@ -12,8 +12,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Rows that one fold of the rounding goes over, about.
 BLOCK = 128
-#: Units over this share of their source's target meet each other first, and then the others together.
-LARGE = 0.005
+#: Units over each of these shares of their source's target meet each other first, and then all smaller ones together.
+LARGE = (0.1, 0.01, 0.001)
 COLUMNS = ["id", "source", "size", "m", "source_size", "target", "whole", "p", "w", "n_units"]
 
 
@@ -106,9 +106,9 @@ def mix_units(units: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGH
     last unit a source. Units of like size meet: blocks of about BLOCK units are folded, their left-overs form blocks of
     the next level, and so on: a reduction tree whose nodes are all small, however large a source is.
 
-    Units over LARGE of the target go first. The last of them is settled against all the smaller ones at once: these give
-    or take the words that it got more or less than expected, each in proportion to its room both up and down. That is
-    linear in those words, so it changes nobody's expectation; and the last unit of all is a small one.
+    Units go by size, in the classes of LARGE. The last unit of a class is settled against all smaller units at once: these
+    give or take the words that it got more or less than expected, each in proportion to its room both up and down. That
+    is linear in those words, so it changes nobody's expectation; and the last unit of all is a small one.
     """
     per_source = targets(units, weights, most)
     n_units = units.groupBy("source").agg(F.count("*").alias("n_units"))
@@ -121,27 +121,33 @@ def mix_units(units: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGH
     unit = unit.withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
     unit = unit.withColumn("w", F.col("size").cast("double")).drop("copies")
     unit = stored(unit.select(COLUMNS), "mix-units")
-    fractional, large = unit.where("p > 0"), F.col("w") * F.col("m") > F.col("target") * LARGE
-    first = _settled(fractional.where(large), seed)
-    rest = fractional.where(~large)
-    if not first.isEmpty():
-        # what the large units took more or less than expected, the others take less or more
-        owed = first.join(fractional.select("id", "size", F.col("source").alias("of"), F.col("p").alias("was")), ["id", "size"])
-        owed = owed.where(F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum((F.col("was") - F.col("p")) * F.col("w")).alias("owed"))
-        spare = F.least(F.col("p"), 1 - F.col("p"))
-        room = rest.groupBy(F.col("source").alias("in")).agg(F.sum(spare * F.col("w")).alias("room"))
-        # at most one large unit a source is settled by its own draw, so no more is owed than the largest has words
-        most = first.groupBy(F.col("source").alias("big")).agg(F.max("w").alias("most"))
-        shift = owed.join(room, F.col("of").eqNullSafe(F.col("in"))).join(most, F.col("of").eqNullSafe(F.col("big")))
-        shift = shift.select("of", (F.col("owed") / F.greatest("room", "most")).alias("t"))
-        joined = rest.join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
-        moved = F.col("p") + spare * F.coalesce("t", F.lit(0.0))
-        rest = stored(joined.withColumn("p", _clean(moved)).select(COLUMNS), "mix-rest")
-    last = _settled(rest.where("p > 0 and p < 1"), seed + 1000)
-    out = unit.where("p = 0").unionByName(first).unionByName(rest.where("p = 0 or p = 1")).unionByName(last)
+    out, rest = unit.where("p = 0"), unit.where("p > 0")
+    for k, share in enumerate(LARGE):
+        large = F.col("w") * F.col("m") > F.col("target") * share
+        if rest.where(large).isEmpty():
+            continue
+        first = _settled(rest.where(large), seed + 100 * k)
+        out, rest = out.unionByName(first), _given_way(rest.where(large), first, rest.where(~large))
+        out, rest = out.unionByName(rest.where("p = 0 or p = 1")), rest.where("p > 0 and p < 1")
+    out = out.unionByName(_settled(rest, seed + 1000))
     return out.select("id", "source", "size", "m", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("n"))
 
 
+def _given_way(before: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
+    """rest with its parts moved by the words that `first` took more or less than `before`, the same units, had expected."""
+    most = F.max(F.greatest(F.col("p"), 1 - F.col("p")) * F.col("w")).alias("most")
+    words = lambda df: df.groupBy("source").agg(F.sum(F.col("p") * F.col("w")).alias("words"), most)
+    was, now = words(before).select(F.col("source").alias("of"), F.col("words").alias("was"), "most"), words(first).select(F.col("source").alias("by"), F.col("words").alias("now"))
+    spare = F.least(F.col("p"), 1 - F.col("p"))
+    room = rest.groupBy(F.col("source").alias("in")).agg(F.sum(spare * F.col("w")).alias("room"))
+    # one large unit a source at most is settled by its own draw, so no more than `most` is owed
+    owed = was.join(now, F.col("of").eqNullSafe(F.col("by"))).join(room, F.col("of").eqNullSafe(F.col("in")))
+    owed = owed.select("of", ((F.col("was") - F.col("now")) / F.greatest("room", "most")).alias("t"))
+    moved = F.col("p") + spare * F.coalesce("t", F.lit(0.0))
+    joined = rest.join(owed, F.col("source").eqNullSafe(F.col("of")), "left")
+    return stored(joined.withColumn("p", _clean(moved)).select(COLUMNS), "mix-rest")
+
+
 def _settled(left: DataFrame, seed: int) -> DataFrame:
     """left with each p 0 or 1: levels of blocks are folded until a source has one unit open, which its own draw settles."""
     decided, level = [], 0
