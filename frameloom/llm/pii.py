@@ -56,6 +56,7 @@ KINDS = (
     Kind("card", r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", "", lambda m: F.call_function("luhn_check", _digits(m)), r"card|visa|master|credit|karte|carte|tarjeta|pay", 0.8),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", lambda m: F.length(_digits(m)).between(10, 15), r"phone|tel|call|mobile|fax|fon", 0.7),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", _mod97, r"iban|account|konto|compte|cuenta|bank", 0.8, base=False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])", "", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), r"token|secret|key|passw|pwd|credential|bearer|auth", 0.7, base=False, needs_context=True),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", lambda m: F.lit(True), r"ssn|social security", 0.5, base=False, needs_context=True),
 )
 
@@ -128,8 +129,9 @@ def _of(kind: str):
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Per row of find(): id, n_<kind> of each base kind, base_sha256, spans as text, scores as text in the same order."""
-    base = [k.name for k in kinds if k.base]
+    """Per row of find(): id, n_<kind> of each base kind, base_sha256, spans as text, scores as text in the same order, and
+    n_<kind> of the other kinds."""
+    base, added = [k.name for k in kinds if k.base], [k.name for k in kinds if not k.base]
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     own = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select(
@@ -138,4 +140,5 @@ def digest(found: DataFrame, id_col: str = "doc_id", kinds: tuple[Kind, ...] = K
         F.sha2(written(own), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+        *[F.size(F.filter("spans", _of(n))).cast("long").alias(f"n_{n}") for n in added],
     )
