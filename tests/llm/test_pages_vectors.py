@@ -1,7 +1,10 @@
 """Block labelling on made-up pages, and nearest neighbours against brute force."""
 
+import collections
+import html
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -72,6 +75,24 @@ def test_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-4, abs=2e-4)
 
 
+def article(page):
+    """What a reader marks as main text on the table's pages, each of which has one article: its blocks, a blank line apart."""
+    inside = re.search(r"(?s)<article[^>]*>(.*?)</article>", page)[1]
+    blocks = re.split(r"(?i)</?(?:h[1-6]|p|div|ul|ol|li|section|table|tr|td|blockquote)\b[^>]*>", inside)
+    plain = [" ".join(html.unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", b))).split()) for b in blocks]
+    return "\n\n".join(b for b in plain if b)
+
+
+def test_main_text_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in block_labeller.main_text(pages).collect()}
+    want = {r["page_id"]: article(r["html"]) for r in pages.collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want) and len(got) == len(want)
+    words = lambda t: collections.Counter(t.split())
+    both = sum(sum((words(got[k]) & words(want[k])).values()) for k in want)
+    assert both >= 0.99 * max(sum(map(len, map(str.split, want.values()))), sum(map(len, map(str.split, got.values()))))
+
+
 def exact(rows, k=20):
     good = [(i, v) for i, v in rows if i is not None and v and any(v) and all(x is not None and math.isfinite(x) for x in v)]
     wide = max(len(v) for _, v in good)
