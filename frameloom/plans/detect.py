@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import detection, kernels, privacy
 from ..sources import adapters as A
 from .registry import query
+from .sequence import CLUSTERS
 
 RG = A.REGIONS_SQL
 
@@ -44,7 +45,13 @@ def p7(spark, d):
     return detection.frame_gate(A.regions(spark, d))
 
 
-@query("p5_layout_dialogs")
+def _first_of(groups, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{v}'" for p, v in groups) + f" ELSE '{otherwise}' END"
+
+
+@query("p5_layout_dialogs", f"""WITH RECURSIVE {CLUSTERS}, g AS (SELECT stream, frame, cluster::BIGINT AS cluster, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS n, string_agg(text, ' ' ORDER BY idx) AS text FROM cl JOIN rg USING (stream, frame, idx) GROUP BY 1, 2, 3),
+s AS (SELECT *, round(CASE WHEN w >= 200 AND h >= 100 AND w <= 1536 AND h <= 864 THEN 0.4 ELSE 0 END + CASE WHEN abs(x + w / 2 - 960) <= 384 AND abs(y + h / 2 - 540) <= 216 THEN 0.3 ELSE 0 END + CASE WHEN w / h BETWEEN 0.8 AND 3 THEN 0.2 ELSE 0 END + CASE WHEN x >= 50 AND y >= 50 AND x + w <= 1870 AND y + h <= 1030 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS score FROM g WHERE n >= 2)
+SELECT stream, frame, cluster, n, score, {_first_of(detection.DIALOGS, 'info_dialog')} AS kind, {_first_of(detection.LEVELS, 'info')} AS severity FROM s WHERE score >= 0.6""")
 def p5(spark, d):
     return detection.layout_dialogs(kernels.clusters(A.regions(spark, d))).select("stream", "frame", "cluster", "n", "score", "kind", "severity")
 

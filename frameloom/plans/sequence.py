@@ -132,7 +132,12 @@ def w19(spark, d):
     return sequences.runs(A.events(spark, d), F.col("confidence") >= 0.7, ("stream",), ("us", "event_id"))
 
 
-@query("w22_clusters")
+CLUSTERS = f"""{RG}, cn AS (SELECT stream, frame, idx, x + w / 2 AS cx, y + h / 2 AS cy, row_number() OVER (PARTITION BY stream, frame ORDER BY idx) AS k FROM rg),
+cl AS (SELECT stream, frame, idx, k, [struct_pack(x := cx, y := cy)] AS seeds, 0 AS cluster FROM cn WHERE k = 1 UNION ALL SELECT stream, frame, idx, k, CASE WHEN first = 0 THEN list_append(seeds, struct_pack(x := cx, y := cy)) ELSE seeds END, CASE WHEN first = 0 THEN len(seeds) ELSE first - 1 END::INT FROM
+ (SELECT n.stream, n.frame, n.idx, n.k, cx, cy, seeds, coalesce(list_position(list_transform(seeds, lambda s: sqrt((s.x - cx) ** 2 + (s.y - cy) ** 2) < 100), true), 0) AS first FROM cl JOIN cn n ON n.stream = cl.stream AND n.frame = cl.frame AND n.k = cl.k + 1))"""
+
+
+@query("w22_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT stream, frame, idx, cluster::BIGINT AS cluster FROM cl")
 def w22(spark, d):
     return kernels.clusters(A.regions(spark, d)).select("stream", "frame", "idx", "cluster")
 
@@ -144,7 +149,10 @@ def w23(spark, d):
     return kernels.tables(A.regions(spark, d))
 
 
-@query("w24_non_maximum")
+@query("w24_non_maximum", f"""WITH RECURSIVE {RG}, n AS (SELECT stream, frame, idx, x, y, w, h, row_number() OVER (PARTITION BY stream, frame ORDER BY w * h DESC, idx) AS k FROM rg),
+r AS (SELECT stream, frame, idx, k, [struct_pack(x := x, y := y, w := w, h := h)] AS kept, true AS stays FROM n WHERE k = 1 UNION ALL SELECT stream, frame, idx, k, CASE WHEN stays THEN list_append(kept, struct_pack(x := x, y := y, w := w, h := h)) ELSE kept END, stays FROM
+ (SELECT n.*, kept, len(list_filter(kept, lambda b: greatest(0, least(n.x + n.w, b.x + b.w) - greatest(n.x, b.x)) * greatest(0, least(n.y + n.h, b.y + b.h) - greatest(n.y, b.y)) > 0.5 * least(n.w * n.h, b.w * b.h))) = 0 AS stays FROM r JOIN n ON n.stream = r.stream AND n.frame = r.frame AND n.k = r.k + 1))
+SELECT stream, frame, idx FROM r WHERE stays""")
 def w24(spark, d):
     return kernels.non_maximum(A.regions(spark, d)).select("stream", "frame", "idx")
 
