@@ -14,12 +14,20 @@ SPANS = "span_id string, kind string, t_start long, t_end long, title string, su
 SEGMENT_NOTES = "id string, start_time double, end_time double, file_path string, display_ids array<string>, file_size long"
 #: Rows of a file at most, by store, as the stores' flush sizes have it.
 FILE_ROWS = {"frames": 10_000, "regions": 50_000, "events": 10_000}
+#: Text columns of a store that are kept by dictionary.
+DICTIONARY = {"regions": ("frame_id", "text", "language", "processor"), "events": ("type", "target")}
+#: Bytes over which a segment is worth a note, and seconds that a file rests before it counts as whole.
+NOTE_BYTES, SETTLE_S = 100_000, 2
 LOG_LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3})\] (\w+)\s+\[([^\]]*?)\s*\] (.*?)(?: \(([^():]+):(\d+)\))?$"
 
 
 def write_store(df: DataFrame, path: str, store: str, by: str | None = None) -> None:
     """Append to a store as Snappy Parquet with files of bounded size, by a partition column if there is one."""
     w = df.write.mode("append").option("compression", "snappy").option("maxRecordsPerFile", FILE_ROWS.get(store, 50_000))
+    if store in DICTIONARY:
+        w = w.option("parquet.enable.dictionary", False)
+        for column in DICTIONARY[store]:
+            w = w.option(f"parquet.enable.dictionary#{column}", True)
     (w.partitionBy(by) if by else w).parquet(path)
 
 
@@ -76,6 +84,31 @@ def decrypted(df: DataFrame, columns: tuple[str, ...], key: Column) -> DataFrame
     return df.withColumns({c: F.aes_decrypt(F.unbase64(c), key, F.lit("GCM")).cast("string") for c in columns})
 
 
+def encrypted_store(df: DataFrame, path: str, keys: dict[str, str], footer: str, columns: str) -> None:
+    """Append to a store of Parquet files that are encrypted as a whole, footer and all columns, by Parquet's own encryption:
+    the session's key client knows the master keys by name. keys: its settings; columns: "key:a,b;key:c"."""
+    w = df.write.mode("append").option("parquet.encryption.footer.key", footer).option("parquet.encryption.column.keys", columns)
+    for name, value in keys.items():
+        w = w.option(name, value)
+    w.parquet(path)
+
+
+def settled(files: DataFrame, as_of_s: int, rest_s: int = SETTLE_S) -> DataFrame:
+    """Files (length, mtime) that are whole: not empty, and not written to for that long."""
+    return files.where((F.col("length") > 0) & (F.col("mtime") <= as_of_s - rest_s))
+
+
+def write_notes(segments: DataFrame, path: str, least: int = NOTE_BYTES) -> None:
+    """A note, as JSON, of each segment of more than `least` bytes."""
+    segments.where(F.col("file_size") > least).write.mode("append").json(path)
+
+
+def export_logs(logs: DataFrame, path: str, form: str) -> None:
+    """Logs as json, csv or text lines."""
+    w = (log_lines(logs) if form == "text" else logs).write.mode("overwrite")
+    {"json": w.json, "csv": lambda p: w.option("header", True).option("escape", '"').csv(p), "text": w.text}[form](path)
+
+
 def parse_logs(lines: DataFrame, column: str = "value") -> DataFrame:
     """Log lines as ts, level, category, message, file, line; lines of another form are left out."""
     part = lambda k: F.regexp_extract(column, LOG_LINE, k)
@@ -96,3 +129,14 @@ def sampled_frames(frames: DataFrame, source_fps: float, wanted_fps: float) -> D
 
 def schema_version(migrations: DataFrame) -> int:
     return migrations.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+
+def migrated(df: DataFrame, version: int, steps: dict[int, tuple], to: int | None = None) -> tuple[DataFrame, int]:
+    """A span store's rows brought from a version to another (the last by default): steps has (up, down) functions of rows by
+    the version that up leads to. Returns the rows and the version reached."""
+    goal = max([version, *steps]) if to is None else to
+    for v in range(version + 1, goal + 1):
+        df = steps[v][0](df)
+    for v in range(version, goal, -1):
+        df = steps[v][1](df)
+    return df, goal

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import operations
 from ..operators.joins import TEMPORAL
 
 VIDEO = "*.{mp4,mov,avi,mkv,m4v,webm}"
@@ -77,6 +78,18 @@ def focus_changes(events: DataFrame, least_us: int = 100_000) -> DataFrame:
     )
 
 
+def recognised(regions: DataFrame, origins: DataFrame, least: float = 0.3) -> DataFrame:
+    """Recognised regions as they come, in any order and on as many tasks as there are files: sure enough ones, moved by the
+    origin of the part of the frame they were read in (a static table)."""
+    j = regions.where(F.col("confidence") >= least).join(origins, ["stream", "frame"], "left")
+    return j.withColumns({"x": F.col("x") + F.coalesce("ox", F.lit(0.0)), "y": F.col("y") + F.coalesce("oy", F.lit(0.0))}).drop("ox", "oy")
+
+
+def monitoring(metrics: DataFrame, path: str, checkpoint: str, every: str | None = "2 seconds"):
+    """Health alerts of samples as they come, at every tick."""
+    return append_to(operations.health_alerts(metrics), path, checkpoint, every)
+
+
 def alerts(audit: DataFrame) -> DataFrame:
     """Critical audit rows as they come."""
     return audit.where("severity = 'critical'")

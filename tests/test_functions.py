@@ -126,3 +126,26 @@ def test_commands(spark):
     c = parsers.commands(r)
     assert [tuple(x) for x in c.orderBy("idx").select("command", "kind", "sudo", "arguments").collect()] == [("git", "version_control", True, ["push", "origin", "main"]), ("git", "version_control", False, ["pull"]), ("ls", "file_listing", False, ["-la"])]
     assert {(p["pattern"], p["idx"]) for p in parsers.workflow_patterns(c).collect()} == {("git_workflow", 1)}
+
+
+def test_preview_and_context(spark):
+    from frameloom.operators import assemblies
+
+    rows = privacy.matches(spark.createDataFrame([("mail john.doe@company.com or 8.8.8.8 now",), ("nothing",)], "text string"))
+    assert [(r["kind"], r["match"], r["masked"]) for r in privacy.preview(rows).collect()] == [("email", "john.doe@company.com", "j******e@c***.com"), ("ip_address", "8.8.8.8", "8*****8")]
+    assert [r[0] for r in rows.select(privacy.holds_any(rows)).collect()] == [True, False]
+    assert [r[0] for r in rows.select(privacy.holds_any(rows, ("url",))).collect()] == [False, False]
+    assert one(spark, assemblies.context_of(F.col("t"), F.lit(25), F.lit(28)), t="x" * 25 + "abc" + "y" * 40) == "x" * 20 + "abc" + "y" * 20
+
+
+def test_stacked_images_are_the_columns(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.integers(0, 256, (6, 64))
+    rows = spark.createDataFrame([(k, [int(v) for v in p], [int(v) for v in x[k - 1]]) for k, p in enumerate(x)], "k int, p array<int>, q array<int>")
+    got = rows.orderBy("k").select(images.average_hash(F.col("p")).alias("hash"), images.entropy(F.col("p")).alias("entropy"), images.ssim(F.col("p"), F.col("q")).alias("ssim")).collect()
+    assert [np.uint64(g["hash"] & 0xFFFFFFFFFFFFFFFF) for g in got] == images.stacked_hash(x.astype(float)).tolist()
+    assert np.allclose([g["entropy"] for g in got], images.stacked_entropy(x)) and np.allclose([g["ssim"] for g in got], images.stacked_ssim(x.astype(float), x[[-1, 0, 1, 2, 3, 4]].astype(float)))
+    large = np.kron(x[0].reshape(8, 8), np.ones((8, 8))).reshape(1, -1)
+    assert images.stacked_hash(large)[0] == images.stacked_hash(x[:1].astype(float))[0]

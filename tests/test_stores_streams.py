@@ -50,6 +50,54 @@ def test_logs_round_trip(spark):
     assert stores.log_lines(logs).first()[0] == lines[0]
 
 
+def test_log_export_and_notes(spark, tmp_path):
+    lines = ["[2024-01-01 10:00:00.123] ERROR   [storage        ] disk (almost) full (store.rs:42)"]
+    logs = stores.parse_logs(spark.createDataFrame([(x,) for x in lines], "value string"))
+    for form in ("json", "csv", "text"):
+        stores.export_logs(logs, f"{tmp_path}/{form}", form)
+    assert spark.read.json(f"{tmp_path}/json").first()["message"] == "disk (almost) full"
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first()["line"] == "42"
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/text").collect()] == lines
+    notes = spark.createDataFrame([("a", 0.0, 1.0, "/a.mp4", ["1"], 100_001), ("b", 0.0, 1.0, "/b.mp4", [], 100_000)], stores.SEGMENT_NOTES)
+    stores.write_notes(notes, f"{tmp_path}/notes")
+    assert [r["id"] for r in spark.read.json(f"{tmp_path}/notes").collect()] == ["a"]
+    files = spark.createDataFrame([("/a", 5, 100), ("/b", 0, 100), ("/c", 5, 101)], "path string, length long, mtime long")
+    assert [r["path"] for r in stores.settled(files, 102).collect()] == ["/a"]
+
+
+def test_migrations(spark):
+    df = spark.createDataFrame([(1, "a")], "span_id long, title string")
+    steps = {1: (lambda d: d.withColumn("tags", F.lit("[]")), lambda d: d.drop("tags")), 2: (lambda d: d.withColumnRenamed("title", "name"), lambda d: d.withColumnRenamed("name", "title"))}
+    up, version = stores.migrated(df, 0, steps)
+    assert version == 2 and up.columns == ["span_id", "name", "tags"]
+    down, version = stores.migrated(up, 2, steps, to=0)
+    assert version == 0 and [tuple(r) for r in down.collect()] == [(1, "a")]
+
+
+def test_monitoring_and_recognition_streams(spark, tmp_path):
+    metrics = spark.createDataFrame([("m", 1, 95, 10, 10, 0), ("m", 2, 10, 10, 10, 0)], "stream string, us long, cpu int, mem_pct int, disk_pct int, errors int")
+    metrics.write.parquet(f"{tmp_path}/metrics")
+    jobs.monitoring(spark.readStream.schema(metrics.schema).parquet(f"{tmp_path}/metrics"), f"{tmp_path}/alerts", f"{tmp_path}/c1", None).awaitTermination(60)
+    assert [(r["metric"], r["level"]) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()] == [("cpu", 2)]
+    r = regions(spark, [(1, "a", 0.9, (1, 2, 3, 4)), (2, "b", 0.9, (1, 2, 3, 4)), (1, "c", 0.2, (1, 2, 3, 4))])
+    r.write.parquet(f"{tmp_path}/regions")
+    origins = spark.createDataFrame([("s", 1, 100.0, 50.0)], "stream string, frame long, ox double, oy double")
+    jobs.append_to(jobs.recognised(spark.readStream.schema(r.schema).parquet(f"{tmp_path}/regions"), origins), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination(60)
+    assert sorted((x["text"], x["x"], x["y"]) for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 101.0, 52.0), ("b", 1.0, 2.0)]
+
+
+def test_frame_events_are_the_parts_together(spark):
+    from frameloom.operators import assemblies, detection, joins
+
+    r = regions(spark, [(1, "Name:", 0.9, (10, 50, 80, 20)), (1, "error: disk full", 0.9, (10, 90, 200, 20)), (2, "Name:", 0.9, (10, 50, 80, 20)), (2, "warning: slow", 0.95, (10, 90, 200, 20)), (2, "Enter your name", 0.8, (400, 400, 90, 20)), (3, "plain", 0.5, (0, 0, 10, 10))])
+    got = {(e["source"], e["type"], e["frame"], e["idx"]) for e in assemblies.frame_events(r).collect()}
+    n, sure = joins.with_previous_frame(r), r.where("confidence >= 0.7")
+    want = {("delta", "field_change", e["frame"], e["idx"]) for e in joins.field_change_events(n).collect()} | {("delta", "data_entry", e["frame"], e["idx"]) for e in joins.data_entry_events(n).collect()}
+    want |= {("words", e["type"], e["frame"], e["idx"]) for e in detection.standalone_events(sure).collect()} | {("rules", e["type"], e["frame"], e["idx"]) for e in detection.error_modal_events(sure).collect()}
+    assert want and {g for g in got if g[0] != "layout"} == want
+    assert {e["temporal_pattern"] for e in assemblies.with_patterns(assemblies.frame_events(r)).where("frame = 2").collect()} <= {"recurring", "occasional", "rare", None}
+
+
 def test_span_updates(spark):
     s = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "span_id long, title string, created_at long")
     changed = spark.createDataFrame([(2, "c", 99)], s.schema)
