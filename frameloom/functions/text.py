@@ -105,6 +105,26 @@ def duration_words(seconds: Column) -> Column:
     return F.when(m < 1, "less than a minute").when(m == 1, "1 minute").otherwise(F.format_string("%d minutes", m))
 
 
+def _minutes_seconds(seconds: Column) -> tuple[Column, Column]:
+    return F.floor(seconds / 60).cast("long"), F.floor(seconds % 60).cast("long")
+
+
+def duration_units(seconds: Column) -> Column:
+    """'5 minutes', under one '42 seconds'."""
+    m, s = _minutes_seconds(seconds)
+    one = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+    return F.when(m > 0, one(m, "minute")).otherwise(one(s, "second"))
+
+
+def duration_ms(seconds: Column) -> Column:
+    m, s = _minutes_seconds(seconds)
+    return F.when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def duration_clock(seconds: Column) -> Column:
+    return F.format_string("%d:%02d", *_minutes_seconds(seconds))
+
+
 def size_text(n: Column) -> Column:
     return F.when(n >= 1 << 30, F.format_string("%.1f GB", n / float(1 << 30))).when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(n >= 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%d bytes", n))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import assemblies, evidence, privacy, sequences, stories, summaries
+from ..operators import assemblies, evidence, privacy, sequences, settings, stories, summaries
 from ..sources import adapters as A
 from .more import LINKED, linked
 from .registry import query
@@ -248,3 +248,22 @@ def r19(spark, d):
 
     f = files(spark, d)
     return assemblies.orphan_segments(f, f.agg(F.max("mtime")).first()[0], least=20_000, young_s=8_640_000).select("path")
+
+
+#: Settings of sorts, valid and not, from the customers' keys: the same expressions in both engines.
+SETTINGS = {
+    "log_level": "CASE c_custkey % 5 WHEN 0 THEN 'Debug' WHEN 1 THEN 'verbose' ELSE 'info' END", "menu_icon": "c_custkey % 3 = 0", "notifications": "c_custkey % 4 = 0", "frame_rate": "CASE c_custkey % 4 WHEN 0 THEN 15 WHEN 1 THEN 60 WHEN 2 THEN 24 ELSE 30 END", "quality": "CASE c_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'Low' ELSE 'best' END",
+    "segment_s": "CASE c_custkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 90 ELSE 300 END", "displays": "c_custkey % 5", "masking": "c_custkey % 2 = 0", "mask_any": "c_custkey % 3 = 0", "app_filter": "c_custkey % 2 = 1", "bundle": "CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'com.example.App' WHEN 2 THEN 'no bundle' ELSE 'a.b' END",
+    "margin_h": "c_custkey % 200 - 10", "interval_h": "c_custkey % 180", "retention_days": "c_custkey % 12 - 3", "cpu": "c_custkey % 60", "memory": "c_custkey % 50 * 100", "disk_io": "c_custkey % 110", "hardware": "c_custkey % 7 > 0", "hotkey": "CASE c_custkey % 3 WHEN 0 THEN '⌘⇧R' WHEN 1 THEN 'R' ELSE '⌘' END", "timeout": "c_custkey % 70", "max_rows": "c_custkey % 120 * 100",
+}
+PROBLEMS = " UNION ALL ".join(f"SELECT c_custkey, '{g}' AS section, '{level}' AS level, '{m}' AS message FROM st WHERE {broken}" for g, level, m, broken in settings.RULES).replace("regexp_like(", "regexp_matches(")
+
+
+@query("m26_settings_problems", f"WITH st AS (SELECT c_custkey, {', '.join(f'{e} AS {n}' for n, e in SETTINGS.items())} FROM customer) {PROBLEMS}")
+def m26(spark, d):
+    return settings.problems(A.table(spark, d, "customer").select("c_custkey", *[F.expr(e).alias(n) for n, e in SETTINGS.items()]), "c_custkey")
+
+
+@query("m26_repeated_hotkeys", "SELECT c_nationkey, c_custkey % 9 AS hotkey, count(*) AS n, list_sort(list(c_name)) AS actions FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
+def m26_hotkeys(spark, d):
+    return settings.repeated_hotkeys(A.table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 9).alias("hotkey"), F.col("c_name").alias("action")), "c_nationkey")

@@ -194,10 +194,10 @@ def e25(spark, d):
     return a.join(b, "event_id").select("event_id", F.round(T.token_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), T.relatedness(F.col("s"), F.col("t")).alias("related"))
 
 
-@query("e29_durations", f"WITH {SP}, s AS (SELECT span_id, t_end - t_start AS n FROM sp) SELECT span_id, CASE WHEN n // 3600 > 0 THEN (n // 3600) || 'h ' || (n % 3600 // 60) || 'm ' || (n % 60) || 's' WHEN n // 60 > 0 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE n || 's' END AS hms, CASE WHEN n < 60 THEN 'less than a minute' WHEN n < 120 THEN '1 minute' ELSE (n // 60) || ' minutes' END AS words FROM s")
+@query("e29_durations", f"WITH {SP}, s AS (SELECT span_id, (t_end - t_start + span_id * 7) % 7300 AS n FROM sp) SELECT span_id, CASE WHEN n // 3600 > 0 THEN (n // 3600) || 'h ' || (n % 3600 // 60) || 'm ' || (n % 60) || 's' WHEN n // 60 > 0 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE n || 's' END AS hms, CASE WHEN n < 60 THEN 'less than a minute' WHEN n < 120 THEN '1 minute' ELSE (n // 60) || ' minutes' END AS words, CASE WHEN n // 60 > 0 THEN (n // 60) || ' minute' || CASE WHEN n // 60 = 1 THEN '' ELSE 's' END ELSE n || ' second' || CASE WHEN n = 1 THEN '' ELSE 's' END END AS units, CASE WHEN n // 60 > 0 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE n || 's' END AS ms, (n // 60) || ':' || lpad((n % 60)::VARCHAR, 2, '0') AS clock FROM s")
 def e29(spark, d):
-    n = F.col("t_end") - F.col("t_start")
-    return A.spans(spark, d).select("span_id", T.duration_hms(n).alias("hms"), T.duration_words(n).alias("words"))
+    n = (F.col("t_end") - F.col("t_start") + F.col("span_id") * 7) % 7300  # so that all forms show
+    return A.spans(spark, d).select("span_id", T.duration_hms(n).alias("hms"), T.duration_words(n).alias("words"), T.duration_units(n).alias("units"), T.duration_ms(n).alias("ms"), T.duration_clock(n).alias("clock"))
 
 
 @query("e30_url_parts", f"WITH {VS} SELECT page_id, host, scheme, title FROM vs")
