@@ -73,3 +73,25 @@ def latest_files(files: DataFrame, most: int = 5) -> DataFrame:
     """The newest files of each kind; the others may go."""
     w = Window.partitionBy("data_type").orderBy(F.desc("mtime"), "path")
     return files.withColumn("rank", F.row_number().over(w)).withColumn("kept", F.col("rank") <= most)
+
+
+#: How far over its limit a load is unhealthy, free disk in MB, and log sizes and files.
+OVER, FREE_MB, LOG_BYTES, LOG_FILES, LOG_READ = 2.0, 1000, 10 << 20, 5, 3
+
+
+def recovery_gate(samples: DataFrame) -> DataFrame:
+    """samples (cpu, cpu_limit, mem, mem_limit, free_mb) with healthy: whether a recovery may start now."""
+    ok = (F.col("cpu") <= OVER * F.col("cpu_limit")) & (F.col("mem") <= OVER * F.col("mem_limit")) & (F.col("free_mb") >= FREE_MB)
+    return samples.withColumn("healthy", F.coalesce(ok, F.lit(False)))
+
+
+def log_files(files: DataFrame) -> DataFrame:
+    """Log files newest first: which is to be rotated for its size, which stay, which are read at the start."""
+    w = Window.partitionBy("data_type").orderBy(F.desc("mtime"), "path")
+    f = files.withColumn("rank", F.row_number().over(w))
+    return f.withColumns({"rotate": (F.col("rank") == 1) & (F.col("length") > LOG_BYTES), "kept": F.col("rank") <= LOG_FILES, "read": F.col("rank") <= LOG_READ})
+
+
+def tips(items: DataFrame, context: str) -> DataFrame:
+    """Help items of a context, the general ones last."""
+    return items.where(F.col("context").isin(context, "general")).withColumn("own", F.col("context") == context)

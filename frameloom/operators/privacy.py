@@ -144,6 +144,26 @@ def audit_rows(decided: DataFrame) -> DataFrame:
     return d.select("frame", F.lit("pii_detected").alias("event_type"), F.col("kinds").alias("pii_types"), detection_severity(F.col("kinds")).alias("severity"), F.when(F.col("stored"), "masked").otherwise("blocked").alias("context"), F.col("stream").alias("source_component"))
 
 
+def mask_rows(decided: DataFrame, strategy: str = "partial") -> DataFrame:
+    """A masking row for the audit trail of every row whose kept text isn't its own."""
+    d = decided.where((F.size("kinds") > 0) & F.col("stored") & (F.col("content") != F.col("text")))
+    return d.select("frame", F.lit("pii_masked").alias("event_type"), F.col("kinds").alias("pii_types"), detection_severity(F.col("kinds")).alias("severity"), F.lit(strategy).alias("context"), F.col("stream").alias("source_component"))
+
+
+def decision_rows(decided: DataFrame) -> DataFrame:
+    """A row for the audit trail of every decision on a row with matches: what is allowed is low, what is stopped high."""
+    d = decided.where(F.size("kinds") > 0)
+    level = F.when(F.col("stored"), "low").otherwise("high")
+    return d.select("frame", F.lit("filter_decision").alias("event_type"), F.col("kinds").alias("pii_types"), level.alias("severity"), F.when(F.col("stored"), "allowed").otherwise("blocked").alias("context"), F.col("stream").alias("source_component"))
+
+
+def configuration_rows(changes: DataFrame) -> DataFrame:
+    """A row for the audit trail of every changed setting (frame, setting, was, now, source)."""
+    c = changes.where(~F.col("was").eqNullSafe(F.col("now")))
+    none = F.array().cast("array<string>")
+    return c.select("frame", F.lit("configuration_changed").alias("event_type"), none.alias("pii_types"), F.lit("medium").alias("severity"), F.concat_ws(" ", "setting", F.lit("from"), F.coalesce("was", F.lit("nothing")), F.lit("to"), F.coalesce("now", F.lit("nothing"))).alias("context"), F.col("source").alias("source_component"))
+
+
 def audit_statistics(audit: DataFrame) -> DataFrame:
     """Counts by event type, severity, kind of data and source, in one pass over exploded rows."""
     parts = F.array(

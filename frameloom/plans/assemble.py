@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import assemblies, evidence, privacy, sequences, settings, stories, summaries
+from ..operators import assemblies, evidence, operations, privacy, sequences, settings, stories, summaries
 from ..sources import adapters as A
-from .more import LINKED, linked
+from .detect import MATCHES
+from .more import linked
 from .registry import query
 from .sequence import GAP, HOUR, ISLANDS, PLACED, SESSIONS, TRAILS, grouped, placed
 from .tell import IMPORTANT, KEYS, STEPS, told
@@ -267,3 +268,33 @@ def m26(spark, d):
 @query("m26_repeated_hotkeys", "SELECT c_nationkey, c_custkey % 9 AS hotkey, count(*) AS n, list_sort(list(c_name)) AS actions FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
 def m26_hotkeys(spark, d):
     return settings.repeated_hotkeys(A.table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 9).alias("hotkey"), F.col("c_name").alias("action")), "c_nationkey")
+
+
+@query("m10_audit_rows", f"""WITH {MATCHES}, k AS (SELECT stream, frame, idx, list_sort(list(DISTINCT kind)) AS kinds, bool_or(kind <> 'url') AS stopped FROM ma GROUP BY 1, 2, 3)
+SELECT frame, 'filter_decision' AS event_type, kinds AS pii_types, CASE WHEN stopped THEN 'high' ELSE 'low' END AS severity, CASE WHEN stopped THEN 'blocked' ELSE 'allowed' END AS context, stream AS source_component FROM k
+UNION ALL SELECT frame, 'configuration_changed', [], 'medium', 'masking from off to ' || lang, source FROM (SELECT doc_id AS frame, lang, source FROM documents WHERE lang IS NOT NULL AND lang <> 'off')""")
+def m10(spark, d):
+    decided = privacy.decide(privacy.mask_text(privacy.matches(A.regions(spark, d))), allowed=("url",), prevent=True)
+    changed = A.table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").alias("frame"), F.lit("masking").alias("setting"), F.lit("off").alias("was"), F.col("lang").alias("now"), "source")
+    return privacy.decision_rows(decided).withColumn("pii_types", F.sort_array("pii_types")).unionByName(privacy.configuration_rows(changed))
+
+
+@query("m20_recovery_gate", f"WITH {EV} SELECT event_id, event_id % 50 <= 2 * 10 AND event_id % 900 <= 2 * 300 AND event_id % 3000 >= 1000 AS healthy FROM ev")
+def m20(spark, d):
+    n = F.col("event_id")
+    s = A.events(spark, d).select("event_id", (n % 50).alias("cpu"), F.lit(10).alias("cpu_limit"), (n % 900).alias("mem"), F.lit(300).alias("mem_limit"), (n % 3000).alias("free_mb"))
+    return operations.recovery_gate(s).select("event_id", "healthy")
+
+
+@query("m22_log_files", "SELECT path, rank = 1 AND length > 10485760 AS rotate, rank <= 5 AS kept, rank <= 3 AS read FROM (SELECT 'f_' || l_orderkey || '_' || l_linenumber AS path, floor(l_extendedprice)::BIGINT * 400 AS length, row_number() OVER (PARTITION BY l_suppkey ORDER BY epoch(l_shipdate) DESC, 'f_' || l_orderkey || '_' || l_linenumber) AS rank FROM lineitem)")
+def m22(spark, d):
+    l = A.table(spark, d, "lineitem")
+    f = l.select(F.format_string("f_%d_%d", F.col("l_orderkey"), F.col("l_linenumber").cast("long")).alias("path"), F.col("l_suppkey").alias("data_type"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("mtime"), (F.floor("l_extendedprice") * 400).alias("length"))
+    return operations.log_files(f).select("path", "rotate", "kept", "read")
+
+
+@query("m28_tips", "SELECT p_partkey, p_type = 'PROMO' AS own FROM (SELECT p_partkey, split_part(p_type, ' ', 1) AS p_type FROM part) WHERE p_type IN ('PROMO', 'STANDARD')")
+def m28(spark, d):
+    kind = F.split_part("p_type", F.lit(" "), F.lit(1))
+    items = A.table(spark, d, "part").select("p_partkey", F.when(kind == "STANDARD", "general").otherwise(kind).alias("context"))
+    return operations.tips(items, "PROMO").select("p_partkey", "own")
