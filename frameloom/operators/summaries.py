@@ -90,9 +90,8 @@ def correlated_frames(grouped: DataFrame, sessions: DataFrame, keys: tuple[str,
     inside = in_sessions(sessions.select(*keys, "start_us", "end_us", "primary_app"), f, keys)
     # the nearest event is the last before or the first after: a window of each session, not a product of its rows
     e = grouped.select(*keys, "us", F.col("us").alias("event_us"))
-    w = Window.partitionBy(*keys).orderBy("us")
-    before = F.last("event_us", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("event_us", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    past = lambda order: Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    before, after = (F.last("event_us", ignorenulls=True).over(past(order)) for order in ("us", F.desc("us")))
     both = inside.unionByName(e, allowMissingColumns=True).withColumn("apart", F.least(F.col("us") - before, after - F.col("us")))
     near = both.where("frame_id is not null and apart is not null").select(*keys, "frame_id", "frame_app", "transition", "primary_app", "apart")
     score = 0.4 * F.greatest(F.lit(0.0), 1 - F.col("apart") / within_us) + F.when(F.col("frame_app") == F.col("primary_app"), 0.3).otherwise(0.0) + 0.2 * F.col("transition")
