@@ -49,13 +49,34 @@ def small_batches(spark: SparkSession, most_bytes: int = 4 << 20):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that what follows doesn't depend on lost executors."""
+def steps_dir(spark: SparkSession) -> str:
+    """This application's folder of written steps, in the folder that all executors share."""
+    return f"{shared_dir(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back, so that what follows doesn't depend on lost executors; and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As stored_at(), for a step that the result may still read."""
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a step that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete all steps that this application has written: to be called once the results that read them are written."""
+    discard(spark, steps_dir(spark))
 
 
 def held_out(column: str = "doc_id") -> F.Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_labeller, exact_dedup, langid, mixing, near_join, neighbours, piece_trie, pii, tokens, toxicity
+from . import block_labeller, centroids, exact_dedup, langid, mixing, near_join, neighbours, piece_trie, pii, tokens, toxicity
 from .common import table
 
 #: The vocabulary file whose tokens op8 counts and op3 produces.
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,9 +89,10 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
+        "op13_centroid_clustering": op13_centroid_clustering,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op13_centroid_clustering": centroids.cluster_sql()}
