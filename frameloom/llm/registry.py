@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_labeller, centroids, exact_dedup, langid, mixing, near_join, neighbours, piece_trie, pii, prefix_trie, tokens, toxicity
+from . import block_labeller, centroids, exact_dedup, langid, mixing, near_join, neighbours, passages, piece_trie, pii, prefix_trie, tokens, toxicity
 from .common import table
 
 #: The vocabulary file whose tokens op8 counts and op3 produces.
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -93,6 +97,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_conversation_trie": op12_conversation_trie,
         "op13_centroid_clustering": op13_centroid_clustering,
         "pipeline": pipeline,
@@ -100,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL, "op12_conversation_trie": prefix_trie.TRIE_SQL, "op13_centroid_clustering": centroids.cluster_sql()}
+    return {"op10_exact_dedup": OP10_SQL, "op11_substring_dedup": passages.PASSAGES_SQL, "op12_conversation_trie": prefix_trie.TRIE_SQL, "op13_centroid_clustering": centroids.cluster_sql()}
