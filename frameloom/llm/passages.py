@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,29 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return at.select("id", F.coalesce("id", F.lit(_LAST)).alias("ord"), F.xxhash64("text").alias("key"), "text")
 
 
+def _shrunk(texts: DataFrame) -> DataFrame:
+    """Texts on their way to a join, compressed one by one: size (bytes) and body in place of text."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = [t.as_buffer() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b.size for b in raw], pa.int64()), pa.array([press.compress(b) for b in raw], pa.binary())], ["id", "ord", "key", "size", "body"])
+
+    return texts.mapInArrow(run, "id long, ord long, key long, size long, body binary")
+
+
+def _grown(batch: pa.RecordBatch, most_bytes: int = 1 << 20):
+    """A batch with bodies as batches with texts, about most_bytes of them or one text each."""
+    sizes, start = batch.column("size").to_numpy(), 0
+    opened, at = zstandard.ZstdDecompressor(), batch.schema.get_field_index("body")
+    while start < len(batch):
+        end = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), most_bytes, side="right")) + start)
+        part = batch.slice(start, end - start)
+        yield part.set_column(at, "text", pa.array([opened.decompress(b.as_buffer()) for b in part.column("body")], pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))
+        start = end
+
+
 def _chunks(hashes: np.ndarray, bounds: np.ndarray, plan: Plan):
     """Ranges of whole texts of about chunk words, and overlapping pieces of longer texts: first text, offset, hashes, bounds."""
     k = 0
@@ -127,7 +151,7 @@ def _wanted_words(plan: Plan, windows: bool):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in _grown(batch):
                 words, index, bounds = distinct_words(part.column("text"))
                 hashes = word_hashes(words)[index]
                 lists = part.column("wanted")
@@ -193,7 +217,7 @@ def _cut(plan: Plan):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in _grown(batch):
                 n_words, n_removed, shas = [], [], []
                 for text, hits in zip(part.column("text"), part.column("hits").to_pylist()):
                     words = text.as_buffer().to_pybytes().split()
@@ -228,7 +252,7 @@ def repeated_runs(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id",
     wanted = meeting.where("mixed").groupBy("m", "d").agg(F.min(F.struct("ord", "key", "start", "n")).alias("rep"))
     wanted = stored(wanted.select("m", "d", "rep.*"), "distinct-runs")
     hot = stored(wanted.groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") > plan.most), "hot")
-    lists = lambda rows: rows.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "n", "m", "d")).alias("wanted")).join(texts.drop("id"), ["ord", "key"]).select("ord", "wanted", "text")
+    lists = lambda rows: rows.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "n", "m", "d")).alias("wanted")).join(_shrunk(texts).drop("id"), ["ord", "key"]).select("ord", "wanted", "size", "body")
     strings = lists(wanted.join(hot, "m", "left_anti")).mapInArrow(_wanted_words(plan, False), "m long, d long, keep long, words binary")
     answers = strings.repartition("m").sortWithinPartitions("m", "d", "keep").mapInArrow(_search(plan), "m long, d long, removed array<int>")
     if not hot.isEmpty():
@@ -256,7 +280,7 @@ def without_repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     other columns are ignored. Words are compared by 64-bit hashes, windows by the hashes of all their words.
     """
     profiles, hits = repeated_runs(docs, plan, id_col, text_col)
-    cut = hits.join(_texts(docs, id_col, text_col), ["ord", "key"]).select("id", "text", "hits").mapInArrow(_cut(plan), "id long, n_words long, n_removed long, sha binary")
+    cut = hits.join(_shrunk(_texts(docs, id_col, text_col)), ["ord", "key"]).select("id", "size", "body", "hits").mapInArrow(_cut(plan), "id long, n_words long, n_removed long, sha binary")
     clean = profiles.join(hits.select("ord", "key"), ["ord", "key"], "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
     return clean.unionByName(cut).select(F.col("id").alias(id_col), "n_words", "n_removed", F.lower(F.hex("sha")).alias("kept_sha256"))
 
