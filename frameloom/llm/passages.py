@@ -89,8 +89,10 @@ def _shrunk(texts: DataFrame) -> DataFrame:
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            raw = [t.as_buffer() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b.size for b in raw], pa.int64()), pa.array([press.compress(b) for b in raw], pa.binary())], ["id", "ord", "key", "size", "body"])
+            for part in slices(batch, "text", 1 << 20):
+                raw = [t.as_buffer() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([b.size for b in raw], pa.int64()), pa.array([press.compress(b) for b in raw], pa.binary())], ["id", "ord", "key", "size", "body"])
+            freed()
 
     return texts.mapInArrow(run, "id long, ord long, key long, size long, body binary")
 
@@ -281,6 +283,7 @@ def without_repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     """
     profiles, hits = repeated_runs(docs, plan, id_col, text_col)
     cut = hits.join(_shrunk(_texts(docs, id_col, text_col)), ["ord", "key"]).select("id", "size", "body", "hits").mapInArrow(_cut(plan), "id long, n_words long, n_removed long, sha binary")
+    cut = stored(cut, "cut")  # written in small batches; without texts it is small
     clean = profiles.join(hits.select("ord", "key"), ["ord", "key"], "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
     return clean.unionByName(cut).select(F.col("id").alias(id_col), "n_words", "n_removed", F.lower(F.hex("sha")).alias("kept_sha256"))
 
