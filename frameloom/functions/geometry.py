@@ -35,10 +35,16 @@ def centre_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.hypot(a["x"] + a["w"] / 2 - b["x"] - b["w"] / 2, a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2)
 
 
-def region_type(b: dict[str, Column]) -> Column:
-    """What a text region's shape says it is; the first rule that holds."""
-    ratio = b["w"] / b["h"]
-    return F.when((b["h"] <= 15) & (b["w"] > 50), "caption").when((ratio > 8) & (b["h"] < 40), "line").when((ratio > 2) & (b["h"] >= 40), "heading").when(ratio.between(0.5, 2), "block").otherwise("label")
+def region_type(b: dict[str, Column], screen_w: float = 1920.0, screen_h: float = 1080.0) -> Column:
+    """What a text region's shape and place say it is; the first rule that holds."""
+    ratio, wide, high, middle = b["w"] / b["h"], b["w"] / screen_w, b["h"] / screen_h, (b["y"] + b["h"] / 2) / screen_h
+    return F.when((ratio > 5) & (high < 0.05), "text_field").when((ratio < 3) & (wide < 0.3) & (high < 0.1), "button").when((middle < 0.1) | (middle > 0.9), "menu_item").when((wide > 0.5) & (high > 0.3), "dialog").otherwise("label")
+
+
+def rectangle_type(b: dict[str, Column], screen_w: float = 1920.0, screen_h: float = 1080.0) -> Column:
+    """What a rectangle without text is; the first rule that holds."""
+    ratio, share = b["w"] / b["h"], b["w"] * b["h"] / (screen_w * screen_h)
+    return F.when((ratio > 2) & (ratio < 8) & (share < 0.05), "button").when(share > 0.2, "dialog").otherwise("general")
 
 
 def layout_score(b: dict[str, Column], screen_w: float = 1920.0, screen_h: float = 1080.0) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Substrings that mark a text, lower case.
-ERROR_WORDS = ("error", "failed", "failure", "exception", "invalid", "denied", "not found", "timeout", "crash", "fatal", "unable", "cannot", "warning", "refused")
-MODAL_WORDS = ("ok", "cancel", "yes", "no", "confirm", "close", "dismiss", "accept", "decline", "continue", "are you sure")
-SUBMIT_WORDS = ("submit", "save", "send", "login", "sign in", "register", "continue", "next", "apply", "confirm")
+ERROR_WORDS = ("error", "failed", "invalid", "incorrect", "wrong", "cannot", "unable", "denied", "forbidden", "timeout", "exception", "warning", "alert", "problem")
+MODAL_WORDS = ("confirm", "cancel", "ok", "yes", "no", "close", "dialog", "popup", "modal", "alert", "notification")
+SUBMIT_WORDS = ("submit", "send", "save", "create", "update", "login", "register", "sign in", "sign up", "continue")
 #: Pairs of related event types.
-RELATED_TYPES = (("field_change", "data_entry"), ("field_change", "form_submission"), ("data_entry", "form_submission"), ("navigation", "click"), ("click", "form_submission"), ("error_display", "modal_appearance"), ("navigation", "tab_switch"))
+RELATED_TYPES = (("field_change", "data_entry"), ("data_entry", "form_submission"), ("field_change", "form_submission"), ("navigation", "app_switch"), ("click", "navigation"), ("modal_appearance", "error_display"), ("click", "modal_appearance"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -65,7 +65,7 @@ def quality(text: Column) -> Column:
 
 def script_language(text: Column) -> Column:
     """Language by script, then by accents, in a fixed order: Han first, so Japanese with Kanji counts as Chinese."""
-    rules = ((r"[一-鿿]", "zh-Hans"), (r"[぀-ヿ]", "ja-JP"), (r"[가-힣]", "ko-KR"), ("[äöüßÄÖÜ]", "de-DE"), ("[àâçéèêëîïôûùÀÂÇÉÈÊËÎÏÔÛÙ]", "fr-FR"), ("[ñáíóúÑÁÍÓÚ¿¡]", "es-ES"), ("[ìò]", "it-IT"))
+    rules = ((r"[一-鿿]", "zh-Hans"), (r"[぀-ヿ]", "ja-JP"), (r"[\uac00-\ud7af]", "ko-KR"), ("[äöüßÄÖÜ]", "de-DE"), ("[àâäéèêëïîôöùûüÿçÀÂÄÉÈÊËÏÎÔÖÙÛÜŸÇ]", "fr-FR"), ("[áéíóúüñÁÉÍÓÚÜÑ¿¡]", "es-ES"), ("[àèéìíîòóùúÀÈÉÌÍÎÒÓÙÚ]", "it-IT"))
     out = F.lit(None)
     for pattern, name in reversed(rules):
         out = F.when(text.rlike(pattern), name).otherwise(out)

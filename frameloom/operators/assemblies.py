@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import detection, joins, kernels
+from ..functions import geometry
+from . import detection, joins, kernels, sequences
 
 #: Sizes between which a region of interest lies, and the priority of its type.
 ROI_LEAST, ROI_MOST = (20, 10), (800, 200)
 ROI_PRIORITY = {"text_field": 5, "button": 4, "dialog": 3, "label": 2, "menu_item": 1, "general": 0}
 #: Confidence of what sources say that give none of their own.
 SURE = {"movement": 0.9, "click": 0.56, "window": 0.8, "tab": 0.72, "focus": 0.8}
-EVENT = ("stream", "us", "source", "type", "target", "confidence")
+#: What the correlator calls the state that a source reports, and its confidence there if not the source's own.
+STATES = {"movement": ("cursor_movement", 0.9), "click": ("click", None), "window": ("window_change", 0.9), "tab": ("tab_change", 0.85), "focus": ("focus_change", None)}
+#: What the correlator calls a detected event; all others are changes of the screen.
+DETECTED = {"field_change": "field_change", "navigation": "screen_change", "error_display": "error_display", "modal_appearance": "modal_appearance"}
 
 
 def frame_events(regions: DataFrame, least: float = 0.7) -> DataFrame:
@@ -40,16 +44,55 @@ def with_patterns(events: DataFrame) -> DataFrame:
     return p.withColumn("temporal_pattern", name)
 
 
-def as_events(rows: DataFrame, source: str, kind: Column | str, target: Column, confidence: Column | None = None, us: str = "us") -> DataFrame:
-    """Any source's rows as events to correlate."""
-    kind = F.lit(kind) if isinstance(kind, str) else kind
+def as_events(rows: DataFrame, source: str, target: Column, key: Column, us: Column | str = "us", confidence: Column | None = None, at: tuple[str, str] | None = None) -> DataFrame:
+    """Any source's rows as detected events: stream, us, source, event_id, type, target, confidence, x, y."""
     sure = confidence if confidence is not None else F.lit(SURE[source])
-    return rows.select("stream", F.col(us).cast("long").alias("us"), F.lit(source).alias("source"), kind.alias("type"), target.alias("target"), sure.cast("double").alias("confidence"))
+    when = F.col(us) if isinstance(us, str) else us
+    x, y = (F.col(c).cast("double") for c in at) if at else (F.lit(None).cast("double"),) * 2
+    return rows.select(
+        "stream", when.cast("long").alias("us"), F.lit(source).alias("source"), F.concat(F.lit(f"{source}-"), key.cast("string")).alias("event_id"), F.lit("navigation").alias("type"), target.alias("target"), sure.cast("double").alias("confidence"), x.alias("x"), y.alias("y"))
+
+
+def source_events(samples: DataFrame, cursor: DataFrame, resting: DataFrame | None = None, clock: Column | None = None, focus_us: int = 100_000) -> DataFrame:
+    """What all sources detect, as one relation: changes of window, tab and focus, movements, clicks and trails of the cursor.
+
+    samples: stream, us, event_id, app_name, window, tab; cursor: stream, ms, seq, x, y, whose time in microseconds is
+    `clock`; resting: the samples in which clicks are looked for, if not those. Detected events are all navigation.
+    """
+    clock = F.col("ms") * 1000 if clock is None else clock
+    key, seq = F.col("event_id"), F.col("seq")
+    rested = sequences.inferred_clicks(cursor if resting is None else resting)
+    found = [
+        as_events(sequences.changes(samples, ("app_name", "window")), "window", F.concat(F.lit("window_"), F.col("app_name"), F.lit("_"), F.col("window")), key),
+        as_events(sequences.tab_changes(samples), "tab", F.concat(F.lit("tab_"), F.col("app_name"), F.lit("_0")), key, confidence=F.col("confidence")),
+        as_events(kernels.focus_changes(samples.select("stream", "event_id", "us", F.col("window").alias("app_name")), focus_us), "focus", F.concat(F.lit("focus_"), F.col("to_app")), key),
+        as_events(sequences.movements(cursor), "movement", F.lit("cursor_movement"), seq, clock, at=("x", "y")),
+        as_events(rested, "click", F.format_string("click_%d_%d", F.round("x").cast("int"), F.round("y").cast("int")), seq, clock, at=("x", "y")),
+        as_events(sequences.trails(cursor), "trail", F.concat(F.lit("movement_trail_"), F.col("kind")), seq, clock, F.round("confidence", 6)),
+    ]
+    union = found[0]
+    for df in found[1:]:
+        union = union.unionByName(df)
+    return union
+
 
+def correlation_events(sources: DataFrame, screen: DataFrame) -> DataFrame:
+    """What the correlator hears: each source's state under its own name, and all detected events, those of the screen too.
 
-def clicks(samples: DataFrame) -> DataFrame:
-    """Inferred clicks as events: target click_x_y, rounded."""
-    return as_events(samples, "click", "click", F.format_string("click_%d_%d", F.round("x").cast("int"), F.round("y").cast("int")), us="ms")
+    screen: stream, us, event_id, type, confidence, metadata (a map, in which roi_x and roi_y tell a place, as text). The
+    same detection stands in the result twice, as the state it changed and as a change of the screen; trails have no state.
+    """
+    out = ("stream", "us", "event_id", "type", "confidence", "x", "y")
+    of = lambda i: F.create_map(*[F.lit(v) for k, s in STATES.items() if s[i] is not None for v in (k, s[i])])[F.col("source")]
+    states = sources.where(F.col("source").isin(*STATES)).withColumns({"type": of(0), "confidence": F.coalesce(of(1), F.col("confidence"))})
+    named = F.create_map(*[F.lit(v) for p in DETECTED.items() for v in p])
+    detected = sources.withColumns({"event_id": F.concat("event_id", F.lit("-detected")), "type": F.coalesce(named[F.col("type")], F.lit("screen_change")), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
+    place = lambda c: F.col("metadata")[c].try_cast("double")
+    both = place("roi_x").isNotNull() & place("roi_y").isNotNull()
+    seen = screen.select(
+        "stream", "us", F.concat(F.lit("screen-"), F.col("event_id").cast("string")).alias("event_id"), F.coalesce(named[F.col("type")], F.lit("screen_change")).alias("type"), F.col("confidence").cast("double").alias("confidence"),
+        F.when(both, place("roi_x")).alias("x"), F.when(both, place("roi_y")).alias("y"))
+    return states.select(*out).unionByName(detected.select(*out)).unionByName(seen)
 
 
 def correlations(events: DataFrame, horizon_us: int, radius: float = 50.0) -> DataFrame:
@@ -82,12 +125,14 @@ def frame_metadata(frames: DataFrame, samples: DataFrame, within_us: int = 1_000
 
 
 def interest(regions: DataFrame, screen_w: float = 1920.0, screen_h: float = 1080.0, most: int = 10) -> DataFrame:
-    """Regions of interest of each frame, cut to the screen: type by shape and place, priority, the first ten by priority."""
+    """Regions of interest of each frame, cut to the screen: type by shape and place, priority, the first ten by priority.
+    A column has_text tells text regions from rectangles; without it all have text."""
+    if "has_text" not in regions.columns:
+        regions = regions.withColumn("has_text", F.lit(True))
     x, y = F.greatest(F.col("x"), F.lit(0.0)), F.greatest(F.col("y"), F.lit(0.0))
     r = regions.withColumns({"w": F.least(F.col("x") + F.col("w"), F.lit(screen_w)) - x, "h": F.least(F.col("y") + F.col("h"), F.lit(screen_h)) - y, "x": x, "y": y}).where("w > 0 and h > 0")
     r = r.where(F.col("w").between(ROI_LEAST[0], ROI_MOST[0]) & F.col("h").between(ROI_LEAST[1], ROI_MOST[1]) & (F.col("w") * F.col("h") >= 200))
-    ratio, middle = F.col("w") / F.col("h"), (F.col("y") + F.col("h") / 2) / screen_h
-    kind = F.when((ratio > 5) & (F.col("h") / screen_h < 0.05), "text_field").when(ratio.between(0.5, 3) & (F.col("w") / screen_w < 0.2), "button").when((middle < 0.1) | (middle > 0.9), "menu_item").when((F.col("w") / screen_w > 0.5) & (F.col("h") / screen_h > 0.3), "dialog").otherwise("label")
+    kind = F.when(F.coalesce(F.col("has_text"), F.lit(True)), geometry.region_type(geometry.box(), screen_w, screen_h)).otherwise(geometry.rectangle_type(geometry.box(), screen_w, screen_h))
     r = r.withColumn("kind", kind).withColumn("priority", F.create_map(*[F.lit(v) for p in ROI_PRIORITY.items() for v in p])[F.col("kind")])
     w = Window.partitionBy("stream", "frame").orderBy(F.desc("priority"), "idx")
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("stream", "frame", "idx", "kind", "priority", "rank")
@@ -133,6 +178,12 @@ def engine_choice(regions: DataFrame, least: float = 0.4, largest: float = 2000.
     return g.select("frame", F.when((F.col("width") > largest) | (F.col("height") > largest), "b").when((F.col("sure") >= least) & F.col("read"), "a").otherwise("b").alias("engine"))
 
 
+def chosen_texts(regions: DataFrame, least: float = 0.4, largest: float = 2000.0) -> DataFrame:
+    """frame, idx, engine, text: each region as the engine read it that was chosen for its frame (columns a_text, b_text)."""
+    j = regions.join(engine_choice(regions, least, largest), "frame")
+    return j.select("frame", "idx", "engine", F.when(F.col("engine") == "a", F.col("a_text")).otherwise(F.col("b_text")).alias("text"))
+
+
 def read_batch(regions: DataFrame, origins: DataFrame, least: float = 0.3) -> DataFrame:
     """Recognised regions sure enough to keep, moved by the origin (ox, oy) of the part of the frame they were read in."""
     j = regions.where(F.col("confidence") >= least).join(origins, ["stream", "frame"], "left")

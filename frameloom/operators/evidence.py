@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Applications in which frames are the more relevant.
+INTERACTIVE = ("Safari", "Chrome", "Firefox", "Xcode", "Terminal", "Finder")
+
 
 def in_sessions(sessions: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """rows (stream, us, ...) within the closed time of a session of their stream, with the session's columns. Sessions of a
@@ -64,6 +67,5 @@ def traces(sessions: DataFrame, grouped: DataFrame, linked: DataFrame, keys: tup
 
 
 def relevance(app: Column, title: Column) -> Column:
-    """0.5, more for a working app and for a telling title."""
-    known = app.isin("Safari", "Xcode", "Slack", "Mail", "Terminal", "Chrome")
-    return F.least(F.lit(1.0), 0.5 + F.when(known, 0.3).otherwise(0.0) + F.when(F.length(title) > 5, 0.2).otherwise(0.0))
+    """0.5, more for an app that people work in and for a title that says more than the app's name."""
+    return F.least(F.lit(1.0), 0.5 + F.when(app.isin(*INTERACTIVE), 0.3).otherwise(0.0) + F.when((title != "") & (title != app), 0.2).otherwise(0.0))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 
-#: Directed pairs of types that correlate in time, and in place.
-TEMPORAL = (("click", "navigation"), ("navigation", "form_submission"), ("form_submission", "error_display"), ("data_entry", "form_submission"), ("click", "error_display"))
+#: Directed pairs of types that correlate in time, and in place, and what a pair of neighbours says of its cause.
+TEMPORAL = (("click", "screen_change"), ("click", "window_change"), ("click", "tab_change"), ("window_change", "cursor_movement"), ("error_display", "click"))
 SPATIAL = (("click", "field_change"), ("cursor_movement", "field_change"))
+CAUSAL = {("click", "window_change"): 0.9, ("click", "tab_change"): 0.85, ("click", "field_change"): 0.8, ("error_display", "cursor_movement"): 0.7, ("modal_appearance", "click"): 0.75}
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
@@ -35,13 +36,14 @@ def temporal_links(events: DataFrame, horizon_us: int) -> DataFrame:
 
 
 def causal_links(events: DataFrame, horizon_us: int) -> DataFrame:
-    """Each event and the next of its stream: strength 0.9 for correlated types, 0.5 for others; from 0.6 up."""
+    """Each event and the next of its stream within the horizon, if their types tell of a cause; from 0.6 up."""
     w = Window.partitionBy("stream").orderBy("us", "event_id")
     after = lambda c: F.lead(c).over(w)
     e = events.select("stream", "event_id", "type", "us", "confidence", after("event_id").alias("next_id"), after("type").alias("next_type"), after("us").alias("next_us"), after("confidence").alias("next_confidence")).where("next_id is not null")
-    strength = F.when(F.concat("type", F.lit(">"), "next_type").isin([f"{a}>{b}" for a, b in TEMPORAL]), 0.9).otherwise(0.5)
-    near = F.greatest(F.lit(0.0), 1 - (F.col("next_us") - F.col("us")) / horizon_us)
-    return e.withColumn("causal", 0.5 * strength + 0.3 * near + 0.2 * (F.col("confidence") + F.col("next_confidence")) / 2).where("causal >= 0.6")
+    strength = F.create_map(*[F.lit(v) for (a, b), s in CAUSAL.items() for v in (f"{a}>{b}", s)])[F.concat("type", F.lit(">"), "next_type")]
+    apart = F.col("next_us") - F.col("us")
+    e = e.withColumn("strength", strength).where(F.col("strength").isNotNull() & (apart <= horizon_us))
+    return e.withColumn("causal", 0.5 * F.col("strength") + 0.3 * (1 - apart / horizon_us) + 0.2 * (F.col("confidence") + F.col("next_confidence")) / 2).where("causal >= 0.6")
 
 
 def spatial_links(points: DataFrame, radius: float = 50.0, keys: tuple[str, ...] = ("stream",), key: str = "seq") -> DataFrame:
@@ -57,7 +59,7 @@ def spatial_links(points: DataFrame, radius: float = 50.0, keys: tuple[str, ...]
 def typed_spatial_links(events: DataFrame, radius: float = 50.0, least: float = 0.6) -> DataFrame:
     """Directed pairs of types that correlate in place, at most radius apart, with confidence: 0.7 of nearness, 0.3 of the
     events' own; in order of time."""
-    j = spatial_links(events, radius, key="event_id")
+    j = spatial_links(events.where("x is not null and y is not null"), radius, key="event_id")
     late = (F.col("a_us") > F.col("b_us")) | ((F.col("a_us") == F.col("b_us")) & (F.col("a_event_id") > F.col("b_event_id")))
     first, second = F.when(late, F.col("b_type")).otherwise(F.col("a_type")), F.when(late, F.col("a_type")).otherwise(F.col("b_type"))
     pair = F.concat(first, F.lit(">"), second).isin([f"{a}>{b}" for a, b in SPATIAL])

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: Days that data of a kind stays, -1 for ever.
 RETENTION = {"raw_video": 30, "frame_metadata": 90, "ocr_data": 90, "event_data": 365, "spans": -1, "summaries": -1}
 DAY = 86_400
 #: Limits of what is healthy, and the levels that are critical.
 HEALTH = (("cpu", 80.0, 90.0), ("mem_pct", 85.0, 95.0), ("disk_pct", 90.0, 95.0), ("errors", 10.0, 1e9))
+LEAST_FREE = 1 << 30
+#: Free bytes under which storage is critical, or gives a warning, or calls for less; bytes worth reclaiming.
+FREE_CRITICAL, FREE_WARNING, FREE_LOW, WORTH_RECLAIMING = 500_000_000, 2_000_000_000, 1_000_000_000, 100_000_000
+#: What to do after a failure, by its reason; any other calls for a full restart.
+RECOVERY = {"display_disconnected": "graceful_degradation", "system_resource_exhaustion": "quality_reduction", "permission_denied": "temporary_pause"}
 
 
 def retention_plan(files: DataFrame, as_of: int, policies: dict[str, int] = RETENTION) -> DataFrame:
@@ -22,27 +29,40 @@ def retention_estimate(files: DataFrame, as_of: int, policies: dict[str, int] =
     return retention_plan(files, as_of, policies).groupBy("data_type").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-def storage_health(files: DataFrame) -> DataFrame:
-    """Bytes by kind and what they call for."""
-    g = files.groupBy("data_type").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
-    status = F.when(F.col("bytes") > 2 << 30, "critical").when(F.col("bytes") > 512 << 20, "warning").otherwise("healthy")
-    advice = F.when(F.col("bytes") > 1 << 30, "shorten retention").when(F.col("bytes") > 100 << 20, "compact").otherwise("none")
-    return g.withColumn("status", status).withColumn("advice", advice)
+def storage_health(files: DataFrame, as_of: int, policies: dict[str, int] = RETENTION) -> DataFrame:
+    """Per volume (columns volume, free: its free bytes): bytes in use, in all and by kind, status, and recommendations.
+
+    Free space alone decides the status. Recommended is to keep less, where little is free, and to clean up each kind of
+    which more than a little has outlived its days; kinds in the order of their names.
+    """
+    days = F.create_map(*[F.lit(x) for p in policies.items() for x in p])[F.col("data_type")]
+    old = F.when((days > 0) & (F.col("mtime") < as_of - (days + 1) * DAY), F.col("length")).otherwise(0)
+    kinds = files.groupBy("volume", "data_type").agg(F.sum("length").alias("bytes"), F.sum(old).alias("reclaimable"), F.min("free").alias("free"))
+    g = kinds.groupBy("volume").agg(F.sum("bytes").alias("bytes"), F.min("free").alias("free"), F.sort_array(F.collect_list(F.struct("data_type", "bytes", "reclaimable"))).alias("kinds"))
+    status = F.when(F.col("free") < FREE_CRITICAL, "critical").when(F.col("free") < FREE_WARNING, "warning").otherwise("healthy")
+    low = F.when(F.col("free") < FREE_LOW, F.array(F.lit("Low disk space available. Consider reducing retention periods."))).otherwise(F.array().cast("array<string>"))
+    clean = F.transform(F.filter("kinds", lambda k: k["reclaimable"] > WORTH_RECLAIMING), lambda k: F.concat(F.lit("Can reclaim "), text.size_text(k["reclaimable"]), F.lit(" by cleaning up "), k["data_type"]))
+    return g.select("volume", "bytes", "free", F.transform("kinds", lambda k: F.struct(k["data_type"].alias("data_type"), k["bytes"].alias("bytes"))).alias("kinds"), status.alias("status"), F.concat(low, clean).alias("recommendations"))
 
 
 def health_alerts(metrics: DataFrame) -> DataFrame:
-    """An alert for each limit that a sample is over; the sample's status is that of its worst."""
+    """An alert for each limit that a sample is over; the sample's status: 2 (critical) if too few bytes are free and no
+    errors came after that test, else 1 (degraded). A single alert over its second limit is critical, the sample isn't."""
     tests = [F.when(F.col(c) > limit, F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.when(F.col(c) > worst, 2).otherwise(1).alias("level"))) for c, limit, worst in HEALTH]
-    m = metrics.select("stream", "us", F.filter(F.array(*tests), lambda a: a.isNotNull()).alias("alerts"))
-    return m.select("stream", "us", F.array_max(F.transform("alerts", lambda a: a["level"])).alias("status"), F.explode("alerts").alias("a")).select("stream", "us", "status", "a.*")
-
-
-def recovery_strategy(reason: Column, attempts: Column, healthy: Column) -> Column:
-    """What to do after a failure: give up after five attempts, wait for health, else by reason."""
-    return (
-        F.when(attempts >= 5, "give_up").when(~healthy, "wait").when(reason == "crash", "restart_and_restore").when(reason == "out_of_memory", "restart_reduced")
-        .when(reason == "disk_full", "clean_up_and_restart").when(reason == "permission", "ask_user").otherwise("restart")
-    )
+    free = F.col("free") if "free" in metrics.columns else F.lit(None).cast("long")
+    little = F.coalesce(free < LEAST_FREE, F.lit(False))
+    full = F.when(little, F.struct(F.lit("free").alias("metric"), free.cast("double").alias("value"), F.lit(2).alias("level")))
+    m = metrics.select("stream", "us", F.filter(F.array(*tests[:3], full, *tests[3:]), lambda a: a.isNotNull()).alias("alerts"), little.alias("__full"), tests[3].isNotNull().alias("__errors"))
+    # tests run in order and the last one that strikes sets the status: errors make a critical sample a degraded one
+    status = F.when(F.col("__full") & ~F.col("__errors"), 2).otherwise(1)
+    return m.select("stream", "us", status.alias("status"), F.explode("alerts").alias("a")).select("stream", "us", "status", "a.*")
+
+
+def recovery_strategy(reason: Column, failed_displays: Column) -> Column:
+    """What to do after a failure. Of several monitors, one that failed is left out; if more did, one alone goes on."""
+    several = F.when(failed_displays == 1, "graceful_degradation").otherwise("single_monitor_fallback")
+    named = F.create_map(*[F.lit(x) for p in RECOVERY.items() for x in p])[reason]
+    return F.when(reason == "multi_monitor_failure", several).otherwise(F.coalesce(named, F.lit("full_restart")))
 
 
 def recovery_statistics(attempts: DataFrame) -> DataFrame:

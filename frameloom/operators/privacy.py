@@ -24,7 +24,7 @@ PATTERNS = {
 #: What a text holds if it holds a match at all; without any of these a pattern isn't tried. The others need a digit.
 HINTS = {"email": ("@",), "url": ("://",), "mac_address": (":", "-")}
 CONTEXT = "personal|private|confidential|password|ssn|social security"
-CRITICAL, HIGH = ("ssn", "credit_card"), ("passport", "drivers_license", "date_of_birth")
+CRITICAL, HIGH = ("ssn", "credit_card", "passport", "drivers_license"), ("email", "phone", "date_of_birth")
 LEVELS = ("low", "medium", "high", "critical")
 
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import images, text
 
+#: What the names of applications for talking and for building hold, lower case.
+COMMUNICATION = ("mail", "messages", "slack", "teams", "zoom", "skype")
+DEVELOPMENT = ("xcode", "vscode", "intellij", "terminal", "git", "github")
+
 
 def _compared(batches):
     """Over frames sorted by (stream, frame): each compared with the one before it in its stream. One image is held."""
@@ -66,10 +70,19 @@ def islands(events: DataFrame, gap_us: int, most: int | None = None, order: tupl
     return out
 
 
-def context_split(events: DataFrame, gap_us: int, threshold: float = 0.7) -> DataFrame:
-    """events with island, similarity to the event before in it, and context: a new one where that is under threshold."""
-    w = Window.partitionBy("stream", "island").orderBy("us", "event_id")
-    e = islands(events, gap_us)
+def limited(events: DataFrame, gap_us: int, most: int = 50) -> DataFrame:
+    """events with island: per stream, a new one after a gap of more than gap_us, and after `most` events."""
+    w = Window.partitionBy("stream").orderBy("us", "event_id")
+    e = islands(events, gap_us, most)
+    fresh = F.when(F.struct("island", "chunk") == F.lag(F.struct("island", "chunk")).over(w), 0).otherwise(1)
+    return e.withColumn("__new", fresh).withColumn("island", F.sum("__new").over(w)).drop("__new", "chunk")
+
+
+def context_split(events: DataFrame, gap_us: int, threshold: float = 0.7, most: int | None = None) -> DataFrame:
+    """events with island (and chunk, given an event limit), similarity to the event before in it, and context: a new one
+    where that is under threshold."""
+    w = Window.partitionBy("stream", "island", *(["chunk"] if most else [])).orderBy("us", "event_id")
+    e = islands(events, gap_us, most)
     before = lambda c: F.lag(c).over(w)
     e = e.select("*", before("type").alias("__type"), before("app_name").alias("__app"), before("target").alias("__target"), before("us").alias("__us"))
     app = F.when(F.col("app_name") == F.col("__app"), 1.0).otherwise(0.0)
@@ -83,11 +96,17 @@ def context_split(events: DataFrame, gap_us: int, threshold: float = 0.7) -> Dat
 
 
 def sessions(grouped: DataFrame, keys: tuple[str, ...] = ("stream", "island"), least_events: int = 3, least_seconds: float = 60) -> DataFrame:
-    """A row per group with enough events over enough time: counts by type, session type, primary app, mean confidence."""
+    """A row per group with enough events over enough time: counts by type, session type, primary app, mean confidence.
+
+    forms counts submissions and changed fields, navigations changes of the application too. The apps of all events decide
+    whether a session communicates or develops.
+    """
     n = lambda *types: F.count_if(F.col("type").isin(*types))
+    any_app = lambda words: F.coalesce(F.bool_or(F.lower("app_name").rlike("|".join(words))), F.lit(False))
     s = grouped.groupBy(*keys).agg(
         F.count("*").alias("n_events"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.round(F.avg("confidence"), 6).alias("avg_confidence"),
-        n("form_submission").alias("forms"), n("data_entry", "field_change").alias("data"), n("navigation").alias("navigations"), n("click").alias("clicks"), n("error_display").alias("errors"),
+        n("form_submission", "field_change").alias("forms"), n("data_entry").alias("data"), n("navigation", "app_switch").alias("navigations"), n("click").alias("clicks"), n("error_display").alias("errors"),
+        n("form_submission").alias("submissions"), n("navigation").alias("visits"), any_app(COMMUNICATION).alias("communicates"), any_app(DEVELOPMENT).alias("develops"),
         F.mode("app_name", True).alias("primary_app"),
     )
     s = s.withColumn("seconds", (F.col("end_us") - F.col("start_us")) / 1e6).where((F.col("n_events") >= least_events) & (F.col("seconds") >= least_seconds))
@@ -99,7 +118,7 @@ def session_type() -> Column:
     research = (F.col("navigations") > F.floor(n / 3)) & (F.col("clicks") > F.floor(n / 4))
     return (
         F.when(F.col("forms") / n > 0.5, "form_filling").when(F.col("data") / n > 0.4, "data_entry").when(F.col("navigations") / n > 0.6, "navigation").when(F.col("errors") > 0, "mixed")
-        .when(research, "research").when(F.col("primary_app").isin("Slack", "Mail"), "communication").when(F.col("primary_app") == "Xcode", "development").otherwise("mixed")
+        .when(research, "research").when(F.col("communicates"), "communication").when(F.col("develops"), "development").otherwise("mixed")
     )
 
 
@@ -187,10 +206,14 @@ def navigation_types(visits: DataFrame) -> DataFrame:
 
 def transition_scores(events: DataFrame) -> DataFrame:
     """events with transition: other app 0.5, same app with another target 0.3, over 5 s since the last 0.2."""
-    w = Window.partitionBy("stream").orderBy("us", "event_id")
-    app, target = F.lag("app_name").over(w), F.lag("target").over(w)
-    score = F.when(app != F.col("app_name"), 0.5).when((app == F.col("app_name")) & (target != F.col("target")), 0.3).otherwise(0.0) + F.when(F.col("us") - F.lag("us").over(w) > 5_000_000, 0.2).otherwise(0.0)
-    return events.withColumn("transition", F.least(score, F.lit(1.0)))
+    return events.withColumn("transition", transition(Window.partitionBy("stream").orderBy("us", "event_id"), "app_name", "target"))
+
+
+def transition(w: Window, app: str, title: str) -> Column:
+    """How much a row differs from the one before in the window; 0 for the first."""
+    was, titled = F.lag(app).over(w), F.lag(title).over(w)
+    score = F.when(was != F.col(app), 0.5).when((was == F.col(app)) & (titled != F.col(title)), 0.3).otherwise(0.0) + F.when(F.col("us") - F.lag("us").over(w) > 5_000_000, 0.2).otherwise(0.0)
+    return F.least(score, F.lit(1.0))
 
 
 def sections(regions: DataFrame, gap: float = 50.0) -> DataFrame:

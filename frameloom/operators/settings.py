@@ -12,7 +12,7 @@ RULES = (
     ("recording", "error", "Invalid frame rate", "frame_rate NOT IN (15, 30, 60)"),
     ("recording", "error", "Invalid quality setting", "lower(quality) NOT IN ('low', 'medium', 'high')"),
     ("recording", "error", "Invalid segment duration", "segment_s NOT IN (60, 120, 300)"),
-    ("recording", "error", "No displays selected for recording", "displays = 0"),
+    ("recording", "warning", "No displays selected for recording", "displays = 0"),
     ("recording", "warning", "High resource usage configuration detected", "frame_rate = 60 AND quality = 'high' AND displays > 2"),
     ("privacy", "warning", "PII masking is disabled but specific masking options are enabled", "NOT masking AND mask_any"),
     ("privacy", "warning", "App filtering is enabled but no apps are allowed", "app_filter AND bundle = ''"),

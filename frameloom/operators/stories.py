@@ -91,7 +91,7 @@ def playbook_texts(playbooks: DataFrame, steps: DataFrame, sessions: DataFrame,
         "markdown": F.concat(
             F.lit("# "), name, F.lit("\n\n| Property | Value |\n|----------|-------|\n| Difficulty | "), F.initcap("difficulty"), F.lit(" |\n| Steps | "), number(F.col("n_steps")), F.lit(" |\n\n## Steps\n\n"),
             joined(lambda s: F.concat(number(s["step"]), F.lit(". **"), s["instruction"], F.lit("**\n   - Target: `"), s["target"], F.lit("`")), "\n")),
-        "csv": F.concat(F.lit("step_number,action,target\n"), joined(lambda s: F.concat(number(s["step"]), F.lit(","), quoted(s["instruction"]), F.lit(","), s["target"]), "\n")),
+        "csv": F.concat(F.lit("step_number,action,target\n"), joined(lambda s: F.concat(number(s["step"]), F.lit(","), quoted(s["instruction"]), F.lit(","), F.when(F.contains(s["target"], F.lit(",")), quoted(s["target"])).otherwise(s["target"])), "\n")),
         "json": F.concat(F.lit('{"title":"'), name, F.lit('","difficulty":"'), F.col("difficulty"), F.lit('","steps":['), joined(lambda s: F.concat(F.lit('{"step":'), number(s["step"]), F.lit(',"action":"'), s["instruction"], F.lit('"}')), ","), F.lit("]}")),
         "html": F.concat(F.lit("<h1>"), name, F.lit("</h1>"), joined(lambda s: F.concat(F.lit('<div class="step"><h3>'), s["instruction"], F.lit("</h3></div>")), "")),
     }

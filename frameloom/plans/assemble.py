@@ -10,12 +10,10 @@ from ..sources import adapters as A
 from .detect import MATCHES
 from .more import linked
 from .registry import query
-from .sequence import GAP, HOUR, ISLANDS, PLACED, SESSIONS, TRAILS, grouped, placed
-from .tell import IMPORTANT, KEYS, STEPS, told
+from .sequence import GROUPED, HOUR, PIXELS, SESSIONS, grouped
+from .tell import ADVICE, CAME, CONTEXT, IMPORTANT, KEYS, STEPS, W16, correlated, steps, told, told_in_context
 
 EV, RG, FR, CU, VS = A.EVENTS_SQL, A.REGIONS_SQL, A.FRAMES_SQL, A.CURSOR_SQL, A.VISITS_SQL
-PAIRS = ("click>navigation", "navigation>form_submission", "form_submission>error_display", "data_entry>form_submission", "click>error_display")
-LINKED_TYPES = "(" + ", ".join(f"'{p}'" for p in PAIRS) + ")"
 
 
 @query("e11_hash16", f"WITH {FR} SELECT frame, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN pixels[i] > floor(list_avg(pixels)) THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS hash FROM fr")
@@ -40,10 +38,11 @@ def e35(spark, d):
 
 
 @query("s4_regions_of_interest", f"""WITH {RG}, c AS (SELECT stream, frame, idx, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, 1920) - greatest(x, 0) AS w, least(y + h, 1080) - greatest(y, 0) AS h FROM rg),
-k AS (SELECT *, CASE WHEN w / h > 5 AND h / 1080 < 0.05 THEN 'text_field' WHEN w / h BETWEEN 0.5 AND 3 AND w / 1920 < 0.2 THEN 'button' WHEN (y + h / 2) / 1080 < 0.1 OR (y + h / 2) / 1080 > 0.9 THEN 'menu_item' WHEN w / 1920 > 0.5 AND h / 1080 > 0.3 THEN 'dialog' ELSE 'label' END AS kind FROM c WHERE w > 0 AND h > 0 AND w BETWEEN 20 AND 800 AND h BETWEEN 10 AND 200 AND w * h >= 200),
+k AS (SELECT *, CASE WHEN idx % 4 = 0 THEN CASE WHEN w / h > 2 AND w / h < 8 AND w * h / (1920 * 1080) < 0.05 THEN 'button' WHEN w * h / (1920 * 1080) > 0.2 THEN 'dialog' ELSE 'general' END WHEN w / h > 5 AND h / 1080 < 0.05 THEN 'text_field' WHEN w / h < 3 AND w / 1920 < 0.3 AND h / 1080 < 0.1 THEN 'button' WHEN (y + h / 2) / 1080 < 0.1 OR (y + h / 2) / 1080 > 0.9 THEN 'menu_item' WHEN w / 1920 > 0.5 AND h / 1080 > 0.3 THEN 'dialog' ELSE 'label' END AS kind FROM c WHERE w > 0 AND h > 0 AND w BETWEEN 20 AND 800 AND h BETWEEN 10 AND 200 AND w * h >= 200),
 p AS (SELECT *, CASE kind WHEN 'text_field' THEN 5 WHEN 'button' THEN 4 WHEN 'dialog' THEN 3 WHEN 'label' THEN 2 WHEN 'menu_item' THEN 1 ELSE 0 END AS priority FROM k) SELECT stream, frame, idx, kind, priority, (row_number() OVER (PARTITION BY stream, frame ORDER BY priority DESC, idx))::INT AS rank FROM p QUALIFY rank <= 10""")
 def s4(spark, d):
-    return assemblies.interest(A.regions(spark, d))
+    # every fourth region stands for a rectangle without text
+    return assemblies.interest(A.regions(spark, d).withColumn("has_text", F.col("idx") % 4 != 0))
 
 
 @query("a5_navigation_metrics", f"WITH {EV} SELECT stream, count(*) AS frames, count(*) FILTER (type = 'navigation') AS navigations, count(*) FILTER (type = 'click') AS clicks, CASE WHEN count(*) FILTER (type IN ('navigation', 'click')) > 0 THEN sum(event_id % 97)::BIGINT // count(*) FILTER (type IN ('navigation', 'click')) END AS avg_ms FROM ev GROUP BY 1")
@@ -79,39 +78,6 @@ def m6(spark, d):
     return assemblies.with_patterns(assemblies.frame_events(A.regions(spark, d))).withColumn("share", F.round("share", 6))
 
 
-@query("m5_correlations", f"""WITH {PLACED}, la AS (SELECT *, max(us) OVER (PARTITION BY stream) AS last FROM pl), e AS (SELECT * FROM la WHERE us >= last - {GAP}),
-t AS (SELECT a.stream, a.event_id AS a_id, b.event_id AS b_id, 'temporal' AS kind, 0.6 * (1 - (b.us - a.us) / {GAP}) + 0.4 * (a.confidence + b.confidence) / 2 AS c FROM e a JOIN e b ON a.stream = b.stream AND b.us BETWEEN a.us AND a.us + {GAP} AND a.event_id <> b.event_id AND (a.us < b.us OR a.event_id < b.event_id) WHERE a.type || '>' || b.type IN {LINKED_TYPES}),
-p AS (SELECT a.stream, a.event_id AS a_id, b.event_id AS b_id, 'spatial' AS kind, 0.7 * (1 - sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 50) + 0.3 * (a.confidence + b.confidence) / 2 AS c FROM e a JOIN e b ON a.stream = b.stream AND (a.us < b.us OR (a.us = b.us AND a.event_id < b.event_id)) WHERE a.type IN ('click', 'cursor_movement') AND b.type = 'field_change' AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 50),
-n AS (SELECT *, lead(event_id) OVER w AS next_id, lead(type) OVER w AS nt, lead(us) OVER w AS nu, lead(confidence) OVER w AS nc FROM e WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)),
-c AS (SELECT stream, event_id AS a_id, next_id AS b_id, 'causal' AS kind, 0.5 * CASE WHEN type || '>' || nt IN {LINKED_TYPES} THEN 0.9 ELSE 0.5 END + 0.3 * greatest(0, 1 - (nu - us) / {GAP}) + 0.2 * (confidence + nc) / 2 AS c FROM n WHERE next_id IS NOT NULL)
-SELECT stream, a_id, b_id, kind, round(c, 6) AS confidence FROM (SELECT * FROM t UNION ALL SELECT * FROM p UNION ALL SELECT * FROM c) WHERE c >= 0.6""")
-def m5(spark, d):
-    return assemblies.correlations(placed(spark, d), GAP).withColumn("confidence", F.round("confidence", 6))
-
-
-@query("p10_source_events", f"""WITH {TRAILS}, {EV}, we AS (SELECT *, lag(type) OVER w AS was, lag(app_name || ' ' || type) OVER w AS was_tab, us - lag(us) OVER w AS after_us FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)), mo AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS far FROM cu WINDOW w AS (PARTITION BY stream ORDER BY ms, seq)),
-u AS (SELECT stream, us, 'window' AS source, 'window_change' AS type, 'window_' || type AS target, 0.8::DOUBLE AS confidence FROM we WHERE type IS DISTINCT FROM was AND after_us >= 100000 UNION ALL SELECT stream, us, 'tab', 'tab_change', 'tab_' || app_name || '_0', 0.72 FROM we WHERE app_name || ' ' || type IS DISTINCT FROM was_tab AND after_us >= 100000
- UNION ALL SELECT stream, ms, 'movement', 'cursor_movement', 'cursor', 0.9 FROM mo WHERE far >= 5 UNION ALL SELECT stream, ms, 'trail', 'navigation', 'movement_trail', round(confidence, 6) FROM li WHERE confidence >= 0.64) SELECT source, type, target, count(*) AS n, min(us) AS first, max(us) AS last, round(sum(confidence), 4) AS total FROM u GROUP BY ALL""")
-def p10(spark, d):
-    e, c = A.events(spark, d).withColumn("tab", F.concat_ws(" ", "app_name", "type")), A.cursor(spark, d)
-    found = [
-        assemblies.as_events(sequences.changes(e, ("type",)), "window", "window_change", F.concat(F.lit("window_"), F.col("type"))), assemblies.as_events(sequences.tab_changes(e), "tab", "tab_change", F.concat(F.lit("tab_"), F.col("app_name"), F.lit("_0"))),
-        assemblies.as_events(sequences.movements(c), "movement", "cursor_movement", F.lit("cursor"), us="ms"), assemblies.as_events(sequences.trails(c), "trail", "navigation", F.lit("movement_trail"), F.round("confidence", 6), us="ms"),
-    ]
-    u = found[0]
-    for df in found[1:]:
-        u = u.unionByName(df)
-    return u.groupBy("source", "type", "target").agg(F.count("*").alias("n"), F.min("us").alias("first"), F.max("us").alias("last"), F.round(F.sum("confidence"), 4).alias("total"))
-
-
-CLICKS = f"""{CU}, sl AS (SELECT * REPLACE (floor(x / 500) * 500 AS x, floor(y / 60) * 60 AS y) FROM cu), la AS (SELECT *, list(struct_pack(x := x, y := y)) OVER (PARTITION BY stream ORDER BY ms, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS near, lag(x, 6) OVER w AS x6, lag(y, 6) OVER w AS y6 FROM sl WINDOW w AS (PARTITION BY stream ORDER BY ms, seq))"""
-
-
-@query("m3_click_events", f"WITH {CLICKS} SELECT stream, ms AS us, 'click' AS source, 'click' AS type, 'click_' || x::INT || '_' || y::INT AS target, 0.56::DOUBLE AS confidence FROM la WHERE len(near) = 5 AND len(list_filter(near, lambda p: sqrt((p.x - la.x) ** 2 + (p.y - la.y) ** 2) > 5)) = 0 AND sqrt((x6 - x) ** 2 + (y6 - y) ** 2) > 10")
-def m3(spark, d):
-    slow = A.cursor(spark, d).withColumn("x", (F.floor(F.col("x") / 500) * 500).cast("double")).withColumn("y", (F.floor(F.col("y") / 60) * 60).cast("double"))
-    return assemblies.clicks(sequences.inferred_clicks(slow))
-
 
 @query("p14_read_batch", f"WITH {RG} SELECT stream, frame, idx, x + CASE WHEN frame % 2 = 0 THEN 100 ELSE 0 END AS x, y + CASE WHEN frame % 2 = 0 THEN 50 ELSE 0 END AS y FROM rg WHERE confidence - 0.3 >= 0.3")
 def p14(spark, d):
@@ -126,32 +92,35 @@ def p15(spark, d):
     return assemblies.engine_choice(r)
 
 
-@query("p13_keyframe_rows", f"WITH {FR} SELECT frame, stream, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN pixels[i] > floor(list_avg(pixels)) THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS hash, CASE WHEN frame % 2 = 0 THEN 'Safari' ELSE 'Unknown' END AS app_name FROM fr")
+@query("p15_engine_choice", f"WITH {RG}, s AS (SELECT *, CASE WHEN frame % 5 = 0 THEN 2560 ELSE 1920 END AS width, confidence - 0.4 AS c FROM rg), g AS (SELECT frame, CASE WHEN max(width) > 2000 THEN 'b' WHEN avg(c) >= 0.4 AND bool_or(length(text) > 0) THEN 'a' ELSE 'b' END AS engine FROM s GROUP BY 1) SELECT rg.frame, idx, engine, CASE WHEN engine = 'a' THEN text ELSE reverse(text) END AS text FROM rg JOIN g ON g.frame = rg.frame")
+def p15_texts(spark, d):
+    r = A.regions(spark, d)
+    read = r.select("frame", "idx", F.when(F.col("frame") % 5 == 0, 2560).otherwise(1920).alias("width"), F.lit(1080).alias("height"), (F.col("confidence") - 0.4).alias("a_confidence"), F.col("text").alias("a_text"), F.reverse("text").alias("b_text"))
+    return assemblies.chosen_texts(read)
+
+
+@query("p13_keyframe_rows", f"WITH {FR}, {PIXELS} SELECT fr.frame, fr.stream, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN pixels[i] > floor(list_avg(pixels)) THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS hash, change_type, CASE WHEN fr.frame % 2 = 0 THEN 'Safari' ELSE 'Unknown' END AS app_name FROM fr LEFT JOIN c ON c.frame = fr.frame AND c.stream = fr.stream")
 def p13(spark, d):
     f = A.frames(spark, d)
     keyed = f.select("frame", "stream", images.hash16(F.col("pixels")).alias("hash"))
     metadata = f.where("frame % 2 = 0").select(F.col("frame").alias("frame_id"), F.lit("Safari").alias("app_name"))
-    return assemblies.keyframe_rows(keyed, sequences.scene_changes(f), metadata).select("frame", "stream", "hash", "app_name")
-
+    return assemblies.keyframe_rows(keyed, sequences.scene_changes(f), metadata).select("frame", "stream", "hash", "change_type", "app_name")
 
-W16 = f"""ts AS (SELECT event_id, stream, us, app_name, CASE WHEN a <> app_name THEN 0.5 WHEN a = app_name AND t <> target THEN 0.3 ELSE 0 END + CASE WHEN us - u > 5000000 THEN 0.2 ELSE 0 END AS transition FROM (SELECT *, lag(app_name) OVER w AS a, lag(target) OVER w AS t, lag(us) OVER w AS u FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id))),
-n AS (SELECT se.stream, se.island, ts.event_id AS frame_id, any_value(transition) AS transition, any_value(ts.app_name) AS app, any_value(primary_app) AS own, min(abs(ts.us - isl.us)) AS apart FROM se JOIN ts ON ts.stream = se.stream AND ts.us BETWEEN start_us AND end_us JOIN isl ON isl.stream = se.stream AND isl.island = se.island GROUP BY 1, 2, 3),
-rk AS (SELECT *, row_number() OVER (PARTITION BY stream, island ORDER BY round((0.4 * greatest(0, 1 - apart / 300000000) + CASE WHEN app = own THEN 0.3 ELSE 0 END + 0.2 * transition)::DOUBLE, 6) DESC, frame_id) AS rank FROM n WHERE round((0.4 * greatest(0, 1 - apart / 300000000) + CASE WHEN app = own THEN 0.3 ELSE 0 END + 0.2 * transition)::DOUBLE, 6) >= 0.5)"""
 
-
-@query("r8_references", f"""WITH {SESSIONS}, {W16}, ex AS (SELECT stream, island, unnest([event_id, event_id + 1]) AS frame_id FROM isl), dr AS (SELECT stream, island, list_sort(list(DISTINCT frame_id)) AS frames FROM ex WHERE frame_id IN (SELECT event_id FROM ev) GROUP BY 1, 2), ne AS (SELECT stream, island, list(frame_id ORDER BY rank) AS near FROM rk WHERE rank <= 3 GROUP BY 1, 2)
-SELECT stream, island::BIGINT AS island, coalesce(len(frames), 0)::INT AS n_frames, coalesce(frames[1:5], []) AS direct, coalesce(near, []) AS correlated FROM se LEFT JOIN dr USING (stream, island) LEFT JOIN ne USING (stream, island)""")
+@query("r8_references", f"""WITH {SESSIONS}, {W16}, ex AS (SELECT stream, island, unnest([event_id, event_id + 1]) AS frame_id FROM isl), dr AS (SELECT stream, island, list_sort(list(DISTINCT frame_id)) AS frames FROM ex WHERE frame_id IN (SELECT event_id FROM ev) GROUP BY 1, 2), ne AS (SELECT stream, island, list(frame_id ORDER BY rank) AS near_frames FROM rk WHERE rank <= 3 GROUP BY 1, 2)
+SELECT stream, island::BIGINT AS island, coalesce(len(frames), 0)::INT AS n_frames, coalesce(frames[1:5], []) AS direct, coalesce(near_frames, []) AS correlated FROM se LEFT JOIN dr USING (stream, island) LEFT JOIN ne USING (stream, island)""")
 def r8(spark, d):
     g, s = grouped(spark, d), told(spark, d)
-    return assemblies.references(s, g, linked(spark, d), summaries.correlated_frames(g, s, KEYS, A.events(spark, d)), KEYS)
+    return assemblies.references(s, g, linked(spark, d), correlated(spark, d), KEYS)
 
 
-@query("r9_relevance", f"WITH {EV} SELECT event_id, least(1, 0.5 + CASE WHEN app_name IN ('Safari', 'Xcode', 'Slack', 'Mail', 'Terminal', 'Chrome') THEN 0.3 ELSE 0 END + CASE WHEN length(target) > 5 THEN 0.2 ELSE 0 END)::DOUBLE AS relevance FROM ev")
+@query("r9_relevance", f"WITH {EV} SELECT event_id, least(1, 0.5 + CASE WHEN app_name IN ('Safari', 'Chrome', 'Firefox', 'Xcode', 'Terminal', 'Finder') THEN 0.3 ELSE 0 END + CASE WHEN title <> '' AND title <> app_name THEN 0.2 ELSE 0 END)::DOUBLE AS relevance FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN app_name WHEN 1 THEN target ELSE '' END AS title FROM ev)")
 def r9(spark, d):
-    return A.events(spark, d).select("event_id", evidence.relevance(F.col("app_name"), F.col("target")).alias("relevance"))
+    n = F.col("event_id") % 3
+    return A.events(spark, d).select("event_id", evidence.relevance(F.col("app_name"), F.when(n == 0, F.col("app_name")).when(n == 1, F.col("target")).otherwise("")).alias("relevance"))
 
 
-@query("r4_related_sessions", f"""WITH {ISLANDS}, w AS (SELECT DISTINCT stream, island, unnest([type, app_name]) AS word FROM isl), s AS (SELECT *, count(*) OVER (PARTITION BY stream, island) AS n FROM w),
+@query("r4_related_sessions", f"""WITH {GROUPED}, w AS (SELECT DISTINCT stream, island, unnest([type, app_name]) AS word FROM isl), s AS (SELECT *, count(*) OVER (PARTITION BY stream, island) AS n FROM w),
 j AS (SELECT a.stream, a.island AS a_island, b.island AS b_island, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM s a JOIN s b ON a.stream = b.stream AND a.word = b.word AND a.island <> b.island GROUP BY 1, 2, 3)
 SELECT stream, a_island::BIGINT AS a_island, b_island::BIGINT AS b_island, round(similarity, 6) AS similarity, (row_number() OVER (PARTITION BY stream, a_island ORDER BY similarity DESC, b_island))::INT AS rank FROM j WHERE similarity >= 0.6 QUALIFY rank <= 5""")
 def r4(spark, d):
@@ -175,41 +144,45 @@ LASTS = "CASE WHEN seconds < 60 THEN 'less than a minute' WHEN seconds < 120 THE
 KIND = "replace(session_type, '_', ' ')"
 CAPS = lambda c: f"array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 SURE = "round(confidence * 100)::BIGINT || '%'"
-ADVICE = "CASE WHEN errors > 0 OR n_events / (seconds / 60) < 2 OR (session_type = 'form_filling' AND seconds > 600) THEN list_filter([CASE WHEN errors > 0 THEN 'Look into the errors met' END, CASE WHEN n_events / (seconds / 60) < 2 THEN 'Look for ways to work faster' END, CASE WHEN session_type = 'form_filling' AND seconds > 600 THEN 'Fill forms from templates' END], lambda x: x IS NOT NULL) ELSE ['Keep going'] END"
-CAME = "list_filter([CASE WHEN forms > 0 THEN forms || ' form(s) submitted' END, CASE WHEN data > 0 THEN data || ' field(s) edited' END, CASE WHEN navigations > 0 THEN navigations || ' page(s) visited' END, CASE WHEN errors > 0 THEN errors || ' error(s) met' END], lambda x: x IS NOT NULL)"
 OUTCOMES = lambda head, mark: f"CASE WHEN len(outcomes) > 0 THEN '{head}' || array_to_string(list_transform(outcomes, lambda o: '{mark}' || o), chr(10)) || chr(10) ELSE '' END"
 NL = "' || chr(10) || '"
 
 
-@query("m13_template_texts", f"""WITH {SESSIONS}, ke AS (SELECT * FROM isl QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY {IMPORTANT} DESC, confidence DESC, event_id) <= 5),
+TEMPLATES = f"""WITH {SESSIONS}, {CONTEXT}, ke AS (SELECT * FROM isl QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY {IMPORTANT} DESC, confidence DESC, event_id) <= 5),
 na AS (SELECT stream, island, string_agg('• ' || {_said('narrative')}, chr(10) ORDER BY us, event_id) AS na, string_agg('- **' || {CAPS("replace(type, '_', ' ')")} || ':** ' || {_said('structured')} || ' (Confidence: ' || {SURE} || ')', chr(10) ORDER BY us, event_id) AS st FROM ke GROUP BY 1, 2),
 nu AS (SELECT *, row_number() OVER (PARTITION BY stream, island ORDER BY us, event_id) AS k FROM isl), al AS (SELECT stream, island, string_agg(k || '. ' || {_said('playbook')}, chr(10) ORDER BY us, event_id) AS pl, string_agg('**' || strftime(ts, '%H:%M:%S') || '** - ' || {_said('timeline')} || ' (' || {SURE} || ')', chr(10) ORDER BY us, event_id) AS ti FROM nu GROUP BY 1, 2),
-t AS (SELECT se.*, na, st, pl, ti, {KIND} AS kind, {LASTS} AS lasts, {CAME} AS outcomes, {ADVICE} AS advice FROM se JOIN na USING (stream, island) JOIN al USING (stream, island)),
+t AS (SELECT se.*, na, st, pl, ti, {KIND} AS kind, {LASTS} AS lasts, {CAME} AS outcomes, {ADVICE} AS advice FROM se JOIN wf USING (stream, island) JOIN na USING (stream, island) JOIN al USING (stream, island)),
 f AS (SELECT stream, island::BIGINT AS island, unnest([
  struct_pack(template := 'narrative', text := 'The user engaged in ' || kind || ' within ' || primary_app || ' for ' || lasts || ', performing ' || n_events || ' actions.{NL}{NL}Key activities included:{NL}' || na || chr(10) || {OUTCOMES("This session resulted in:' || chr(10) || '", '• ')}),
  struct_pack(template := 'structured', text := '## Activity Summary{NL}{NL}**Session Type:** ' || {CAPS('kind')} || '{NL}**Duration:** ' || lasts || '{NL}**Events:** ' || n_events || '{NL}**Primary Application:** ' || primary_app || '{NL}{NL}### Key Events{NL}{NL}' || st || chr(10) || {OUTCOMES("### Outcomes' || chr(10) || chr(10) || '", '- ')}),
  struct_pack(template := 'playbook', text := '# Action Playbook{NL}{NL}## Overview{NL}{NL}This playbook recreates the ' || kind || ' workflow performed in ' || primary_app || ' over ' || lasts || '.{NL}{NL}## Steps{NL}{NL}' || pl || chr(10) || {OUTCOMES("## Expected Outcomes' || chr(10) || chr(10) || '", '- ')}),
  struct_pack(template := 'timeline', text := '# Activity Timeline{NL}{NL}**Duration:** ' || lasts || '{NL}{NL}## Event Timeline{NL}{NL}' || ti || chr(10)),
  struct_pack(template := 'executive', text := '# Executive Summary{NL}{NL}## Overview{NL}{NL}User completed a ' || kind || ' session in ' || primary_app || ' lasting ' || lasts || ' with ' || n_events || ' recorded actions.{NL}{NL}## Key Metrics{NL}{NL}- **Duration:** ' || lasts || '{NL}- **Actions:** ' || n_events || '{NL}{NL}' || {OUTCOMES("## Business Impact' || chr(10) || chr(10) || '", '- ')}
-  || '## Recommendations{NL}{NL}' || array_to_string(list_transform(advice, lambda a: '- ' || a), chr(10)) || chr(10))]) AS s FROM t) SELECT stream, island, s.template AS template, s.text AS text FROM f""")
+  || '## Recommendations{NL}{NL}' || array_to_string(list_transform(advice, lambda a: '- ' || a), chr(10)) || chr(10))]) AS s FROM t)"""
+
+
+@query("m13_all_templates", f"{TEMPLATES} SELECT s.template AS template, count(*) AS n, min(length(s.text))::BIGINT AS shortest, max(length(s.text))::BIGINT AS longest FROM f GROUP BY 1")
+def m13_lengths(spark, d):
+    return m13(spark, d).groupBy("template").agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("shortest"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("m13_template_texts", f"{TEMPLATES} SELECT stream, island, s.template AS template, s.text AS text FROM f")
 def m13(spark, d):
     g, s = grouped(spark, d), told(spark, d)
-    return stories.all_templates(s, g, summaries.key_events(g, KEYS), summaries.outcomes(s), summaries.recommendations(s), KEYS)
+    return stories.all_templates(s, g, summaries.key_events(g, KEYS), summaries.outcomes(s), summaries.recommendations(told_in_context(spark, d)), KEYS)
 
 
 NAMED = "CASE session_type " + " ".join(f"WHEN '{k}' THEN '{v[:-2]}'" for k, v in stories.TITLES.items()) + f" ELSE '{stories.OTHER_TITLE[:-2]}' END || primary_app"
 
 
-@query("r16_playbook_formats", f"""WITH {SESSIONS}, l AS (SELECT *, CASE WHEN type IN ('data_entry', 'field_change') AND type = lag(type) OVER w AND target = lag(target) OVER w THEN 0 ELSE 1 END AS new_step FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
-nu AS (SELECT *, sum(new_step) OVER (PARTITION BY stream, island ORDER BY us, event_id) AS step FROM l), sp AS (SELECT stream, island, step::BIGINT AS step, any_value(type) AS type, any_value(target) AS target, count(*) AS n FROM nu GROUP BY 1, 2, 3 HAVING step <= 50),
-ps AS (SELECT *, {_said('narrative')} AS instruction, (n * CASE type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in summaries.STEP_SECONDS.items())} ELSE 3.0 END)::DOUBLE AS takes FROM sp),
-pb AS (SELECT stream, island, count(*) AS n_steps, CASE WHEN count(*) < 10 AND sum(takes) < 300 THEN 'Easy' WHEN count(*) < 25 THEN 'Medium' ELSE 'Hard' END AS hard, string_agg(step || '. **' || instruction || '**{NL}   - Target: `' || target || '`', chr(10) ORDER BY step) AS md, string_agg(step || ',"' || instruction || '",' || target, chr(10) ORDER BY step) AS csv,
- string_agg('{{"step":' || step || ',"action":"' || instruction || '"}}', ',' ORDER BY step) AS js, string_agg('<div class="step"><h3>' || instruction || '</h3></div>', '' ORDER BY step) AS ht FROM ps GROUP BY 1, 2), j AS (SELECT stream, island::BIGINT AS island, {NAMED} AS name, pb.* EXCLUDE (stream, island) FROM se JOIN pb USING (stream, island)),
-f AS (SELECT stream, island, unnest([struct_pack(form := 'markdown', text := '# ' || name || '{NL}{NL}| Property | Value |{NL}|----------|-------|{NL}| Difficulty | ' || hard || ' |{NL}| Steps | ' || n_steps || ' |{NL}{NL}## Steps{NL}{NL}' || md), struct_pack(form := 'csv', text := 'step_number,action,target{NL}' || csv),
- struct_pack(form := 'json', text := '{{"title":"' || name || '","difficulty":"' || lower(hard) || '","steps":[' || js || ']}}'), struct_pack(form := 'html', text := '<h1>' || name || '</h1>' || ht)]) AS s FROM j) SELECT stream, island, s.form AS form, s.text AS text FROM f""")
+@query("r16_playbook_formats", f"""WITH {STEPS},
+pb AS (SELECT stream, island, difficulty AS hard, count(*) AS n_steps, string_agg(step || '. **' || instruction || '**{NL}   - Target: `' || target || '`', chr(10) ORDER BY step) AS md, string_agg(step || ',"' || instruction || '",' || CASE WHEN contains(target, ',') THEN '"' || target || '"' ELSE target END, chr(10) ORDER BY step) AS csv,
+ string_agg('{{"step":' || step || ',"action":"' || instruction || '"}}', ',' ORDER BY step) AS js, string_agg('<div class="step"><h3>' || instruction || '</h3></div>', '' ORDER BY step) AS ht FROM st JOIN hd USING (stream, island) GROUP BY 1, 2, 3), j AS (SELECT stream, pb.island, {NAMED} AS name, pb.* EXCLUDE (stream, island) FROM (SELECT * REPLACE (island::BIGINT AS island) FROM se) se JOIN pb USING (stream, island)),
+f AS (SELECT stream, island, unnest([struct_pack(form := 'markdown', text := '# ' || name || '{NL}{NL}| Property | Value |{NL}|----------|-------|{NL}| Difficulty | ' || upper(hard[1]) || hard[2:] || ' |{NL}| Steps | ' || n_steps || ' |{NL}{NL}## Steps{NL}{NL}' || md), struct_pack(form := 'csv', text := 'step_number,action,target{NL}' || csv),
+ struct_pack(form := 'json', text := '{{"title":"' || name || '","difficulty":"' || hard || '","steps":[' || js || ']}}'), struct_pack(form := 'html', text := '<h1>' || name || '</h1>' || ht)]) AS s FROM j) SELECT stream, island, s.form AS form, s.text AS text FROM f""")
 def r16(spark, d):
-    steps = summaries.playbook_steps(grouped(spark, d), KEYS)
-    return stories.playbook_texts(summaries.playbooks(steps, KEYS), steps, told(spark, d), KEYS)
+    s, t = steps(spark, d), told(spark, d)
+    return stories.playbook_texts(summaries.playbooks(s, t, KEYS), s, t, KEYS)
 
 
 @query("pi8_audit_retention", f"WITH {EV} SELECT event_id FROM ev WHERE us >= (SELECT max(us) FROM ev) - 10 * {24 * HOUR}")

@@ -143,9 +143,10 @@ def a19(spark, d):
     return lookups.log_statistics(A.events(spark, d).withColumnRenamed("type", "level"), 1706659200000000)
 
 
-@query("e1_e8_boxes", f"WITH {RG} SELECT frame, idx, w * h AS area, 'field_' || x::INT || '_' || y::INT || '_' || w::INT || '_' || h::INT AS field, CASE WHEN h <= 15 AND w > 50 THEN 'caption' WHEN w / h > 8 AND h < 40 THEN 'line' WHEN w / h > 2 AND h >= 40 THEN 'heading' WHEN w / h BETWEEN 0.5 AND 2 THEN 'block' ELSE 'label' END AS shape FROM rg")
+@query("e1_e8_boxes", f"""WITH {RG} SELECT frame, idx, w * h AS area, 'field_' || x::INT || '_' || y::INT || '_' || w::INT || '_' || h::INT AS field, CASE WHEN w / h > 5 AND h / 1080 < 0.05 THEN 'text_field' WHEN w / h < 3 AND w / 1920 < 0.3 AND h / 1080 < 0.1 THEN 'button' WHEN (y + h / 2) / 1080 < 0.1 OR (y + h / 2) / 1080 > 0.9 THEN 'menu_item' WHEN w / 1920 > 0.5 AND h / 1080 > 0.3 THEN 'dialog' ELSE 'label' END AS shape,
+ CASE WHEN w / h > 2 AND w / h < 8 AND w * h / (1920 * 1080) < 0.05 THEN 'button' WHEN w * h / (1920 * 1080) > 0.2 THEN 'dialog' ELSE 'general' END AS bare FROM rg""")
 def e1(spark, d):
-    return A.regions(spark, d).select("frame", "idx", G.area(G.box()).alias("area"), F.format_string("field_%d_%d_%d_%d", *[F.col(c).cast("int") for c in "xywh"]).alias("field"), G.region_type(G.box()).alias("shape"))
+    return A.regions(spark, d).select("frame", "idx", G.area(G.box()).alias("area"), F.format_string("field_%d_%d_%d_%d", *[F.col(c).cast("int") for c in "xywh"]).alias("field"), G.region_type(G.box()).alias("shape"), G.rectangle_type(G.box()).alias("bare"))
 
 
 @query("e10_e13_image_measures", f"""WITH {FR}, m AS (SELECT frame, pixels, floor(list_sum(pixels) / 64)::INT AS mean FROM fr),
@@ -157,8 +158,8 @@ def e10(spark, d):
     return f.select("frame", F.bit_count(images.average_hash(F.col("pixels"))).cast("long").alias("bits_set"), F.round(images.entropy(F.col("pixels")), 6).alias("entropy"))
 
 
-@query("e15_e17_text_predicates", f"""WITH {RG} SELECT frame, idx, regexp_matches(lower(text), 'error|failed|failure|exception|invalid|denied|not found|timeout|crash|fatal|unable|cannot|warning|refused') AS error,
-regexp_matches(lower(text), 'submit|save|send|login|sign in|register|continue|next|apply|confirm') AS submit,
+@query("e15_e17_text_predicates", f"""WITH {RG} SELECT frame, idx, regexp_matches(lower(text), 'error|failed|invalid|incorrect|wrong|cannot|unable|denied|forbidden|timeout|exception|warning|alert|problem') AS error,
+regexp_matches(lower(text), 'submit|send|save|create|update|login|register|sign in|sign up|continue') AS submit,
 (regexp_matches(lower(text), 'enter|input|select|choose|@') OR suffix(text, ':') OR regexp_full_match(text, '[0-9]*')) AS interactive FROM rg""")
 def e15(spark, d):
     t = F.col("text")
@@ -178,7 +179,7 @@ def e20(spark, d):
     return A.regions(spark, d).select("frame", "idx", F.round(G.layout_score(G.box()), 6).alias("score"))
 
 
-@query("e21_script_language", f"""WITH {RG} SELECT frame, idx, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh-Hans' WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja-JP' WHEN regexp_matches(text, '[가-힣]') THEN 'ko-KR' WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de-DE' WHEN regexp_matches(text, '[àâçéèêëîïôûùÀÂÇÉÈÊËÎÏÔÛÙ]') THEN 'fr-FR' WHEN regexp_matches(text, '[ñáíóúÑÁÍÓÚ¿¡]') THEN 'es-ES' WHEN regexp_matches(text, '[ìò]') THEN 'it-IT' ELSE 'en-US' END AS script,
+@query("e21_script_language", f"""WITH {RG} SELECT frame, idx, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh-Hans' WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja-JP' WHEN regexp_matches(text, '[\\x{{AC00}}-\\x{{D7AF}}]') THEN 'ko-KR' WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de-DE' WHEN regexp_matches(text, '[àâäéèêëïîôöùûüÿçÀÂÄÉÈÊËÏÎÔÖÙÛÜŸÇ]') THEN 'fr-FR' WHEN regexp_matches(text, '[áéíóúüñÁÉÍÓÚÜÑ¿¡]') THEN 'es-ES' WHEN regexp_matches(text, '[àèéìíîòóùúÀÈÉÌÍÎÒÓÙÚ]') THEN 'it-IT' ELSE 'en-US' END AS script,
  round(least(greatest(0.5 + CASE WHEN length(text) > 10 THEN 0.1 ELSE 0 END + CASE WHEN length(text) > 50 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)[aeiou]') AND regexp_matches(text, '(?i)[bcdfghjklmnpqrstvwxyz]') THEN 0.2 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / greatest(length(text), 1) > 0.3 THEN 0.2 ELSE 0 END, 0), 1)::DOUBLE, 6) AS quality FROM rg""")
 def e21(spark, d):
     return A.regions(spark, d).select("frame", "idx", T.script_language(F.col("text")).alias("script"), F.round(T.quality(F.col("text")), 6).alias("quality"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assemble, basic, detect, more, parse, sequence, tell  # noqa: F401
+from . import assemble, basic, desk, detect, more, parse, sequence, tell  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "session_summary"

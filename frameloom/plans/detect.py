@@ -33,9 +33,9 @@ def p4(spark, d):
 
 
 @query("p3_standalone_events", f"""WITH {RG}, t AS (SELECT *, lower(text) AS t FROM rg)
-SELECT stream, frame, idx, 'error_display' AS type, round(confidence * 0.9, 6) AS confidence FROM t WHERE regexp_matches(t, 'error|failed|failure|exception|invalid|denied|not found|timeout|crash|fatal|unable|cannot|warning|refused') UNION ALL
-SELECT stream, frame, idx, 'modal_appearance', round(confidence * 0.85, 6) FROM t WHERE regexp_matches(t, 'ok|cancel|yes|no|confirm|close|dismiss|accept|decline|continue|are you sure') UNION ALL
-SELECT stream, frame, idx, 'form_submission', round(confidence * 0.8, 6) FROM t WHERE regexp_matches(t, 'submit|save|send|login|sign in|register|continue|next|apply|confirm')""")
+SELECT stream, frame, idx, 'error_display' AS type, round(confidence * 0.9, 6) AS confidence FROM t WHERE regexp_matches(t, 'error|failed|invalid|incorrect|wrong|cannot|unable|denied|forbidden|timeout|exception|warning|alert|problem') UNION ALL
+SELECT stream, frame, idx, 'modal_appearance', round(confidence * 0.85, 6) FROM t WHERE regexp_matches(t, 'confirm|cancel|ok|yes|no|close|dialog|popup|modal|alert|notification') UNION ALL
+SELECT stream, frame, idx, 'form_submission', round(confidence * 0.8, 6) FROM t WHERE regexp_matches(t, 'submit|send|save|create|update|login|register|sign in|sign up|continue')""")
 def p3(spark, d):
     return detection.standalone_events(A.regions(spark, d))
 
@@ -116,7 +116,7 @@ def pi4(spark, d):
     return m.select("stream", "frame", "idx", "stored", "content")
 
 
-@query("a17_audit_statistics", f"""WITH {MATCHES}, k AS (SELECT stream, frame, idx, list(DISTINCT kind) AS kinds FROM ma GROUP BY 1, 2, 3), se AS (SELECT *, CASE WHEN list_has_any(kinds, ['ssn', 'credit_card']) THEN 'critical' WHEN list_has_any(kinds, ['passport', 'drivers_license', 'date_of_birth']) THEN 'high' WHEN len(kinds) > 3 THEN 'medium' ELSE 'low' END AS severity FROM k),
+@query("a17_audit_statistics", f"""WITH {MATCHES}, k AS (SELECT stream, frame, idx, list(DISTINCT kind) AS kinds FROM ma GROUP BY 1, 2, 3), se AS (SELECT *, CASE WHEN list_has_any(kinds, ['ssn', 'credit_card', 'passport', 'drivers_license']) THEN 'critical' WHEN list_has_any(kinds, ['email', 'phone', 'date_of_birth']) THEN 'high' WHEN len(kinds) > 3 THEN 'medium' ELSE 'low' END AS severity FROM k),
 ad AS (SELECT * FROM se WHERE severity <> 'low'), u AS (SELECT 'type' AS "by", 'pii_detected' AS value FROM ad UNION ALL SELECT 'severity', severity FROM ad UNION ALL SELECT 'source', stream FROM ad UNION ALL SELECT 'pii', unnest(kinds) FROM ad) SELECT "by", value, count(*) AS n FROM u GROUP BY 1, 2""")
 def a17(spark, d):
     m = privacy.decide(privacy.mask_text(matched(spark, d)))

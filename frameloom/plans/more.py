@@ -9,8 +9,8 @@ from ..operators import detection, evidence, joins, kernels, privacy, reports, s
 from ..sources import adapters as A
 from .detect import MATCHES
 from .registry import query
-from .sequence import GAP, HOUR, ISLANDS, SESSIONS, grouped
-from .tell import IMPORTANT, KEYS, told
+from .sequence import GAP, GROUPED, HOUR, SESSIONS, grouped
+from .tell import IMPORTANT, KEYS, TOLD, told
 
 EV, RG, SP, VS, CU = A.EVENTS_SQL, A.REGIONS_SQL, A.SPANS_SQL, A.VISITS_SQL, A.CURSOR_SQL
 
@@ -90,7 +90,7 @@ def a6(spark, d):
     return A.events(spark, d).groupBy("stream").agg(*[F.count_if(F.col("type") == t).alias(t) for t in ("click", "navigation", "error_display")])
 
 
-@query("a8_primary_type", f"WITH {ISLANDS}, c AS (SELECT stream, island, type, count(*) AS n FROM isl GROUP BY 1, 2, 3) SELECT stream, island::BIGINT AS island, type FROM c QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY n DESC, type) = 1")
+@query("a8_primary_type", f"WITH {GROUPED}, c AS (SELECT stream, island, type, count(*) AS n FROM isl GROUP BY 1, 2, 3) SELECT stream, island::BIGINT AS island, type FROM c QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY n DESC, type) = 1")
 def a8(spark, d):
     return grouped(spark, d).groupBy(*KEYS).agg(F.mode("type", True).alias("type"))
 
@@ -119,24 +119,6 @@ def e28(spark, d):
     return A.spans(spark, d).select("span_id", F.sort_array(T.keywords(F.col("title"))).alias("words"))
 
 
-@query("p6_detected_events", f"WITH {EV}, {RG} SELECT type, count(*) AS n FROM (SELECT type FROM ev UNION ALL SELECT 'form_submission' FROM rg WHERE regexp_matches(lower(text), 'submit|save|send|login|sign in|register|continue|next|apply|confirm')) GROUP BY 1")
-def p6(spark, d):
-    found = detection.standalone_events(A.regions(spark, d)).where("type = 'form_submission'").select("type")
-    return A.events(spark, d).select("type").unionByName(found).groupBy("type").agg(F.count("*").alias("n"))
-
-
-@query("p11_correlation_events", f"WITH {EV}, {CU}, {VS} SELECT source, count(*) AS n, round(avg(confidence), 6) AS confidence FROM (SELECT 'event' AS source, confidence FROM ev UNION ALL SELECT 'cursor', 0.9 FROM cu UNION ALL SELECT 'navigation', 0.85 FROM vs) GROUP BY 1")
-def p11(spark, d):
-    one = lambda df, name, c: df.select(F.lit(name).alias("source"), c.cast("double").alias("confidence"))
-    u = one(A.events(spark, d), "event", F.col("confidence")).unionByName(one(A.cursor(spark, d), "cursor", F.lit(0.9))).unionByName(one(A.visits(spark, d), "navigation", F.lit(0.85)))
-    return u.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
-
-
-@query("p15_engine_choice", f"WITH {RG} SELECT frame, CASE WHEN max(w) > 280 THEN 'b' WHEN avg(confidence) >= 0.75 THEN 'a' ELSE 'b' END AS engine FROM rg GROUP BY 1")
-def p15(spark, d):
-    return A.regions(spark, d).groupBy("frame").agg(F.when(F.max("w") > 280, "b").when(F.avg("confidence") >= 0.75, "a").otherwise("b").alias("engine"))
-
-
 @query("w13_horizon", f"WITH {EV}, m AS (SELECT stream, max(us) AS last FROM ev GROUP BY 1) SELECT event_id FROM ev JOIN m USING (stream) WHERE us >= last - {GAP}")
 def w13(spark, d):
     e = A.events(spark, d)
@@ -144,7 +126,7 @@ def w13(spark, d):
 
 
 NARRATED = f"""{SESSIONS}, k AS (SELECT * FROM isl QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY {IMPORTANT} DESC, confidence DESC, event_id) <= 5),
-t AS (SELECT stream, island, string_agg(CASE type WHEN 'form_submission' THEN 'Submitted form' WHEN 'error_display' THEN 'Encountered error: ' || target WHEN 'navigation' THEN 'Navigated to ' || target WHEN 'data_entry' THEN 'Entered data in ' || target WHEN 'click' THEN 'Clicked on ' || target END, '. ' ORDER BY us, event_id) AS said FROM k GROUP BY 1, 2),
+t AS (SELECT stream, island, string_agg({TOLD}, '. ' ORDER BY us, event_id) AS said FROM k GROUP BY 1, 2),
 rr AS (SELECT stream || '-' || island::BIGINT AS session, session_type, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%SZ') AS start, CASE WHEN seconds >= 3600 THEN floor(seconds / 3600)::BIGINT || 'h ' || floor(seconds % 3600 / 60)::BIGINT || 'm ' || floor(seconds % 60)::BIGINT || 's' WHEN seconds >= 60 THEN floor(seconds / 60)::BIGINT || 'm ' || floor(seconds % 60)::BIGINT || 's' ELSE floor(seconds)::BIGINT || 's' END AS duration, n_events, avg_confidence,
  'A ' || session_type || ' session of ' || CASE WHEN seconds < 60 THEN 'less than a minute' WHEN seconds < 120 THEN '1 minute' ELSE floor(seconds / 60)::BIGINT || ' minutes' END || ' with ' || n_events || ' events in ' || primary_app || '. ' || said || '.' AS narrative FROM se JOIN t USING (stream, island))"""
 
@@ -166,18 +148,15 @@ def r13(spark, d):
     return reports.render(t)
 
 
-@query("a28_playbook_rollup", f"""WITH {ISLANDS}, l AS (SELECT *, CASE WHEN type IN ('data_entry', 'field_change') AND type = lag(type) OVER w AND target = lag(target) OVER w THEN 0 ELSE 1 END AS new_step FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
-p AS (SELECT stream, island, least(50, sum(new_step)) AS n_steps FROM l GROUP BY 1, 2) SELECT n_steps::BIGINT AS n_steps, count(*) AS playbooks FROM p GROUP BY 1""")
-def a28(spark, d):
-    return summaries.playbooks(summaries.playbook_steps(grouped(spark, d), KEYS), KEYS).groupBy("n_steps").agg(F.count("*").alias("playbooks"))
+@query("p6_detected_events", f"""WITH {EV}, {RG} SELECT 'event' AS source, event_id AS id, 0 AS idx, type, confidence FROM ev UNION ALL SELECT 'region', frame, idx, 'error_display', round(confidence * 0.9, 6) FROM rg WHERE regexp_matches(lower(text), 'error|failed|invalid|incorrect|wrong|cannot|unable|denied|forbidden|timeout|exception|warning|alert|problem')
+ UNION ALL SELECT 'region', frame, idx, 'modal_appearance', round(confidence * 0.85, 6) FROM rg WHERE regexp_matches(lower(text), 'confirm|cancel|ok|yes|no|close|dialog|popup|modal|alert|notification') UNION ALL SELECT 'region', frame, idx, 'form_submission', round(confidence * 0.8, 6) FROM rg WHERE regexp_matches(lower(text), 'submit|send|save|create|update|login|register|sign in|sign up|continue')""")
+def p6(spark, d):
+    found = detection.standalone_events(A.regions(spark, d)).select(F.lit("region").alias("source"), F.col("frame").alias("id"), "idx", "type", "confidence")
+    return A.events(spark, d).select(F.lit("event").alias("source"), F.col("event_id").alias("id"), F.lit(0).cast("long").alias("idx"), "type", "confidence").unionByName(found)
 
 
-@query("m1_metadata_maps", f"WITH {EV} SELECT event_id, 2 + (type = 'click')::INT AS n FROM ev")
+@query("m1_metadata_maps", f"WITH {EV} SELECT event_id, list_filter(['app_name=' || app_name, CASE WHEN type = 'click' THEN 'button=left' END, 'confidence=' || round(confidence * 100)::BIGINT, 'target=' || target], lambda x: x IS NOT NULL) AS entries FROM ev")
 def m1(spark, d):
-    full = F.create_map(F.lit("app"), F.col("app_name"), F.lit("target"), F.col("target"), F.lit("button"), F.when(F.col("type") == "click", "left"))
-    return A.events(spark, d).select("event_id", F.size(F.map_filter(full, lambda k, v: v.isNotNull())).alias("n"))
-
-
-@query("m13_all_templates", f"WITH {SESSIONS} SELECT stream, island::BIGINT AS island, unnest(['narrative', 'structured', 'playbook', 'timeline', 'executive']) AS template FROM se")
-def m13(spark, d):
-    return told(spark, d).select(*KEYS, F.explode(F.array(*map(F.lit, ("narrative", "structured", "playbook", "timeline", "executive")))).alias("template"))
+    full = F.create_map(F.lit("app_name"), F.col("app_name"), F.lit("button"), F.when(F.col("type") == "click", "left"), F.lit("confidence"), F.round(F.col("confidence") * 100).cast("long").cast("string"), F.lit("target"), F.col("target"))
+    known = F.map_filter(full, lambda k, v: v.isNotNull())
+    return A.events(spark, d).select("event_id", F.transform(F.array_sort(F.map_entries(known)), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("entries"))

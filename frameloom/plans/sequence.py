@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import joins, kernels, sequences
 from ..sources import adapters as A
 from .registry import query
@@ -16,14 +15,19 @@ HOUR = 3_600_000_000
 
 ISLANDS = f"""{EV}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {GAP} THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)),
 isl AS (SELECT *, sum(fresh) OVER (PARTITION BY stream ORDER BY us, event_id) AS island FROM g)"""
-SESSIONS = f"""{ISLANDS}, s0 AS (SELECT stream, island, count(*) AS n_events, min(us) AS start_us, max(us) AS end_us, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (type = 'form_submission') AS forms,
- count(*) FILTER (type IN ('data_entry', 'field_change')) AS data, count(*) FILTER (type = 'navigation') AS navigations, count(*) FILTER (type = 'click') AS clicks, count(*) FILTER (type = 'error_display') AS errors, min(app_name) AS primary_app FROM isl GROUP BY 1, 2),
+#: Sessions end at 50 events, too.
+GROUPED = f"""{EV}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {GAP} THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)),
+i0 AS (SELECT *, sum(fresh) OVER (PARTITION BY stream ORDER BY us, event_id) AS gi FROM g), i1 AS (SELECT *, CASE WHEN (row_number() OVER (PARTITION BY stream, gi ORDER BY us, event_id) - 1) % 50 = 0 THEN 1 ELSE 0 END AS opens FROM i0),
+isl AS (SELECT * EXCLUDE (opens, gi), sum(opens) OVER (PARTITION BY stream ORDER BY us, event_id) AS island FROM i1)"""
+SESSIONS = f"""{GROUPED}, s0 AS (SELECT stream, island, count(*) AS n_events, min(us) AS start_us, max(us) AS end_us, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (type IN ('form_submission', 'field_change')) AS forms,
+ count(*) FILTER (type = 'data_entry') AS data, count(*) FILTER (type IN ('navigation', 'app_switch')) AS navigations, count(*) FILTER (type = 'click') AS clicks, count(*) FILTER (type = 'error_display') AS errors, count(*) FILTER (type = 'form_submission') AS submissions, count(*) FILTER (type = 'navigation') AS visits,
+ bool_or(regexp_matches(lower(app_name), 'mail|messages|slack|teams|zoom|skype')) AS communicates, bool_or(regexp_matches(lower(app_name), 'xcode|vscode|intellij|terminal|git|github')) AS develops, min(app_name) AS primary_app FROM isl GROUP BY 1, 2),
 s AS (SELECT *, (end_us - start_us) / 1e6 AS seconds FROM s0 WHERE n_events >= 3 AND end_us - start_us >= 60000000),
-se AS (SELECT *, CASE WHEN forms / n_events > 0.5 THEN 'form_filling' WHEN data / n_events > 0.4 THEN 'data_entry' WHEN navigations / n_events > 0.6 THEN 'navigation' WHEN errors > 0 THEN 'mixed' WHEN navigations > n_events // 3 AND clicks > n_events // 4 THEN 'research' WHEN primary_app IN ('Slack', 'Mail') THEN 'communication' WHEN primary_app = 'Xcode' THEN 'development' ELSE 'mixed' END AS session_type FROM s)"""
+se AS (SELECT *, CASE WHEN forms / n_events > 0.5 THEN 'form_filling' WHEN data / n_events > 0.4 THEN 'data_entry' WHEN navigations / n_events > 0.6 THEN 'navigation' WHEN errors > 0 THEN 'mixed' WHEN navigations > n_events // 3 AND clicks > n_events // 4 THEN 'research' WHEN communicates THEN 'communication' WHEN develops THEN 'development' ELSE 'mixed' END AS session_type FROM s)"""
 
 
 def grouped(spark, d):
-    return sequences.islands(A.events(spark, d), GAP)
+    return sequences.limited(A.events(spark, d), GAP)
 
 
 PIXELS = """l AS (SELECT stream, frame, pixels AS q, lag(pixels) OVER (PARTITION BY stream ORDER BY frame) AS p FROM fr), k AS (SELECT *, list_avg(p) AS mp, list_avg(q) AS mq FROM l WHERE p IS NOT NULL),
@@ -44,7 +48,7 @@ def w2(spark, d):
     return sequences.islands(A.events(spark, d), GAP, most=5).select("event_id", "stream", "island", "chunk")
 
 
-RELATED = " ".join(f"WHEN (type = '{a}' AND was = '{b}') OR (type = '{b}' AND was = '{a}') THEN 0.7" for a, b in text.RELATED_TYPES)
+RELATED = "WHEN type || '>' || was IN ('field_change>data_entry', 'data_entry>field_change', 'data_entry>form_submission', 'form_submission>data_entry', 'field_change>form_submission', 'form_submission>field_change', 'navigation>app_switch', 'app_switch>navigation', 'click>navigation', 'navigation>click', 'modal_appearance>error_display', 'error_display>modal_appearance', 'click>modal_appearance', 'modal_appearance>click') THEN 0.7"
 
 
 @query("w3_context_split", f"""WITH {ISLANDS}, l AS (SELECT *, lag(type) OVER w AS was, lag(us) OVER w AS was_us FROM isl WINDOW w AS (PARTITION BY stream, island ORDER BY us, event_id)),
@@ -54,7 +58,7 @@ def w3(spark, d):
     return sequences.context_split(A.events(spark, d), GAP).select("event_id", "stream", "island", F.round("similarity", 6).alias("similarity"), "context")
 
 
-@query("session_summary", f"WITH {SESSIONS} SELECT stream, island::BIGINT AS island, n_events, start_us, end_us, avg_confidence, forms, data, navigations, clicks, errors, primary_app, seconds, session_type FROM se")
+@query("session_summary", f"WITH {SESSIONS} SELECT stream, island::BIGINT AS island, n_events, start_us, end_us, avg_confidence, forms, data, navigations, clicks, errors, submissions, visits, communicates, develops, primary_app, seconds, session_type FROM se")
 def session_summary(spark, d):
     return sequences.sessions(grouped(spark, d))
 
@@ -185,12 +189,6 @@ def j2(spark, d):
     return joins.new_regions(numbered(spark, d)).select("stream", "seq", "idx")
 
 
-@query("j3_temporal_links", f"""WITH {EV} SELECT a.event_id AS a_id, b.event_id AS b_id, round(0.6 * (1 - (b.us - a.us) / {4 * HOUR}) + 0.4 * (a.confidence + b.confidence) / 2, 6) AS confidence FROM ev a JOIN ev b ON a.stream = b.stream AND b.us BETWEEN a.us AND a.us + {4 * HOUR} AND a.event_id <> b.event_id AND (a.us < b.us OR a.event_id < b.event_id)
- WHERE a.type || '>' || b.type IN ('click>navigation','navigation>form_submission','form_submission>error_display','data_entry>form_submission','click>error_display') AND 0.6 * (1 - (b.us - a.us) / {4 * HOUR}) + 0.4 * (a.confidence + b.confidence) / 2 >= 0.6""")
-def j3(spark, d):
-    return joins.temporal_links(A.events(spark, d), 4 * HOUR).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), F.round("confidence", 6).alias("confidence"))
-
-
 @query("j4_spatial_links", f"WITH {CU} SELECT a.seq AS a_seq, b.seq AS b_seq, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 4) AS distance FROM cu a JOIN cu b ON a.stream = b.stream AND a.seq < b.seq AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 15")
 def j4(spark, d):
     return joins.spatial_links(A.cursor(spark, d), 15.0).select("a_seq", "b_seq", F.round("distance", 4).alias("distance"))
@@ -211,12 +209,6 @@ def j4_typed(spark, d):
     return joins.typed_spatial_links(placed(spark, d)).select("stream", "a_id", "b_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("j5_causal_links", f"""WITH {EV}, n AS (SELECT *, lead(event_id) OVER w AS next_id, lead(type) OVER w AS nt, lead(us) OVER w AS nu, lead(confidence) OVER w AS nc FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)),
- c AS (SELECT event_id, next_id, 0.5 * CASE WHEN type || '>' || nt IN ('click>navigation','navigation>form_submission','form_submission>error_display','data_entry>form_submission','click>error_display') THEN 0.9 ELSE 0.5 END + 0.3 * greatest(0, 1 - (nu - us) / {4 * HOUR}) + 0.2 * (confidence + nc) / 2 AS causal FROM n WHERE next_id IS NOT NULL) SELECT event_id, next_id, round(causal, 6) AS causal FROM c WHERE causal >= 0.6""")
-def j5(spark, d):
-    return joins.causal_links(A.events(spark, d), 4 * HOUR).select("event_id", "next_id", F.round("causal", 6).alias("causal"))
-
-
 WEEK = 7 * 86_400
 
 

@@ -170,7 +170,8 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     assert drained(jobs.sessions(s()), "append").where("start < '2024-01-01 00:05:00'").count() <= 1
     assert {tuple(r) for r in drained(jobs.sessions(s()), "complete").collect()} == {tuple(r) for r in jobs.sessions(batch).collect()}
     assert sorted(tuple(r) for r in drained(jobs.counts(s()), "complete").collect()) == sorted(tuple(r) for r in jobs.counts(batch).collect())
-    assert {(r["a_event_id"], r["b_event_id"]) for r in drained(jobs.correlations(s(), s())).collect()} == {(0, 1), (3, 4)}
+    screen = lambda: s().replace({"navigation": "screen_change"}, subset=["type"])
+    assert {(r["a_event_id"], r["b_event_id"]) for r in drained(jobs.correlations(screen(), screen())).collect()} == {(0, 1), (3, 4)}
     focus = {tuple(r) for r in drained(jobs.focus_changes(s().select("stream", "event_id", "us", "app_name"))).collect()}
     assert focus == {tuple(r) for r in kernels.focus_changes(batch.select("stream", "event_id", "us", "app_name")).collect()}
     assert drained(jobs.first_sightings(s())).count() == 5
