@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from . import detection, joins, kernels, sequences
+from . import detection, joins, kernels, scans, sequences
 
 #: Sizes between which a region of interest lies, and the priority of its type.
 ROI_LEAST, ROI_MOST = (20, 10), (800, 200)
@@ -159,16 +159,23 @@ def references(sessions: DataFrame, grouped: DataFrame, linked: DataFrame, corre
 
 
 def related_sessions(grouped: DataFrame, keys: tuple[str, ...], least: float = 0.6, most: int = 5, group: str = "stream") -> DataFrame:
-    """For each session the others of its stream whose words (types and apps of events) are like its own, best first."""
-    words = grouped.select(*keys, F.explode(F.array("type", "app_name")).alias("word")).where("word is not null").distinct()
-    size = words.groupBy(*keys).agg(F.count("*").alias("n"))
-    w = words.join(size, list(keys))
-    a, b = w.select(group, *[F.col(k).alias(f"a_{k}") for k in keys if k != group], "word", F.col("n").alias("a_n")), w.select(group, *[F.col(k).alias(f"b_{k}") for k in keys if k != group], "word", F.col("n").alias("b_n"))
-    own, other = [f"a_{k}" for k in keys if k != group], [f"b_{k}" for k in keys if k != group]
-    j = a.join(b, [group, "word"]).where(F.struct(*own) != F.struct(*other)).groupBy(group, *own, *other, "a_n", "b_n").agg(F.count("*").alias("both"))
-    j = j.withColumn("similarity", F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))).where(F.col("similarity") >= least)
-    rank = F.row_number().over(Window.partitionBy(group, *own).orderBy(F.desc("similarity"), *other))
-    return j.withColumn("rank", rank).where(F.col("rank") <= most).select(group, *own, *other, F.round("similarity", 6).alias("similarity"), "rank")
+    """For each session the others of its stream whose words (types and apps of events) are like its own, best first.
+
+    Distinct sets of words are paired, not sessions: two of a stream that share a word and could reach the threshold by
+    their sizes. Of each set the first sessions by key are all that any session can want of it, one more than `most`.
+    """
+    own = [k for k in keys if k != group]
+    sets = grouped.select(*keys, F.explode(F.array("type", "app_name")).alias("word")).where("word is not null").groupBy(*keys).agg(F.sort_array(F.collect_set("word")).alias("words"))
+    firsts = scans.top_n(sets, (group, "words"), tuple(F.col(k) for k in own), most + 1, keys).select(group, F.col("words").alias("b_words"), *[F.col(k).alias(f"b_{k}") for k in own])
+    distinct = sets.select(group, "words").distinct()
+    listed = distinct.select(group, "words", F.size("words").alias("n"), F.explode("words").alias("word"))
+    a, b = listed.select(group, "word", F.col("words").alias("a_words"), F.col("n").alias("a_n")), listed.select(group, "word", F.col("words").alias("b_words"), F.col("n").alias("b_n"))
+    j = a.join(b, [group, "word"]).where((F.col("a_n") >= least * F.col("b_n")) & (F.col("b_n") >= least * F.col("a_n"))).groupBy(group, "a_words", "b_words", "a_n", "b_n").agg(F.count("*").alias("both"))
+    j = j.withColumn("similarity", F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))).where(F.col("similarity") >= least).select(group, "a_words", "b_words", "similarity")
+    mine = sets.select(group, F.col("words").alias("a_words"), *[F.col(k).alias(f"a_{k}") for k in own])
+    met = mine.join(j, [group, "a_words"]).join(firsts, [group, "b_words"]).where(F.struct(*[f"a_{k}" for k in own]) != F.struct(*[f"b_{k}" for k in own]))
+    rank = F.row_number().over(Window.partitionBy(group, *[f"a_{k}" for k in own]).orderBy(F.desc("similarity"), *[f"b_{k}" for k in own]))
+    return met.withColumn("rank", rank).where(F.col("rank") <= most).select(group, *[f"a_{k}" for k in own], *[f"b_{k}" for k in own], F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def engine_choice(regions: DataFrame, least: float = 0.4, largest: float = 2000.0) -> DataFrame:

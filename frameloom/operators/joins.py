@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from . import scans
 
 #: Directed pairs of types that correlate in time, and in place, and what a pair of neighbours says of its cause.
 TEMPORAL = (("click", "screen_change"), ("click", "window_change"), ("click", "tab_change"), ("window_change", "cursor_movement"), ("error_display", "click"))
@@ -100,7 +101,7 @@ def overlaps(left: DataFrame, right: DataFrame, keys: tuple[str, ...], cell: flo
 def with_previous_frame(regions: DataFrame, least: float = 0.7) -> DataFrame:
     """Regions of at least that confidence with seq, their frame's number in the stream, frames without any left out."""
     r = regions.where(F.col("confidence") >= least)
-    numbered = r.select("stream", "frame").distinct().withColumn("seq", F.row_number().over(Window.partitionBy("stream").orderBy("frame")))
+    numbered = scans.numbered(r.select("stream", "frame").distinct(), ("stream",), ("frame",), "seq").withColumn("seq", F.col("seq").cast("int"))
     return r.join(numbered, ["stream", "frame"])
 
 

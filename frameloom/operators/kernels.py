@@ -1,100 +1,195 @@
-"""Order-dependent steps that no window expresses: a small loop over one frame or one stream at a time.
+"""Order-dependent steps that no window expresses: passes over sorted rows in Arrow batches, numpy over a frame at a time.
 
-Each takes a frame's or a stream's rows as Spark's grouped map gives them; Spark partitions and shuffles. Batch jobs and
-streaming jobs share the loops.
+Spark deals frames or streams out and sorts them; a pass holds one batch of rows, or what it needs of the last ones. Batch
+jobs and streaming jobs share the loops.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Distances that are held at once.
+BLOCK = 1 << 20
+
+
+def whole_frames(batches):
+    """Tables of whole frames with the bounds of each, from batches of rows sorted by (stream, frame). The last frame of a
+    batch waits for the next batch; a frame longer than a batch is put together."""
+    held: list[pa.RecordBatch] = []
+
+    def keys(rows, k):
+        return rows.column("stream")[k], rows.column("frame")[k]
+
+    def bounded():
+        t = pa.Table.from_batches(held).combine_chunks()
+        streams = t.column("stream").combine_chunks().dictionary_encode()
+        codes, frames = np.asarray(streams.indices.fill_null(-1)), np.asarray(t.column("frame").fill_null(-(1 << 62)))
+        starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (frames[1:] != frames[:-1])]))
+        return t, np.append(starts, len(t))
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and keys(held[-1], len(held[-1]) - 1) != keys(batch, 0):
+            yield bounded()
+            held = []
+        # the last frame's rows wait: found from the end
+        last, cut = keys(batch, len(batch) - 1), len(batch)
+        while cut and keys(batch, cut - 1) == last:
+            cut -= 1
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield bounded()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield bounded()
+
+
+def by_frames(rows: DataFrame, order: tuple[str, ...], schema: StructType | str, work: Callable) -> DataFrame:
+    """work(table, bounds) of whole frames, rows of a frame in that order: one shuffle by frame, no group a frame."""
+
+    def run(batches):
+        for table, bounds in whole_frames(batches):
+            yield from work(table, bounds).to_batches()
+
+    return rows.repartition("stream", "frame").sortWithinPartitions("stream", "frame", *order).mapInArrow(run, schema)
 
 
-def cluster_rows(p: pd.DataFrame, reach: float) -> pd.DataFrame:
-    """Greedy clusters: the first row left is a seed and takes all rows left whose centres are within reach of its own."""
-    p = p.sort_values("idx", kind="stable")
-    cx, cy = (p["x"] + p["w"] / 2).to_numpy(), (p["y"] + p["h"] / 2).to_numpy()
-    label, n = [-1] * len(p), 0
-    for k in range(len(p)):
-        if label[k] < 0:
-            near = ((cx - cx[k]) ** 2 + (cy - cy[k]) ** 2) ** 0.5 < reach
-            for j in near.nonzero()[0]:
-                if label[j] < 0:
-                    label[j] = n
-            n += 1
-    return p.assign(cluster=label)
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [np.asarray(table.column(c)) for c in columns]
+
+
+def cluster_labels(cx: np.ndarray, cy: np.ndarray, reach: float) -> np.ndarray:
+    """Greedy clusters: the first point left is a seed and takes all points left that are within reach of it."""
+    label, n, left = np.full(len(cx), -1, dtype=np.int64), 0, np.arange(len(cx))
+    while len(left):
+        near = np.sqrt((cx[left] - cx[left[0]]) ** 2 + (cy[left] - cy[left[0]]) ** 2) < reach
+        near[0] = True
+        label[left[near]] = n
+        left, n = left[~near], n + 1
+    return label
 
 
 def clusters(regions: DataFrame, reach: float = 100.0) -> DataFrame:
-    """regions with cluster, per frame."""
-    schema = regions.select(regions.columns).schema.add("cluster", "long")
-    return regions.groupBy("stream", "frame").applyInPandas(lambda p: cluster_rows(p, reach), schema)
-
-
-def kept_boxes(p: pd.DataFrame, most: float) -> pd.DataFrame:
-    """Largest first, the boxes that no kept box covers by more than `most` of the smaller one's area."""
-    p = p.assign(__a=p["w"] * p["h"]).sort_values(["__a", "idx"], ascending=[False, True], kind="stable")
-    kept: list[int] = []
-    box = p[["x", "y", "w", "h"]].to_numpy()
-    for k in range(len(p)):
-        x, y, w, h = box[k]
-        for j in kept:
-            a, b, c, d = box[j]
-            common = max(0.0, min(x + w, a + c) - max(x, a)) * max(0.0, min(y + h, b + d) - max(y, b))
-            if common > most * min(w * h, c * d):
-                break
-        else:
-            kept.append(k)
-    return p.iloc[kept].drop(columns="__a")
+    """regions with cluster, per frame, seeds in order of idx."""
+
+    def work(table, bounds):
+        x, y, w, h = _numbers(table, *"xywh")
+        cx, cy = x + w / 2, y + h / 2
+        found = [cluster_labels(cx[a:b], cy[a:b], reach) for a, b in zip(bounds[:-1], bounds[1:])]
+        return table.append_column("cluster", pa.array(np.concatenate(found)))
+
+    return by_frames(regions, ("idx",), regions.select(regions.columns).schema.add("cluster", "long"), work)
+
+
+def kept_boxes(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, most: float) -> list[int]:
+    """Of boxes by falling area, those that no kept box covers by more than `most` of the smaller one's area."""
+    kept, left = [], np.arange(len(x))
+    while len(left):
+        k, rest = left[0], left[1:]
+        kept.append(int(k))
+        wide = np.minimum(x[rest] + w[rest], x[k] + w[k]) - np.maximum(x[rest], x[k])
+        high = np.minimum(y[rest] + h[rest], y[k] + h[k]) - np.maximum(y[rest], y[k])
+        common = np.maximum(wide, 0.0) * np.maximum(high, 0.0)
+        left = rest[~(common > most * np.minimum(w[rest] * h[rest], w[k] * h[k]))]
+    return kept
 
 
 def non_maximum(regions: DataFrame, most: float = 0.5) -> DataFrame:
-    return regions.groupBy("stream", "frame").applyInPandas(lambda p: kept_boxes(p, most), regions.schema)
-
-
-def table_cells(p: pd.DataFrame, reach: float) -> pd.DataFrame:
-    """Rows of a table: a region joins the row whose first cell is within reach in y; cells by x, headers from row 0. Regions
-    come by height, so that row can only be the last one."""
-    rows: list[list] = []
-    p = p.sort_values(["y", "x", "idx"], kind="stable")
-    for r in p.itertuples(index=False):
-        if rows and abs(rows[-1][0].y - r.y) <= reach:
-            rows[-1].append(r)
-        else:
-            rows.append([r])
-    out, header = [], sorted(rows[0], key=lambda r: r.x) if rows else []
-    for k, row in enumerate(rows):
-        for c, r in enumerate(sorted(row, key=lambda r: r.x)):
-            out.append((r.stream, r.frame, k, c, header[c].text if c < len(header) else f"Column {c + 1}", r.text))
-    return pd.DataFrame(out, columns=["stream", "frame", "row", "column", "header", "text"])
+    """Regions by falling area, then idx, without those that a kept one of their frame covers."""
+
+    def work(table, bounds):
+        x, y, w, h, idx = _numbers(table, *"xywh", "idx")
+        rows = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            order = a + np.lexsort((idx[a:b], -(w[a:b] * h[a:b])))
+            rows.append(order[kept_boxes(x[order], y[order], w[order], h[order], most)])
+        return table.take(pa.array(np.concatenate(rows)))
+
+    return by_frames(regions, ("idx",), regions.schema, work)
+
+
+def table_rows(y: np.ndarray, reach: float) -> np.ndarray:
+    """The row of each region, by height: a row's regions lie within reach of its first."""
+    row, k, n = np.zeros(len(y), dtype=np.int32), 0, 0
+    while k < len(y):
+        end = max(k + 1, int(np.searchsorted(y, y[k] + reach, side="right")))
+        row[k:end] = n
+        k, n = end, n + 1
+    return row
 
 
 def tables(regions: DataFrame, reach: float = 10.0) -> DataFrame:
-    return regions.groupBy("stream", "frame").applyInPandas(lambda p: table_cells(p, reach), "stream string, frame long, row int, column int, header string, text string")
-
-
-def nearest_later_rows(p: pd.DataFrame) -> pd.DataFrame:
-    """Each label and, of the values of a higher idx whose centre is right of or below its own, the nearest, the first of equals."""
-    p = p.sort_values("idx", kind="stable")
-    v = p[~p["label"]]
-    at, cx, cy = v["idx"].to_numpy(), (v["x"] + v["w"] / 2).to_numpy(), (v["y"] + v["h"] / 2).to_numpy()
-    out = []
-    for r in p[p["label"]].itertuples(index=False):
-        start = at.searchsorted(r.idx, side="right")
-        dx, dy = cx[start:] - (r.x + r.w / 2), cy[start:] - (r.y + r.h / 2)
-        far = (dx**2 + dy**2) ** 0.5
-        far[~((dx > 0) | (dy > 0))] = float("inf")
-        if len(far) and far.min() < float("inf"):
-            out.append((r.stream, r.frame, r.idx, at[start + far.argmin()]))
-    return pd.DataFrame(out, columns=["stream", "frame", "idx", "b_idx"])
-
-
-def nearest_later(regions: DataFrame, is_label: Column) -> DataFrame:
-    """stream, frame, idx, b_idx: nearest_later_rows per frame, at any distance."""
-    r = regions.select("stream", "frame", "idx", "x", "y", "w", "h", is_label.alias("label")).where("label is not null")
-    return r.groupBy("stream", "frame").applyInPandas(nearest_later_rows, "stream string, frame long, idx long, b_idx long")
+    """Cells of each frame as a table: rows by height, cells by x, headers from row 0 or Column k."""
+
+    def work(table, bounds):
+        x, y = _numbers(table, "x", "y")
+        row = np.concatenate([table_rows(y[a:b], reach) for a, b in zip(bounds[:-1], bounds[1:])])
+        frame = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.lexsort((np.arange(len(x)), x, row, frame))
+        frame, row = frame[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (frame[1:] != frame[:-1]) | (row[1:] != row[:-1])]))
+        column = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        start = np.concatenate([[0], np.cumsum(np.bincount(frame[row == 0], minlength=len(bounds) - 1))])[:-1]
+        heads, n_heads = order[row == 0], np.bincount(frame[row == 0], minlength=len(bounds) - 1)
+        known = column < n_heads[frame]
+        text = table.column("text").combine_chunks()
+        named = text.take(pa.array(heads[np.where(known, start[frame] + column, 0)]))
+        other = pa.array([f"Column {c + 1}" for c in column])
+        header = pc.if_else(pa.array(known), named, other)
+        at = pa.array(order)
+        columns = [table.column("stream").take(at), table.column("frame").take(at), pa.array(row), pa.array(column.astype(np.int32)), header, text.take(at)]
+        return pa.table(columns, names=["stream", "frame", "row", "column", "header", "text"])
+
+    kept = regions.select(F.col("stream").cast("string").alias("stream"), F.col("frame").cast("long").alias("frame"), "idx", "x", "y", "text")
+    return by_frames(kept, ("y", "x", "idx"), "stream string, frame long, row int, column int, header string, text string", work)
+
+
+def nearest_later_rows(label: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each label's row, and of the later rows that are no labels and whose centre is right of or below its own the nearest,
+    the first of equals; labels without one are left out. Blocks of labels against all values of the frame."""
+    of, values = np.flatnonzero(label), np.flatnonzero(~label)
+    a, b = [], []
+    step = max(1, BLOCK // max(1, len(values)))
+    for k in range(0, len(of) if len(values) else 0, step):
+        rows = of[k : k + step]
+        dx, dy = cx[values] - cx[rows, None], cy[values] - cy[rows, None]
+        far = np.where(((dx > 0) | (dy > 0)) & (values > rows[:, None]), dx * dx + dy * dy, np.inf)
+        best = far.argmin(axis=1)
+        met = np.isfinite(far[np.arange(len(rows)), best])
+        a.append(rows[met])
+        b.append(values[best[met]])
+    return np.concatenate(a or [of[:0]]), np.concatenate(b or [of[:0]])
+
+
+def nearest_later(regions: DataFrame, is_label: Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """stream, frame, idx, b_idx: nearest_later_rows per frame, at any distance; with carried columns of the label as they
+    are named and of the value under b_."""
+
+    def work(table, bounds):
+        label = np.asarray(table.column("label"))
+        x, y, w, h = _numbers(table, *"xywh")
+        cx, cy = x + w / 2, y + h / 2
+        pairs = [nearest_later_rows(label[a:b], cx[a:b], cy[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        first = pa.array(np.concatenate([p[0] + a for p, a in zip(pairs, bounds)]))
+        second = pa.array(np.concatenate([p[1] + a for p, a in zip(pairs, bounds)]))
+        columns = [table.column(c).take(first) for c in ("stream", "frame", "idx", *carried)] + [table.column(c).take(second) for c in ("idx", *carried)]
+        return pa.table(columns, names=["stream", "frame", "idx", *carried, "b_idx", *(f"b_{c}" for c in carried)])
+
+    r = regions.select("stream", "frame", "idx", "x", "y", "w", "h", *carried, is_label.alias("label")).where("label is not null")
+    own = [r.schema[c] for c in ("stream", "frame", "idx", *carried)]
+    schema = StructType(own)
+    for c in ("idx", *carried):
+        schema = schema.add(f"b_{c}", r.schema[c].dataType)
+    return by_frames(r, ("idx",), schema, work)
 
 
 def focus_batches(least_us: int):

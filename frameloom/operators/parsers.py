@@ -254,13 +254,11 @@ def elements_sql(regions: str, families: tuple[str, ...] | None = None) -> str:
     return " UNION ALL ".join(out).replace("regexp_like(", "regexp_matches(").replace(" AS STRING)", " AS VARCHAR)")
 
 
-def fields(regions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Labels with their values, given pairs (stream, frame, idx, b_idx): label, value, the lower confidence, and what the
-    label says of them: an assignment, or a typed field of a record (null for neither)."""
+def fields(pairs: DataFrame) -> DataFrame:
+    """Labels with their values, given pairs (stream, frame, idx, text, confidence, and b_ of the value): label, value, the
+    lower confidence, and what the label says of them: an assignment, or a typed field of a record (null for neither)."""
     key = ["stream", "frame"]
-    a = regions.select(*key, "idx", F.trim("text").alias("label"), F.col("confidence").alias("a_confidence"))
-    b = regions.select(*key, F.col("idx").alias("b_idx"), F.trim("text").alias("value"), F.col("confidence").alias("b_confidence"))
-    j = pairs.select(*key, "idx", "b_idx").join(a, [*key, "idx"]).join(b, [*key, "b_idx"])
+    j = pairs.select(*key, "idx", "b_idx", F.trim("text").alias("label"), F.trim("b_text").alias("value"), F.col("confidence").alias("a_confidence"), "b_confidence")
     j = j.withColumn("label", F.expr("trim(BOTH ': ' FROM label)")).withColumn("low", F.lower("label"))
     assigned = F.when(F.expr(ASSIGNED), F.expr(words(*ASSIGNMENTS, otherwise="assignment")))
     record = F.when(F.expr(RECORD_FIELD), F.expr(words(*RECORD_TYPES, otherwise="text")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import images, text
+from . import scans
 
 #: What the names of applications for talking and for building hold, lower case.
 COMMUNICATION = ("mail", "messages", "slack", "teams", "zoom", "skype")
@@ -44,15 +45,40 @@ def _compared(batches):
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(images.stacked_ssim(was, here)), pa.array(apart, pa.int32()), pa.array(turn)], ["stream", "frame", "ssim", "distance", "entropy_delta"])
 
 
+def _edges(batches):
+    """The first and the last frame of each stream in a range, with head for the first."""
+    last = None
+    for batch in batches:
+        streams = batch.column("stream").to_pylist()
+        for k, stream in enumerate(streams):
+            row = batch.slice(k, 1) if k in (0, len(streams) - 1) or stream != streams[k - 1] or stream != streams[k + 1] else None
+            if row is None:
+                continue
+            if last is None or last[0] != stream:
+                if last is not None and not last[2]:
+                    yield last[1].append_column("head", pa.array([False]))
+                yield row.append_column("head", pa.array([True]))
+                last = (stream, row, True)
+            else:
+                last = (stream, row, False)
+    if last is not None and not last[2]:
+        yield last[1].append_column("head", pa.array([False]))
+
+
 def scene_changes(frames: DataFrame) -> DataFrame:
     """Consecutive frames of a stream that differ: stream, frame, ssim, distance, entropy_delta, change_type, confidence.
 
-    Frames are dealt out by stream and compared in order, whole batches in numpy; no window carries pixels. Frames without
-    pixels are left out, and one of another size than the one before it isn't compared.
+    Frames are dealt out by ranges of (stream, frame) and compared in order, whole batches in numpy; no window carries
+    pixels. Frames without pixels are left out, and one of another size than the one before it isn't compared.
     """
-    f = frames.select("stream", F.col("frame").cast("long").alias("frame"), F.col("pixels").cast("array<int>").alias("pixels"))
+    f = frames.where("pixels is not null").select("stream", F.col("frame").cast("long").alias("frame"), F.col("pixels").cast("array<int>").alias("pixels"))
     schema = f.select("stream", "frame").schema.add("ssim", "double").add("distance", "integer").add("entropy_delta", "double")
-    m = f.repartition("stream").sortWithinPartitions("stream", "frame").mapInArrow(_compared, schema)
+    # ranges of the frames are compared within; the first frame of each with the last of the one before
+    r = scans.ranged(f, ("stream",), ("frame",)).drop("__range")
+    edges = r.mapInArrow(_edges, f.schema.add("head", "boolean"))
+    seams = edges.repartition("stream").sortWithinPartitions("stream", "frame")
+    heads = edges.where("head").select("stream", "frame")
+    m = r.mapInArrow(_compared, schema).unionByName(seams.drop("head").mapInArrow(_compared, schema).join(heads, ["stream", "frame"], "left_semi"))
     low, far = F.col("ssim") < 0.8, F.col("distance")
     kind = F.when(low & (far > 20), "cut").when(low & (F.col("entropy_delta") > 0.2), "content_change").when(low, "fade").when(far > 10, "motion").when(F.col("entropy_delta") > 0.1, "content_change")
     sure = F.least(F.lit(1.0), 0.5 * (1 - F.col("ssim")) + 0.3 * F.least(F.lit(1.0), far / 64) + 0.2 * F.least(F.lit(1.0), F.col("entropy_delta") / 8))
@@ -198,21 +224,25 @@ def changes(samples: DataFrame, columns: tuple[str, ...], least_us: int = 100_00
 
 def navigation_types(visits: DataFrame) -> DataFrame:
     """visits with nav_type: back if the url is the second-last one, same or other domain than the last, else direct."""
-    w = Window.partitionBy("stream").orderBy("page_id")
-    last = F.regexp_extract(F.lag("url").over(w), r"^https?://([^/?#]+)", 1)
-    kind = F.when(F.col("url") == F.lag("url", 2).over(w), "back").when(F.lag("url").over(w).isNull(), "direct").when(F.col("host") == last, "same_domain").otherwise("other_domain")
-    return visits.withColumn("nav_type", kind)
+    v = scans.lagged(visits, ("stream",), ("page_id",), {"__last": ("url", 1), "__second": ("url", 2)})
+    last = F.regexp_extract("__last", r"^https?://([^/?#]+)", 1)
+    kind = F.when(F.col("url") == F.col("__second"), "back").when(F.col("__last").isNull(), "direct").when(F.col("host") == last, "same_domain").otherwise("other_domain")
+    return v.withColumn("nav_type", kind).drop("__last", "__second")
 
 
 def transition_scores(events: DataFrame) -> DataFrame:
     """events with transition: other app 0.5, same app with another target 0.3, over 5 s since the last 0.2."""
-    return events.withColumn("transition", transition(Window.partitionBy("stream").orderBy("us", "event_id"), "app_name", "target"))
+    e = scans.lagged(events, ("stream",), ("us", "event_id"), {"__app": ("app_name", 1), "__target": ("target", 1), "__us": ("us", 1)})
+    return e.withColumn("transition", _transition("app_name", "target", F.col("__app"), F.col("__target"), F.col("__us"))).drop("__app", "__target", "__us")
 
 
 def transition(w: Window, app: str, title: str) -> Column:
     """How much a row differs from the one before in the window; 0 for the first."""
-    was, titled = F.lag(app).over(w), F.lag(title).over(w)
-    score = F.when(was != F.col(app), 0.5).when((was == F.col(app)) & (titled != F.col(title)), 0.3).otherwise(0.0) + F.when(F.col("us") - F.lag("us").over(w) > 5_000_000, 0.2).otherwise(0.0)
+    return _transition(app, title, F.lag(app).over(w), F.lag(title).over(w), F.lag("us").over(w))
+
+
+def _transition(app: str, title: str, was: Column, titled: Column, us: Column) -> Column:
+    score = F.when(was != F.col(app), 0.5).when((was == F.col(app)) & (titled != F.col(title)), 0.3).otherwise(0.0) + F.when(F.col("us") - us > 5_000_000, 0.2).otherwise(0.0)
     return F.least(score, F.lit(1.0))
 
 
@@ -231,6 +261,16 @@ def runs(rows: DataFrame, flag: Column, keys: tuple[str, ...], order: tuple[str,
     return out.groupBy(*keys, "run").agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last")).where(F.col("n") >= least)
 
 
+#: How many of the newest each ring buffer holds.
+RINGS = {"positions": 1000, "clicks": 100, "focus": 100, "correlation_events": 1000, "urls": 100}
+
+
+def ring(rows: DataFrame, name: str, order: str, key: str) -> DataFrame:
+    """What a ring buffer of each stream holds when all rows have come: the newest of them, by order, then key."""
+    kept = scans.top_n(rows.select("stream", F.col(order).alias("at"), F.col(key).cast("string").alias("id")), ("stream",), (F.desc("at"), F.desc("id")), RINGS[name], ("id",))
+    return kept.select(F.lit(name).alias("ring"), F.col("stream").cast("string").alias("stream"), "id", F.col("rank").cast("int").alias("rank"))
+
+
 def recent(events: DataFrame, n: int = 5) -> DataFrame:
     """events with the types of the last n events of their stream, oldest first."""
     w = Window.partitionBy("stream").orderBy("us", "event_id").rowsBetween(-(n - 1), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detection, evidence, joins, kernels, privacy, reports, summaries
+from ..operators import detection, evidence, joins, kernels, privacy, reports, scans, summaries
 from ..sources import adapters as A
 from .detect import MATCHES
 from .registry import query
@@ -77,12 +77,10 @@ def j17(spark, d):
 @query("a4_pattern_statistics", f"""WITH {EV}, n AS (SELECT type || '>' || lead(type) OVER w AS pattern, us, event_id, confidence FROM ev WINDOW w AS (PARTITION BY stream ORDER BY us, event_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY us DESC, event_id DESC) AS k FROM n WHERE pattern IS NOT NULL) SELECT pattern, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, round(avg(confidence) FILTER (k <= 100), 6) AS recent FROM r GROUP BY 1""")
 def a4(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stream").orderBy("us", "event_id")
-    n = A.events(spark, d).withColumn("pattern", F.concat("type", F.lit(">"), F.lead("type").over(w))).where("pattern is not null")
-    r = n.withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy(F.desc("us"), F.desc("event_id"))))
-    return r.groupBy("pattern").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.avg(F.when(F.col("k") <= 100, F.col("confidence"))), 6).alias("recent"))
+    e = scans.lagged(A.events(spark, d), ("stream",), ("us", "event_id"), {"next": ("type", -1)})
+    n = e.withColumn("pattern", F.concat("type", F.lit(">"), F.col("next"))).where("pattern is not null")
+    last = scans.top_n(n, ("pattern",), (F.desc("us"), F.desc("event_id")), 100, ("event_id",)).groupBy("pattern").agg(F.round(F.avg("confidence"), 6).alias("recent"))
+    return n.groupBy("pattern").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")).join(last, "pattern")
 
 
 @query("a6_counts_by_type", f"WITH {EV} SELECT stream, count(*) FILTER (type = 'click') AS click, count(*) FILTER (type = 'navigation') AS navigation, count(*) FILTER (type = 'error_display') AS error_display FROM ev GROUP BY 1")

@@ -48,7 +48,7 @@ PAIRS = f"""{RG}, tx AS (SELECT *, {LABELS} AS label FROM rg WHERE trim(text) <>
  CASE WHEN {parsers.RECORD_FIELD} THEN {parsers.words(*parsers.RECORD_TYPES, otherwise='text')} END AS record_type FROM l""")
 def x1(spark, d):
     r = A.regions(spark, d).where(F.trim("text") != "")
-    return parsers.fields(r, kernels.nearest_later(r, F.expr(LABELS)))
+    return parsers.fields(kernels.nearest_later(r, F.expr(LABELS), ("text", "confidence")))
 
 
 @query("x2_base_events", f"""WITH {NUMBERED}, de AS (SELECT stream, seq, idx, 'modified' AS change FROM mt WHERE text <> b_text UNION ALL SELECT stream, seq, idx, 'added' FROM nb WHERE seq > 1 AND (stream, seq, idx) NOT IN (SELECT stream, seq, idx FROM mt))
