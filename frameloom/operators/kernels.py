@@ -225,6 +225,13 @@ def focus_changes(samples: DataFrame, least_us: int = 100_000) -> DataFrame:
     return s.repartition("stream").sortWithinPartitions("stream", "us", "event_id").mapInArrow(focus_batches(least_us), "stream long, event_id long, us long, from_app string, to_app string")
 
 
+def weighed(past: list[set], pair: tuple[str, str], confidence: float) -> tuple[float | None, float]:
+    """The share of past frames that held a pair, None without any, and the confidence that it gives or takes."""
+    share = sum(pair in f for f in past) / len(past) if past else None
+    sure = confidence + (0 if share is None else 0.1 if share > 0.7 else 0.05 if share > 0.3 else -0.05)
+    return share, min(1.0, max(0.0, sure))
+
+
 def pattern_batches(history: int, least: float):
     """Confidence by what the last frames held: frames kept so far, after the threshold, decide over the next.
 
@@ -241,9 +248,7 @@ def pattern_batches(history: int, least: float):
                 elif at[1] != frame:
                     past, kept = [*past, kept][-history:], set()
                 at = (stream, frame)
-                share = sum((kind, target) in f for f in past) / len(past) if past else None
-                sure = confidence + (0 if share is None else 0.1 if share > 0.7 else 0.05 if share > 0.3 else -0.05)
-                sure = min(1.0, max(0.0, sure))
+                share, sure = weighed(past, (kind, target), confidence)
                 if sure >= least:
                     kept.add((kind, target))
                     out.append((stream, frame, idx, kind, target, round(sure, 6), share))
