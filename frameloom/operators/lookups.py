@@ -119,6 +119,23 @@ def allowed_apps(samples: DataFrame, blocked: DataFrame, allowed: DataFrame, app
     return out if allowed.isEmpty() else out.join(allowed.select(app).distinct(), app, "left_semi")
 
 
+def allowed_on_displays(samples: DataFrame, blocked: DataFrame, allowed: DataFrame, on_display: DataFrame, app: str = "app_name") -> DataFrame:
+    """Samples (with display) that may be captured where they are shown. on_display: display, app, blocked (or allowed).
+
+    A display with rules of its own blocks what it blocks, and, if it allows any app by name, captures those alone; else the
+    rules for all displays hold. Rules are one row a display and app; each kind is met by one join.
+    """
+    own = on_display.groupBy("display").agg(F.bool_or(~F.col("blocked")).alias("__names"))
+    rules = on_display.groupBy("display", app).agg(F.bool_or("blocked").alias("__stops"), F.bool_or(~F.col("blocked")).alias("__lets"))
+    everywhere = blocked.select(app).distinct().withColumn("__blocked", F.lit(True))
+    names = allowed.select(app).distinct().withColumn("__allowed", F.lit(True))
+    j = samples.join(own, "display", "left").join(rules, ["display", app], "left").join(everywhere, app, "left").join(names, app, "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    all_displays = ~is_("__blocked") & (F.lit(allowed.isEmpty()) | is_("__allowed"))
+    kept = F.when(is_("__stops"), False).when(is_("__names"), is_("__lets")).otherwise(all_displays)
+    return j.where(kept).select(*samples.columns)
+
+
 def plugin_routes(samples: DataFrame, plugins: DataFrame) -> DataFrame:
     """Samples with each plugin whose pattern is their bundle, or its start if the pattern ends in a star."""
     pattern = F.col("pattern")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import assemblies, evidence, operations, privacy, sequences, settings, stories, summaries
+from ..operators import assemblies, evidence, operations, plugins, privacy, sequences, settings, stories, summaries
 from ..sources import adapters as A
 from .detect import MATCHES
 from .more import linked
@@ -210,10 +210,27 @@ def m21(spark, d):
     return assemblies.usage(s)
 
 
-@query("m25_plugins", "SELECT * FROM (VALUES ('web', true), ('productivity', true)) t(plugin, enabled)")
+#: Plugins are named after nations; their suppliers set whether they are on.
+PLUGINS = """pl AS (SELECT n_name AS plugin, n_nationkey % 3 <> 0 AS enabled FROM nation), ps AS (SELECT n_name AS plugin, count(*) % 2 = 0 AS on_ FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 3)"""
+
+
+@query("m25_plugins", f"WITH {PLUGINS} SELECT plugin, coalesce(on_, enabled) AS enabled FROM pl LEFT JOIN ps USING (plugin) WHERE coalesce(on_, enabled)")
 def m25(spark, d):
-    manifest = spark.createDataFrame([("web", True), ("terminal", True), ("productivity", False)], "plugin string, enabled boolean")
-    return assemblies.enabled_plugins(manifest, spark.createDataFrame([("terminal", False), ("productivity", True)], "plugin string, enabled boolean"))
+    n, s = A.table(spark, d, "nation"), A.table(spark, d, "supplier")
+    manifest = n.select(F.col("n_name").alias("plugin"), (F.col("n_nationkey") % 3 != 0).alias("enabled"))
+    settings_of = s.join(n, s["s_nationkey"] == n["n_nationkey"]).groupBy(F.col("n_name").alias("plugin")).agg(F.count("*").alias("n")).where("n > 3").select("plugin", (F.col("n") % 2 == 0).alias("enabled"))
+    return assemblies.enabled_plugins(manifest, settings_of)
+
+
+@query("m25_user_parser", f"""WITH {A.SCREENS_SQL}, ap AS (SELECT *, list_extract({list(A.SCREEN_APPS)}, (frame % {len(A.SCREEN_APPS)} + 1)::INT) AS app FROM sc), ro AS (SELECT * FROM ap WHERE starts_with(app, 'Sa') OR app = 'Notion'),
+k AS (SELECT *, trim(text, ' ') <> '' AND length(text) < 200 AS short FROM ro), g AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY stream, frame ORDER BY idx) AS grp FROM k),
+b AS (SELECT stream, frame, min(idx) AS idx, avg(confidence) AS confidence, list(text ORDER BY idx) AS lines, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM g WHERE short GROUP BY stream, frame, grp HAVING count(*) >= 2)
+SELECT 'blocks' AS plugin, stream, frame, idx, 'block' AS semantic_type, round(confidence, 6) AS confidence, lines, x, y, w, h, lines[1] AS title FROM b""")
+def m25_parser(spark, d):
+    table = spark.createDataFrame([("blocks", "Sa*"), ("blocks", "Notion"), ("off", "*")], "plugin string, pattern string").withColumn("enabled", F.col("plugin") != "off")
+    found = plugins.parsed(A.screens(spark, d), table, {"blocks": (plugins.ShortLineBlocks, 200, "title")})
+    more = F.from_json("more", "lines array<string>, x double, y double, w double, h double, title string")
+    return found.withColumn("m", more).select("plugin", "stream", "frame", "idx", "semantic_type", F.round("confidence", 6).alias("confidence"), "m.*")
 
 
 @query("r19_orphan_segments", "SELECT 'f_' || l_orderkey || '_' || l_linenumber AS path FROM lineitem WHERE floor(l_extendedprice) < 20000 AND epoch(l_shipdate)::BIGINT > (SELECT max(epoch(l_shipdate)::BIGINT) FROM lineitem) - 8640000")

@@ -112,6 +112,13 @@ def q18(spark, d):
     return lookups.allowed_apps(A.events(spark, d), app("Mail"), app("Safari", "Slack", "Mail")).select("event_id")
 
 
+@query("q18_display_allowlists", f"""WITH {EV}, d AS (SELECT *, event_id % 4 AS display FROM ev) SELECT event_id, display FROM d WHERE CASE WHEN display = 0 THEN app_name IN ('Mail', 'Xcode') WHEN display = 1 THEN app_name NOT IN ('Safari', 'Mail') AND app_name IN ('Safari', 'Slack', 'Mail') WHEN display = 2 THEN app_name = 'Mail' ELSE app_name <> 'Mail' AND app_name IN ('Safari', 'Slack', 'Mail') END""")
+def q18_displays(spark, d):
+    app = lambda *names: spark.createDataFrame([(n,) for n in names], "app_name string")
+    rules = spark.createDataFrame([(0, "Mail", False), (0, "Xcode", False), (0, "Slack", True), (1, "Safari", True), (2, "Mail", False), (2, "Safari", False), (2, "Safari", True)], "display long, app_name string, blocked boolean")
+    return lookups.allowed_on_displays(A.events(spark, d).withColumn("display", F.col("event_id") % 4), app("Mail"), app("Safari", "Slack", "Mail"), rules).select("event_id", "display")
+
+
 @query("q19_plugin_routing", f"WITH {EV}, pl(plugin, pattern) AS (VALUES ('web', 'Saf*'), ('dev', 'Xcode'), ('all', '*')) SELECT event_id, plugin FROM ev JOIN pl ON app_name = pattern OR (suffix(pattern, '*') AND starts_with(app_name, left(pattern, length(pattern)::BIGINT - 1)))")
 def q19(spark, d):
     plugins = spark.createDataFrame([("web", "Saf*"), ("dev", "Xcode"), ("all", "*")], "plugin string, pattern string")

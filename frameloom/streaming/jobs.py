@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import operations
 from ..operators.joins import TEMPORAL
-
-VIDEO = "*.{mp4,mov,avi,mkv,m4v,webm}"
-
+from ..sources import segments
 
 def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
     """New Parquet files of events as they come, with ts as an instant, which watermarks need."""
@@ -21,8 +19,9 @@ def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100)
 
 
 def segment_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New video files with path, length and time; their content is read only where a column asks for it."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", VIDEO).load(path).where("length > 0").drop("content")
+    """New video files with path, length and time, each once it is whole: not empty, and no longer growing."""
+    segments.register(spark)
+    return spark.readStream.format("segments").option("path", path).load()
 
 
 def segment_notes(spark: SparkSession, path: str, schema: str, least: int = 100_000) -> DataFrame:
