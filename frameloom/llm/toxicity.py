@@ -17,7 +17,7 @@ from .shingles import minima, shingle_hashes, word_hashes
 #: Trimmed from both ends of a word before it is looked up.
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—·¡¿"
 #: Letters of the stems that stand in for a longer word which was not learnt itself, in this order.
-STEMS = (5, 4, 3)
+STEMS = (5, 4)
 
 
 @dataclass
@@ -38,7 +38,7 @@ def features(words: pa.Array) -> list[list[str]]:
 
 
 def weigh(words: pa.Array, model: Model) -> np.ndarray:
-    """Log-odds of each word: its own, else its longest known stem's, else the drift."""
+    """Log-odds of each word, above or below 0: its own, else its longest known stem's, else the drift."""
     known, out = model.weights, np.full(len(words), model.drift)
     for tokens in reversed(features(words)):
         found = [(k, known[t]) for k, t in enumerate(tokens) if t in known]
@@ -88,13 +88,16 @@ def excess(weights: np.ndarray, log_k: float) -> tuple[float, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows_per_label: int = 10_000, least_docs: int = 3, least_z: float = 3.5, prior: float = 50.0) -> Model:
+        max_rows_per_label: int = 10_000, least_docs: int = 3, least_z: float = 3.5, clean_z: float = 2.0, least_words: int = 5, prior: float = 50.0) -> Model:
     """Learn token log-odds with an informative Dirichlet prior, and the calibration, outside the held-out rows.
 
     Of each label about max_rows_per_label rows are used, drawn by hash of the id, whole texts; that bounds the fit. A
-    token counts once a text. The prior is the tokens' own rate over both labels. A token's weight is its log-odds less one
-    standard error; the model keeps the tokens with z scores above least_z and above what chance gives the number of
-    tokens tested, of which the sample bounds the number. Null labels and texts teach nothing; without rows of
+    token counts once a text. The prior is the tokens' own rate over both labels. A token's weight is its log-odds, drawn one
+    standard error towards 0; the model keeps the tokens that tell of toxicity, with z scores above least_z and above what
+    chance gives the number of tokens tested, and the words that tell against it, with z scores under -clean_z; the sample
+    bounds both. A stem (the first letters of longer words) counts as a token, and is kept only if its evidence comes from
+    least_words different words of toxic texts or more, none of them kept itself: an insult doesn't make other words that
+    begin like it suspect, but an insult in many forms is learnt. Null labels and texts teach nothing; without rows of
     both labels nothing is learnt and every text scores low. A document with two labels teaches both.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -128,11 +131,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     delta = odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)
     error = F.sqrt(1 / (F.col("toxic") + mass) + 1 / (F.col("clean") + mass))
     z = delta / error
-    tested = counts.where(F.col("toxic") >= least_docs).select("token", (delta - error).alias("weight"), z.alias("z"))
+    stem = F.col("token").endswith("~")
+    counts = stored(counts, "toxicity-tokens")
+    tested = counts.where(F.col("toxic") + F.col("clean") >= least_docs).select("token", (F.signum(delta) * (F.abs(delta) - error)).alias("weight"), z.alias("z"), (F.col("toxic") >= least_docs).alias("seen"))
     # of so many tokens without effect, the highest z score is about sqrt(2 ln n)
-    bar = max(least_z, math.sqrt(2 * math.log(max(tested.count(), 1))))
-    kept = tested.where((F.col("z") >= bar) & (F.col("weight") >= 1)).collect()
-    weights = {r["token"]: float(r["weight"]) for r in kept}
+    bar = max(least_z, math.sqrt(2 * math.log(max(tested.where("seen").count(), 1))))
+    kept = tested.where(((F.col("z") >= bar) & F.col("seen") & (F.col("weight") >= 1)) | ((F.col("z") <= -clean_z) & (F.col("weight") < 0) & ~stem))
+    # a stem stands for words that it was learnt from, several and none of them learnt itself
+    words = counts.where(~stem & (F.col("toxic") > 0)).join(kept.where("weight > 0").select("token"), "token", "left_anti")
+    spread = words.select(F.explode(F.array(*[F.concat(F.substring("token", 1, n), F.lit("~")) for n in STEMS])).alias("stem"), "token").where(F.length("stem") <= F.length("token"))  # longer than the stem's letters
+    spread = spread.groupBy("stem").agg(F.count("*").alias("words")).where(F.col("words") >= least_words)
+    learnt = kept.where(~stem).unionByName(kept.where(stem).join(spread, F.col("token") == F.col("stem")).select(kept.columns))
+    weights = {r["token"]: float(r["weight"]) for r in learnt.collect()}
     return _calibrated(sample, weights, n_toxic, n_clean)
 
 

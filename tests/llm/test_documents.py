@@ -354,7 +354,9 @@ def test_toxicity_by_hand(spark, labels):
         marks[k] = int(k % 3 == 0)
         if marks[k]:
             for _ in range(r.randint(1, 3)):
-                w[r.randrange(60)] = r.choice(["vilest", "Nasty,", "foulest"])
+                w[r.randrange(60)] = r.choice(["vilest", "Nasty,", "foulest", "grimo" + r.choice("abcdefghijklmnop") + r.choice("xyz"), "onlyone"])
+        elif r.random() < 0.3:
+            w[r.randrange(60)] = "kindest"
         rows.append((k, " ".join(w), "en", "s", 0))
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, t) for k, t in marks.items()], labels.schema))
 
@@ -366,15 +368,18 @@ def test_toxicity_by_hand(spark, labels):
     size = collections.Counter(y for _, y in learnt)
     has = {y: collections.Counter(x for t, z in learnt if z == y for x in {s for w in t.split() for s in seen(w)}) for y in (0, 1)}
     stats = {}
-    for token in has[1]:
-        if has[1][token] >= 3:
+    for token in has[0].keys() | has[1].keys():
+        if has[0][token] + has[1][token] >= 3:
             mass = 50 * (has[0][token] + has[1][token]) / (size[0] + size[1])
             odds = [math.log((has[y][token] + mass) / (size[y] + 50 - has[y][token] - mass)) for y in (0, 1)]
             error = math.sqrt(sum(1 / (has[y][token] + mass) for y in (0, 1)))
-            stats[token] = (odds[1] - odds[0] - error, (odds[1] - odds[0]) / error)
-    bar = max(3.5, math.sqrt(2 * math.log(len(stats))))
-    weights = {t: w for t, (w, z) in stats.items() if z >= bar and w >= 1}
-    assert weights and model.weights == pytest.approx(weights)
+            delta = odds[1] - odds[0]
+            stats[token] = (math.copysign(abs(delta) - error, delta) if abs(delta) > error else 0.0, delta / error)
+    bar = max(3.5, math.sqrt(2 * math.log(sum(has[1][t] >= 3 for t in stats))))
+    weights = {t: w for t, (w, z) in stats.items() if z >= bar and w >= 1 and has[1][t] >= 3 or z <= -2 and t[-1] != "~"}
+    words = {t for t in has[1] if t[-1] != "~" and weights.get(t, 0) <= 0}
+    weights = {t: w for t, w in weights.items() if t[-1] != "~" or sum(x.startswith(t[:-1]) for x in words) >= 5}
+    assert model.weights == pytest.approx(weights) and {"vilest", "grimo~"} <= set(weights) and "foul~" not in weights and weights["kindest"] < 0
 
     def weight(word, drift):
         return next((weights[s] for s in seen(word) if s in weights), drift)
