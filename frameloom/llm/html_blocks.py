@@ -191,8 +191,9 @@ def _word_bucket(word: str) -> int:
     return n
 
 
-def features(found: list[Block]) -> np.ndarray:
-    """A row per block: path, all words hashed (counts, to length 2), and shape: length, words, links, marks, digits, place."""
+def features(found: list[Block], start: int = 0) -> np.ndarray:
+    """A row per block: path, all words hashed (counts, to length 2), and shape: length, words, links, marks, digits, place.
+    start: number in its page of the first block."""
     out = np.zeros((len(found), WIDTH), dtype=np.float32)
     for k, b in enumerate(found):
         row = out[k]
@@ -203,6 +204,6 @@ def features(found: list[Block]) -> np.ndarray:
         n = len(b.text)
         row[-SHAPES:] = (
             math.log1p(n) / 5, min(n, 400) / 400, b.linked / n, b.text.count(".") / (1 + len(words)), (n - len(DIGIT.sub("", b.text))) / n,
-            min(k, 8) / 8, float(b.text[-1] in ".!?…"), float("©" in b.text),
+            min(start + k, 8) / 8, float(b.text[-1] in ".!?…"), float("©" in b.text),
         )
     return out

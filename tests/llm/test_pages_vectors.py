@@ -3,8 +3,11 @@
 import collections
 import html
 import math
+import pathlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -46,17 +49,39 @@ def test_features_read_whole_blocks_and_paths():
 def test_labeller_on_pages_it_has_not_seen():
     rng = random.Random(4242)
     pages = [p for p in (made_up_pages.labelled_page(rng) for _ in range(200)) if p]
-    found = block_labeller.probabilities(block_labeller.weights(), [html_blocks.features([b for b, _ in p]) for p in pages])
+    w = block_labeller.weights()
+    found = block_labeller.probabilities(w, [block_labeller.projected(w, block_labeller.sliced([b for b, _ in p])) for p in pages])
     right = [(q >= 0.5) == y for page, qs in zip(pages, found) for q, (_, y) in zip(qs, page)]
     assert np.mean(right) > 0.99
 
 
-def test_batches_do_not_change_labels():
+def test_batches_and_slices_do_not_change_labels():
     rng = random.Random(7)
-    pages = [html_blocks.features([b for b, _ in made_up_pages.labelled_page(rng)]) for _ in range(20)]
-    alone = [block_labeller.probabilities(block_labeller.weights(), [p])[0] for p in pages]
-    for a, b in zip(alone, block_labeller.probabilities(block_labeller.weights(), pages)):
-        assert np.allclose(a, b, atol=1e-4)
+    w = block_labeller.weights()
+    blocks = [[b for b, _ in made_up_pages.labelled_page(rng)] for _ in range(20)]
+    pages = [block_labeller.projected(w, block_labeller.sliced(b)) for b in blocks]
+    alone = [block_labeller.probabilities(w, [p])[0] for p in pages]
+    for cells in (1, 60, 1 << 15):
+        for a, b in zip(alone, block_labeller.probabilities(w, pages, cells)):
+            assert np.allclose(a, b, atol=1e-4)
+    for b, p in zip(blocks, pages):
+        assert np.allclose(p, block_labeller.projected(w, block_labeller.sliced(b, 3)), atol=1e-4)
+
+
+def test_a_page_of_very_many_blocks_takes_bounded_memory():
+    code = """
+import resource, sys
+from frameloom.llm import block_labeller as L, html_blocks
+w = L.weights()
+few = html_blocks.blocks("<p>One block.</p>")
+many = html_blocks.blocks("<p>Short.</p>" * 200_000)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = L.probabilities(w, [L.projected(w, L.sliced(b)) for b in [few] * 63 + [many]])
+assert len(found[-1]) == 200_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=pathlib.Path(__file__).parents[2])
+    assert int(said.stdout.split()[-1]) < 500
 
 
 def test_gradients():
