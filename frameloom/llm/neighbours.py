@@ -158,7 +158,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     many as give each about part_rows entries, up to a 32nd of sample_rows; a partition is dealt out in chunks of about
     part_rows entries, and a query visits all chunks of its partitions, which score whole original vectors in double
     precision. The number of partitions to visit is the least that finds `recall` of the true neighbours, in the whole
-    index, of `tested` entries outside the sample (inside it, if there are no others).
+    index, of `tested` entries outside the sample, or of a quarter of the entries if those are fewer.
     """
     x = F.col("x")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
@@ -176,7 +176,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     n_parts = max(1, min(sample_rows // 32, n_entries // 32, max(least_parts, -(-n_entries // part_rows))))
     drawn = entries.select("x").orderBy(F.xxhash64("x"), "x").limit(sample_rows + tested).toArrow()
     drawn = _matrix(drawn.column("x").combine_chunks()) if n_entries else np.zeros((0, d))
-    router = fit_router(drawn[:sample_rows] if n_entries else np.zeros((1, d)), n_parts)
+    # the tested entries are set apart first, a quarter of a small table at most; what is left is fit on
+    apart = min(tested, len(drawn) // 4)
+    router = fit_router(drawn[apart : apart + sample_rows] if n_entries else np.zeros((1, d)), n_parts)
     routing = vectors.sparkSession.sparkContext.broadcast(router)
 
     def place(batches):
@@ -193,7 +195,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
     index = stored(entries.mapInArrow(place, "x array<double>, ids array<long>, entry long, part int"), "index")
     if n_parts > 1:
-        set_probes(router, index, drawn[sample_rows:] if n_entries > sample_rows else drawn[:tested], k, recall)
+        set_probes(router, index, drawn[:apart], k, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(router)
     chunks = {r["part"]: -(-r["n"] // part_rows) for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
     n_chunks = F.element_at(F.create_map(*[F.lit(v) for item in (chunks or {0: 1}).items() for v in item]), F.col("part"))
