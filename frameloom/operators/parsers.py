@@ -192,7 +192,16 @@ APPS = (("terminal|iterm", "terminal"), ("jira|atlassian", "jira"), ("salesforce
 PRODUCTIVITY = ("jira", "salesforce", "office", "slack", "notion", "asana")
 #: Page types by parts of the url, and web applications by domain.
 PAGE_TYPES = (("/login|/signin", "login"), (r"/search|\?q=", "search_results"), ("/profile|/account", "user_profile"), ("/dashboard", "dashboard"), ("/checkout|/cart", "checkout"), ("/product/|/item/", "product_page"), ("/error|/404", "error"))
-WEB_APPS = (("amazon|ebay|shop|store", "ecommerce"), ("facebook|twitter|linkedin|instagram", "social"), ("docs.google|notion|trello|asana", "productivity"), ("salesforce|hubspot", "crm"), ("github|stackoverflow|docs", "documentation"))
+#: Of web applications their kind, what in the domain or the url tells of it, and what the detail is named by.
+WEB_APPS = (
+    ("ecommerce", ("shop", "store"), ("/product", "/cart"), (("electronics", "electronics"), ("clothing", "clothing"), ("books", "books"), ("home", "home"), ("sports", "sports"), ("beauty", "beauty")), "url"),
+    ("social_media", ("facebook.com", "twitter.com", "linkedin.com", "instagram.com"), (), (("facebook", "Facebook"), ("twitter", "Twitter"), ("linkedin", "LinkedIn"), ("instagram", "Instagram")), "host"),
+    ("productivity", ("jira", "confluence", "trello", "asana", "notion"), (), (("jira", "Jira"), ("confluence", "Confluence"), ("trello", "Trello"), ("asana", "Asana"), ("notion", "Notion")), "host"),
+    ("crm", ("salesforce", "hubspot", "pipedrive"), (), (("salesforce", "Salesforce"), ("hubspot", "HubSpot"), ("pipedrive", "Pipedrive")), "host"),
+    ("documentation", ("docs",), ("/docs/",), (("react", "react"), ("vue", "vue"), ("angular", "angular"), ("django", "django"), ("rails", "rails"), ("laravel", "laravel")), "host"),
+)
+#: What parts a trail of pages, in the order in which they are tried; a text with one of the first three is one.
+CRUMBS = (">", "/", "›", "»", "→")
 
 
 def _first(value: Column, groups) -> Column:
@@ -287,11 +296,45 @@ def commands(regions: DataFrame) -> DataFrame:
     return c.withColumn("kind", F.coalesce(kinds[F.col("command")], F.lit("other"))).drop("words", "family", "semantic_type", "attributes")
 
 
+def _holds(value: Column, names) -> Column:
+    out = F.lit(False)
+    for n in names:
+        out = out | F.contains(value, F.lit(n))
+    return out
+
+
 def pages(visits: DataFrame) -> DataFrame:
-    """Type, application and single-page route of each page visited."""
-    url = F.lower("url")
-    kind = F.coalesce(_first(url, PAGE_TYPES), F.when(url.rlike("#!?/"), "spa"), F.when(F.lower("title").rlike("article|blog"), "article"), F.when(F.lower("title").rlike("list|catalog"), "listing"), F.lit("homepage"))
-    return visits.withColumn("page_type", kind).withColumn("application", _first(F.col("host"), WEB_APPS)).withColumn("route", F.regexp_extract("url", r"#!?/(.*)$", 1))
+    """Type, application (its kind, and what it is in detail), and single-page route of each page visited.
+
+    visits: url, host, and if known has_form and content, the page's text (else its title). Parts of the url decide first,
+    then a form, a route, and words of the content.
+    """
+    url, host = F.lower("url"), F.lower("host")
+    content = F.lower("content") if "content" in visits.columns else F.lower("title")
+    form = F.coalesce(F.col("has_form"), F.lit(False)) if "has_form" in visits.columns else F.lit(False)
+    hash_at = F.when(F.contains("url", F.lit("#/")), F.lit("#/")).when(F.contains("url", F.lit("#!/")), F.lit("#!/"))
+    route = F.when(hash_at.isNotNull(), F.expr("substring(url, locate(mark, url) + length(mark))"))
+    kind = F.coalesce(_first(url, PAGE_TYPES), F.when(form, "form"), F.when(F.col("mark").isNotNull(), "spa"), F.when(_holds(content, ("article", "blog")), "article"), F.when(_holds(content, ("list", "catalog")), "listing"), F.lit("homepage"))
+    app = detail = F.lit(None).cast("string")
+    for name, domains, parts, details, where in reversed(WEB_APPS):
+        met = _holds(host, domains) | _holds(url, parts)
+        named = F.lit(None).cast("string")
+        for part, said in reversed(details):
+            named = F.when(F.contains(url if where == "url" else host, F.lit(part)), said).otherwise(named)
+        app, detail = F.when(met, name).otherwise(app), F.when(met, named).otherwise(detail)
+    v = visits.withColumn("mark", hash_at)
+    return v.withColumns({"page_type": kind, "application": app, "detail": detail, "route": F.when(kind == "spa", route)}).drop("mark")
+
+
+def breadcrumbs(regions: DataFrame) -> DataFrame:
+    """Of each frame the first region that is a trail of pages, in parts: stream, frame, idx, crumbs."""
+    t = F.trim("text")
+    r = regions.where(_holds(t, CRUMBS[:3])).groupBy("stream", "frame").agg(F.min(F.struct("idx", t.alias("t"))).alias("f"))
+    mark = F.lit(CRUMBS[-1])
+    for c in reversed(CRUMBS):
+        mark = F.when(F.contains("f.t", F.lit(c)), c).otherwise(mark)
+    parts = F.filter(F.transform(F.split(F.col("f.t"), F.concat(F.lit("["), mark, F.lit("]"))), lambda p: F.trim(p)), lambda p: p != "")
+    return r.select("stream", "frame", "f.idx", parts.alias("crumbs"))
 
 
 def navigation_history(visits: DataFrame, order: str = "page_id", most: int = 5) -> DataFrame:

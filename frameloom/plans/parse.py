@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, kernels, parsers
+from ..operators import joins, kernels, parsers, terminals
 from ..sources import adapters as A
 from .registry import query
 from .sequence import NUMBERED
@@ -82,10 +82,41 @@ def a24(spark, d):
     return parsers.terminal_metrics(parsers.commands(A.terminal(spark, d)))
 
 
-@query("x13_pages", f"""WITH {VS}, l AS (SELECT *, lower(url) AS u, lower(title) AS t FROM vs) SELECT page_id, CASE WHEN regexp_matches(u, '/login|/signin') THEN 'login' WHEN regexp_matches(u, '/search|\\?q=') THEN 'search_results' WHEN regexp_matches(u, '/profile|/account') THEN 'user_profile' WHEN regexp_matches(u, '/dashboard') THEN 'dashboard' WHEN regexp_matches(u, '/checkout|/cart') THEN 'checkout' WHEN regexp_matches(u, '/product/|/item/') THEN 'product_page'
- WHEN regexp_matches(u, '/error|/404') THEN 'error' WHEN regexp_matches(u, '#!?/') THEN 'spa' WHEN regexp_matches(t, 'article|blog') THEN 'article' WHEN regexp_matches(t, 'list|catalog') THEN 'listing' ELSE 'homepage' END AS page_type FROM l""")
+def _like(value: str, *parts: str) -> str:
+    return "(" + " OR ".join(f"contains({value}, '{p}')" for p in parts) + ")"
+
+
+def _detail(value: str, *parts: str, names: dict | None = None) -> str:
+    return "CASE " + " ".join(f"WHEN contains({value}, '{p}') THEN '{(names or {}).get(p, p)}'" for p in parts) + " END"
+
+
+#: Urls of all sorts, by the pages' numbers: the same in both engines.
+URLS = ("https://shop.example.com/books/1", "https://www.facebook.com/x", "https://team.atlassian.net/jira/a#/board/7", "https://acme.my.salesforce.com/home", "https://docs.djangoproject.com/en", "https://e.com/product/9", "https://e.com/login", "https://e.com/find?q=a", "https://app.notion.so/#!/page/2", "https://api.e.com/docs/v1")
+URL_SQL = "[" + ", ".join(f"'{u}'" for u in URLS) + "]"
+
+
+@query("x13_pages", f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE {URL_SQL}[(page_id % 10 + 1)::INT] END AS url, contains(html, '<form') AS form, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS body FROM pages), l AS (SELECT *, lower(url) AS u, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h FROM p),
+k AS (SELECT *, CASE WHEN regexp_matches(u, '/login|/signin') THEN 'login' WHEN regexp_matches(u, '/search|\\?q=') THEN 'search_results' WHEN regexp_matches(u, '/profile|/account') THEN 'user_profile' WHEN contains(u, '/dashboard') THEN 'dashboard' WHEN regexp_matches(u, '/checkout|/cart') THEN 'checkout' WHEN regexp_matches(u, '/product/|/item/') THEN 'product_page'
+ WHEN regexp_matches(u, '/error|/404') THEN 'error' WHEN form THEN 'form' WHEN contains(url, '#/') OR contains(url, '#!/') THEN 'spa' WHEN regexp_matches(body, 'article|blog') THEN 'article' WHEN regexp_matches(body, 'list|catalog') THEN 'listing' ELSE 'homepage' END AS page_type FROM l)
+SELECT page_id, page_type, CASE WHEN {_like('h', 'shop', 'store')} OR {_like('u', '/product', '/cart')} THEN 'ecommerce' WHEN {_like('h', 'facebook.com', 'twitter.com', 'linkedin.com', 'instagram.com')} THEN 'social_media' WHEN {_like('h', 'jira', 'confluence', 'trello', 'asana', 'notion')} THEN 'productivity' WHEN {_like('h', 'salesforce', 'hubspot', 'pipedrive')} THEN 'crm' WHEN contains(h, 'docs') OR contains(u, '/docs/') THEN 'documentation' END AS application,
+ CASE WHEN {_like('h', 'shop', 'store')} OR {_like('u', '/product', '/cart')} THEN {_detail('u', 'electronics', 'clothing', 'books', 'home', 'sports', 'beauty')} WHEN {_like('h', 'facebook.com', 'twitter.com', 'linkedin.com', 'instagram.com')} THEN {_detail('h', 'facebook', 'twitter', 'linkedin', 'instagram', names={'facebook': 'Facebook', 'twitter': 'Twitter', 'linkedin': 'LinkedIn', 'instagram': 'Instagram'})}
+ WHEN {_like('h', 'jira', 'confluence', 'trello', 'asana', 'notion')} THEN {_detail('h', 'jira', 'confluence', 'trello', 'asana', 'notion', names={'jira': 'Jira', 'confluence': 'Confluence', 'trello': 'Trello', 'asana': 'Asana', 'notion': 'Notion'})} WHEN {_like('h', 'salesforce', 'hubspot', 'pipedrive')} THEN {_detail('h', 'salesforce', 'hubspot', 'pipedrive', names={'salesforce': 'Salesforce', 'hubspot': 'HubSpot', 'pipedrive': 'Pipedrive'})}
+ WHEN contains(h, 'docs') OR contains(u, '/docs/') THEN {_detail('h', 'react', 'vue', 'angular', 'django', 'rails', 'laravel')} END AS detail,
+ CASE WHEN page_type = 'spa' THEN CASE WHEN contains(url, '#/') THEN url[strpos(url, '#/') + 2:] ELSE url[strpos(url, '#!/') + 3:] END END AS route FROM k""")
 def x13(spark, d):
-    return parsers.pages(A.visits(spark, d)).select("page_id", "page_type")
+    n = F.col("page_id")
+    p = A.table(spark, d, "pages").withColumn("url", F.when(n % 3 == 0, F.col("url")).otherwise(F.element_at(F.array(*map(F.lit, URLS)), (n % 10 + 1).cast("int"))))
+    v = p.select("page_id", "url", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.contains("html", F.lit("<form")).alias("has_form"), F.regexp_replace("html", "<[^>]*>", " ").alias("content"))
+    return parsers.pages(v).select("page_id", "page_type", "application", "detail", "route")
+
+
+@query("x14_breadcrumbs", f"""WITH {VS}, f AS (SELECT host AS stream, page_id AS frame, 0 AS idx, trim(CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '^https?://', '') WHEN 1 THEN replace(regexp_replace(url, '^https?://', ''), '/', ' > ') ELSE replace(regexp_replace(url, '^https?://', ''), '/', ' › ') END) AS t FROM vs)
+SELECT stream, frame, idx, list_filter(list_transform(string_split(t, CASE WHEN contains(t, '>') THEN '>' WHEN contains(t, '/') THEN '/' ELSE '›' END), lambda p: trim(p, ' ')), lambda p: p <> '') AS crumbs FROM f WHERE contains(t, '>') OR contains(t, '/') OR contains(t, '›')""")
+def x14_crumbs(spark, d):
+    # addresses of the pages visited, written as trails of three sorts
+    bare, n = F.regexp_replace("url", "^https?://", ""), F.col("page_id") % 3
+    said = F.when(n == 0, bare).when(n == 1, F.replace(bare, F.lit("/"), F.lit(" > "))).otherwise(F.replace(bare, F.lit("/"), F.lit(" › ")))
+    return parsers.breadcrumbs(A.visits(spark, d).select(F.col("host").alias("stream"), F.col("page_id").alias("frame"), F.lit(0).alias("idx"), said.alias("text")))
 
 
 @query("x14_navigation_history", f"WITH {VS} SELECT page_id, list(url) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS history FROM vs")
@@ -133,3 +164,38 @@ def x22_steps(spark, d):
 @query("x23_application_family", f"WITH {EV} SELECT event_id, CASE WHEN app_name = 'Slack' THEN 'slack' WHEN app_name = 'Safari' THEN 'web' ELSE 'base' END AS family FROM ev")
 def x23(spark, d):
     return A.events(spark, d).select("event_id", parsers.family(F.col("app_name")).alias("family"))
+
+
+#: Terminals in which people move about.
+MOVES = ("../build", "src", "/var/log", "-", "", "~/a/../b")
+SHELL = f"""WITH RECURSIVE {A.TERMINAL_SQL}, mv AS (SELECT * REPLACE (CASE WHEN starts_with(text, 'cd ') THEN trim('cd ' || {"[" + ", ".join(f"'{m}'" for m in MOVES) + "]"}[(idx % {len(MOVES)} + 1)::INT]) ELSE text END AS text) FROM tm), {A.read_sql('mv')},
+ln AS (SELECT stream, frame, idx, CASE WHEN {_sql(parsers.COMMAND_LINE)} THEN cmd END AS command, coalesce(CASE WHEN said[1] = 'sudo' THEN said[3] ELSE said[2] END, '') AS goal, {_sql(parsers.TERMINAL_ERROR)} AS error, {parsers.any_of('logout', 'exit', 'connection closed', 'session ended', 'terminal session closed')} AS ends FROM re),
+se AS (SELECT *, 1 + coalesce(sum(ends::INT) OVER (PARTITION BY stream ORDER BY frame, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS session FROM ln), nu AS (SELECT *, (count(command) OVER (PARTITION BY stream, session ORDER BY frame, idx))::INT AS number FROM se),
+ou AS (SELECT stream, session, number, (count(*) FILTER (command IS NULL))::INT AS n_output, coalesce(bool_or(error) FILTER (command IS NULL), false) AS failed FROM nu WHERE number > 0 GROUP BY 1, 2, 3),
+wa AS (SELECT stream, session, 1 AS number, '~' AS root, []::VARCHAR[] AS parts, '~' AS proot, []::VARCHAR[] AS pparts FROM nu WHERE number = 1 AND command IS NOT NULL
+ UNION ALL SELECT w.stream, w.session, w.number + 1, CASE WHEN NOT cd THEN root WHEN goal IN ('', '~') THEN '~' WHEN goal = '-' THEN proot WHEN starts_with(goal, '/') THEN '/' WHEN starts_with(goal, '~/') THEN '~' ELSE root END,
+ CASE WHEN NOT cd THEN parts WHEN goal IN ('', '~') THEN [] WHEN goal = '-' THEN pparts WHEN goal = '/var/log' THEN ['var', 'log'] WHEN goal = '~/a/../b' THEN ['b'] WHEN goal = 'src' THEN list_append(parts, 'src') WHEN goal = '../build' THEN list_append(parts[:len(parts) - 1], 'build') END, CASE WHEN cd THEN root ELSE proot END, CASE WHEN cd THEN parts ELSE pparts END
+ FROM wa w JOIN (SELECT stream, session, number, command = 'cd' AS cd, goal FROM nu WHERE command IS NOT NULL) n ON n.stream = w.stream AND n.session = w.session AND n.number = w.number JOIN (SELECT stream, session, max(number) AS last FROM nu GROUP BY 1, 2) m ON m.stream = w.stream AND m.session = w.session AND w.number < m.last),
+ex AS (SELECT nu.stream, nu.session, nu.number, frame, idx, command, CASE WHEN len(parts) = 0 THEN root ELSE rtrim(root, '/') || '/' || array_to_string(parts, '/') END AS directory, n_output, failed FROM nu JOIN wa USING (stream, session, number) JOIN ou USING (stream, session, number) WHERE command IS NOT NULL)"""
+
+
+def shell(spark, d):
+    t = A.terminal(spark, d)
+    to = F.element_at(F.array(*map(F.lit, MOVES)), (F.col("idx") % len(MOVES) + 1).cast("int"))
+    return t.withColumn("text", F.when(F.startswith("text", F.lit("cd ")), F.trim(F.concat(F.lit("cd "), to))).otherwise(F.col("text")))
+
+
+@query("m16_executions", f"{SHELL} SELECT * FROM ex")
+def m16_executions(spark, d):
+    return terminals.executions(shell(spark, d))
+
+
+@query("m16_session_metrics", f"""{SHELL} SELECT stream, session, min(frame) AS start, max(frame) AS "end", count(*) AS commands, round(avg((command IN {_names(parsers.PRODUCTIVE)})::INT), 6) AS productivity, round(avg(failed::INT), 6) AS error_rate, arg_max(directory, number) AS directory, sum(n_output)::BIGINT AS n_output,
+ round(CASE WHEN max(frame) > min(frame) THEN count(*) / ((max(frame) - min(frame)) / 60) END, 6) AS per_minute FROM ex GROUP BY 1, 2""")
+def m16_metrics(spark, d):
+    return terminals.sessions(terminals.executions(shell(spark, d)))
+
+
+@query("x9_repeated_sequences", f"""{SHELL}, sq AS (SELECT stream, [command, lead(command) OVER (PARTITION BY stream, session ORDER BY number)] AS sequence FROM ex) SELECT stream, sequence, count(*) AS n FROM sq WHERE sequence[2] IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2""")
+def x9_repeated(spark, d):
+    return terminals.repeated_sequences(terminals.executions(shell(spark, d)))
