@@ -129,6 +129,14 @@ def size_text(n: Column) -> Column:
     return F.when(n >= 1 << 30, F.format_string("%.1f GB", n / float(1 << 30))).when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(n >= 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%d bytes", n))
 
 
+#: How levels of a log are shown.
+LEVEL_NAMES = {"debug": "Debug", "info": "Info", "default": "Default", "error": "Error", "fault": "Critical"}
+
+
+def level_name(level: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for p in LEVEL_NAMES.items() for x in p])[level], F.lit("Unknown"))
+
+
 def monitor(segment: Column) -> Column:
     """The number after 'monitor' in the first part of a segment id that starts so; else 0."""
     part = F.get(F.filter(F.split(segment, "_"), lambda p: p.startswith("monitor")), F.lit(0))

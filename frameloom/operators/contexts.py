@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import evidence, joins, sequences, summaries
+from . import evidence, joins, sequences, stories, summaries
 
 #: How far before and after a session its context reaches, in seconds, and how many spans of it count.
 BEFORE_S, AFTER_S, MOST = 3600.0, 1800.0, 5
@@ -112,10 +112,11 @@ def propagation(sessions: DataFrame, key_events: DataFrame, frames: DataFrame, k
 
     Each level is an aggregate of the one below: frames to their events, events to their summary. A summary's is 0.4 of its
     key events' mean, 0.3 of their frames', 0.2 of temporal and 0.1 of spatial consistency. completeness: key events of all.
-    factors: (name, impact) of what speaks for or against it.
+    factors: (name, impact) of what speaks for or against it. trace_confidence: of the walk from the summary over its key
+    events to their frames, where the summary counts 0.1, an event 0.3 and a frame 0.6, per step.
     """
     g = event_confidence(key_events, frames, keys).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("confidence").alias("event_confidence"), (F.sum("ocr") / F.sum("known")).alias("frame_confidence"), F.sum("known").alias("n_frames"), F.avg("temporal").alias("temporal"), F.avg("spatial").alias("spatial"))
+        F.count("*").alias("n"), F.avg("confidence").alias("event_confidence"), (F.sum("ocr") / F.sum("known")).alias("frame_confidence"), F.sum("known").alias("n_frames"), F.sum("confidence").alias("sure"), F.sum("ocr").alias("seen"), F.avg("temporal").alias("temporal"), F.avg("spatial").alias("spatial"))
     j = sessions.select(*keys, "seconds", "n_events", overall.alias("overall")).join(g, list(keys), "left")
     named = ("event_confidence", "frame_confidence", "temporal", "spatial")
     j = j.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in named} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_frames")})
@@ -128,7 +129,8 @@ def propagation(sessions: DataFrame, key_events: DataFrame, frames: DataFrame, k
         says(n >= 5, "sufficient_events", 0.2), says(n < 3, "insufficient_events", -0.3), says(t > 0.8, "high_temporal_consistency", 0.15), says(t < 0.5, "low_temporal_consistency", -0.2),
         says(s > 300, "substantial_session", 0.1), says(s < 60, "brief_session", -0.1)))
     rounded = [F.round(c, 6).alias(name) for name, c in [*((c, F.col(c)) for c in named), ("completeness", n / F.col("n_events")), ("confidence", total)]]
-    return j.select(*keys, F.col("n").alias("n_key_events"), "n_frames", *rounded, "overall", factors.alias("factors"))
+    walk = (0.1 * total + 0.3 * F.coalesce("sure", F.lit(0.0)) + 0.6 * F.coalesce("seen", F.lit(0.0))) / (1 + n + F.col("n_frames"))
+    return j.select(*keys, F.col("n").alias("n_key_events"), "n_frames", *rounded, "overall", F.round(walk, 12).alias("trace_confidence"), factors.alias("factors"))
 
 
 def coherent(events: DataFrame, gap_us: int, most: int = 50, threshold: float = 0.7) -> DataFrame:
@@ -169,8 +171,14 @@ def playbook_rollup(sessions: DataFrame, context: DataFrame, keys: tuple[str, ..
     needs = F.concat(F.transform(F.coalesce("titles", F.array().cast("array<string>")), lambda t: F.concat(F.lit("Complete: "), t)), F.array_compact(F.array(F.concat(F.lit("Have "), F.col("primary_app"), F.lit(" installed and accessible")), F.when(F.col("session_type") == "form_filling", "Have required form data available"))))
     distinct = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
     g = s.withColumn("needs", needs).groupBy(*by).agg(
-        F.count("*").alias("n_sessions"), F.sum("n_events").alias("n_events"), F.sum("seconds").alias("seconds"), F.collect_set("session_type").alias("types"), distinct("outcomes").alias("outcomes"), distinct("needs").alias("prerequisites"))
+        F.count("*").alias("n_sessions"), F.sum("n_events").alias("n_events"), F.sum("seconds").alias("seconds"), F.min_by("primary_app", F.struct("start_us", *keys)).alias("app"), F.collect_set("session_type").alias("types"), distinct("outcomes").alias("outcomes"), distinct("needs").alias("prerequisites"))
     has = lambda t: F.array_contains("types", t)
     one = F.when(has("form_filling"), "form_workflow").when(has("mixed"), "general").otherwise(F.get("types", F.lit(0)))
     kind = F.when(F.size("types") == 1, one).when(has("form_filling") & has("data_entry"), "form_workflow").when(has("development"), "development").otherwise("general")
-    return g.withColumn("type", kind).withColumn("difficulty", summaries.difficulty(F.col("n_events"), F.col("seconds"))).drop("types")
+    g = g.withColumn("type", kind).withColumn("difficulty", summaries.difficulty(F.col("n_events"), F.col("seconds")))
+    n = F.col("n_sessions").cast("string")
+    told = F.concat(
+        F.lit("This playbook recreates a "), F.replace("type", F.lit("_"), F.lit(" ")), F.lit(" workflow based on "), n, F.when(F.col("n_sessions") == 1, " recorded session with ").otherwise(" recorded sessions with "), F.col("n_events").cast("string"),
+        F.lit(" total actions. Follow these steps to reproduce the same workflow."))
+    named = F.when(F.col("type") == "form_workflow", "form_filling").otherwise(F.col("type"))
+    return g.withColumns({"title": stories.title(named, F.col("app")), "description": told}).drop("types", "app")

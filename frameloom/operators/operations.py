@@ -82,6 +82,27 @@ def rolling(samples: DataFrame, value: str, n: int = 100) -> DataFrame:
     return samples.withColumn("rolling", F.avg(value).over(w))
 
 
+def encoder_metrics(samples: DataFrame, took: str, target_bitrate: int = 2_000_000, frame_rate: int = 30, n: int = 100) -> DataFrame:
+    """Per frame encoded: mean time of the last n frames, and the bitrate that the time they took and all frames so far give
+    for frames of the target's size; 0 while no time has passed."""
+    w = Window.partitionBy("stream").orderBy("us", "event_id")
+    last = w.rowsBetween(-(n - 1), 0)
+    size = target_bitrate // (8 * frame_rate)
+    total = F.sum(took).over(last)
+    rate = F.when(total > 0, F.floor(size * F.row_number().over(w) * 8 / total)).otherwise(0)
+    return samples.withColumns({"rolling": F.avg(took).over(last), "bitrate": rate.cast("long")})
+
+
+def engine_metrics(runs: DataFrame, by: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """Recognition runs (engine, ok, seconds, fallback): success rate and mean seconds of each engine, 0 without a run of it,
+    the share of runs that stood in for another, and their number."""
+    of = lambda name, value: F.coalesce(F.round(F.avg(F.when(F.col("engine") == name, value)), 6), F.lit(0.0))
+    ok = F.col("ok").cast("double")
+    return runs.groupBy(*by).agg(
+        of("vision", ok).alias("vision_success_rate"), of("tesseract", ok).alias("tesseract_success_rate"), of("vision", F.col("seconds")).alias("average_vision_time"), of("tesseract", F.col("seconds")).alias("average_tesseract_time"),
+        F.round(F.avg(F.col("fallback").cast("double")), 6).alias("fallback_rate"), F.count("*").alias("total_processed"))
+
+
 def segments(samples: DataFrame, seconds: int = 120) -> DataFrame:
     """Samples per segment of two minutes, with the path the segment is stored under."""
     start = F.window("ts", f"{seconds} seconds")["start"]

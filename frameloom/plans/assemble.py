@@ -28,13 +28,10 @@ def e26(spark, d):
     return A.events(spark, d).select("event_id", assemblies.app_key(m).alias("app"))
 
 
-IP = privacy.PATTERNS["ip_address"]
-
-
-@query("e35_match_context", f"WITH {RG}, m AS (SELECT frame, idx, text, regexp_extract(text, '{IP}') AS ip FROM rg WHERE regexp_matches(text, '{IP}')), p AS (SELECT *, strpos(text, ip) - 1 AS s FROM m) SELECT frame, idx, ip, substring(text, greatest(s - 20, 0)::INT + 1, (s + length(ip) + 20 - greatest(s - 20, 0))::INT) AS context FROM p")
+@query("e35_match_context", f"WITH {MATCHES} SELECT frame, idx, start, kind, match, substring(text, greatest(start - 20, 0)::INT + 1, (start + length(match) + 20 - greatest(start - 20, 0))::INT) AS context FROM ma")
 def e35(spark, d):
-    m = privacy.matches(A.regions(spark, d), kinds=("ip_address",)).where(F.size("matches") > 0).withColumn("m", F.col("matches")[0])
-    return m.select("frame", "idx", F.col("m.match").alias("ip"), assemblies.context_of(F.col("text"), F.col("m.start"), F.col("m.end")).alias("context"))
+    m = privacy.matches(A.regions(spark, d)).select("frame", "idx", "text", F.explode("matches").alias("m"))
+    return m.select("frame", "idx", "m.start", "m.kind", "m.match", assemblies.context_of(F.col("text"), F.col("m.start"), F.col("m.end")).alias("context"))
 
 
 @query("s4_regions_of_interest", f"""WITH {RG}, c AS (SELECT stream, frame, idx, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, 1920) - greatest(x, 0) AS w, least(y + h, 1080) - greatest(y, 0) AS h FROM rg),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detection, evidence, joins, kernels, privacy, reports, scans, summaries
+from ..operators import detection, evidence, joins, kernels, operations, privacy, reports, scans, summaries
 from ..sources import adapters as A
 from .detect import MATCHES
 from .registry import query
 from .sequence import GAP, GROUPED, HOUR, SESSIONS, grouped
-from .tell import IMPORTANT, KEYS, TOLD, told
+from .tell import CAME, IMPORTANT, KEYS, PROPAGATED, TOLD, W16, correlated, evidence_frames, propagated, told, told_in_context
 
 EV, RG, SP, VS, CU = A.EVENTS_SQL, A.REGIONS_SQL, A.SPANS_SQL, A.VISITS_SQL, A.CURSOR_SQL
 
@@ -93,9 +93,11 @@ def a8(spark, d):
     return grouped(spark, d).groupBy(*KEYS).agg(F.mode("type", True).alias("type"))
 
 
-@query("a22_engine_metrics", f"WITH {RG} SELECT processor, count(*) AS n, round(avg((confidence >= 0.7)::INT), 6) AS success_rate, round(avg((length(text) = 0)::INT), 6) AS empty_rate FROM rg GROUP BY 1")
+@query("a22_engine_metrics", f"""WITH {RG}, u AS (SELECT stream, processor AS engine, confidence >= 0.7 AS ok, idx % 9 / 10 AS seconds, processor = 'tesseract' AND frame % 3 = 0 AS fallback FROM rg)
+SELECT stream, coalesce(round(avg(ok::INT) FILTER (engine = 'vision'), 6), 0)::DOUBLE AS vision_success_rate, coalesce(round(avg(ok::INT) FILTER (engine = 'tesseract'), 6), 0)::DOUBLE AS tesseract_success_rate, coalesce(round(avg(seconds) FILTER (engine = 'vision'), 6), 0)::DOUBLE AS average_vision_time, coalesce(round(avg(seconds) FILTER (engine = 'tesseract'), 6), 0)::DOUBLE AS average_tesseract_time, round(avg(fallback::INT), 6) AS fallback_rate, count(*) AS total_processed FROM u GROUP BY 1""")
 def a22(spark, d):
-    return A.regions(spark, d).groupBy("processor").agg(F.count("*").alias("n"), F.round(F.avg((F.col("confidence") >= 0.7).cast("double")), 6).alias("success_rate"), F.round(F.avg((F.col("text") == "").cast("double")), 6).alias("empty_rate"))
+    r = A.regions(spark, d)
+    return operations.engine_metrics(r.select("stream", F.col("processor").alias("engine"), (F.col("confidence") >= 0.7).alias("ok"), (F.col("idx") % 9 / 10).alias("seconds"), ((F.col("processor") == "tesseract") & (F.col("frame") % 3 == 0)).alias("fallback")))
 
 
 @query("a18_privacy_report", f"WITH {MATCHES} SELECT stream, kind, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS sure, round(avg(confidence), 6) AS avg_confidence FROM ma GROUP BY 1, 2")
@@ -104,12 +106,12 @@ def a18(spark, d):
     return m.groupBy("stream", "m.kind").agg(F.count("*").alias("n"), F.count_if(F.col("m.confidence") >= 0.8).alias("sure"), F.round(F.avg("m.confidence"), 6).alias("avg_confidence"))
 
 
-@query("e9_e37_names_and_sizes", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_orderkey % 9)::INT END AS monitor, CASE WHEN o_totalprice::BIGINT * 1024 >= 1048576 THEN 'MB' WHEN o_totalprice::BIGINT * 1024 >= 1024 THEN 'KB' ELSE 'bytes' END AS unit FROM orders")
+@query("e9_e37_names_and_sizes", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_orderkey % 9)::INT END AS monitor, CASE WHEN o_totalprice::BIGINT * 1024 >= 1048576 THEN 'MB' WHEN o_totalprice::BIGINT * 1024 >= 1024 THEN 'KB' ELSE 'bytes' END AS unit, CASE o_orderkey % 6 WHEN 0 THEN 'Debug' WHEN 1 THEN 'Info' WHEN 2 THEN 'Default' WHEN 3 THEN 'Error' WHEN 4 THEN 'Critical' ELSE 'Unknown' END AS level FROM orders")
 def e9(spark, d):
     o = A.table(spark, d, "orders")
     segment = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("segment_%d", F.col("o_orderkey"))).otherwise(F.format_string("segment_monitor%d_%d", F.col("o_orderkey") % 9, F.col("o_orderkey")))
     size = T.size_text(F.round("o_totalprice").cast("long") * 1024)
-    return o.select("o_orderkey", T.monitor(segment).alias("monitor"), F.substring_index(size, " ", -1).alias("unit"))
+    return o.select("o_orderkey", T.monitor(segment).alias("monitor"), F.substring_index(size, " ", -1).alias("unit"), T.level_name(F.element_at(F.array(*map(F.lit, (*T.LEVEL_NAMES, "other"))), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("level"))
 
 
 @query("e28_keywords", f"WITH {SP} SELECT span_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]'), lambda w: length(w) > 2))) AS words FROM sp")
@@ -129,10 +131,34 @@ rr AS (SELECT stream || '-' || island::BIGINT AS session, session_type, strftime
  'A ' || session_type || ' session of ' || CASE WHEN seconds < 60 THEN 'less than a minute' WHEN seconds < 120 THEN '1 minute' ELSE floor(seconds / 60)::BIGINT || ' minutes' END || ' with ' || n_events || ' events in ' || primary_app || '. ' || said || '.' AS narrative FROM se JOIN t USING (stream, island))"""
 
 
-@query("r12_report_rows", f"WITH {NARRATED} SELECT session, session_type, start, duration, n_events, avg_confidence, narrative FROM rr")
+DIRECT = "di AS (SELECT DISTINCT stream, island::BIGINT AS island, unnest([event_id, event_id + 1]) AS frame_id FROM ke), dl AS (SELECT stream, island, list(frame_id ORDER BY frame_id) AS frames FROM di GROUP BY 1, 2)"
+
+
+def direct_frames(spark, d):
+    """Frames of sessions' key events, once each, with what is known of them."""
+    key = summaries.key_events(grouped(spark, d), KEYS).join(told(spark, d).select(*KEYS), list(KEYS), "left_semi")
+    named = key.select(*KEYS, F.explode(F.array(F.col("event_id"), F.col("event_id") + 1)).alias("frame_id")).distinct()
+    return named.join(evidence_frames(spark, d).select("frame_id", "app_name", "ocr"), "frame_id", "left")
+
+
+@query("r12_report_rows", f"""WITH {PROPAGATED}, {DIRECT} SELECT se.stream || '-' || se.island::BIGINT AS session_id, session_type, strftime(make_timestamp(start_us), '%Y-%m-%d %H:%M:%S') AS start_time, strftime(make_timestamp(end_us), '%Y-%m-%d %H:%M:%S') AS end_time, format('{{:.1f}}', seconds) AS duration_seconds, n_events::VARCHAR AS event_count, primary_app AS primary_application,
+ format('{{:.3f}}', pr.overall) AS confidence_score, array_to_string({CAME}, '; ') AS outcomes, array_to_string(frames, '; ') AS evidence_frames, format('{{:.3f}}', trace_confidence) AS evidence_trace_confidence FROM se JOIN pr ON pr.stream = se.stream AND pr.island = se.island::BIGINT JOIN dl ON dl.stream = se.stream AND dl.island = se.island::BIGINT""")
 def r12(spark, d):
-    t = told(spark, d).join(summaries.narratives(grouped(spark, d), told(spark, d), KEYS), list(KEYS))
-    return reports.rows(t)
+    s = summaries.outcomes(summaries.session_confidence(told_in_context(spark, d), F.col("continuity")))
+    frames = direct_frames(spark, d).groupBy(*KEYS).agg(F.sort_array(F.collect_list("frame_id")).alias("frames"))
+    return reports.csv_rows(s, propagated(spark, d).select(*KEYS, "trace_confidence").join(frames, list(KEYS)))
+
+
+@query("r14_evidence_sections", f"""WITH {PROPAGATED}, {W16}, {DIRECT}, dx AS (SELECT di.stream, di.island, di.frame_id, CASE WHEN ev.event_id IS NULL THEN '' ELSE ' (' || app_name || ')' || CASE WHEN ev.event_id % 2 = 0 THEN ' - OCR: ' || format('{{:.1f}}%', confidence * 100) ELSE '' END END AS said FROM di LEFT JOIN ev ON ev.event_id = frame_id QUALIFY row_number() OVER (PARTITION BY di.stream, di.island ORDER BY frame_id) <= 5),
+dd AS (SELECT stream, island, string_agg('- `' || frame_id || '`' || said || chr(10), '' ORDER BY frame_id) AS md, string_agg('<li><code>' || frame_id || '</code>' || said || '</li>', '' ORDER BY frame_id) AS ht FROM dx GROUP BY 1, 2),
+nn AS (SELECT stream, island::BIGINT AS island, frame_id, rank, '(Score: ' || format('{{:.2f}}', score) || ', Reasons: ' || array_to_string(list_filter([CASE WHEN near > 0.5 THEN 'temporal_proximity_to_events' END, CASE WHEN app = own THEN 'application_context_match' END, CASE WHEN transition > 0.7 THEN 'significant_scene_transition' END, CASE WHEN list_contains(apps, app) THEN 'workflow_continuity' END], lambda x: x IS NOT NULL), ', ') || ')' AS met FROM rk WHERE rank <= 3),
+ng AS (SELECT stream, island, string_agg('- `' || frame_id || '` ' || met || chr(10), '' ORDER BY rank) AS md, string_agg('<li><code>' || frame_id || '</code> ' || met || '</li>', '' ORDER BY rank) AS ht FROM nn GROUP BY 1, 2),
+f AS (SELECT pr.stream, pr.island, unnest([struct_pack(form := 'markdown', text := '#### Evidence & Traceability' || chr(10) || chr(10) || '**Trace Confidence:** ' || format('{{:.1f}}%', trace_confidence * 100) || chr(10) || chr(10) || '**Direct Evidence Frames:**' || chr(10) || coalesce(dd.md, '') || chr(10) || CASE WHEN ng.md IS NULL THEN '' ELSE '**Temporally Correlated Frames:**' || chr(10) || ng.md || chr(10) END
+ || '**Confidence Analysis:**' || chr(10) || '- Frame Confidence: ' || format('{{:.1f}}%', frame_confidence * 100) || chr(10) || '- Event Confidence: ' || format('{{:.1f}}%', event_confidence * 100) || chr(10) || '- Temporal Consistency: ' || format('{{:.1f}}%', temporal * 100) || chr(10) || '- Evidence Completeness: ' || format('{{:.1f}}%', completeness * 100) || chr(10) || chr(10)),
+ struct_pack(form := 'html', text := '<div class="evidence"><h4>Evidence &amp; Traceability</h4><p><strong>Trace Confidence:</strong> <span class="confidence">' || format('{{:.1f}}%', trace_confidence * 100) || '</span></p><h5>Direct Evidence Frames</h5><ul>' || coalesce(dd.ht, '') || '</ul>' || CASE WHEN ng.ht IS NULL THEN '' ELSE '<h5>Temporally Correlated Frames</h5><ul>' || ng.ht || '</ul>' END || '</div>')]) AS s
+ FROM pr LEFT JOIN dd USING (stream, island) LEFT JOIN ng USING (stream, island)) SELECT stream, island, s.form AS form, s.text AS text FROM f""")
+def r14(spark, d):
+    return reports.evidence_sections(propagated(spark, d), direct_frames(spark, d), correlated(spark, d), KEYS)
 
 
 ESCAPED = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

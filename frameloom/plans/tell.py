@@ -110,8 +110,8 @@ FRAMED = "pf AS (SELECT event_id AS frame_id, stream, us, app_name AS app, CASE
 PROPAGATED = f"""{SESSIONS}, {CONTEXT}, {FRAMED}, ke AS (SELECT isl.* FROM isl JOIN se USING (stream, island) QUALIFY row_number() OVER (PARTITION BY stream, island ORDER BY {IMPORTANT} DESC, confidence DESC, event_id) <= 5),
 ee AS (SELECT k.stream, k.island, k.event_id, any_value(k.confidence) AS c, count(ocr) AS known, sum(ocr) AS ocr, count(DISTINCT app) AS apps, count(DISTINCT title) AS titled FROM (SELECT *, unnest([event_id, event_id + 1]) AS fid FROM ke) k LEFT JOIN pf ON pf.frame_id = fid GROUP BY 1, 2, 3),
 ec AS (SELECT *, 0.4 * 0.4 + 0.6 * c AS temporal, CASE WHEN known = 0 THEN 0 ELSE (CASE WHEN apps = 1 THEN 1 ELSE 0.5 END + CASE WHEN titled <= 2 THEN 1 ELSE 0.7 END) / 2 END::DOUBLE AS spatial FROM ee),
-pg AS (SELECT stream, island, count(*) AS n, avg(c) AS ec, sum(ocr) / sum(known) AS fc, sum(known)::BIGINT AS n_frames, avg(temporal) AS te, avg(spatial) AS sc FROM ec GROUP BY 1, 2),
-pr AS (SELECT se.stream, se.island::BIGINT AS island, n AS n_key_events, n_frames, round(ec, 6) AS event_confidence, round(fc, 6) AS frame_confidence, round(te, 6) AS temporal, round(sc, 6) AS spatial, round(n / n_events, 6) AS completeness, round(0.4 * ec + 0.3 * fc + 0.2 * te + 0.1 * sc, 6) AS confidence, {SURE} AS overall,
+pg AS (SELECT stream, island, count(*) AS n, avg(c) AS ec, sum(ocr) / sum(known) AS fc, sum(known)::BIGINT AS n_frames, sum(c) AS sure, sum(ocr) AS seen, avg(temporal) AS te, avg(spatial) AS sc FROM ec GROUP BY 1, 2),
+pr AS (SELECT se.stream, se.island::BIGINT AS island, n AS n_key_events, n_frames, round(ec, 6) AS event_confidence, round(fc, 6) AS frame_confidence, round(te, 6) AS temporal, round(sc, 6) AS spatial, round(n / n_events, 6) AS completeness, round(0.4 * ec + 0.3 * fc + 0.2 * te + 0.1 * sc, 6) AS confidence, {SURE} AS overall, round((0.1 * (0.4 * ec + 0.3 * fc + 0.2 * te + 0.1 * sc) + 0.3 * sure + 0.6 * seen) / (1 + n + n_frames), 12) AS trace_confidence,
  list_filter([CASE WHEN n >= 5 THEN 'sufficient_events +0.2' END, CASE WHEN n < 3 THEN 'insufficient_events -0.3' END, CASE WHEN te > 0.8 THEN 'high_temporal_consistency +0.15' END, CASE WHEN te < 0.5 THEN 'low_temporal_consistency -0.2' END, CASE WHEN seconds > 300 THEN 'substantial_session +0.1' END, CASE WHEN seconds < 60 THEN 'brief_session -0.1' END], lambda x: x IS NOT NULL) AS factors
  FROM se JOIN wf USING (stream, island) JOIN pg USING (stream, island))"""
 
@@ -197,9 +197,11 @@ def r15(spark, d):
 
 
 @query("a28_playbook_rollup", f"""WITH {SESSIONS}, {CONTEXT}, v AS (SELECT se.*, {CAME} AS outcomes, list_transform(titles, lambda t: 'Complete: ' || t) || ['Have ' || primary_app || ' installed and accessible'] || CASE WHEN session_type = 'form_filling' THEN ['Have required form data available'] ELSE [] END AS needs FROM se JOIN wf USING (stream, island)),
-r AS (SELECT stream, count(*) AS n_sessions, sum(n_events)::BIGINT AS n_events, sum(seconds) AS seconds, list_distinct(list(session_type)) AS types, list_sort(list_distinct(flatten(list(outcomes)))) AS outcomes, list_sort(list_distinct(flatten(list(needs)))) AS prerequisites FROM v GROUP BY 1)
-SELECT stream, n_sessions, n_events, round(seconds, 3) AS seconds, outcomes, prerequisites, CASE WHEN len(types) = 1 THEN CASE types[1] WHEN 'form_filling' THEN 'form_workflow' WHEN 'mixed' THEN 'general' ELSE types[1] END WHEN list_contains(types, 'form_filling') AND list_contains(types, 'data_entry') THEN 'form_workflow' WHEN list_contains(types, 'development') THEN 'development' ELSE 'general' END AS type,
- CASE WHEN n_events < 10 AND seconds < 300 THEN 'beginner' WHEN n_events < 25 AND n_events / (seconds / 60) < 2 THEN 'intermediate' ELSE 'advanced' END AS difficulty FROM r""")
+r AS (SELECT stream, count(*) AS n_sessions, sum(n_events)::BIGINT AS n_events, sum(seconds) AS seconds, arg_min(primary_app, (start_us, stream, island)) AS app, list_distinct(list(session_type)) AS types, list_sort(list_distinct(flatten(list(outcomes)))) AS outcomes, list_sort(list_distinct(flatten(list(needs)))) AS prerequisites FROM v GROUP BY 1),
+k AS (SELECT app, stream, n_sessions, n_events, round(seconds, 3) AS seconds, outcomes, prerequisites, CASE WHEN len(types) = 1 THEN CASE types[1] WHEN 'form_filling' THEN 'form_workflow' WHEN 'mixed' THEN 'general' ELSE types[1] END WHEN list_contains(types, 'form_filling') AND list_contains(types, 'data_entry') THEN 'form_workflow' WHEN list_contains(types, 'development') THEN 'development' ELSE 'general' END AS type,
+ CASE WHEN n_events < 10 AND seconds < 300 THEN 'beginner' WHEN n_events < 25 AND n_events / (seconds / 60) < 2 THEN 'intermediate' ELSE 'advanced' END AS difficulty FROM r)
+SELECT * EXCLUDE (app), CASE type WHEN 'form_workflow' THEN 'Form Completion Workflow in ' WHEN 'data_entry' THEN 'Data Entry Process in ' WHEN 'navigation' THEN 'Navigation Guide for ' WHEN 'research' THEN 'Research Workflow in ' WHEN 'communication' THEN 'Communication Process in ' WHEN 'development' THEN 'Development Workflow in ' ELSE 'General Workflow in ' END || app AS title,
+ 'This playbook recreates a ' || replace(type, '_', ' ') || ' workflow based on ' || n_sessions || CASE WHEN n_sessions = 1 THEN ' recorded session' ELSE ' recorded sessions' END || ' with ' || n_events || ' total actions. Follow these steps to reproduce the same workflow.' AS description FROM k""")
 def a28(spark, d):
     return contexts.playbook_rollup(told(spark, d), workflow(spark, d), KEYS).withColumn("seconds", F.round("seconds", 3))
 
@@ -302,10 +304,9 @@ def e39(spark, d):
     return operations.violations(A.table(spark, d, "customer"), "c_custkey", rules)
 
 
-@query("a26_rolling", f"WITH {EV} SELECT event_id, round(avg(round(confidence * 100)) OVER (PARTITION BY stream ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS rolling FROM ev")
+@query("a26_rolling", f"WITH {EV}, t AS (SELECT *, (event_id % 7)::BIGINT AS took FROM ev) SELECT event_id, round(avg(took) OVER l, 9) AS rolling, coalesce(CASE WHEN sum(took) OVER l > 0 THEN floor((2000000 // 240) * row_number() OVER w * 8 / sum(took) OVER l) END, 0)::BIGINT AS bitrate FROM t WINDOW w AS (PARTITION BY stream ORDER BY us, event_id), l AS (PARTITION BY stream ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def a26(spark, d):
-    whole = A.events(spark, d).withColumn("percent", F.round(F.col("confidence") * 100))
-    return operations.rolling(whole, "percent").select("event_id", F.round("rolling", 9).alias("rolling"))
+    return operations.encoder_metrics(A.events(spark, d).withColumn("took", F.col("event_id") % 7), "took").select("event_id", F.round("rolling", 9).alias("rolling"), "bitrate")
 
 
 @query("m19_segments", f"WITH {EV} SELECT stream, epoch_us(time_bucket(INTERVAL '120 seconds', ts)) AS start, count(*) AS n, 'segments/' || strftime(time_bucket(INTERVAL '120 seconds', ts), '%Y-%m-%d/%H-%M-%S') || '.mp4' AS path FROM ev GROUP BY ALL")

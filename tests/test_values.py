@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import geometry, text
-from frameloom.operators import assemblies, contexts, detection, evidence, joins, operations, privacy, sequences, settings, summaries
+from frameloom.operators import assemblies, contexts, detection, evidence, joins, operations, privacy, reports, sequences, settings, summaries
 
 EVENT = "event_id long, stream long, us long, type string, target string, confidence double, app_name string, value string"
 KEYS = ("stream", "island")
@@ -229,3 +229,34 @@ def test_summaries_of_a_range(spark):
     got = contexts.summarize(e, none, 0, 60 * S).collect()
     assert [(r["session_type"], r["primary_type"], r["n_events"], r["phase"], r["continuity"], r["part_of_workflow"], r["outcomes"]) for r in got] == [("data_entry", "data_entry", 3, "data_entry", 0.0, False, ["Data entered in 3 fields"])]
     assert contexts.summarize(e, none, 1, 60 * S).count() == 0 == contexts.summarize(e, none, 0, 60 * S - 1).count()
+
+
+def test_evidence_section_of_a_report(spark):
+    p = spark.createDataFrame([(1, 1, 0.4567, 0.8125, 0.775, 0.5, 1.0)], "stream long, island long, trace_confidence double, frame_confidence double, event_confidence double, temporal double, completeness double")
+    direct = spark.createDataFrame([(1, 1, k, a, o) for k, a, o in ((7, "Safari", 0.9), (3, None, None), (5, "Mail", None), (9, "x", 0.1), (8, "y", 0.1), (10, "late", 0.1))], "stream long, island long, frame_id long, app_name string, ocr double")
+    near = spark.createDataFrame([(1, 1, 20 + k, 0.9 - k / 10, ["application_context_match", "workflow_continuity"], k) for k in (1, 2, 3, 4)], "stream long, island long, frame_id long, score double, reasons array<string>, rank int")
+    text = {r["form"]: r["text"] for r in reports.evidence_sections(p, direct, near, KEYS).collect()}
+    assert text["markdown"] == (
+        "#### Evidence & Traceability\n\n**Trace Confidence:** 45.7%\n\n**Direct Evidence Frames:**\n- `3`\n- `5` (Mail)\n- `7` (Safari) - OCR: 90.0%\n- `8` (y) - OCR: 10.0%\n- `9` (x) - OCR: 10.0%\n\n"
+        "**Temporally Correlated Frames:**\n- `21` (Score: 0.80, Reasons: application_context_match, workflow_continuity)\n- `22` (Score: 0.70, Reasons: application_context_match, workflow_continuity)\n- `23` (Score: 0.60, Reasons: application_context_match, workflow_continuity)\n\n"
+        "**Confidence Analysis:**\n- Frame Confidence: 81.2%\n- Event Confidence: 77.5%\n- Temporal Consistency: 50.0%\n- Evidence Completeness: 100.0%\n\n"
+    )
+    assert text["html"].count("<li>") == 8 and "45.7%</span>" in text["html"]
+    alone = {r["form"]: r["text"] for r in reports.evidence_sections(p, direct.limit(0), near.limit(0), KEYS).collect()}
+    assert "Correlated" not in alone["markdown"] and "<ul></ul></div>" in alone["html"]
+
+
+def test_csv_rows_of_a_report(spark):
+    s = summaries.outcomes(sequences.sessions(sequences.limited(events(spark, SESSIONS["form_filling"]), 300 * S))).withColumn("confidence", F.lit(0.71251))
+    plain = reports.csv_rows(s.drop("confidence", "outcomes")).first().asDict()
+    assert plain == {"session_id": "1-1", "session_type": "form_filling", "start_time": "1970-01-01 00:00:00", "end_time": "1970-01-01 00:01:00", "duration_seconds": "60.0", "event_count": "3", "primary_application": "Safari"}
+    evidence = spark.createDataFrame([(1, 1, [4, 5], 0.5)], "stream long, island long, frames array<long>, trace_confidence double")
+    full = reports.csv_rows(s, evidence).first().asDict()
+    assert (full["confidence_score"], full["outcomes"], full["evidence_frames"], full["evidence_trace_confidence"]) == ("0.713", "Form submission completed; Form filling process completed", "4; 5", "0.500")
+
+
+def test_encoder_and_engine_metrics(spark):
+    s = spark.createDataFrame([(1, k, k, t) for k, t in enumerate([0, 2, 4])], "stream long, us long, event_id long, took long")
+    assert [(r["rolling"], r["bitrate"]) for r in operations.encoder_metrics(s, "took", 24_000, 30, 2).orderBy("us").collect()] == [(0.0, 0), (1.0, 800), (3.0, 400)]
+    r = operations.engine_metrics(spark.createDataFrame([(1, "vision", True, 1.0, False), (1, "vision", False, 3.0, False), (1, "tesseract", True, 5.0, True), (2, "vision", True, 1.0, False)], "stream long, engine string, ok boolean, seconds double, fallback boolean")).orderBy("stream").collect()
+    assert tuple(r[0])[1:] == (0.5, 1.0, 2.0, 5.0, 0.333333, 3) and tuple(r[1])[1:] == (1.0, 0.0, 1.0, 0.0, 0.0, 1)
