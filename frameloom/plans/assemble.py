@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import images
 from ..operators import assemblies, evidence, operations, plugins, privacy, sequences, settings, stories, summaries
 from ..sources import adapters as A
-from .detect import MATCHES
+from .detect import MASKED, MATCHES
 from .more import linked
 from .registry import query
 from .sequence import GROUPED, HOUR, PIXELS, SESSIONS, grouped
@@ -188,7 +188,7 @@ def pi8(spark, d):
     return privacy.retained(e, e.agg(F.max("us")).first()[0], days=10).select("event_id")
 
 
-@query("pi9_preview")
+@query("pi9_preview", f"{MASKED} SELECT stream, frame, idx, match, hidden AS masked FROM ke")
 def pi9(spark, d):
     return privacy.preview(privacy.matches(A.regions(spark, d))).select("stream", "frame", "idx", "match", "masked")
 

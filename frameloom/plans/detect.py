@@ -104,7 +104,20 @@ def pi1_ip(spark, d):
     return m.select("frame", "idx", F.col("m.match").alias("ip"))
 
 
-@query("pi3_masked")
+USER, DOMAIN = "split_part(match, '@', 1)", "split_part(match, '@', -1)"
+#: A match with its middle hidden, as kinds have it.
+MASK = f"""CASE WHEN kind = 'email' THEN CASE WHEN length({USER}) > 2 THEN {USER}[1] || repeat('*', length({USER}) - 2) || {USER}[-1] ELSE repeat('*', length({USER})) END || '@' || CASE WHEN contains({DOMAIN}, '.') THEN {DOMAIN}[1] || '***.' || split_part({DOMAIN}, '.', -1) ELSE '***' END
+ WHEN kind IN ('phone', 'credit_card') THEN CASE WHEN length({DIGITS}) >= 4 THEN repeat('*', length({DIGITS}) - 4) || right({DIGITS}, 4) ELSE repeat('*', length(match)) END
+ ELSE left(match, greatest(1, floor(length(match) * 0.2))::INT) || repeat('*', greatest(0, length(match) - 2 * greatest(1, floor(length(match) * 0.2)))::INT) || right(match, greatest(1, floor(length(match) * 0.2))::INT) END"""
+KINDS = "[" + ", ".join(f"'{k}'" for k in privacy.PATTERNS) + "]"
+#: Of overlapping matches the first stays, of those that begin together the longest; what lies between is kept.
+MASKED = f"""WITH RECURSIVE {MATCHES}, mo AS (SELECT *, start + length(match) AS stop, row_number() OVER (PARTITION BY stream, frame, idx ORDER BY start, length(match) DESC, list_position({KINDS}, kind)) AS k FROM ma),
+st AS (SELECT stream, frame, idx, k, start, stop, match, kind, true AS stays, stop AS reached FROM mo WHERE k = 1 UNION ALL SELECT m.stream, m.frame, m.idx, m.k, m.start, m.stop, m.match, m.kind, m.start >= s.reached, CASE WHEN m.start >= s.reached THEN m.stop ELSE s.reached END FROM st s JOIN mo m ON m.stream = s.stream AND m.frame = s.frame AND m.idx = s.idx AND m.k = s.k + 1),
+ke AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY stream, frame, idx ORDER BY k), 0) AS since, {MASK} AS hidden FROM st WHERE stays),
+pt AS (SELECT ke.stream, ke.frame, ke.idx, any_value(text) AS text, max(stop) AS last, string_agg(substring(text, since::INT + 1, (start - since)::INT) || hidden, '' ORDER BY k) AS said FROM ke JOIN rg ON rg.stream = ke.stream AND rg.frame = ke.frame AND rg.idx = ke.idx GROUP BY 1, 2, 3)"""
+
+
+@query("pi3_masked", f"{MASKED} SELECT stream, frame, idx, said || substring(text, last::INT + 1) AS masked FROM pt")
 def pi3(spark, d):
     m = privacy.mask_text(matched(spark, d).where(F.size("matches") > 0))
     return m.select("stream", "frame", "idx", "masked")

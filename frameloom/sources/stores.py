@@ -31,6 +31,21 @@ def write_store(df: DataFrame, path: str, store: str, by: str | None = None) ->
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def write_for_lookups(df: DataFrame, path: str, by: str, rows_per_file: int = 1_000_000, group_bytes: int = 16 << 20, distinct: int = 100_000) -> int:
+    """Append rows laid out for point lookups by a column; the number of files.
+
+    Rows are dealt out by ranges of the column and sorted by it, so a value lies in one file or two and there in few row
+    groups, which their least and largest values tell; a Bloom filter of the column in each row group (for about `distinct`
+    values) spares the groups whose range holds the value but that don't have it. A lookup reads what holds its value, how
+    large the store may be.
+    """
+    files = max(1, -(-df.count() // rows_per_file))
+    w = df.repartitionByRange(files, by).sortWithinPartitions(by).write.mode("append").option("compression", "snappy").option("maxRecordsPerFile", rows_per_file)
+    w = w.option("parquet.block.size", group_bytes).option(f"parquet.bloom.filter.enabled#{by}", True).option(f"parquet.bloom.filter.expected.ndv#{by}", distinct)
+    w.parquet(path)
+    return files
+
+
 def read_store(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A store's rows; none if the folder is missing or has no file yet. Nanosecond times are read as longs."""
     try:

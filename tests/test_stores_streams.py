@@ -243,3 +243,27 @@ def test_temporal_patterns_hold_only_the_last_frames():
     # a frame that goes on in the next batch doesn't count as past of itself
     assert rest[0].column("share").to_pylist() == [None, None] and rest[1].column("share").to_pylist() == [1.0, 1.0]
     assert sum(b.num_rows for b in rest) == 98
+
+
+def test_a_lookup_reads_few_row_groups_of_a_store_of_any_size(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(200_000).select(F.concat(F.lit("frame_"), F.lpad((F.col("id") % 5000).cast("string"), 5, "0")).alias("frame_id"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    read = []
+    for name, n in (("small", 20_000), ("large", 200_000)):
+        path = f"{tmp_path}/{name}"
+        assert stores.write_for_lookups(rows.where(F.col("k") < n), path, "frame_id", rows_per_file=20_000, group_bytes=128 << 10) == n // 20_000
+        groups = [pq.ParquetFile(f).metadata for f in tmp_path.joinpath(name).glob("*.parquet")]
+        stats = [m.row_group(g).column(0).statistics for m in groups for g in range(m.num_row_groups)]
+        holding = sum(s.min <= "frame_02500" <= s.max for s in stats)
+        assert len(stats) >= 3 * n // 20_000 and holding <= 2
+        found = spark.read.parquet(path).where("frame_id = 'frame_02500'")
+        assert found.count() == n // 5000
+        # a value inside a group's range that isn't in the store: the Bloom filter spares its rows
+        scanned = spark.read.parquet(path).where("frame_id = 'frame_02500x'").select("k")
+        assert scanned.collect() == []
+        plan = scanned._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        read.append(leaf.metrics().apply("numOutputRows").value())
+        assert "EqualTo(frame_id,frame_02500x)" in plan.toString()
+    assert read == [0, 0]
