@@ -195,7 +195,7 @@ def e21(spark, d):
 @query("e25_e27_similarity", f"""WITH {EV}, p AS (SELECT a.event_id, a.target AS x, b.target AS y, a.type AS s, b.type AS t FROM ev a JOIN ev b ON b.event_id = a.event_id + 1),
 w AS (SELECT *, regexp_split_to_array(lower(x), '[^a-z0-9]') AS u, regexp_split_to_array(lower(y), '[^a-z0-9]') AS v FROM p)
 SELECT event_id, round(CASE WHEN x = y THEN 1.0 ELSE len(list_intersect(u, v))::DOUBLE / len(list_distinct(list_concat(u, v))) END, 6) AS jaccard,
-CASE WHEN s = t THEN 1.0 WHEN (s || '>' || t) IN ('field_change>data_entry','data_entry>field_change','field_change>form_submission','form_submission>field_change','data_entry>form_submission','form_submission>data_entry','navigation>click','click>navigation','click>form_submission','form_submission>click','error_display>modal_appearance','modal_appearance>error_display') THEN 0.7 ELSE 0.0 END::DOUBLE AS related FROM w""")
+CASE WHEN s = t THEN 1.0 WHEN (s || '>' || t) IN ('field_change>data_entry','data_entry>field_change','field_change>form_submission','form_submission>field_change','data_entry>form_submission','form_submission>data_entry','navigation>app_switch','app_switch>navigation','navigation>click','click>navigation','error_display>modal_appearance','modal_appearance>error_display','click>modal_appearance','modal_appearance>click') THEN 0.7 ELSE 0.0 END::DOUBLE AS related FROM w""")
 def e25(spark, d):
     e = A.events(spark, d)
     a, b = e.select("event_id", F.col("target").alias("x"), F.col("type").alias("s")), e.select((F.col("event_id") - 1).alias("event_id"), F.col("target").alias("y"), F.col("type").alias("t"))
