@@ -84,15 +84,19 @@ def correlation_events(sources: DataFrame, screen: DataFrame) -> DataFrame:
     """
     out = ("stream", "us", "event_id", "type", "confidence", "x", "y")
     of = lambda i: F.create_map(*[F.lit(v) for k, s in STATES.items() if s[i] is not None for v in (k, s[i])])[F.col("source")]
-    states = sources.where(F.col("source").isin(*STATES)).withColumns({"type": of(0), "confidence": F.coalesce(of(1), F.col("confidence"))})
     named = F.create_map(*[F.lit(v) for p in DETECTED.items() for v in p])
-    detected = sources.withColumns({"event_id": F.concat("event_id", F.lit("-detected")), "type": F.coalesce(named[F.col("type")], F.lit("screen_change")), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
+    none = F.lit(None).cast("double")
+    heard = lambda i, t, c, x, y: F.struct(i.alias("event_id"), t.alias("type"), c.alias("confidence"), x.alias("x"), y.alias("y"))
+    state = F.when(F.col("source").isin(*STATES), heard(F.col("event_id"), of(0), F.coalesce(of(1), F.col("confidence")), F.col("x"), F.col("y")))
+    detected = heard(F.concat("event_id", F.lit("-detected")), F.coalesce(named[F.col("type")], F.lit("screen_change")), F.col("confidence"), none, none)
+    # both from one reading of the sources
+    told = sources.select("stream", "us", F.explode(F.array_compact(F.array(state, detected))).alias("e")).select("stream", "us", "e.*")
     place = lambda c: F.col("metadata")[c].try_cast("double")
     both = place("roi_x").isNotNull() & place("roi_y").isNotNull()
     seen = screen.select(
         "stream", "us", F.concat(F.lit("screen-"), F.col("event_id").cast("string")).alias("event_id"), F.coalesce(named[F.col("type")], F.lit("screen_change")).alias("type"), F.col("confidence").cast("double").alias("confidence"),
         F.when(both, place("roi_x")).alias("x"), F.when(both, place("roi_y")).alias("y"))
-    return states.select(*out).unionByName(detected.select(*out)).unionByName(seen)
+    return told.select(*out).unionByName(seen)
 
 
 def correlations(events: DataFrame, horizon_us: int, radius: float = 50.0) -> DataFrame:

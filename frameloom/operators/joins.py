@@ -29,7 +29,8 @@ def band_join(left: DataFrame, right: DataFrame, on: str, at: str, width: int, k
 
 def temporal_links(events: DataFrame, horizon_us: int) -> DataFrame:
     """Directed pairs of correlated types within the horizon, with confidence; those under 0.6 are left out."""
-    j = band_join(events, events, "event_id", "us", horizon_us)
+    first, second = (F.col("type").isin(*{p[k] for p in TEMPORAL}) for k in (0, 1))
+    j = band_join(events.where(first), events.where(second), "event_id", "us", horizon_us)
     j = j.where((F.col("a_us") < F.col("b_us")) | (F.col("a_event_id") < F.col("b_event_id")))
     pair = F.concat("a_type", F.lit(">"), "b_type").isin([f"{a}>{b}" for a, b in TEMPORAL])
     sure = 0.6 * (1 - (F.col("b_us") - F.col("a_us")) / horizon_us) + 0.4 * (F.col("a_confidence") + F.col("b_confidence")) / 2

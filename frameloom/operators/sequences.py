@@ -97,11 +97,15 @@ def islands(events: DataFrame, gap_us: int, most: int | None = None, order: tupl
 
 
 def limited(events: DataFrame, gap_us: int, most: int = 50) -> DataFrame:
-    """events with island: per stream, a new one after a gap of more than gap_us, and after `most` events."""
+    """events with island: per stream, a new one after a gap of more than gap_us, and after `most` events. All from windows of
+    one order, so the rows are sorted once."""
     w = Window.partitionBy("stream").orderBy("us", "event_id")
-    e = islands(events, gap_us, most)
-    fresh = F.when(F.struct("island", "chunk") == F.lag(F.struct("island", "chunk")).over(w), 0).otherwise(1)
-    return e.withColumn("__new", fresh).withColumn("island", F.sum("__new").over(w)).drop("__new", "chunk")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce(F.col("us") - F.lag("us").over(w) > gap_us, F.lit(True))
+    e = events.select("*", F.row_number().over(w).alias("__n"), fresh.alias("__new"))
+    e = e.withColumn("__first", F.max(F.when(F.col("__new"), F.col("__n"))).over(so_far))
+    opens = F.when((F.col("__n") - F.col("__first")) % most == 0, 1).otherwise(0)
+    return e.withColumn("island", F.sum(opens).over(so_far)).drop("__n", "__new", "__first")
 
 
 def context_split(events: DataFrame, gap_us: int, threshold: float = 0.7, most: int | None = None) -> DataFrame:

@@ -131,7 +131,9 @@ def m12_propagation(spark, d):
 
 @query("a13_evidence", f"WITH {PROPAGATED} SELECT stream, island, event_confidence, frame_confidence, temporal, spatial, completeness, confidence FROM pr")
 def a13(spark, d):
-    return propagated(spark, d).select(*KEYS, "event_confidence", "frame_confidence", "temporal", "spatial", "completeness", "confidence")
+    key = summaries.key_events(grouped(spark, d), KEYS).withColumn("evidence_frames", F.array(F.col("event_id"), F.col("event_id") + 1))
+    p = contexts.propagation(told(spark, d), key, contexts.frame_confidence(evidence_frames(spark, d)), KEYS, F.lit(0.0))
+    return p.select(*KEYS, "event_confidence", "frame_confidence", "temporal", "spatial", "completeness", "confidence")
 
 
 @query("m12_frame_confidence", f"""WITH {EV}, {FRAMED}, n AS (SELECT *, count(*) OVER (PARTITION BY stream ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND 21600000000 FOLLOWING) - 1 AS others, count(*) OVER (PARTITION BY stream, app ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND 21600000000 FOLLOWING) - 1 AS same FROM pf)
