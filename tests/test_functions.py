@@ -149,3 +149,28 @@ def test_stacked_images_are_the_columns(spark):
     assert np.allclose([g["entropy"] for g in got], images.stacked_entropy(x)) and np.allclose([g["ssim"] for g in got], images.stacked_ssim(x.astype(float), x[[-1, 0, 1, 2, 3, 4]].astype(float)))
     large = np.kron(x[0].reshape(8, 8), np.ones((8, 8))).reshape(1, -1)
     assert images.stacked_hash(large)[0] == images.stacked_hash(x[:1].astype(float))[0]
+
+
+def test_edit_distances_of_long_texts_take_no_cell_by_cell(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            was, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+        return row[-1]
+
+    make = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for k in range(300):
+        letters = ("ab", "aé漢😀 ")[k % 2]
+        a, b = make(rng.randrange(60), letters), make(rng.randrange(60), letters)
+        assert T.edit_distance(a, b) == plain(a, b)
+    a, b = make(40_000, "abcd"), make(40_000, "abcd")
+    start = time.time()
+    assert 0 < one(spark, T.similarity(F.col("a"), F.col("b")), a=a, b=b) < 1
+    assert time.time() - start < 15  # cell by cell: 1.6e9 cells, over 30 s
