@@ -110,10 +110,24 @@ def segments(samples: DataFrame, seconds: int = 120) -> DataFrame:
     return g.withColumn("path", F.concat(F.lit("segments/"), F.date_format("start", "yyyy-MM-dd"), F.lit("/"), F.date_format("start", "HH-mm-ss"), F.lit(".mp4")))
 
 
-def latest_files(files: DataFrame, most: int = 5) -> DataFrame:
-    """The newest files of each kind; the others may go."""
-    w = Window.partitionBy("data_type").orderBy(F.desc("mtime"), "path")
-    return files.withColumn("rank", F.row_number().over(w)).withColumn("kept", F.col("rank") <= most)
+def latest_files(files: DataFrame, most: int = 5, shares: int = 64) -> DataFrame:
+    """files with kept: whether a file is among the newest of its kind, by path where times are equal; the others may go.
+
+    Files of a kind are dealt to shares by their paths. The newest time of each share is a file's, so a file older than the
+    newest of `most` shares isn't kept; only the few others are sorted. Times at which that happens are one row a kind.
+    """
+    share = F.pmod(F.xxhash64("path"), F.lit(shares))
+    newest = files.where("mtime is not null").groupBy("data_type", share.alias("share")).agg(F.max("mtime").alias("mtime"))
+    bound = newest.groupBy(F.col("data_type").alias("__kind")).agg(F.get(F.sort_array(F.collect_list("mtime"), False), F.lit(most - 1)).alias("__bound"))
+    f = files.join(F.broadcast(bound), F.col("data_type").eqNullSafe(F.col("__kind")), "left")
+    old = F.col("__bound").isNotNull() & ~F.coalesce(F.col("mtime") >= F.col("__bound"), F.lit(False))
+    # what may be kept is ranked within the shares first, then what is left of them
+    w = lambda *by: F.row_number().over(Window.partitionBy("data_type", *by).orderBy(F.desc("mtime"), "path"))
+    ranked = f.where(~old).withColumn("__share", share).withColumn("__first", w("__share"))
+    out = [*files.columns]
+    near = ranked.where(F.col("__first") <= most).withColumn("kept", w() <= most).select(*out, "kept")
+    rest = ranked.where(F.col("__first") > most).unionByName(f.where(old), allowMissingColumns=True)
+    return near.unionByName(rest.select(*out, F.lit(False).alias("kept")))
 
 
 #: How far over its limit a load is unhealthy, free disk in MB, and log sizes and files.

@@ -126,3 +126,22 @@ def test_trails_of_any_batches_are_measured_by_one_sort(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("n", [3, 40, 3000])
+def test_latest_files_of_a_large_kind_are_not_sorted_whole(spark, n):
+    from frameloom.operators import operations
+
+    rng = random.Random(n)
+    # many files of few times, equal rows, kinds and times unknown
+    data = [(rng.choice(["raw", "raw", "raw", "ocr", None]), rng.choice([None, 1, 2, 3, 90, 91]) if k % 2 else k, f"p{rng.randrange(n // 2 + 1):04d}") for k in range(n)]
+    files = spark.createDataFrame(data, "data_type string, mtime long, path string").repartition(3)
+    w = Window.partitionBy("data_type").orderBy(F.desc("mtime"), "path")
+    want = files.withColumn("kept", F.row_number().over(w) <= 5)
+    got = operations.latest_files(files)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    if n == 3000:
+        alone = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [row_number()" in line and "__share" not in line]
+        assert alone and got.where("kept").count() == 15
+        # the window over a whole kind reads what is left of its shares
+        assert "__first" in got._jdf.queryExecution().optimizedPlan().toString()
