@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assemblies, joins, sequences
+from ..operators import assemblies, joins
 from ..sources import adapters as A
 from .registry import query
 from .sequence import HOUR, TRAILS
@@ -101,10 +101,4 @@ def m5(spark, d):
  UNION ALL SELECT 'correlation_events', 1000, stream::VARCHAR, us, event_id FROM ce UNION ALL SELECT 'urls', 100, regexp_extract(url, '^https?://([^/?#]+)', 1), page_id, page_id::VARCHAR FROM pages),
 k AS (SELECT ring, most, stream, id, (row_number() OVER (PARTITION BY ring, stream ORDER BY t DESC, id DESC))::INT AS rank FROM r) SELECT ring, stream, id, rank FROM k WHERE rank <= most""")
 def w12_rings(spark, d):
-    s, v = sources(spark, d), A.visits(spark, d).withColumn("stream", F.col("host"))
-    of = lambda source: s.where(F.col("source") == source)
-    rings = [sequences.ring(of("movement"), "positions", "us", "event_id"), sequences.ring(of("click"), "clicks", "us", "event_id"), sequences.ring(of("focus"), "focus", "us", "event_id"), sequences.ring(heard(spark, d), "correlation_events", "us", "event_id"), sequences.ring(v, "urls", "page_id", "page_id")]
-    out = rings[0]
-    for r in rings[1:]:
-        out = out.unionByName(r)
-    return out
+    return assemblies.rings(sources(spark, d), screen(spark, d), A.visits(spark, d).withColumn("stream", F.col("host")))

@@ -145,3 +145,21 @@ def test_latest_files_of_a_large_kind_are_not_sorted_whole(spark, n):
         assert alone and got.where("kept").count() == 15
         # the window over a whole kind reads what is left of its shares
         assert "__first" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_correlations_and_rings_read_their_sources_once(spark):
+    rng = random.Random(6)
+    kinds = ("movement", "click", "window", "focus", "trail")
+    data = [(k % 3, 1000 * rng.randrange(400), rng.choice(kinds), f"s-{k}", "navigation", "t", 0.9, float(k % 40), 3.0) for k in range(4000)]
+    s = spark.createDataFrame(data, "stream long, us long, source string, event_id string, type string, target string, confidence double, x double, y double")
+    screen = spark.createDataFrame([(k % 3, 500 * k, k, "error_display", 0.8, {"roi_x": "1", "roi_y": "2"}) for k in range(50)], "stream long, us long, event_id long, type string, confidence double, metadata map<string,string>")
+    visits = spark.createDataFrame([(f"h{k % 2}", k) for k in range(230)], "stream string, page_id long")
+    heard = assemblies.correlation_events(s, screen)
+    scans_of = lambda df: df._jdf.queryExecution().analyzed().toString().count("LogicalRDD")
+    found = assemblies.correlations(heard, 50_000)
+    assert scans_of(found) == 0 and found.count() > 0
+    of = lambda source: s.where(F.col("source") == source)
+    want = [sequences.ring(of("movement"), "positions", "us", "event_id"), sequences.ring(of("click"), "clicks", "us", "event_id"), sequences.ring(of("focus"), "focus", "us", "event_id"), sequences.ring(heard, "correlation_events", "us", "event_id"), sequences.ring(visits, "urls", "page_id", "page_id")]
+    got = assemblies.rings(s, screen, visits)
+    assert scans_of(got) == 3
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for df in want for r in df.collect())
