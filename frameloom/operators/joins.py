@@ -106,10 +106,13 @@ def with_previous_frame(regions: DataFrame, least: float = 0.7) -> DataFrame:
     return r.join(numbered, ["stream", "frame"])
 
 
-def region_matches(numbered: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each region and the region of the frame before with the best IoU over `least`, the first of equals."""
+def region_matches(numbered: DataFrame, least: float = 0.3, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """Each region and the region of the frame before with the best IoU over `least`, the first of equals; or its keys and
+    b_idx with only the carried columns."""
     before = numbered.withColumn("seq", F.col("seq") + 1)
     o = overlaps(numbered, before, ("stream", "seq")).where(F.col("iou") > least)
+    if carried:
+        o = o.select("a_stream", "a_seq", "a_idx", "b_idx", "iou", *carried)
     best = Window.partitionBy("a_stream", "a_seq", "a_idx").orderBy(F.desc("iou"), "b_idx")
     return o.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
@@ -124,19 +127,24 @@ def new_regions(numbered: DataFrame, least: float = 0.3) -> DataFrame:
 def delta(numbered: DataFrame) -> DataFrame:
     """What changed from frame to frame: modified regions, added ones, and removed ones (in the frame that lacks them).
 
-    Each region stands once as one of its own frame and once as one before the next; a match marks one of each. So regions
-    are matched once, and a grouping by region tells the rest.
+    A match marks its region as met and the one of the frame before as found again. So regions are matched once, and one
+    group a region, with its marks as bits, tells the rest. Whether texts differ is told before matches are ranked, so that
+    no text is sorted with them.
     """
-    key = ["stream", "seq", "idx", "now"]
-    as_either = lambda now, seq, idx, met, changed: F.struct(seq.alias("seq"), idx.alias("idx"), F.lit(now).alias("now"), F.lit(met).alias("met"), changed.alias("changed"))
-    no = F.lit(False)
-    own = numbered.select("stream", F.explode(F.array(as_either(True, F.col("seq"), F.col("idx"), False, no), as_either(False, F.col("seq") + 1, F.col("idx"), False, no))).alias("r"))
-    m, differs = region_matches(numbered), F.col("a_text") != F.col("b_text")
-    met = m.select(F.col("a_stream").alias("stream"), F.explode(F.array(as_either(True, F.col("a_seq"), F.col("a_idx"), True, differs), as_either(False, F.col("a_seq"), F.col("b_idx"), True, no))).alias("r"))
-    g = own.unionByName(met).select("stream", "r.*").groupBy(*key).agg(F.max("met").alias("met"), F.max("changed").alias("changed"))
+    met, changed, again = 1, 2, 4
+    m = region_matches(numbered, carried=(F.when(F.col("a_text") != F.col("b_text"), met | changed).otherwise(met).alias("mark"),))
+    marks = m.select(F.col("a_stream").alias("stream"), F.explode(F.array(F.struct(F.col("a_seq").alias("seq"), F.col("a_idx").alias("idx"), "mark"), F.struct((F.col("a_seq") - 1).alias("seq"), F.col("b_idx").alias("idx"), F.lit(again).alias("mark")))).alias("r"))
+    # regions are dealt out before they are grouped, into a fixed number of parts: their rows are so short that they would be put
+    # together in few tasks
+    parts = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = numbered.select("stream", "seq", "idx", F.lit(0).alias("mark")).unionByName(marks.select("stream", "r.*")).repartition(parts, "stream", "seq", "idx")
+    g = both.groupBy("stream", "seq", "idx").agg(F.bit_or("mark").alias("mark"))
     last = numbered.groupBy("stream").agg(F.max("seq").alias("last"))
-    change = F.when(F.col("now") & F.col("changed"), "modified").when(F.col("now") & ~F.col("met") & (F.col("seq") > 1), "added").when(~F.col("now") & ~F.col("met") & (F.col("seq") <= F.col("last")), "removed")
-    return g.join(last, "stream").withColumn("change", change).where("change is not null").select("stream", "seq", "idx", "change")
+    has = lambda bit: F.col("mark").bitwiseAND(bit) != 0
+    tells = lambda test, seq, change: F.when(test, F.struct(seq.alias("seq"), F.lit(change).alias("change")))
+    seq = F.col("seq")
+    told = F.array_compact(F.array(tells(has(changed), seq, "modified"), tells(~has(met) & (seq > 1), seq, "added"), tells(~has(again) & (seq < F.col("last")), seq + 1, "removed")))
+    return g.join(last, "stream").select("stream", "idx", F.explode(told).alias("r")).select("stream", "r.seq", "idx", "r.change")
 
 
 def label_values(regions: DataFrame, is_label: Column, radius: float = 200.0) -> DataFrame:

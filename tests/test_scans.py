@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameloom.operators import assemblies, kernels, scans, sequences
+from frameloom.operators import assemblies, joins, kernels, scans, sequences
 
 KEYS = ("stream", "island")
 
@@ -163,3 +163,34 @@ def test_correlations_and_rings_read_their_sources_once(spark):
     got = assemblies.rings(s, screen, visits)
     assert scans_of(got) == 3
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for df in want for r in df.collect())
+
+
+def test_changes_between_frames_sort_no_texts_and_group_a_region_once(spark):
+    import re
+
+    rng = random.Random(2)
+    data = [(s, f, i, rng.choice(["x", "y"]), 0.9, float(rng.choice([0, 5, 60])), float(rng.choice([0, 40])), 20.0, 10.0) for s in ("a", None) for f in range(1, 6) for i in range(rng.randrange(1, 5))]
+    n = spark.createDataFrame(data, "stream string, seq int, idx long, text string, confidence double, x double, y double, w double, h double")
+    want = set()
+
+    def iou(p, q):
+        common = max(0, min(p[5], q[5]) + 20 - max(p[5], q[5])) * max(0, min(p[6], q[6]) + 10 - max(p[6], q[6]))
+        return common / (400 - common)
+
+    own = [d for d in data if d[0] == "a"]
+    again = set()
+    for d in own:
+        near = sorted((-iou(d, q), q[2], q[3]) for q in own if q[1] == d[1] - 1 and iou(d, q) > 0.3)
+        if near:
+            again.add((d[1] - 1, near[0][1]))
+        if near and near[0][2] != d[3]:
+            want.add(("a", d[1], d[2], "modified"))
+        if not near and d[1] > 1:
+            want.add(("a", d[1], d[2], "added"))
+    want |= {("a", d[1] + 1, d[2], "removed") for d in own if d[1] < max(x[1] for x in own) and (d[1], d[2]) not in again}
+    got = joins.delta(n)
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [row_number()") :]
+    assert "text" not in re.search(r"Project \[.*", below)[0].split("mark")[-1]
+    assert "bit_or" in plan and "RepartitionByExpression [stream" in plan
