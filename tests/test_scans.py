@@ -194,3 +194,9 @@ def test_changes_between_frames_sort_no_texts_and_group_a_region_once(spark):
     below = plan[plan.index("Window [row_number()") :]
     assert "text" not in re.search(r"Project \[.*", below)[0].split("mark")[-1]
     assert "bit_or" in plan and "RepartitionByExpression [stream" in plan
+
+
+def test_related_sets_meet_once_and_are_not_counted_together(spark):
+    g = spark.createDataFrame([(1, i, t, "A") for i in range(30) for t in "abcdef"[: 1 + i % 6]], "stream long, island long, type string, app_name string")
+    plan = assemblies.related_sessions(g, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [" in line and "a_words" in line and "b_words" in line for line in plan.split("\n"))
