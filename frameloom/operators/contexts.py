@@ -112,8 +112,9 @@ def propagation(sessions: DataFrame, key_events: DataFrame, frames: DataFrame, k
 
     Each level is an aggregate of the one below: frames to their events, events to their summary. A summary's is 0.4 of its
     key events' mean, 0.3 of their frames', 0.2 of temporal and 0.1 of spatial consistency. completeness: key events of all.
-    factors: (name, impact) of what speaks for or against it. trace_confidence: of the walk from the summary over its key
-    events to their frames, where the summary counts 0.1, an event 0.3 and a frame 0.6, per step.
+    factors: (name, impact) of what speaks for or against it; at their bounds temporal consistency counts to 12 places, so
+    that the order of its sum doesn't decide. trace_confidence: of the walk from the summary over its key events to their
+    frames, where the summary counts 0.1, an event 0.3 and a frame 0.6, per step.
     """
     g = event_confidence(key_events, frames, keys).groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("confidence").alias("event_confidence"), (F.sum("ocr") / F.sum("known")).alias("frame_confidence"), F.sum("known").alias("n_frames"), F.sum("confidence").alias("sure"), F.sum("ocr").alias("seen"), F.avg("temporal").alias("temporal"), F.avg("spatial").alias("spatial"))
@@ -124,7 +125,7 @@ def propagation(sessions: DataFrame, key_events: DataFrame, frames: DataFrame, k
     for share, c in zip(SHARES, named):
         total = total + share * F.col(c)
     says = lambda test, name, impact: F.when(test, F.struct(F.lit(name).alias("name"), F.lit(impact).alias("impact")))
-    n, t, s = F.col("n"), F.col("temporal"), F.col("seconds")
+    n, t, s = F.col("n"), F.round("temporal", 12), F.col("seconds")
     factors = F.array_compact(F.array(
         says(n >= 5, "sufficient_events", 0.2), says(n < 3, "insufficient_events", -0.3), says(t > 0.8, "high_temporal_consistency", 0.15), says(t < 0.5, "low_temporal_consistency", -0.2),
         says(s > 300, "substantial_session", 0.1), says(s < 60, "brief_session", -0.1)))

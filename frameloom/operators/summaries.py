@@ -56,10 +56,11 @@ def narratives(grouped: DataFrame, sessions: DataFrame, keys: tuple[str, ...], m
 
 
 def session_confidence(sessions: DataFrame, continuity: Column | None = None) -> DataFrame:
-    """Mean of the events' confidence, the duration in five minutes, continuity if known, the number of events in ten."""
+    """Mean of the events' confidence, the duration in five minutes, continuity if known, the number of events in ten; to 8
+    places by its hundred-millionths, as the SQL rounds doubles (rounding by decimal digits takes some halves down)."""
     parts = [F.col("avg_confidence"), F.least(F.lit(1.0), F.col("seconds") / 300), F.least(F.lit(1.0), F.col("n_events") / 10)] + ([continuity] if continuity is not None else [])
     known = F.filter(F.array(*parts), lambda p: p.isNotNull())
-    return sessions.withColumn("confidence", F.round(F.aggregate(known, F.lit(0.0), lambda a, p: a + p) / F.size(known), 8))
+    return sessions.withColumn("confidence", F.round(F.aggregate(known, F.lit(0.0), lambda a, p: a + p) / F.size(known) * 1e8) / 1e8)
 
 
 def outcomes(sessions: DataFrame) -> DataFrame:

@@ -223,6 +223,22 @@ def test_confidence_propagation(spark):
     assert (none["n_key_events"], none["confidence"], [x["name"] for x in none["factors"]]) == (0, 0.0, ["insufficient_events", "low_temporal_consistency"])
 
 
+@pytest.mark.parametrize("named,sure,absent", [(1, (0.41, 0.99), "low_temporal_consistency"), (4, (0.42, 0.99, 0.99), "high_temporal_consistency")])
+def test_temporal_consistency_at_its_bounds(spark, named, sure, absent):
+    # means of just 0.5 and 0.8, whose sums of doubles come out below and above in any order
+    s = spark.createDataFrame([(1, 1, 200.0, 3)], "stream long, island long, seconds double, n_events long")
+    key = spark.createDataFrame([(1, 1, i, i * S, c, list(range(named))) for i, c in enumerate(sure)], "stream long, island long, event_id long, us long, confidence double, evidence_frames array<long>")
+    f = contexts.frame_confidence(spark.createDataFrame([], "frame_id long, stream long, us long, app_name string, title string, ocr double, quality double"))
+    r = contexts.propagation(s, key, f, KEYS, F.lit(0.7)).first()
+    assert r["temporal"] == (0.5 if named == 1 else 0.8) and absent not in [x["name"] for x in r["factors"]]
+
+
+def test_session_confidence_of_halves(spark):
+    # (0.806 + 204.24135 / 300 + 1 + 0.727861) / 4 is just 0.803666375, as doubles a little less
+    s = spark.createDataFrame([(0.806, 204.24135, 50, 0.727861)], "avg_confidence double, seconds double, n_events long, continuity double")
+    assert summaries.session_confidence(s, F.col("continuity")).first()["confidence"] == 0.80366638
+
+
 def test_summaries_of_a_range(spark):
     e = events(spark, SESSIONS["data_entry"] + [(5000 + t, *rest) for t, *rest in SESSIONS["navigation"][:2]])
     none = spans(spark, []).limit(0)
