@@ -23,7 +23,7 @@ def samples(spark, d):
 def sources(spark, d):
     c = A.cursor(spark, d)
     # cursors at hand never rest: their places are taken by cells of 500 by 60
-    slow = c.withColumn("x", (F.floor(F.col("x") / 500) * 500).cast("double")).withColumn("y", (F.floor(F.col("y") / 60) * 60).cast("double"))
+    slow = {"x": (F.floor(F.col("x") / 500) * 500).cast("double"), "y": (F.floor(F.col("y") / 60) * 60).cast("double")}
     return assemblies.source_events(samples(spark, d), c, slow, F.expr(CLOCK), HOUR)
 
 

@@ -200,3 +200,42 @@ def test_related_sets_meet_once_and_are_not_counted_together(spark):
     g = spark.createDataFrame([(1, i, t, "A") for i in range(30) for t in "abcdef"[: 1 + i % 6]], "stream long, island long, type string, app_name string")
     plan = assemblies.related_sessions(g, KEYS)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate [" in line and "a_words" in line and "b_words" in line for line in plan.split("\n"))
+
+
+def test_rings_shuffle_a_stream_once_and_order_ids_as_text(spark):
+    # ids between an id and its detection, times alike, more rows than a ring holds, sources unknown
+    rng = random.Random(8)
+    tails = ("", "!", "-", "0", "-detecte", "~")
+    data = [(k % 2, rng.randrange(900), rng.choice(("movement", "click", "focus", "tab", "trail", None)), f"m{k // 6}{tails[k % 6]}") for k in range(6000)]
+    s = spark.createDataFrame(data, "stream long, us long, source string, event_id string").repartition(3)
+    screen = spark.createDataFrame([(k % 3, 3 * k, k) for k in range(400)], "stream long, us long, event_id long")
+    visits = spark.createDataFrame([(f"h{k % 2}", k) for k in range(230)], "stream string, page_id long")
+    held = {}
+    for stream, us, source, key in data:
+        ring = {"movement": "positions", "click": "clicks", "focus": "focus"}.get(source)
+        for name, own in ((ring, key), ("correlation_events", key if source not in ("trail", None) else None), ("correlation_events", f"{key}-detected")):
+            if name and own:
+                held.setdefault((name, str(stream)), []).append((us, own))
+    for k in range(400):
+        held.setdefault(("correlation_events", str(k % 3)), []).append((3 * k, f"screen-{k}"))
+    for k in range(230):
+        held.setdefault(("urls", f"h{k % 2}"), []).append((k, str(k)))
+    want = sorted((ring, stream, key, n) for (ring, stream), rows in held.items() for n, (_, key) in enumerate(sorted(rows, reverse=True)[: sequences.RINGS[ring]], 1))
+    got = assemblies.rings(s, screen, visits)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    # the last exchange but that of the visits is of rows before they are told twice, and nothing is ranked in shares
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    told = plan[: plan.index("RepartitionByExpression [stream")]
+    assert "Generate explode" in told and "__share" not in told
+
+
+def test_detectors_of_the_cursor_share_one_shuffle(spark):
+    rng = random.Random(9)
+    cursor = spark.createDataFrame([(k % 2, 40 * k, k, float(rng.randrange(300)), float(rng.randrange(300))) for k in range(300)], "stream long, ms long, seq long, x double, y double")
+    samples = spark.createDataFrame([(k % 2, 200_000 * k, k, "A", f"w{k % 3}", f"t{k % 5}") for k in range(60)], "stream long, us long, event_id long, app_name string, window string, tab string")
+    found = assemblies.source_events(samples, cursor, {"x": F.floor(F.col("x") / 250) * 250.0, "y": F.floor(F.col("y") / 250) * 250.0})
+    kinds = {r["source"] for r in found.collect()}
+    assert {"movement", "click", "trail", "window", "tab"} <= kinds
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert final.count("ReusedExchange") == 2
